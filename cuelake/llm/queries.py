@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import pieces
+from cuelake.llm import langid, lines, media, pieces, quality, simhash, warc
+from cuelake.llm.common import write_shared
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(id_col: str, parts: int) -> Column:
+    """crc32 of the id as text, modulo parts."""
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % parts
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
@@ -25,8 +31,74 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return simhash.near_duplicates(docs, words=4, radius=4).select("doc_id", "fingerprint", "component_id")
+
+
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(_fold("doc_id", 3) == 1, F.lit(False))
+    model = langid.fit(docs.where(~held))
+    told = langid.identify_documents(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = media.media_column(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    cuts = F.array_join(F.transform("clips", lambda c: F.round(c["end_s"] * media.FPS).cast("int").cast("string")), ",")
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        F.concat(F.size("clips").cast("string"), F.lit(":"), F.sha1(cuts.cast("binary"))).alias("feature"),
+    )
+
+
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    stored = spark.read.schema("name string, content binary").parquet(write_shared(archives, "warc"))
+    return warc.read_archives(stored).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "block_ok", "payload_ok")
+
+
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    kept = lines.drop_shared_lines(docs, min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels")
+    held = F.coalesce(_fold("doc_id", 5) == 0, F.lit(False))
+    forest = quality.fit(docs, labels.where(~held))
+    scored = quality.score_documents(docs, forest)
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_simhash": op2_simhash,
+    "op3_langid": op3_langid,
+    "op6_media": op6_media,
+    "op7_warc": op7_warc,
+    "op8_lines": op8_lines,
+    "op9_quality": op9_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_lines": r"""
+        WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+        flat AS (SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM rows),
+        keyed AS (SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                         'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM flat),
+        shared AS (SELECT k FROM keyed WHERE k <> '' GROUP BY k HAVING count(DISTINCT doc_id) >= 10),
+        told AS (SELECT keyed.*, shared.k IS NOT NULL AS lost FROM keyed LEFT JOIN shared USING (k))
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
+        FROM told GROUP BY r, doc_id
+    """,
+}
