@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import langid, lines, media, pieces, quality, simhash, warc
+from cuelake.llm import embeddings, langid, lines, media, packing, pieces, quality, simhash, urlrules, warc
 from cuelake.llm.common import write_shared
 
 
@@ -44,6 +44,15 @@ def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held.alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op4_urlrules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlrules.filter_urls(pages).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"), cosine=0.98)
+
+
 def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = media.media_column(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     cuts = F.array_join(F.transform("clips", lambda c: F.round(c["end_s"] * media.FPS).cast("int").cast("string")), ",")
@@ -79,14 +88,22 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
     "op3_langid": op3_langid,
+    "op4_urlrules": op4_urlrules,
+    "op5_embeddings": op5_embeddings,
     "op6_media": op6_media,
     "op7_warc": op7_warc,
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
