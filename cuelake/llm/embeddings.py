@@ -116,9 +116,9 @@ def _linker(cosine: float, hashes: int):
             codes = {"x": x, "norm": norm, "unit": x / norm[:, None], "n": mine["n"].to_numpy(), "probed": buckets(x, hashes)}
             own_union, own_links = Union(len(mine)), np.zeros(len(mine), dtype=np.int64)
             part = part.assign(at=place[part["at"].to_numpy()])
-            sizes = part.groupby(["label", "t", "code"], sort=False)["at"].transform("size")
-            for (_, t, code), bucket in part[sizes > 1].groupby(["label", "t", "code"], sort=False):
-                lo, hi = bucket["lo"].iloc[0], bucket["hi"].iloc[0]
+            bucket_key = ["label", "t", "code", "lo", "hi"]
+            sizes = part.groupby(bucket_key, sort=False)["at"].transform("size")
+            for (_, t, code, lo, hi), bucket in part[sizes > 1].groupby(bucket_key, sort=False):
                 if lo == hi:
                     _compare(bucket, None, t, code, cosine, codes, own_union, own_links)
                 else:

@@ -117,7 +117,8 @@ def classes(codes: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:
     low = distinct.join(member.withColumnRenamed("node", "code"), "code").groupBy("root").agg(F.min("low").alias("class_low"))
     named = member.join(low, "root").select(F.col("node").alias("code"), "class_low", F.lit(True).alias("linked"))
     named = distinct.join(named, "code", "left").select("code", F.when(F.col("linked"), F.col("class_low")).otherwise(F.col("low")).alias("component_id"))
-    return codes.join(named, "code")
+    # stored, so that Spark sees its size and may split the rows of a code that very many texts share
+    return codes.join(materialize(named, "named"), "code")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
