@@ -1,10 +1,574 @@
-"""Registered queries over the driver's tables, with the SQL that each must equal."""
+"""Registered queries over the driver's tables, with the SQL that each must equal.
+
+Queries without SQL are greedy, folded or call a model; tests hold them against plain loops.
+"""
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from cuelake.functions import text as X
+from cuelake.functions import times
+from cuelake.operators import batch, display, frames, language, pair, report, resume, split, tracks
+from cuelake.plans import jobs, views
+from cuelake.plans.views import DOCUMENTS, EVENTS, FILES, TALK, TRACKS
+from cuelake.sources import files, sinks, subtitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str = ""):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r3(x: Column | str) -> Column:
+    return F.round(x, 3)
+
+
+@query(f"""WITH {EVENTS}, g AS (SELECT *, s - lag(e) OVER (PARTITION BY title_id ORDER BY pos) AS gap FROM ev)
+    SELECT title_id, count(*) AS events, round(max(e - s), 3) AS max_duration, count(*) FILTER (e - s > 6) AS over_6s,
+           count(*) FILTER (e - s > 8) AS over_8s, count(*) FILTER (gap > 5) AS gaps_over_5s, round(coalesce(max(gap), 0), 3) AS max_gap FROM g GROUP BY title_id""")
+def timing_report(spark, sf_dir):
+    rows = report.timing(views.events_cues(spark, sf_dir))
+    return rows.withColumn("max_duration", r3("max_duration")).withColumn("max_gap", r3("max_gap"))
+
+
+@query(f"WITH {EVENTS} SELECT title_id, pos, round(s - lag(e) OVER (PARTITION BY title_id ORDER BY pos), 3) AS gap FROM ev")
+def cue_gaps(spark, sf_dir):
+    return report.gaps(views.events_cues(spark, sf_dir)).select("title_id", "pos", r3("gap").alias("gap"))
+
+
+@query(f"""WITH {TALK}, l AS (SELECT *, pos // 5 AS batch_id, printf('%.2f', s) || '->' || printf('%.2f', e) || ' ' || text AS body FROM talk),
+    w AS (SELECT *, coalesce(list('[' || pos || '] ' || body) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), []) AS b,
+                 coalesce(list('[' || pos || '] ' || body) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING), []) AS a,
+                 first(s) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS f,
+                 last(e) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 30 FOLLOWING) AS t FROM l)
+    SELECT title_id, batch_id, count(*) AS n, md5(string_agg('[' || (pos % 5) || '] ' || body, chr(10) ORDER BY pos)) AS target,
+           md5(coalesce(array_to_string(arg_min(b, pos), chr(10)), '')) AS before, md5(coalesce(array_to_string(arg_max(a, pos), chr(10)), '')) AS after,
+           round(arg_min(f, pos), 3) AS context_start, round(arg_max(t, pos), 3) AS context_end FROM w GROUP BY title_id, batch_id""")
+def batch_context(spark, sf_dir):
+    rows = batch.context(views.talk_cues(spark, sf_dir))
+    return rows.select("title_id", "batch_id", "n", *[F.md5(c).alias(c) for c in ("target", "before", "after")], r3("context_start").alias("context_start"), r3("context_end").alias("context_end"))
+
+
+@query()
+def model_requests(spark, sf_dir):
+    rows = batch.requests(batch.context(views.talk_cues(spark, sf_dir).withColumn("en", F.lit(None).cast("string")).withColumn("zh", F.lit("")), bilingual=True), "proofread")
+    return rows.select("title_id", "batch_id", F.char_length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+@query(f"""WITH {EVENTS}, i AS (SELECT *, sum(CASE WHEN display THEN 1 ELSE 0 END) OVER (PARTITION BY title_id ORDER BY pos) AS island FROM ev),
+    m AS (SELECT *, max(e) OVER (PARTITION BY title_id, island ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+    f AS (SELECT *, sum(CASE WHEN NOT display AND s - reach > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY title_id, island ORDER BY pos) AS failed FROM m),
+    x AS (SELECT *, max(CASE WHEN NOT display AND failed = 0 THEN e END) OVER (PARTITION BY title_id, island) AS far FROM f)
+    SELECT title_id, pos, display, round(CASE WHEN display AND far IS NOT NULL THEN greatest(far, e) END, 3) AS display_end FROM x""")
+def hidden_extension(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir).withColumn("display_end", F.lit(None).cast("double"))
+    return display.extend_over_hidden(cues).select("title_id", "pos", "display", r3("display_end").alias("display_end"))
+
+
+@query(f"""WITH {EVENTS} SELECT title_id, pos, round(s, 3) AS start, round(e, 3) AS "end", text FROM ev WHERE display
+    QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY pos DESC) <= 10""")
+def preview(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir).withColumn("display_start", F.lit(None).cast("double")).withColumn("display_end", F.lit(None).cast("double"))
+    return report.preview(cues).withColumn("start", r3("start")).withColumn("end", r3("end"))
+
+
+def _stored(cues: DataFrame) -> DataFrame:
+    """Some of the cues as an earlier run left them: every third title with another text, others shifted."""
+    number = F.col("title_id").cast("long")
+    shift = F.when(number % 3 == 1, 0.01).when(number % 7 == 5, 0.5).otherwise(0.0)
+    text = F.when((number % 3 == 2) & (F.col("pos") == 1), "other").otherwise(F.concat(F.lit(" <i>"), "text", F.lit("</i>")))
+    rows = cues.where(F.col("pos") < number % 50 + 2)
+    return rows.withColumn("end", F.col("end") + shift).withColumn("text", text).withColumn("processing_mode", F.lit("translate"))
+
+
+_STORED = f"""{EVENTS}, st AS (SELECT title_id, pos, CAST(title_id AS BIGINT) AS number, display,
+        CASE WHEN number % 3 = 1 THEN 0.01 WHEN number % 7 = 5 THEN 0.5 ELSE 0 END AS shift,
+        (number % 3 = 2 AND pos = 1) AS other FROM ev WHERE pos < number % 50 + 2),
+    fit AS (SELECT title_id, count(*) AS cached_rows, bool_and(shift <= 0.02 AND NOT other) AS fits FROM st GROUP BY title_id)"""
+
+
+@query(f"WITH {_STORED} SELECT title_id, cached_rows, fits FROM fit")
+def checkpoint_fits(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir)
+    return resume.compatible(_stored(cues), cues, "translate")
+
+
+@query(f"WITH {_STORED} SELECT ev.title_id, ev.pos FROM ev LEFT JOIN fit ON ev.title_id = fit.title_id AND fits WHERE ev.pos >= coalesce(cached_rows - cached_rows % 5, 0)")
+def remaining_work(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir)
+    return resume.remaining(cues, _stored(cues), 5, "translate").select("title_id", "pos")
+
+
+@query(f"""WITH {_STORED} SELECT t.title_id, t.total, coalesce(c.completed, 0) AS completed, coalesce(c.visible, 0) AS visible, c.last_visible
+    FROM (SELECT title_id, count(*) AS total FROM ev GROUP BY title_id) t LEFT JOIN
+         (SELECT title_id, count(*) AS completed, count(*) FILTER (display) AS visible, max(pos) FILTER (display) AS last_visible FROM st GROUP BY title_id) c USING (title_id)""")
+def progress(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir)
+    return report.progress(cues, _stored(cues))
+
+
+@query(f"WITH {_STORED} SELECT ev.title_id, ev.pos FROM ev LEFT JOIN st USING (title_id, pos) WHERE shift IS NULL OR shift > 0")
+def timing_changes(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir)
+    return resume.timing_changes(cues, _stored(cues))
+
+
+@query(f"""WITH {EVENTS}, t AS (SELECT *, text IN ('purchase', 'signup') AS z FROM ev),
+    n AS (SELECT title_id, z, s, e, row_number() OVER (PARTITION BY title_id, z ORDER BY pos) - 1 AS pos FROM t),
+    en AS (SELECT *, max(s) OVER (PARTITION BY title_id ORDER BY pos) - 5 AS at FROM n WHERE NOT z),
+    zh AS (SELECT * FROM n WHERE z),
+    p AS (SELECT en.title_id, en.pos, en.s, en.e, min(zh.pos) AS ptr FROM en JOIN zh ON en.title_id = zh.title_id AND zh.e >= en.at GROUP BY ALL),
+    c AS (SELECT p.title_id, p.pos AS en_pos, zh.pos AS zh_pos,
+                 greatest(0, least(p.e, zh.e) - greatest(p.s, zh.s)) * 10 - abs((p.s + p.e) / 2 - (zh.s + zh.e) / 2) AS score
+          FROM p JOIN zh ON p.title_id = zh.title_id AND zh.pos >= p.ptr AND zh.pos < p.ptr + 12)
+    SELECT title_id, en_pos, zh_pos, round(score, 6) AS score FROM c WHERE score >= -2.5
+    QUALIFY row_number() OVER (PARTITION BY title_id, en_pos ORDER BY score DESC, zh_pos) = 1""")
+def best_match(spark, sf_dir):
+    return pair.best_match(*views.event_tracks(spark, sf_dir)).withColumn("score", F.round("score", 6))
+
+
+@query()
+def greedy_pairs(spark, sf_dir):
+    rows = pair.greedy_pairs(*views.event_tracks(spark, sf_dir))
+    return rows.select("title_id", "pair_no", F.col("en.pos").alias("en_pos"), F.col("zh.pos").alias("zh_pos"))
+
+
+@query()
+def pair_statistics(spark, sf_dir):
+    return pair.pair_statistics(pair.greedy_pairs(*views.event_tracks(spark, sf_dir)))
+
+
+@query()
+def merged_tracks(spark, sf_dir):
+    en, zh = views.event_tracks(spark, sf_dir)
+    return pair.merge_tracks(en, zh.withColumn("text", F.concat(F.lit("字"), "text")), "existing Chinese sidecar subtitle", {"字": "文"})
+
+
+@query()
+def split_cues(spark, sf_dir):
+    return split.sane_timing(split.split_cues(views.talk_cues(spark, sf_dir))).select("title_id", "pos", r3("start").alias("start"), r3("end").alias("end"), "text")
+
+
+def _timed_words(cues: DataFrame) -> DataFrame:
+    words = F.filter(F.split(F.col("text"), r"\s+"), lambda w: w != "")
+    word = lambda w, k: F.struct((F.col("start") + k * 0.4).alias("start"), (F.col("start") + k * 0.4 + 0.3).alias("end"), w.alias("word"))
+    return cues.withColumn("words", F.transform(words, word))
+
+
+@query()
+def split_timed_words(spark, sf_dir):
+    rows = subtitles.parse_transcripts(_timed_words(views.talk_cues(spark, sf_dir)).withColumn("language", F.lit("en")))
+    return split.split_cues(rows.drop("role")).select("title_id", "pos", r3("start").alias("start"), r3("end").alias("end"), "text")
+
+
+@query(f"""WITH {DOCUMENTS}, c AS (SELECT title_id, known, count(*) AS n, min(pos) AS first FROM docs WHERE known IS NOT NULL GROUP BY ALL)
+    SELECT title_id, known AS language FROM c QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY n DESC, first) = 1""")
+def dominant_language(spark, sf_dir):
+    return language.dominant(views.document_cues(spark, sf_dir))
+
+
+@query(f"""WITH {DOCUMENTS}, c AS (SELECT title_id, known, count(*) AS n, min(pos) AS first FROM docs WHERE known IS NOT NULL GROUP BY ALL),
+    d AS (SELECT title_id, known AS dominant FROM c QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY n DESC, first) = 1)
+    SELECT docs.title_id, pos, coalesce(tag, dominant) AS source_language FROM docs LEFT JOIN d USING (title_id)""")
+def filled_language(spark, sf_dir):
+    return language.fill_missing(views.document_cues(spark, sf_dir)).select("title_id", "pos", "source_language")
+
+
+@query(f"WITH {DOCUMENTS} SELECT title_id, coalesce(arg_min(tag, pos) FILTER (tag IS NOT NULL), 'cached source') AS language FROM docs GROUP BY title_id")
+def first_language(spark, sf_dir):
+    return language.first_known(views.document_cues(spark, sf_dir))
+
+
+@query(f"""WITH {DOCUMENTS}, f AS (SELECT title_id, arg_min(known, pos) FILTER (known IS NOT NULL) AS known FROM docs GROUP BY title_id)
+    SELECT title_id, pos FROM docs JOIN f USING (title_id) WHERE f.known = 'en'""")
+def requested_language(spark, sf_dir):
+    return language.matches_request(views.document_cues(spark, sf_dir), "auto", "English").select("title_id", "pos")
+
+
+@query(f"""WITH {TALK}, c AS (SELECT title_id, sum(CASE WHEN role = 'assistant' AND CAST(title_id AS INT) % 2 = 0 THEN 2 ELSE 0 END) AS zh,
+        sum(CASE WHEN CAST(title_id AS INT) % 5 = 0 THEN 1 ELSE 0 END) AS open FROM talk GROUP BY title_id)
+    SELECT title_id, zh >= 3 OR open >= 3 AS has_chinese FROM c""")
+def chinese_presence(spark, sf_dir):
+    cues, number = views.talk_cues(spark, sf_dir), F.col("title_id").cast("int")
+    zh = F.when((F.col("role") == "assistant") & (number % 2 == 0), F.concat(F.lit("你好 "), "text"))
+    text = F.when(number % 5 == 0, F.concat(F.lit("好"), "text")).otherwise(F.col("text"))
+    return language.chinese_presence(cues.withColumn("zh", zh).withColumn("text", text).withColumn("en", F.lit(None).cast("string")).withColumn("source_language", F.lit("auto")))
+
+
+@query(r"SELECT doc_id, CASE WHEN len(list_filter(regexp_extract_all(substr(text, 1, 20000), '[\p{L}\p{N}_]+'), lambda x: regexp_full_match(x, '[A-Za-z]{2,}'))) >= 5 THEN 'en' ELSE '' END AS language FROM documents")
+def classified_text(spark, sf_dir):
+    return views.table(spark, sf_dir, "documents").select("doc_id", X.classify_text("text").alias("language"))
+
+
+@query(r"""WITH c AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\{\\[^}]*\}', '', 'g'), '(?i)</?(i|b|u|font)[^>]*>', '', 'g'), '\s+', ' ', 'g')) AS t FROM documents)
+    SELECT doc_id, length(CASE WHEN t = '-' THEN '' ELSE t END) AS n_chars, md5(CASE WHEN t = '-' THEN '' ELSE t END) AS text_md5 FROM c""")
+def cleaned_text(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", X.clean_subtitle_text("text").alias("t"))
+    return rows.select("doc_id", F.char_length("t").alias("n_chars"), F.md5("t").alias("text_md5"))
+
+
+@query(r"""WITH a AS (SELECT page_id, replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') AS t FROM pages),
+    b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<[^>]+>', '', 'g'), '\{\\.*?\}', '', 'g'), '[ \t]+', ' ', 'g'), '\s*\n\s*', chr(10), 'g') AS t FROM a)
+    SELECT page_id, md5(trim(t, chr(32) || chr(9) || chr(10) || chr(13))) AS text_md5 FROM b""")
+def rich_text(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", F.md5(X.clean_rich_text("html")).alias("text_md5"))
+
+
+@query(r"SELECT page_id, CASE WHEN t = '' THEN 'subtitle' ELSE t END AS part FROM (SELECT page_id, trim(regexp_replace(url, '[^A-Za-z0-9._-]+', '_', 'g'), '._') AS t FROM pages)")
+def safe_names(spark, sf_dir):
+    return views.table(spark, sf_dir, "pages").select("page_id", X.safe_file_part(F.col("url")).alias("part"))
+
+
+_NAME = r"""n0 AS (SELECT p_partkey, path, stem, regexp_replace(regexp_replace(replace(stem, '.', ' '), '(?i)\b(1080p|x264)\b.*$', ' ', 'g'), '\b\d[ .]?\d\b.*$', ' ', 'g') AS t FROM files),
+    names AS (SELECT p_partkey, path, stem, trim(regexp_replace(regexp_replace(t, '\s+-\s*[A-Za-z0-9]+$', ' '), '\s+', ' ', 'g')) AS name FROM n0)"""
+
+
+@query(f"""WITH {FILES}, {_NAME} SELECT p_partkey, CASE WHEN name = '' THEN 'Unknown' ELSE name END AS name, replace(regexp_replace(stem, '\\.(20\\d\\d|19\\d\\d).*', ''), '.', ' ') AS short,
+    CASE p_partkey % 4 WHEN 2 THEN 'zh' WHEN 1 THEN 'en' END AS language FROM names""")
+def release_names(spark, sf_dir):
+    rows = views.part_files(spark, sf_dir)
+    return rows.select("p_partkey", X.clean_name(F.col("path")).alias("name"), X.name_before_year(F.col("path")).alias("short"), X.classify_file_name(F.col("path")).alias("language"))
+
+
+@query(f"""WITH {FILES} SELECT title_id, path, length FROM files WHERE ext IN ('mkv', 'mp4')
+    QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY contains(path, '/BDMV/STREAM/') DESC, length DESC, path) = 1""")
+def main_videos(spark, sf_dir):
+    return files.main_videos(views.part_files(spark, sf_dir)).select("title_id", "path", "length")
+
+
+_SIDE = f"""{FILES}, v AS (SELECT title_id, folder, lower(stem) AS own FROM files WHERE ext IN ('mkv', 'mp4')
+        QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY contains(path, '/BDMV/STREAM/') DESC, length DESC, path) = 1),
+    s0 AS (SELECT v.title_id, f.path, f.stem, f.ext, max(CASE WHEN lower(f.stem) = own THEN 100 ELSE 0 END + CASE WHEN contains(lower(f.stem), own) OR contains(own, lower(f.stem)) THEN 50 ELSE 0 END
+            + CASE WHEN contains(lower(f.stem), 'en') THEN 10 ELSE 0 END) AS score FROM files f JOIN v ON f.folder = v.folder WHERE f.ext IN ('srt', 'ass', 'vtt') GROUP BY ALL),
+    side AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY score DESC, lower(stem || '.' || ext) DESC, path) AS rank FROM s0)"""
+
+
+@query(f"WITH {_SIDE} SELECT title_id, path, score, rank FROM side")
+def sidecars(spark, sf_dir):
+    rows = views.part_files(spark, sf_dir)
+    return files.rank_sidecars(files.main_videos(rows), rows)
+
+
+@query(f"WITH {_SIDE} SELECT title_id, arg_min(path, rank) FILTER (contains(stem, '.zh')) AS zh_path, arg_min(path, rank) FILTER (contains(stem, '.en')) AS en_path FROM side GROUP BY title_id HAVING zh_path IS NOT NULL")
+def sidecar_languages(spark, sf_dir):
+    rows = views.part_files(spark, sf_dir)
+    ranked = files.rank_sidecars(files.main_videos(rows), rows)
+    none = rows.select("path", F.lit("").alias("content"))
+    explicit = rows.where("false").select("title_id", "path", F.lit(1).alias("priority"))
+    return files.resolve_languages(files.candidates(ranked, explicit, rows), none.distinct())
+
+
+@query(f"WITH {TRACKS} SELECT title_id, idx AS index, zh_kind, score FROM scored WHERE zh_kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY CASE zh_kind WHEN 'zh-Hans' THEN 40 WHEN 'zh-Hant' THEN 30 WHEN 'zh' THEN 20 ELSE 10 END DESC, score DESC, idx) = 1")
+def best_chinese_track(spark, sf_dir):
+    return tracks.best_chinese(views.part_tracks(spark, sf_dir)).select("title_id", "index", "zh_kind", "score")
+
+
+@query(f"WITH {TRACKS} SELECT title_id, idx AS index, score FROM scored WHERE lang = 'eng' OR contains(title, 'english') QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY score DESC, idx) = 1")
+def best_english_track(spark, sf_dir):
+    return tracks.best_english(views.part_tracks(spark, sf_dir)).select("title_id", "index", "score")
+
+
+@query(f"""WITH {TRACKS} SELECT title_id, idx AS index, score FROM scored WHERE NOT (title_id = 't3' AND idx <> 25)
+    QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY lang = 'fre' DESC, score DESC, idx) = 1""")
+def preferred_track(spark, sf_dir):
+    asked = spark.range(1).select(F.lit("t3").alias("title_id"), F.lit(25).alias("index"))
+    return tracks.preferred(views.part_tracks(spark, sf_dir), "fre", asked).select("title_id", "index", "score")
+
+
+@query(f"""WITH {TRACKS} SELECT idx AS index, kind = 'Subtitle' AS subtitle, kind = 'Audio' AS audio,
+    CASE WHEN contains(codec, 'pgs') THEN 'picture' WHEN codec IN ('subrip', 'ass', 'dvb_teletext') THEN 'text' END AS codec_class FROM tracks""")
+def track_kinds(spark, sf_dir):
+    return views.part_tracks(spark, sf_dir).select("index", tracks.is_subtitle().alias("subtitle"), tracks.is_audio().alias("audio"), tracks.codec_class().alias("codec_class"))
+
+
+@query(f"WITH {TRACKS} SELECT title_id, idx AS index, kind, codec, lang, title FROM (SELECT * REPLACE ((['', 'English Full', 'Simplified', 'Traditional SDH', 'Forced', 'Cantonese'])[(idx // 4) % 6 + 1] AS title) FROM tracks)")
+def probed_tracks(spark, sf_dir):
+    rows = views.part_tracks(spark, sf_dir)
+    head = F.concat(F.lit("  Stream #0:"), F.col("index").cast("string"), F.lit("("), F.upper("lang"), F.lit("): "), "kind", F.lit(": "), "codec", F.lit(", 1920x1080"))
+    meta = F.transform(F.map_entries("metadata"), lambda e: F.concat(F.lit("      "), e["key"], F.lit("  : "), e["value"]))
+    log = F.concat(F.array(head, F.lit("    Metadata:"), F.concat(F.lit("      title           : "), "title")), meta)
+    lines = rows.select("title_id", "index", F.posexplode(log).alias("k", "line"))
+    return tracks.parse_probe_logs(lines.select("title_id", (F.col("index") * 100 + F.col("k")).cast("long").alias("line_no"), "line")).drop("metadata")
+
+
+def _cs(x: str) -> str:
+    return f"CAST(greatest(0, round_even({x} * 100, 0)) AS BIGINT)"
+
+
+def _clock_sql(x: str) -> str:
+    c = _cs(x)
+    return f"({c} // 360000) || ':' || lpad(CAST({c} // 6000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({c} // 100 % 60 AS VARCHAR), 2, '0') || '.' || lpad(CAST({c} % 100 AS VARCHAR), 2, '0')"
+
+
+def _layer_sql(body: str) -> str:
+    head = sinks.LAYER_HEAD.replace("'", "''")
+    return f"""WITH {EVENTS}, l AS (SELECT title_id, pos, 'Dialogue: 0,' || {_clock_sql("s")} || ',' || {_clock_sql("e")} || {body} || chr(10) AS line FROM ev WHERE display)
+        SELECT title_id, md5('{head}' || string_agg(line, '' ORDER BY pos)) AS content_md5 FROM l GROUP BY title_id"""
+
+
+def _layers(spark, sf_dir) -> DataFrame:
+    cues = views.events_cues(spark, sf_dir)
+    none = F.lit(None).cast("string")
+    return cues.withColumn("en", none).withColumn("zh", F.concat(F.lit("字{"), "text")).withColumn("source_language", none).withColumn("display_start", none.cast("double")).withColumn("display_end", none.cast("double"))
+
+
+@query(_layer_sql("',English,,0,0,0,,' || text"))
+def ass_english(spark, sf_dir):
+    return sinks.render_ass(_layers(spark, sf_dir), "en").select("title_id", F.md5("content").alias("content_md5"))
+
+
+@query(_layer_sql("',Default,,0,0,0,,字(' || text"))
+def ass_chinese(spark, sf_dir):
+    return sinks.render_ass(_layers(spark, sf_dir), "zh").select("title_id", F.md5("content").alias("content_md5"))
+
+
+@query(_layer_sql("',Default,,0,0,0,,字(' || text || '{\\rEnglish}\\N' || text"))
+def ass_bilingual(spark, sf_dir):
+    return sinks.render_ass(_layers(spark, sf_dir), "bilingual").select("title_id", F.md5("content").alias("content_md5"))
+
+
+@query()
+def ass_pairs(spark, sf_dir):
+    return sinks.render_pairs(pair.greedy_pairs(*views.event_tracks(spark, sf_dir))).select("title_id", F.md5("content").alias("content_md5"))
+
+
+def _ms(x: str) -> str:
+    m = f"CAST(round_even({x} * 1000, 0) AS BIGINT)"
+    return f"lpad(CAST({m} // 3600000 AS VARCHAR), 2, '0') || ':' || lpad(CAST({m} // 60000 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST({m} // 1000 % 60 AS VARCHAR), 2, '0') || ',' || lpad(CAST({m} % 1000 AS VARCHAR), 3, '0')"
+
+
+@query(f"""WITH {EVENTS} SELECT title_id, md5(string_agg((pos + 1) || chr(10) || {_ms("s")} || ' --> ' || {_ms("e")} || chr(10) || text || chr(10) || chr(10), '' ORDER BY pos)) AS content_md5 FROM ev GROUP BY title_id""")
+def srt_files(spark, sf_dir):
+    return sinks.render_srt(views.events_cues(spark, sf_dir)).select("title_id", F.md5("content").alias("content_md5"))
+
+
+def _as_files(rendered: DataFrame) -> DataFrame:
+    return rendered.select("title_id", F.col("title_id").alias("path"), "content")
+
+
+def _times(cues: DataFrame) -> DataFrame:
+    return cues.select("title_id", "pos", r3("start").alias("start"), r3("end").alias("end"), "text")
+
+
+_ALL = f"""WITH {EVENTS} SELECT title_id, pos, round(s, 3) AS start, round(e, 3) AS "end", text FROM ev"""
+
+
+@query(_ALL)
+def parsed_srt(spark, sf_dir):
+    return _times(subtitles.parse_srt(_as_files(sinks.render_srt(views.events_cues(spark, sf_dir)))))
+
+
+@query(_ALL)
+def parsed_srt_lenient(spark, sf_dir):
+    return _times(subtitles.parse_srt(_as_files(sinks.render_srt(views.events_cues(spark, sf_dir))), lenient=True))
+
+
+@query(_ALL)
+def parsed_vtt(spark, sf_dir):
+    return _times(subtitles.parse_vtt(_as_files(sinks.render_vtt(views.events_cues(spark, sf_dir))))[0])
+
+
+@query(f"""WITH {EVENTS} SELECT title_id, row_number() OVER (PARTITION BY title_id ORDER BY pos) - 1 AS pos, round(round_even(s * 100, 0) / 100, 3) AS start,
+    round(round_even(e * 100, 0) / 100, 3) AS "end", text FROM ev WHERE display AND round_even(e * 100, 0) > round_even(s * 100, 0)""")
+def parsed_ass(spark, sf_dir):
+    return _times(subtitles.parse_ass(_as_files(sinks.render_ass(_layers(spark, sf_dir), "en"))))
+
+
+@query(f"""WITH {EVENTS}, good AS (SELECT title_id FROM ev GROUP BY title_id HAVING CAST(title_id AS INT) % 4 <> 0)
+    SELECT title_id, row_number() OVER (PARTITION BY title_id ORDER BY pos) - 1 AS pos, round(s, 3) AS start, round(e, 3) AS "end", text,
+           CASE WHEN text = 'view' THEN 'en' ELSE 'fr' END AS source_language FROM ev JOIN good USING (title_id) WHERE text <> 'error'""")
+def parsed_segments(spark, sf_dir):
+    cues, bad = views.events_cues(spark, sf_dir), F.col("title_id").cast("int") % 4 == 0
+    tag = F.when(F.col("text") == "view", "en").otherwise("fr")
+    item = F.struct("pos", "start", F.when(bad & (F.col("pos") == 0), F.col("start")).otherwise(F.col("end")).alias("end"), F.when(F.col("text") == "error", "").otherwise(F.concat(F.lit(" "), "text")).alias("text"), tag.alias("source_language"))
+    lists = cues.groupBy("title_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("content"))
+    rows = subtitles.parse_segments(_as_files(lists))
+    return rows.select("title_id", "pos", r3("start").alias("start"), r3("end").alias("end"), "text", "source_language")
+
+
+@query("""WITH f AS (SELECT CAST(user_id AS VARCHAR) AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CAST(event_id AS DOUBLE) / 10 AS pts,
+        CASE WHEN event_type <> 'signup' THEN event_type END AS h FROM events),
+    c AS (SELECT *, h IS DISTINCT FROM lag(h) OVER (PARTITION BY track_id ORDER BY seq) OR seq = 1 AS fresh FROM f),
+    r AS (SELECT *, coalesce(lead(pts) OVER (PARTITION BY track_id ORDER BY seq), pts + 3) AS stop FROM c WHERE fresh)
+    SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS event_no, round(pts, 3) AS start, round(stop, 3) AS "end", h AS image_hash FROM r WHERE h IS NOT NULL AND stop > pts""")
+def merged_frames(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir)
+    rows = cues.select(F.col("title_id").alias("track_id"), F.col("pos").alias("seq"), (F.col("event_id").cast("double") / 10).alias("pts"), (F.col("text") == "signup").alias("is_empty"), F.col("text").alias("image_hash"))
+    return frames.merge_frames(rows).withColumn("start", r3("start")).withColumn("end", r3("end"))
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, string_agg(l_returnflag || l_linenumber, ' ' ORDER BY round_even(l_extendedprice % 200 / 12, 0), l_quantity, l_linenumber) AS text FROM lineitem GROUP BY l_orderkey""")
+def reading_order(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "lineitem")
+    text = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))
+    return frames.reading_order(rows.select(F.col("l_orderkey").cast("string").alias("frame_id"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") % 200).alias("y"), text.alias("text")))
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, l_linenumber - 1 AS seq, round(l_quantity, 3) AS x, round(l_extendedprice, 3) AS y, l_returnflag AS text FROM
+    (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem) QUALIFY n = l_linenumber AND bool_and(n = l_linenumber) OVER (PARTITION BY l_orderkey)""")
+def parsed_detections(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "lineitem")
+    item = F.struct("l_linenumber", "l_returnflag", F.array(F.array("l_quantity", "l_extendedprice"), F.array(F.col("l_quantity") + 5, F.col("l_extendedprice") + 5)).alias("box"))
+    boxes = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("b"), F.max("l_linenumber").alias("top"), F.count_distinct("l_linenumber").alias("n"), F.count("*").alias("all")).where("top = n and n = all")
+    named = F.to_json(F.struct(F.transform("b", lambda r: r["l_returnflag"]).alias("rec_texts"), F.transform("b", lambda r: r["box"]).alias("rec_polys")))
+    raw = F.when(F.col("l_orderkey") % 2 == 0, named).otherwise(F.concat(F.lit('{"res": '), named, F.lit("}")))
+    found = subtitles.parse_detections(boxes.select(F.col("l_orderkey").cast("string").alias("frame_id"), raw.alias("raw")))
+    return found.withColumn("x", r3("x")).withColumn("y", r3("y"))
+
+
+def _log(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    said = {"view": "Processing segments 1 to 5 of 9...", "click": "note", "error": "Transcribing audio", "purchase": "Using sidecar SRT timing", "signup": "- Success! Subtitles saved"}
+    table = F.create_map(*[F.lit(x) for kv in said.items() for x in kv])
+    log = views.events_cues(spark, sf_dir).select(F.col("title_id").alias("run_id"), F.col("pos").alias("line_no"), table[F.col("text")].alias("line"))
+    log = log.where(~((F.col("run_id").cast("int") % 3 == 0) & F.col("line").startswith("- ")))
+    return log, log.select("run_id").distinct().withColumn("running", F.col("run_id").cast("int") % 2 == 0)
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT title_id AS run_id, CAST(title_id AS INT) AS number, pos, text FROM ev WHERE NOT (CAST(title_id AS INT) % 3 = 0 AND text = 'signup')),
+    g AS (SELECT run_id, number, bool_or(text = 'signup') AS done, arg_max(text, pos) FILTER (text IN ('view', 'error', 'purchase')) AS last FROM l GROUP BY ALL)
+    SELECT run_id, CASE WHEN number % 2 = 0 THEN coalesce(CASE last WHEN 'view' THEN 'model' WHEN 'error' THEN 'speech' WHEN 'purchase' THEN 'reading' END, 'starting') WHEN done THEN 'done' ELSE 'idle' END AS label,
+           CASE WHEN number % 2 = 0 THEN coalesce(CASE last WHEN 'view' THEN 2 WHEN 'error' THEN 1 WHEN 'purchase' THEN 0 END, 0) WHEN done THEN 3 ELSE -1 END AS stage FROM g""")
+def run_stages(spark, sf_dir):
+    return report.stages(*_log(spark, sf_dir))
+
+
+@query(f"""WITH {EVENTS}, l AS (SELECT title_id AS run_id, pos AS line_no FROM ev WHERE NOT (CAST(title_id AS INT) % 3 = 0 AND text = 'signup'))
+    SELECT run_id, line_no FROM l QUALIFY line_no > max(line_no) OVER (PARTITION BY run_id) - 20""")
+def log_tail(spark, sf_dir):
+    return report.log_tail(_log(spark, sf_dir)[0], 20).select("run_id", "line_no")
+
+
+def _replies(cues: DataFrame) -> DataFrame:
+    """Replies of many shapes: fenced, with noise before, indexes as text or doubled, and no list at all."""
+    rows = batch.assign(cues)
+    number = F.col("title_id").cast("int") + F.col("pos")
+    shown = F.when(number % 4 == 0, F.lit('"hide"')).when(number % 4 == 1, F.lit("1")).otherwise(F.lit("true"))
+    index = F.when(number % 3 == 0, F.concat(F.lit('"'), F.col("index").cast("string"), F.lit('"'))).otherwise(F.col("index").cast("string"))
+    texts = F.when(number % 5 == 0, F.lit('"corrected_source": "C", "chinese_translation": ""')).when(number % 5 == 1, F.lit('"corrected_text": "好", "chinese_translation": "好"')).otherwise(F.concat(F.lit('"corrected_text": "T'), F.col("pos").cast("string"), F.lit('", "chinese_translation": "译"')))
+    item = F.concat(F.lit('{"index": '), index, F.lit(", "), texts, F.lit(', "display": '), shown, F.lit(', "display_end": '), (F.col("end") + 0.5).cast("string"), F.lit("}"))
+    lists = rows.groupBy("title_id", "batch_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", item.alias("i")))), lambda r: r["i"]), ",\n").alias("b"))
+    body = F.concat(F.lit("["), "b", F.lit("]"))
+    turn = F.col("title_id").cast("int") % 4
+    raw = F.when(turn == 0, body).when(turn == 1, F.concat(F.lit("<think>[no]</think>```json\n"), body, F.lit("\n```"))).when(turn == 2, F.concat(F.lit("Here: "), body, F.lit(" done"))).otherwise(F.lit('{"error": "none"}'))
+    return lists.select("title_id", "batch_id", F.lit(1).alias("attempt"), raw.alias("raw"), F.lit(None).cast("string").alias("error"))
+
+
+@query(f"""WITH {TALK}, i AS (SELECT title_id, pos // 5 AS batch_id, pos % 5 AS index, CAST(title_id AS INT) + pos AS number FROM talk WHERE CAST(title_id AS INT) % 4 <> 3)
+    SELECT title_id, batch_id, index, number % 4 <> 0 AS flag, CASE number % 5 WHEN 0 THEN 'C' WHEN 1 THEN '好' ELSE 'T' || (batch_id * 5 + index) END AS corrected FROM i""")
+def reply_items(spark, sf_dir):
+    rows = batch.reply_items(_replies(views.talk_cues(spark, sf_dir)))
+    return rows.select("title_id", "batch_id", "index", display.directive("item")[0], batch.field("corrected_text", "corrected_source").alias("corrected"))
+
+
+@query(f"""WITH {TALK}, w AS (SELECT *, CAST(title_id AS INT) + pos AS number, CAST(title_id AS INT) % 4 <> 3 AS told,
+        max(e) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING) AS bound FROM talk),
+    t AS (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS clean, regexp_matches(text, '[a-zA-Z]{{3,}}') AS latin FROM w)
+    SELECT title_id, pos, CASE WHEN NOT told OR number % 5 = 1 THEN clean WHEN number % 5 = 0 THEN 'C' ELSE 'T' || pos END AS en,
+           CASE WHEN NOT told OR number % 5 = 1 THEN clean WHEN number % 5 = 0 THEN 'C' ELSE '译' END AS zh, NOT told OR number % 4 <> 0 AS display FROM t""")
+def applied_replies(spark, sf_dir):
+    cues = views.talk_cues(spark, sf_dir).withColumn("en", F.lit(None).cast("string")).withColumn("zh", F.lit(None).cast("string")).withColumn("source_language", F.lit("fr"))
+    done = jobs.apply_replies(cues, _replies(cues), batch.context(cues))
+    return done.select("title_id", "pos", "en", "zh", "display")
+
+
+@query(f"""WITH {FILES}, {_NAME}, d AS (SELECT DISTINCT path, p_partkey, name FROM names)
+    SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN coalesce(nullif(name, ''), 'Unknown') WHEN p_partkey BETWEEN 10 AND 99 THEN 'Part' ELSE 'Part ' || p_partkey END AS movie_name,
+           CASE p_partkey % 3 WHEN 0 THEN coalesce(nullif(name, ''), 'Unknown') WHEN 1 THEN CASE WHEN p_partkey BETWEEN 10 AND 99 THEN 'Part' ELSE 'Part ' || p_partkey END ELSE 'Show' END AS series_name,
+           CASE WHEN p_partkey % 3 = 0 THEN 'heuristic' ELSE 'model' END AS name_source FROM d""")
+def title_names(spark, sf_dir):
+    rows = views.part_files(spark, sf_dir)
+    number = F.col("p_partkey").cast("string")
+    kind = F.when(F.col("p_partkey") % 3 == 1, "movie").otherwise("series")
+    raw = F.when(F.col("p_partkey") % 3 == 0, F.lit("sorry")).otherwise(F.concat(F.lit('```json\n{"series_name": "Show", "movie_name": "Part: '), number, F.lit('.1080p", "kind": "'), kind, F.lit('"}\n```')))
+    return batch.parse_names(rows.withColumn("raw", raw)).select("p_partkey", "movie_name", "series_name", "name_source")
+
+
+def stub_model(prompts: list[str]) -> list[str]:
+    """A model for tests and queries: numbers its corrections, hides lines that repeat the one before."""
+    out = []
+    for prompt in prompts:
+        target = prompt.split("TARGET\n", 1)[1].split("\n\nAFTER\n", 1)[0]
+        lines, before = re.findall(r"^\[(\d+)\] \S+ ?(.*)$", target, re.M), None
+        items = []
+        for index, text in lines:
+            items.append({"index": int(index), "corrected_text": text, "chinese_translation": f"译{len(text)}", "corrected_chinese": f"译{len(text)}", "display": text != before})
+            before = text
+        out.append(json.dumps(items, ensure_ascii=False))
+    return out
+
+
+def _store(df: DataFrame, name: str) -> DataFrame:
+    return df.checkpoint()
+
+
+@query()
+def translated_titles(spark, sf_dir):
+    """The model pass over the events' titles with a stub model."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        _local_checkpoints(spark)
+    cues = views.events_cues(spark, sf_dir).drop("event_id", "display")
+    done = jobs.process(cues, stub_model, _store, pause=0.0)
+    return done.select("title_id", "pos", "en", "zh", "display", r3("display_end").alias("display_end"))
+
+
+def _local_checkpoints(spark: SparkSession) -> None:
+    """A folder for a plain local session; on a cluster spark.checkpoint.dir must name a shared one."""
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if folder is None and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-cuelake-"))
+
+
+@query(f"WITH {TALK} SELECT title_id, count(*) AS n FROM talk GROUP BY title_id")
+def resolved_source(spark, sf_dir):
+    cues = views.talk_cues(spark, sf_dir)
+    number = F.col("title_id").cast("int")
+    rows = jobs.resolve_cues({"cache": cues.where(number % 3 == 0), "sidecar": cues.where(number % 2 == 0), "audio": cues})
+    return rows.groupBy("title_id").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_SIDE}, v2 AS (SELECT title_id FROM files WHERE ext IN ('mkv', 'mp4') GROUP BY title_id), n AS (SELECT title_id, count(*) AS sidecars FROM side GROUP BY title_id),
+    t AS (SELECT 't' || ((p_partkey // 8) % 20) AS title_id, count(*) FILTER (p_partkey % 4 < 2) AS subtitle_tracks, count(*) FILTER (p_partkey % 4 = 2) AS audio_tracks FROM part GROUP BY ALL)
+    SELECT title_id, coalesce(sidecars, 0) AS sidecars, coalesce(subtitle_tracks, 0) AS subtitle_tracks, coalesce(audio_tracks, 0) AS audio_tracks,
+           CASE WHEN sidecars > 0 THEN 'sidecar' WHEN subtitle_tracks > 0 THEN 'embedded' ELSE 'audio' END AS source FROM v2 LEFT JOIN n USING (title_id) LEFT JOIN t USING (title_id)""")
+def corpus_analysis(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir)
+    rows = jobs.analysis(views.part_files(spark, sf_dir), views.part_tracks(spark, sf_dir), cues, _stored(cues))
+    return rows.select("title_id", "sidecars", "subtitle_tracks", "audio_tracks", "source")
+
+
+@query()
+def title_status(spark, sf_dir):
+    cues = views.events_cues(spark, sf_dir)
+    return jobs.status(cues, _stored(cues), *_log(spark, sf_dir))
+
+
+@query()
+def track_pairs(spark, sf_dir):
+    probed = views.part_tracks(spark, sf_dir)
+    cues = views.talk_cues(spark, sf_dir).select((F.col("title_id").cast("int") % 20).alias("t"), (F.col("pos") + F.col("title_id").cast("int") * 8).alias("pos"), "start", "end", "text")
+    own = probed.select("title_id", "index").join(cues.withColumn("title_id", F.concat(F.lit("t"), "t")).drop("t"), "title_id")
+    return jobs.track_pair_job(probed, own)["statistics"]
+
+
+@query(f"WITH {EVENTS} SELECT title_id, pos, {_clock_sql('s')} AS ass, {_ms('s')} AS srt, round(s, 3) AS again FROM ev")
+def clock_texts(spark, sf_dir):
+    rows = views.events_cues(spark, sf_dir).select("title_id", "pos", times.ass_time(F.col("start")).alias("ass"), times.srt_time(F.col("start")).alias("srt"))
+    return rows.withColumn("again", r3(times.srt_seconds(F.col("srt"))))
