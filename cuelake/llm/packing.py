@@ -11,7 +11,9 @@ from __future__ import annotations
 import functools
 import math
 import os
+import re
 import struct
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import materialize, text_batches
 
-MEMO_WORDS = 500_000
+MEMO_WORDS = 1_000_000
 #: Items of one length that one window task numbers.
 NUMBERED = 10_000
 
@@ -33,22 +35,75 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path), {}
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
-    """Ids (little-endian unsigned 32-bit) of whole texts. Tokens never reach over ASCII white space, so
-    words are encoded once and remembered."""
+#: A word up to an ASCII letter and the ASCII marks after it: the tokenizer always splits there.
+TAIL = re.compile(rb"(.*[a-z])([!-&(-/:-@\[-`{-~]+)", re.DOTALL)
+MARKS = re.compile(rb"[!-&(-/:-@[-`{-~]+")
+COMBINING = re.compile("[\u0300-\u036f]")
+
+
+def _byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free code from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    spare = iter(range(256, 512))
+    return [chr(b if b in printable else next(spare)) for b in range(256)]
+
+
+LETTERS = _byte_letters()
+
+
+def _plain(word: bytes) -> str | None:
+    """The one pre-token that a word is in byte-level letters, or None if the tokenizer had better see it."""
+    if word.isalpha() and word.islower() or MARKS.fullmatch(word):
+        return word.decode()
+    text = "".join(c.lower() for c in unicodedata.normalize("NFC", word.decode()))
+    if text.isalpha() and max(text) < "\u0250":
+        return "".join(LETTERS[b] for b in text.encode())
+    return None
+
+
+def _learn(path: str, words: set[bytes], whole: bool) -> None:
+    """Remember the ids of new words. Words split by the tokenizer for sure are learned by their parts, and
+    those that are one pre-token go straight to its model."""
     tokenizer, memo = _tokenizer(path)
-    split = [(t or "").encode().split() for t in texts]
-    for words in split:
-        new = [w for w in {*words} if w not in memo]
-        if new:
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-                new = [*{*words}]
-            for w, e in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
-                ids = e.ids
-                memo[w] = struct.pack(f"<{len(ids)}I", *ids)
-        words[:] = [b"".join(map(memo.__getitem__, words))]
-    return [words[0] for words in split]
+    tokenize = tokenizer.model.tokenize
+    parts = {} if whole else {w: m.groups() for w in words if (m := TAIL.fullmatch(w))}
+    other = []
+    for x in {x for w in words for x in parts.get(w, (w,))}:
+        if x not in memo:
+            plain = None if whole else _plain(x)
+            if plain is None:
+                other.append(x)
+            else:
+                ids = [t.id for t in tokenize(plain)]
+                memo[x] = struct.pack(f"<{len(ids)}I", *ids)
+    if other:
+        for x, e in zip(other, tokenizer.encode_batch_fast([x.decode() for x in other], add_special_tokens=False)):
+            ids = e.ids
+            memo[x] = struct.pack(f"<{len(ids)}I", *ids)
+    for w, (head, tail) in parts.items():
+        memo[w] = memo[head] + memo[tail]
+
+
+def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
+    """Ids (little-endian unsigned 32-bit) of whole texts.
+
+    Tokens never reach over ASCII white space, so words are encoded once and remembered. The tokenizer
+    lower-cases, so A-Z may be lower-cased first, unless a combining mark might join the letter before it.
+    """
+    _, memo = _tokenizer(path)
+    out = []
+    for text in texts:
+        raw = (text or "").encode()
+        whole = b"<|" in raw or not raw.isascii() and bool(COMBINING.search(text))
+        words = raw.split() if whole else raw.lower().split()
+        if len(memo) > MEMO_WORDS:
+            memo.clear()
+        got = list(map(memo.get, words))
+        if None in got:
+            _learn(path, {w for w, g in zip(words, got) if g is None}, whole)
+            got = list(map(memo.__getitem__, words))
+        out.append(b"".join(got))
+    return out
 
 
 def cut(text: Column, path: str, max_tokens: int, end_id: int) -> Column:
