@@ -411,7 +411,7 @@ def merged_frames(spark, sf_dir):
     return frames.merge_frames(rows).withColumn("start", r3("start")).withColumn("end", r3("end"))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, string_agg(l_returnflag || l_linenumber, ' ' ORDER BY round_even(l_extendedprice % 200 / 12, 0), l_quantity, l_linenumber) AS text FROM lineitem GROUP BY l_orderkey""")
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, string_agg(l_returnflag || l_linenumber, ' ' ORDER BY round_even(l_extendedprice % 200 / 12, 0), l_quantity, l_linenumber, l_returnflag || l_linenumber) AS text FROM lineitem GROUP BY l_orderkey""")
 def reading_order(spark, sf_dir):
     rows = views.table(spark, sf_dir, "lineitem")
     text = F.concat("l_returnflag", F.col("l_linenumber").cast("string"))

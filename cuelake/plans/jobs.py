@@ -41,6 +41,11 @@ def resolve_cues(sources: dict[str, DataFrame], mode: str = "auto") -> DataFrame
     return out
 
 
+def _complete(cues: DataFrame) -> DataFrame:
+    """cues with en, zh and source_language, null where the source has none."""
+    return cues.withColumns({c: F.lit(None).cast("string") for c in ("en", "zh", "source_language") if c not in cues.columns})
+
+
 def prepare(cues: DataFrame) -> DataFrame:
     """Split for display and cap short texts."""
     return split.sane_timing(split.split_cues(cues))
@@ -116,9 +121,7 @@ def process(cues: DataFrame, model: Model, store: Callable[[DataFrame, str], Dat
     whole batch, and only requests of batches that are left are sent.
     """
     task, mode = ("proofread", "proofread_existing_chinese") if proofread else ("translate", "translate")
-    for name in ("en", "zh", "source_language"):
-        if name not in cues.columns:
-            cues = cues.withColumn(name, F.lit(None).cast("string"))
+    cues = _complete(cues)
     batches = batch.context(cues, bilingual=proofread)
     todo, kept = cues, None
     if cached is not None:
@@ -144,7 +147,7 @@ def route(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
 def subtitle_job(sources: dict[str, DataFrame], model: Model, store: Callable[[DataFrame, str], DataFrame], mode: str = "auto", mapping: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Cues from the best source, prepared, stored, sent through the model, rendered, with both reports."""
     cues = resolve_cues(sources, mode)
-    source = store(prepare(cues), "source")
+    source = store(prepare(_complete(cues)), "source")
     fresh, existing = route(source)
     done = process(fresh, model, store, mapping=mapping).unionByName(process(existing, model, store, proofread=True, mapping=mapping))
     done = store(done, "processed")

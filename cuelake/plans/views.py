@@ -13,9 +13,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's events as one title: pos by time, a tenth of a thousandth of the time line, errors hidden."""
     rows = table(spark, sf_dir, "events")
-    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
     user = Window.partitionBy("user_id")
-    start = F.floor((ms - F.min(ms).over(user)) / 10000).cast("long")
+    start = F.floor((us - F.min(us).over(user)) / 10_000_000).cast("long")
     pos = (F.row_number().over(user.orderBy("ts", "event_id")) - 1).cast("long")
     rows = rows.select(F.col("user_id").cast("string").alias("title_id"), pos.alias("pos"), start.alias("a"), (F.lit(500) + F.floor(F.col("value") * 20)).cast("long").alias("n"), "event_type", "event_id")
     second = lambda x: x.cast("double") / F.lit(1000.0)
@@ -24,7 +24,7 @@ def events_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 EVENTS = """
     ev0 AS (SELECT CAST(user_id AS VARCHAR) AS title_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
-                   (epoch_ms(ts) - min(epoch_ms(ts)) OVER (PARTITION BY user_id)) // 10000 AS a,
+                   (epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) // 10000000 AS a,
                    500 + CAST(floor(value * 20) AS BIGINT) AS n, event_type, event_id FROM events),
     ev AS (SELECT title_id, pos, CAST(a AS DOUBLE) / 1000 AS s, CAST(a + n AS DOUBLE) / 1000 AS e, event_type AS text,
                   event_type <> 'error' AS display, event_id FROM ev0)
