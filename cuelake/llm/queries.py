@@ -118,4 +118,27 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
         FROM told GROUP BY r, doc_id
     """,
+    "op5_embeddings": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        sound AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.label = b.label AND a.vec_id <> b.vec_id
+                 WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach AS (SELECT vec_id, vec_id AS root FROM v UNION SELECT link.a, reach.root FROM reach JOIN link ON link.b = reach.vec_id),
+        n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a),
+        c AS (SELECT vec_id, min(root) AS component_id FROM reach GROUP BY vec_id)
+        SELECT v.vec_id, coalesce(n_links, 0) AS n_links, component_id, v.vec_id = component_id AS kept
+        FROM v JOIN c USING (vec_id) LEFT JOIN n ON n.a = v.vec_id
+    """,
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+        d AS (SELECT page_id, strlen(body) AS payload_bytes, max(page_id) OVER (PARTITION BY body) AS last,
+                     list_transform(range(0, 32), lambda i: 16 * (strpos('0123456789abcdef', substr(hex, CAST(i * 5 // 4 AS INT) + 1, 1)) - 1)
+                         + strpos('0123456789abcdef', substr(hex, CAST(i * 5 // 4 AS INT) + 2, 1)) - 1) AS pairs FROM p)
+        SELECT page_id, payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   CAST((pairs[i + 1] >> CAST(3 - i * 5 % 4 AS INT)) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+               CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to,
+               true AS block_ok, true AS payload_ok FROM d
+    """,
 }
