@@ -11,20 +11,30 @@ MAX_WORDS, MAX_CHARS, MAX_DURATION = 14, 82, 6.0
 PIECE = "array<struct<start:double,end:double,text:string>>"
 
 
-def chunk_text(text: Column, max_words: int, max_chars: int, min_chunks: Column) -> Column:
-    """Greedy chunks of words: one closes after . ! or ?, at the word cap, or when it has max_chars."""
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with value evaluated once, however often use names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def word_cap(text: Column, max_words: int, min_chunks: Column) -> Column:
+    """Words of a chunk at most: max_words, fewer if the text must give min_chunks, three at least."""
+    words = F.size(F.filter(F.split(text, " "), lambda w: w != ""))
+    return F.greatest(F.lit(3), F.least(F.lit(max_words), F.ceil(words / F.greatest(F.lit(1), min_chunks)).cast("int")))
+
+
+def chunk_text(text: Column, cap: Column, max_chars: int) -> Column:
+    """Greedy chunks of words: one closes after . ! or ?, at ``cap`` words, or when it has max_chars."""
     words = F.filter(F.split(text, " "), lambda w: w != "")
-    cap = F.greatest(F.lit(3), F.least(F.lit(max_words), F.ceil(F.size(words) / F.greatest(F.lit(1), min_chunks)).cast("int")))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"))
+    # what a step needs rides in the state: Spark may inline a column used once into the step itself
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"), cap.alias("cap"))
 
     def step(acc: Column, word: Column) -> Column:
-        now = F.when(acc["n"] == 0, word).otherwise(F.concat(acc["now"], F.lit(" "), word))
-        shut = word.rlike("[.!?]$") | (acc["n"] + 1 >= cap) | (F.char_length(now) >= max_chars)
-        return F.struct(
-            F.when(shut, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
-            F.when(shut, F.lit("")).otherwise(now).alias("now"),
-            F.when(shut, F.lit(0)).otherwise(acc["n"] + 1).alias("n"),
-        )
+        def close(now: Column) -> Column:
+            shut = F.substring(word, -1, 1).isin(".", "!", "?") | (acc["n"] + 1 >= acc["cap"]) | (F.char_length(now) >= max_chars)
+            ended = F.struct(F.concat(acc["done"], F.array(now)).alias("done"), F.lit("").alias("now"), F.lit(0).alias("n"), acc["cap"].alias("cap"))
+            return F.when(shut, ended).otherwise(F.struct(acc["done"].alias("done"), now.alias("now"), (acc["n"] + 1).alias("n"), acc["cap"].alias("cap")))
+
+        return _let(F.when(acc["n"] == 0, word).otherwise(F.concat(acc["now"], F.lit(" "), word)), close)
 
     return F.aggregate(words, start, step, lambda acc: F.when(acc["now"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"]))))
 
@@ -34,20 +44,21 @@ def by_text(cues: DataFrame, max_words: int, max_chars: int, max_duration: float
     exactly at ``end``. Steps are columns of their own, so that Spark folds the words only once."""
     length = F.col("end") - F.col("start")
     least = F.greatest(F.lit(1), F.ceil(length / max_duration).cast("int"), F.ceil(F.char_length("text") / max_chars).cast("int"))
-    rows = cues.withColumn("_chunks", chunk_text(F.col("text"), max_words, max_chars, least))
+    rows = cues.withColumn("_cap", word_cap(F.col("text"), max_words, least))
+    rows = rows.withColumn("_chunks", chunk_text(F.col("text"), F.col("_cap"), max_chars))
     weigh = lambda x: F.greatest(F.lit(1), F.char_length(x))
     rows = rows.withColumn("_total", F.aggregate("_chunks", F.lit(0), lambda a, x: a + weigh(x))).withColumn("_n", F.size("_chunks"))
-    zero = F.struct(F.array().cast(PIECE).alias("done"), F.col("start").alias("at"))
+    zero = F.struct(F.array().cast(PIECE).alias("done"), F.col("start").alias("at"), F.col("_total").alias("total"), F.col("_n").alias("n"))
 
     def step(acc: Column, chunk: Column) -> Column:
-        last = F.size(acc["done"]) + 1 == F.col("_n")
-        stop = F.when(last, F.col("end")).otherwise(acc["at"] + length * weigh(chunk) / F.col("_total"))
+        last = F.size(acc["done"]) + 1 == acc["n"]
+        stop = F.when(last, F.col("end")).otherwise(acc["at"] + length * weigh(chunk) / acc["total"])
         piece = F.struct(acc["at"].alias("start"), stop.alias("end"), chunk.alias("text"))
-        return F.struct(F.concat(acc["done"], F.array(piece)).alias("done"), stop.alias("at"))
+        return F.struct(F.concat(acc["done"], F.array(piece)).alias("done"), stop.alias("at"), acc["total"].alias("total"), acc["n"].alias("n"))
 
     many = F.aggregate("_chunks", zero, step, lambda acc: acc["done"])
     whole = F.array(F.struct("start", "end", "text"))
-    return rows.withColumn("_cut", F.when(F.col("_n") <= 1, whole).otherwise(many)).drop("_chunks", "_total", "_n")
+    return rows.withColumn("_cut", F.when(F.col("_n") <= 1, whole).otherwise(many)).drop("_cap", "_chunks", "_total", "_n")
 
 
 def by_words(words: Column, max_words: int, max_chars: int, max_duration: float) -> Column:
@@ -56,14 +67,14 @@ def by_words(words: Column, max_words: int, max_chars: int, max_duration: float)
     zero = F.struct(F.array().cast(f"array<{kind}>").alias("done"), F.array().cast(kind).alias("now"))
 
     def step(acc: Column, word: Column) -> Column:
-        now = F.concat(acc["now"], F.array(word))
-        text = X.join_words(F.transform(now, lambda w: w["word"]))
-        long = (F.size(now) >= max_words) | (F.char_length(text) >= max_chars) | (word["end"] - now[0]["start"] >= max_duration)
-        shut = F.coalesce(word["word"], F.lit("")).rlike("[.!?]$") | long
-        return F.struct(
-            F.when(shut, F.concat(acc["done"], F.array(now))).otherwise(acc["done"]).alias("done"),
-            F.when(shut, F.array().cast(kind)).otherwise(now).alias("now"),
-        )
+        def close(now: Column) -> Column:
+            text = X.join_words(F.transform(now, lambda w: w["word"]))
+            long = (F.size(now) >= max_words) | (F.char_length(text) >= max_chars) | (word["end"] - now[0]["start"] >= max_duration)
+            shut = F.coalesce(word["word"], F.lit("")).rlike("[.!?]$") | long
+            ended = F.struct(F.concat(acc["done"], F.array(now)).alias("done"), F.array().cast(kind).alias("now"))
+            return F.when(shut, ended).otherwise(F.struct(acc["done"].alias("done"), now.alias("now")))
+
+        return _let(F.concat(acc["now"], F.array(word)), close)
 
     finish = lambda acc: F.when(F.size(acc["now"]) == 0, acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["now"])))
     chunks = F.aggregate(words, zero, step, finish)
