@@ -421,9 +421,24 @@ def reading_order(spark, sf_dir):
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, l_linenumber - 1 AS seq, round(l_quantity, 3) AS x, round(l_extendedprice, 3) AS y, l_returnflag AS text FROM
     (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem) QUALIFY n = l_linenumber AND bool_and(n = l_linenumber) OVER (PARTITION BY l_orderkey)""")
 def parsed_detections(spark, sf_dir):
+    """Only the orders that its SQL asks for, those with line numbers 1..n; ``order_detections`` takes all."""
+    return _detections(_order_boxes(spark, sf_dir).where("top = n and n = all"))
+
+
+@query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity, l_extendedprice) - 1 AS seq,
+    round(l_quantity, 3) AS x, round(l_extendedprice, 3) AS y, l_returnflag AS text FROM lineitem""")
+def order_detections(spark, sf_dir):
+    return _detections(_order_boxes(spark, sf_dir))
+
+
+def _order_boxes(spark, sf_dir) -> DataFrame:
+    """Each order's lines as boxes b, in the order of their number, then of the other fields."""
     rows = views.table(spark, sf_dir, "lineitem")
     item = F.struct("l_linenumber", "l_returnflag", F.array(F.array("l_quantity", "l_extendedprice"), F.array(F.col("l_quantity") + 5, F.col("l_extendedprice") + 5)).alias("box"))
-    boxes = rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("b"), F.max("l_linenumber").alias("top"), F.count_distinct("l_linenumber").alias("n"), F.count("*").alias("all")).where("top = n and n = all")
+    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("b"), F.max("l_linenumber").alias("top"), F.count_distinct("l_linenumber").alias("n"), F.count("*").alias("all"))
+
+
+def _detections(boxes: DataFrame) -> DataFrame:
     named = F.to_json(F.struct(F.transform("b", lambda r: r["l_returnflag"]).alias("rec_texts"), F.transform("b", lambda r: r["box"]).alias("rec_polys")))
     raw = F.when(F.col("l_orderkey") % 2 == 0, named).otherwise(F.concat(F.lit('{"res": '), named, F.lit("}")))
     found = subtitles.parse_detections(boxes.select(F.col("l_orderkey").cast("string").alias("frame_id"), raw.alias("raw")))

@@ -419,3 +419,13 @@ def test_frames_and_reports(spark):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_queries_run(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).limit(5).collect()
+
+
+def test_every_order_is_parsed(spark, sf):
+    rows = spark.read.parquet(f"{sf}/lineitem.parquet").collect()
+    orders = {}
+    for r in rows:
+        orders.setdefault(str(r.l_orderkey), []).append((r.l_linenumber, r.l_returnflag, r.l_quantity, r.l_extendedprice))
+    want = {(k, n, t, round(x, 3), round(y, 3)) for k, lines in orders.items() for n, (_, t, x, y) in enumerate(sorted(lines))}
+    got = [(r.frame_id, r.seq, r.text, r.x, r.y) for r in catalog.QUERIES["order_detections"](spark, sf).collect()]
+    assert len(got) == len(rows) and set(got) == want
