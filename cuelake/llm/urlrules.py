@@ -18,8 +18,6 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 SUPPORT, CONFIDENCE, LIFT = 0.005, 0.9, 1.05
-#: Tokens a URL gives at most to mining: it bounds the combinations. Matching uses all tokens.
-MINED_TOKENS = 16
 LABEL = "="
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -60,10 +58,10 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
 def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """(key, need, verdict, confidence, support) of the mined rules, from columns tokens and listed.
 
-    need holds the tokens of a rule, key is the rarest of them. Each URL has at most 2**MINED_TOKENS
-    combinations, so at most 2**MINED_TOKENS / support rules are frequent, whatever the input's size.
+    need holds the tokens of a rule, key is the rarest of them. URLs are mined whole; ``support`` alone bounds
+    the rules. k tokens that come together in that share of the URLs are 2**k frequent combinations.
     """
-    baskets = labelled.select(F.concat(F.slice("tokens", 1, MINED_TOKENS), F.array(F.concat(F.lit(LABEL), "listed"))).alias("items"))
+    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "listed"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     one = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
     found = model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].startswith(LABEL) & (F.col("lift") >= lift))

@@ -130,6 +130,14 @@ def test_mined_rules_hold_their_bounds(spark):
     assert all(m.confidence >= 0.9 and m.support >= 0.05 and m.key in m.need for m in mined)
 
 
+def test_urls_are_mined_whole(spark):
+    part = lambda k: [f"p:{k}-{j:02}" for j in range(20)]
+    rows = [(["h:a", *part(k), "q:track" if k % 2 else "q:page", "s:http"], "block" if k % 2 else "allow") for k in range(40)]
+    mined = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, listed string"), support=0.05, confidence=0.9).collect()
+    found = {tuple(m.need): (m.verdict, m.confidence, m.support) for m in mined}
+    assert found[("q:track",)] == ("block", 1.0, 0.5) and found[("q:page",)] == ("allow", 1.0, 0.5)
+
+
 def test_warc(spark, sf):
     big = "x" * 3_000_000
     rows = [(1, "http://a/ b\r\n", "same"), (2, None, "same"), (5, "u", None), (4, "u", ""), (7, "é", big), (None, "n", "same"), (None, "n", "only"), (9, "d", "dup"), (9, "d", "dup"), (3, "c", "HTTP/1.1\r\n\r\nWARC/1.1\r\n\r\n")]
