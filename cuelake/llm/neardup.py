@@ -4,6 +4,8 @@ A single 64-bit fingerprint at 4 bits finds copies that are all but equal. For a
 module takes a sketch of four 64-bit SimHashes and deals it out with the vantage-point trees of every
 band (six to a word): two texts of similarity 0.8 share a shard with a probability of 0.994, closer ones
 more surely. Shards give candidate clusters, and inside each cluster the shingle sets decide exactly.
+Pairs that never share a shard are found exactly by prefixes: sets of similarity s share one of their first
+n - ceil(s n) + 1 shingles under any one order, here those last that a sample of the texts holds most often.
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ SKETCH_RADIUS = 64
 SKETCH_BLOCK, DOC_BLOCK, SUB_BLOCK, COLUMNS = 8192, 2048, 256, 1 << 14
 #: Keys that are broadcast at most (16 bytes each); more are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
+#: Texts sampled for shingles that many texts hold, texts that must hold one, and shingles kept. They only set the order.
+SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 4000, 8, 50_000
+SLACK = 1e-6
 _SUMS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
 
@@ -154,6 +159,50 @@ def _maybe_broadcast(keys: DataFrame) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
 
 
+def prefix(codes: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """The first shingles of a set by (times seen in the sample, code): one of them is in every similar set."""
+    if not len(codes):
+        return codes
+    n = len(codes) - math.ceil(similarity * len(codes) - SLACK) + 1
+    if not len(common):
+        return codes[:n]
+    at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
+    return codes[np.argsort(np.where(common[at] == codes, seen[at], 0), kind="stable")[:n]]
+
+
+def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that COMMON_TEXTS or more of the sampled distinct texts hold, and how many do."""
+
+    @F.arrow_udf("array<long>")
+    def codes(texts: pa.Array) -> pa.Array:
+        return pa.array([shingles((t or "").encode(), words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    text = F.col(text_col)
+    part = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(max(1, docs.count() // SAMPLE_TEXTS))) == 0).distinct()
+    counts = part.select(F.explode(codes("text")).alias("code")).groupBy("code").count().where(F.col("count") >= COMMON_TEXTS)
+    top = counts.orderBy(F.desc("count"), "code").limit(COMMON_SHINGLES).collect()
+    code, seen = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64), np.array([r[1] for r in top], dtype=np.int64)
+    order = np.argsort(code)
+    return code[order], seen[order]
+
+
+def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, a_group, b_group): all pairs of the rows (rid, group, size, prefix) in different groups that
+    can be similar. Of one prefix all shingles are known to be in the other set or not, that which ends
+    first; so a pair must share as many as one of the two prefixes asks for."""
+    keys = texts.select("rid", "group", "size", F.explode("prefix").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
+    live = materialize(keys.join(_maybe_broadcast(materialize(shared, "shared-keys")), "key"), "keys")
+    a, b = (live.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "group", "size")]) for side in "ab")
+    least = lambda n: F.ceil(n * similarity - SLACK)
+    fits = (F.col("a_size") >= least(F.col("b_size"))) & (F.col("b_size") >= least(F.col("a_size")))
+    met = a.join(b, (a["key"] == b["key"]) & (F.col("a_rid") < F.col("b_rid")) & (F.col("a_group") != F.col("b_group")) & fits)
+    pairs = met.groupBy("a_rid", "b_rid", "a_group", "b_group", "a_size", "b_size").agg(F.count("*").alias("both"))
+    need = F.ceil(((F.col("a_size") + F.col("b_size")) * similarity - SLACK) / (1 + similarity))
+    asked = need - F.greatest(least(F.col("a_size")), least(F.col("b_size"))) + 1
+    return pairs.where(F.col("both") >= asked).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"), "a_group", "b_group")
+
+
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs less the near duplicates: of each group one document stays, that of the smallest id.
 
@@ -167,22 +216,28 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     text = F.col(text_col)
     keyed = docs.withColumn("_k1", F.xxhash64(F.col(id_col), text)).withColumn("_k2", F.hash(text, F.col(id_col)))
 
-    @F.arrow_udf("struct<copy:binary,sketch:binary>")
+    common, seen = common_shingles(docs, words, text_col)
+
+    @F.arrow_udf("struct<copy:binary,sketch:binary,size:int,prefix:array<long>>")
     def marks(texts: pa.Array) -> pa.Array:
-        copies, sketches = [], []
+        copies, sketches, sizes, firsts = [], [], [], []
         for t in texts.to_pylist():
             raw = (t or "").encode()
+            codes = shingles(raw, words)
             copies.append(xxhash.xxh3_128_digest(b" ".join(raw.lower().split())))
-            sketches.append(sketch(shingles(raw, words)))
-        return pa.StructArray.from_arrays([pa.array(copies, pa.binary()), pa.array(sketches, pa.binary())], names=["copy", "sketch"])
+            sketches.append(sketch(codes))
+            sizes.append(len(codes))
+            firsts.append(prefix(codes, similarity, common, seen).view(np.int64))
+        arrays = [pa.array(copies, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
+        return pa.StructArray.from_arrays(arrays, names=["copy", "sketch", "size", "prefix"])
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([shingles((t or "").encode(), words).tobytes() for t in texts.to_pylist()], pa.binary())
 
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_k1", "_k2")
-    rows = materialize(keyed.select(order.alias("who"), marks(text).alias("m")).select("who", "m.copy", "m.sketch"), "marks")
-    texts = rows.groupBy("copy").agg(F.min("who").alias("who"), F.first("sketch").alias("sketch"))
+    rows = materialize(keyed.select(order.alias("who"), marks(text).alias("m")).select("who", "m.*"), "marks")
+    texts = rows.groupBy("copy").agg(F.min("who").alias("who"), *[F.first(c).alias(c) for c in ("sketch", "size", "prefix")])
     texts = materialize(texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
     cluster = candidate_clusters(texts.select("rid", "sketch"))
     cluster = materialize(cluster.select(F.col("node").alias("rid"), "root"), "clusters")
@@ -200,8 +255,26 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         return pd.DataFrame({"u": rid[moved], "v": rid[root[moved]]})
 
     links = _in_blocks(found, "rid").groupBy("root", "lo", "hi").applyInPandas(verify, "u long, v long")
-    group = connected_components(links).select(F.col("node").alias("rid"), F.col("root").alias("group"))
-    texts = texts.join(group, "rid", "left").withColumn("group", F.coalesce("group", F.col("rid")))
+    group = materialize(connected_components(links).select(F.col("node").alias("rid"), F.col("root").alias("group")), "groups")
+    texts = texts.join(_maybe_broadcast(group), "rid", "left").withColumn("group", F.coalesce("group", F.col("rid")))
+    pairs = materialize(prefix_pairs(texts, similarity), "pairs")
+    asked = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(texts.select("rid", "who._k1", "who._k2"), "rid")
+    asked = keyed.select("_k1", "_k2", text.alias("_text")).join(_maybe_broadcast(materialize(asked, "asked")), ["_k1", "_k2"])
+    asked = materialize(asked.dropDuplicates(["rid"]).select("rid", sets(F.col("_text")).alias("set")), "sets")
+
+    @F.arrow_udf("boolean")
+    def similar(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left.to_pylist(), right.to_pylist()):
+            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
+        return pa.array(out, pa.bool_())
+
+    pairs = pairs.join(asked.toDF("a", "a_set"), "a").join(asked.toDF("b", "b_set"), "b").where(similar("a_set", "b_set"))
+    more = connected_components(pairs.select(F.col("a_group").alias("u"), F.col("b_group").alias("v")))
+    more = materialize(more.select(F.col("node").alias("group"), "root"), "more-groups")
+    texts = texts.join(_maybe_broadcast(more), "group", "left").withColumn("group", F.coalesce("root", "group"))
     best = texts.groupBy("group").agg(F.min("who").alias("who")).select("who._k1", "who._k2")
     key = ["_k1", "_k2"]
     every = rows.select("who._k1", "who._k2").groupBy(*key).agg(F.count("*").alias("n"))

@@ -198,3 +198,19 @@ def test_embeddings(spark, monkeypatch, block):
 def test_embeddings_query(spark, sf):
     rows = [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     assert sorted(repr(tuple(r)) for r in queries.op5_embeddings(spark, sf).collect()) == brute_vectors(rows, 0.98)
+
+
+def test_near_duplicates_that_no_shard_brings_together(spark, monkeypatch, tmp_path):
+    """Exact without the trees, with and without common shingles put last."""
+    monkeypatch.setattr(neardup, "candidate_clusters", lambda texts: texts.sparkSession.createDataFrame([], "node long, root long"))
+    rng = random.Random(5)
+    short = [" ".join(rng.choices("abc", k=rng.randint(5, 12))) for _ in range(150)]
+    passage = " ".join(f"w{k}" for k in range(40))
+    texts = [*near_texts(120, 2), *short, *(f"{passage} {t}" for t in near_texts(30, 3)), "a b c d e f g h i", "a b c d e f g h"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    root = jaccard_groups(texts, 5, 0.8)
+    want = sorted({r: k for k, r in reversed(list(enumerate(root)))}.values())
+    for least in (8, 10**9):
+        monkeypatch.setattr(neardup, "COMMON_TEXTS", least)
+        kept = neardup.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d")))
+        assert sorted(r.doc_id for r in kept.collect()) == want
