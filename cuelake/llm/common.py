@@ -1,23 +1,37 @@
-"""Shared folder, batch sizes and connected components for the text operators."""
+"""Shared folder, slices of batches and connected components for the text operators."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch of whole texts. Texts are kilobytes on average and may be far longer, so
-#: the default of 10,000 rows a batch would not fit a Python worker.
-TEXT_BATCH_ROWS = 500
+#: Bytes of text that a task looks at once. Spark bounds an Arrow batch by 64 MB (and goes over it by one row at
+#: most), whatever the rows' sizes; what Python makes of a batch is made slice by slice.
+SLICE_BYTES = 4 << 20
 
 
-def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
-    """Lower the session's Arrow batch size to ``rows`` (never raises it)."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """Consecutive slices of a string or binary array, each of about ``size`` bytes or one row."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield texts.slice(at, to - at)
+        at = to
+
+
+def values(texts: pa.Array) -> Iterator:
+    """The Python values of a string or binary array, made slice by slice."""
+    for part in text_slices(texts):
+        yield from part.to_pylist()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -65,6 +79,26 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[df[f"`{c}`"] for c in df.columns if c.lower() not in low])
 
 
+#: Rows of keys that are broadcast at most; more are joined by a shuffle.
+BROADCAST_KEYS = 250_000
+
+
+def maybe_broadcast(keys: DataFrame) -> DataFrame:
+    """keys (a few numbers a row, stored, as they are counted first) with the hint to broadcast them if they are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df does not have, made from ``names``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def _symmetric(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 

@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import text_batches, without
+from cuelake.llm.common import values, without
 
 #: The fit reads at most this many labelled documents, those with the least hash of their id.
 SAMPLE_DOCS = 20_000
@@ -80,7 +80,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Each document adds its n-gram shares to its language, so a long one counts no more than a short one.
     Only sums for (language, bucket) reach the driver: languages * BUCKETS numbers at most.
     """
-    text_batches(docs.sparkSession)
     told = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
     chosen = told.select(F.col(id_col).alias("_id")).distinct().orderBy(F.xxhash64("_id"), "_id").limit(sample)
     rows = told.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
@@ -89,7 +88,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     def shares(batches):
         totals: dict[str, np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, lang in zip(values(batch.column(0)), batch.column(1).to_pylist()):
                 if LETTER.search(text):
                     got = np.bincount(grams(text), minlength=BUCKETS)
                     mine = totals.setdefault(lang, np.zeros(BUCKETS + 1))
@@ -118,7 +117,7 @@ def identify(text: Column, model: Model, spark) -> Column:
 
     @F.arrow_udf("struct<lang_pred:string,score:double,ambiguous:boolean>")
     def predict(texts: pa.Array) -> pa.Array:
-        rows = [held.value.predict(t) for t in texts.to_pylist()]
+        rows = [held.value.predict(t) for t in values(texts)]
         columns = list(zip(*rows)) if rows else [(), (), ()]
         return pa.StructArray.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.bool_())], names=["lang_pred", "score", "ambiguous"])
 
@@ -131,6 +130,5 @@ def identify_documents(docs: DataFrame, model: Model, text_col: str = "text") ->
     Null texts and texts without a letter are ``und`` with score 0, as is every text if no language was
     learned. One pass without a shuffle; an empty table stays empty.
     """
-    text_batches(docs.sparkSession)
     out = without(docs, *({"lang_pred", "score", "ambiguous"} - {text_col}))
     return out.withColumn("_lang", identify(F.col(text_col), model, docs.sparkSession)).select(*[f"`{c}`" for c in out.columns], "_lang.*")

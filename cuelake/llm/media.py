@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import text_batches
+from cuelake.llm.common import values
 
 SIDE = 24
 FRAME = SIDE * SIDE
@@ -179,7 +179,7 @@ def store(data: Column) -> Column:
 
     @F.arrow_udf("binary")
     def avi(rows: pa.Array) -> pa.Array:
-        return pa.array([None if r is None else write_avi(pad(r)) for r in rows.to_pylist()], type=pa.binary())
+        return pa.array([None if r is None else write_avi(pad(r)) for r in values(rows)], type=pa.binary())
 
     return avi(data)
 
@@ -192,7 +192,7 @@ def load(media: Column) -> Column:
     @F.arrow_udf(f"struct<payload:binary,fps:double,clips:{CLIPS}>")
     def read(rows: pa.Array) -> pa.Array:
         out = []
-        for media in rows.to_pylist():
+        for media in values(rows):
             if media is None:
                 out.append(None)
                 continue
@@ -209,7 +209,6 @@ def media_column(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Whole texts in UTF-8 (null: empty), padded, are stored as AVI and read back. Equal texts give equal
     values; repeated rows stay; an empty table stays empty. One pass without a shuffle.
     """
-    text_batches(docs.sparkSession)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.col(id_col), F.octet_length(raw).cast("long").alias("n_bytes"), store(raw).alias("media"))
     rows = rows.withColumn("_read", load(F.col("media")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm import vptree
-from cuelake.llm.common import connected_components, materialize, text_batches
+from cuelake.llm.common import connected_components, materialize, values
 
 SKETCH_WORDS, BANDS, SHARD_CODES, MAX_DEPTH = 4, 6, 256, 12
 #: Bits of 256 in which the sketches of a candidate pair may differ: similarity 0.8 gives 39 +- 6, unrelated texts 128 +- 8.
@@ -175,7 +175,7 @@ def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndar
 
     @F.arrow_udf("array<long>")
     def codes(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles((t or "").encode(), words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        return pa.array([shingles((t or "").encode(), words).view(np.int64) for t in values(texts)], pa.list_(pa.int64()))
 
     text = F.col(text_col)
     part = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(max(1, docs.count() // SAMPLE_TEXTS))) == 0).distinct()
@@ -212,7 +212,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     rows one stays. All columns are kept; an empty table stays empty. docs should be a stored table, as it
     is read several times.
     """
-    text_batches(docs.sparkSession)
     text = F.col(text_col)
     keyed = docs.withColumn("_k1", F.xxhash64(F.col(id_col), text)).withColumn("_k2", F.hash(text, F.col(id_col)))
 
@@ -221,7 +220,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     @F.arrow_udf("struct<copy:binary,sketch:binary,size:int,prefix:array<long>>")
     def marks(texts: pa.Array) -> pa.Array:
         copies, sketches, sizes, firsts = [], [], [], []
-        for t in texts.to_pylist():
+        for t in values(texts):
             raw = (t or "").encode()
             codes = shingles(raw, words)
             copies.append(xxhash.xxh3_128_digest(b" ".join(raw.lower().split())))
@@ -233,7 +232,7 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles((t or "").encode(), words).tobytes() for t in texts.to_pylist()], pa.binary())
+        return pa.array([shingles((t or "").encode(), words).tobytes() for t in values(texts)], pa.binary())
 
     order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_k1", "_k2")
     rows = materialize(keyed.select(order.alias("who"), marks(text).alias("m")).select("who", "m.*"), "marks")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import materialize, text_batches
+from cuelake.llm.common import materialize, text_slices
 
 MEMO_WORDS = 1_000_000
 #: Items of one length that one window task numbers.
@@ -113,7 +113,7 @@ def cut(text: Column, path: str, max_tokens: int, end_id: int) -> Column:
     @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids:binary>>")
     def pieces(texts: pa.Array) -> pa.Array:
         rows, step = [], 4 * max_tokens
-        for ids in encode_texts(path, texts.to_pylist()):
+        for ids in (x for part in text_slices(texts) for x in encode_texts(path, part.to_pylist())):
             ids += struct.pack("<I", end_id)
             rows.append([{"piece": k // step, "start": k // 4, "length": len(ids[k : k + step]) // 4, "ids": ids[k : k + step]} for k in range(0, len(ids), step)])
         return pa.array(rows, type=kind)
@@ -217,7 +217,6 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     A document is its ids and end_id; only longer ones are cut at max_tokens. Null and empty texts are
     end_id alone. Repeated rows are packed as often as they stand. An empty table gives no rows.
     """
-    text_batches(docs.sparkSession)
     cuts = docs.select(F.col(id_col), F.inline(cut(F.col(text_col), tokenizer_path, max_tokens, end_id)))
     items = materialize(cuts.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(items, [id_col, "piece", "ids_crc32"], max_tokens, max_docs, max_cost)

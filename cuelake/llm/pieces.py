@@ -6,6 +6,9 @@ store, for each position, the last token of the prefix that ends there: among th
 end there (found by an automaton) it is the one that can stand behind the last token of the prefix
 before it. Two tokens can stand side by side exactly if no merge across their border would have come
 before the merges that built them. The ids are then read off backwards from the last position.
+
+Spans between spaces are remembered. The new spans of a batch go through the automaton side by side, one
+byte of each at a time, so that table look-ups and pair tests are array operations.
 """
 
 from __future__ import annotations
@@ -17,16 +20,61 @@ import struct
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import text_batches, without
+from cuelake.llm.common import text_slices, without
 
 SPACE = "▁"
 NEVER = 1 << 60
 #: Entries kept of each memo in a worker before it starts anew; memory stays bounded.
 MEMO_ENTRIES = 500_000
+#: Bytes of the spans that go side by side, and how many do; longer ones go one by one.
+WIDE, SIDE_BY_SIDE = 64, 32_768
+#: Ids that are decoded at once.
+DECODED = 1 << 20
+#: Slots of the table of pair tests; a pair that finds its slot taken is tested again.
+PAIR_SLOTS = 1 << 20
+
+
+def _automaton(pieces: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(column of each byte, next state, longest piece that ends in each state or 0, next shorter suffix of each piece)."""
+    used = sorted({b for p in pieces.values() for b in p})
+    column = np.zeros(256, dtype=np.int64)
+    column[used] = np.arange(1, len(used) + 1)
+    to_column = column.tolist()
+    children: list[dict[int, int]] = [{}]
+    ends = [0]
+    for i, piece in pieces.items():
+        at = 0
+        for b in piece:
+            following = children[at].get(to_column[b])
+            if following is None:
+                following = children[at][to_column[b]] = len(children)
+                children.append({})
+                ends.append(0)
+            at = following
+        ends[at] = i
+    step = np.zeros((len(children), len(used) + 1), dtype=np.int32)
+    longest, shorter = np.zeros(len(children), dtype=np.int32), np.zeros(max(pieces, default=0) + 1, dtype=np.int32)
+    level = [(0, 0)]  # (state, the state of its longest proper suffix), by depth
+    while level:
+        following = []
+        for state, back in level:
+            row = step[state]
+            if state:
+                row[:] = step[back]
+            suffix = longest[back] if state else 0
+            if ends[state]:
+                shorter[ends[state]] = suffix
+            longest[state] = ends[state] or suffix
+            for c, child in children[state].items():
+                following.append((child, int(row[c]) if state else 0))
+                row[c] = child
+        level = following
+    return column, step, longest, shorter
 
 
 class PieceTable:
@@ -68,6 +116,24 @@ class PieceTable:
                 self.surface[i] = pieces[i].replace(SPACE, " ").encode()
         self.opens = {i for i in plain if pieces[i].startswith(SPACE)}
         self.byte_ids = frozenset(self.byte_id.values())
+        # from here on the same as arrays
+        raw = {i: self.text_of[i].encode() for i in self.right}
+        self.column, self.step, self.longest, self.shorter = _automaton(raw)
+        self.bytes_of = np.zeros(size, dtype=np.int64)
+        self.bytes_of[list(raw)] = [len(x) for x in raw.values()]
+        self.birth, self.inner = np.full(size, -1, dtype=np.int64), np.full((2, size), -1, dtype=np.int64)
+        self.birth[list(self.born)] = list(self.born.values())
+        if self.parts:
+            self.inner[:, list(self.parts)] = np.array(list(self.parts.values())).T
+        made = sorted((x * size + y, self.born[i]) for i in plain for k in range(1, len(pieces[i])) if (x := self.id_of.get(pieces[i][:k])) is not None and (y := self.id_of.get(pieces[i][k:])) is not None)
+        self.pair_made = np.array([k for k, _ in made] or [-1], dtype=np.int64)
+        self.pair_birth = np.array([b for _, b in made] or [NEVER], dtype=np.int64)
+        self.size, self.slot_pair, self.slot_fits = size, np.full(PAIR_SLOTS, -1, dtype=np.int64), np.zeros(PAIR_SLOTS, dtype=bool)
+        # a text of single spaces is cut at spaces and newlines if no piece reaches over either
+        self.newline = self.encode_span("\n") if self.spans.pattern.endswith(f"|\n|[^{SPACE}\n]+") else None
+        self.words: dict[str, bytes] = {}
+        self.loose: dict[str, bytes] = {}
+        self.decoding = pa.array([*self.surface, *[x[1:] if i in self.opens else x for i, x in enumerate(self.surface)]], pa.binary())
 
     def _split(self, i: int) -> bool:
         """Merge the piece's own characters; true if they end as the piece, whose two last parts are kept."""
@@ -141,6 +207,88 @@ class PieceTable:
         ids.reverse()
         return struct.pack(f"<{len(ids)}i", *ids)
 
+    def _pairs_fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """can_follow of arrays of pairs."""
+        out = np.ones(len(a), dtype=bool)
+        rows, x, x_dies = np.arange(len(a)), a, np.full(len(a), NEVER)
+        while len(rows):
+            inner, y, y_dies = np.arange(len(rows)), b[rows], np.full(len(rows), NEVER)
+            while len(inner):
+                left = x[inner]
+                key = left * self.size + y
+                at = np.minimum(np.searchsorted(self.pair_made, key), len(self.pair_made) - 1)
+                when = np.maximum(np.maximum(self.pair_birth[at], self.birth[left]), self.birth[y])
+                out[rows[inner[(self.pair_made[at] == key) & (when < x_dies[inner]) & (when <= y_dies)]]] = False
+                y_dies, y = self.birth[y], self.inner[0, y]
+                go = (y >= 0) & out[rows[inner]]
+                inner, y, y_dies = inner[go], y[go], y_dies[go]
+            x_dies, x = self.birth[x], self.inner[1, x]
+            go = (x >= 0) & out[rows]
+            rows, x, x_dies = rows[go], x[go], x_dies[go]
+        return out
+
+    def _fit(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """_pairs_fit by the table of tests made before."""
+        key = a * self.size + b
+        slot = (key * 0x9E3779B1 >> 12) & (PAIR_SLOTS - 1)
+        new = np.flatnonzero(self.slot_pair[slot] != key)
+        out = self.slot_fits[slot]
+        if len(new):
+            _, first, back = np.unique(key[new], return_index=True, return_inverse=True)
+            first = new[first]
+            fits = self._pairs_fit(a[first], b[first])
+            self.slot_pair[slot[first]], self.slot_fits[slot[first]] = key[first], fits
+            out[new] = fits[back]
+        return out
+
+    def _side_by_side(self, spans: list[bytes], size: np.ndarray) -> list[bytes | None]:
+        """Ids of spans, longest first; None where a character is in no piece."""
+        n, width = len(spans), int(size[0])
+        codes = np.zeros((n, width), dtype=np.int16)
+        codes[np.arange(width)[None, :] < size[:, None]] = self.column[np.frombuffer(b"".join(spans), dtype=np.uint8)]
+        last, state = np.zeros((n, width + 1), dtype=np.int32), np.zeros(n, dtype=np.int64)
+        alive = np.searchsorted(-size, -np.arange(width + 1), side="right")
+        for end in range(1, width + 1):
+            m = alive[end]
+            state = self.step[state[:m], codes[:m, end - 1]]
+            token = self.longest[state].astype(np.int64)
+            row = np.flatnonzero(token)
+            token = token[row]
+            while len(row):
+                before = last[row, end - self.bytes_of[token]].astype(np.int64)
+                fits = before == 0
+                ask = np.flatnonzero(~fits)
+                fits[ask] = self._fit(before[ask], token[ask])
+                last[row[fits], end] = token[fits]
+                row, token = row[~fits], self.shorter[token[~fits]].astype(np.int64)
+                row, token = row[token > 0], token[token > 0]
+        back, count, at, row = np.zeros((n, width), dtype="<i4"), np.zeros(n, dtype=np.int64), size.copy(), np.arange(n)
+        bad = np.zeros(n, dtype=bool)
+        while len(row):
+            token = last[row, at[row]]
+            bad[row[token == 0]] = True
+            row, token = row[token > 0], token[token > 0]
+            back[row, count[row]] = token
+            count[row] += 1
+            at[row] -= self.bytes_of[token]
+            row = row[at[row] > 0]
+        place = count[:, None] - 1 - np.arange(width)[None, :]
+        flat = np.take_along_axis(back, np.maximum(place, 0), axis=1)[place >= 0].tobytes()
+        ends = (4 * np.cumsum(count)).tolist()
+        return [None if no else flat[a:b] for a, b, no in zip([0, *ends], ends, bad.tolist())]
+
+    def encode_spans(self, spans: list[str]) -> list[tuple[str, bytes]]:
+        """(span, ids as int32 bytes) of each span, longest first."""
+        raw = [s.encode() for s in spans]
+        size = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        order = np.argsort(-size, kind="stable")
+        size, at = size[order], order.tolist()
+        long = int(np.searchsorted(-size, -WIDE))
+        out: list[bytes | None] = [None] * long
+        for lo in range(long, len(spans), SIDE_BY_SIDE):
+            out += self._side_by_side([raw[k] for k in at[lo : lo + SIDE_BY_SIDE]], size[lo : lo + SIDE_BY_SIDE])
+        return [(s, self.encode_span(s) if ids is None else ids) for s, ids in zip([spans[k] for k in at], out)]
+
     def decode(self, ids: list[int]) -> str:
         raw = b"".join(map(self.surface.__getitem__, ids))
         if ids and ids[0] in self.opens:
@@ -170,32 +318,71 @@ class PieceTable:
             return text[1:] if ids[0] in self.opens else text
 
 
-class _Memo(dict):
-    def __init__(self, table: PieceTable):
-        self.table = table
-
-    def __missing__(self, span: str) -> bytes:
-        found = self.table.encode_span(span)
-        if len(span) <= 64:
-            if len(self) >= MEMO_ENTRIES:
-                self.clear()
-            self[span] = found
-        return found
-
-
 @functools.lru_cache(maxsize=2)
-def load(path: str) -> tuple[PieceTable, _Memo]:
-    table = PieceTable(path)
-    return table, _Memo(table)
+def load(path: str) -> PieceTable:
+    return PieceTable(path)
+
+
+def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
+    """Ids (int32 bytes) of whole texts; null and empty texts have none."""
+    table = load(path)
+    for memo in (table.words, table.loose):
+        if len(memo) > MEMO_ENTRIES:
+            memo.clear()
+    rows: list[tuple[dict, list[str]]] = []
+    for text in texts:
+        if table.newline is not None and text and "  " not in text and SPACE not in text and text[0] != " ":
+            rows.append((table.words, text.replace("\n", " \n").split(" ")))
+        else:
+            rows.append((table.loose, table.spans.findall(SPACE + text.replace(" ", SPACE)) if text else []))
+    for memo in (table.words, table.loose):
+        new = set().union(*[parts for known, parts in rows if known is memo]).difference(memo)
+        if memo is table.loose:
+            memo.update(table.encode_spans(list(new)))
+            continue
+        # a word that begins with a newline stands after it without a space
+        after = {w[1:] for w in new if w[:1] == "\n"}
+        lines = {"\n" + w: table.newline + ids for w, ids in table.encode_spans(list(after))}
+        memo.update((span[1:], ids) for span, ids in table.encode_spans([SPACE + w for w in new if w[:1] != "\n"]))
+        memo.update(lines)
+    return [b"".join(map(known.__getitem__, parts)) for known, parts in rows]
 
 
 def encode_text(path: str, text: str | None) -> np.ndarray:
     """Ids of one text; null and empty texts have none."""
-    if not text:
-        return np.empty(0, dtype="<i4")
-    table, memo = load(path)
-    spans = table.spans.findall(SPACE + text.replace(" ", SPACE))
-    return np.frombuffer(b"".join(map(memo.__getitem__, spans)), dtype="<i4")
+    return np.frombuffer(encode_texts(path, [text])[0], dtype="<i4")
+
+
+def decode_rows(table: PieceTable, rows: pa.ListArray) -> pa.Array:
+    """Texts of rows of ids, some rows at a time."""
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(rows), 0)), dtype=np.int64)
+    parts, at = [], 0
+    while at < len(rows):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + DECODED, side="right")))
+        parts.append(_decode_rows(table, rows.slice(at, to - at)))
+        at = to
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+
+
+def _decode_rows(table: PieceTable, rows: pa.ListArray) -> pa.Array:
+    """Surfaces are taken and joined by Arrow, byte pieces that make no character one by one."""
+    ids, ends = np.asarray(rows.flatten()), np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(rows), 0)))])
+    begins = ends[:-1][np.diff(ends) > 0]
+    at = ids.astype(np.int32)
+    at[begins] += table.size  # the surface without the space that opens it
+    runs = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), table.decoding.take(pa.array(at)))
+    raw = pc.binary_join(runs, pa.scalar(b"", pa.binary()))
+    try:
+        text = raw.cast(pa.string())
+    except pa.ArrowInvalid:
+        out = []
+        for k, x in enumerate(raw.to_pylist()):
+            try:
+                out.append(x.decode())
+            except UnicodeDecodeError:
+                out.append(table.decode(ids[ends[k] : ends[k + 1]].tolist()))
+        text = pa.array(out, pa.string())
+    return pc.if_else(rows.is_valid(), text, pa.scalar(None, pa.string())) if rows.null_count else text
 
 
 def encode(text: Column, model_path: str) -> Column:
@@ -203,11 +390,10 @@ def encode(text: Column, model_path: str) -> Column:
 
     @F.arrow_udf("array<int>")
     def ids(texts: pa.Array) -> pa.Array:
-        rows = [encode_text(model_path, t) for t in texts.to_pylist()]
+        rows = [r for part in text_slices(texts) for r in encode_texts(model_path, part.to_pylist())]
         ends = np.zeros(len(rows) + 1, dtype=np.int32)
-        np.cumsum([len(r) for r in rows], out=ends[1:])
-        flat = np.concatenate(rows) if rows else np.empty(0, dtype="<i4")
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type=pa.int32()))
+        np.cumsum([len(r) // 4 for r in rows], out=ends[1:])
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(rows), dtype="<i4"), type=pa.int32()))
 
     return ids(text)
 
@@ -217,8 +403,7 @@ def decode(ids: Column, model_path: str) -> Column:
 
     @F.arrow_udf("string")
     def text(rows: pa.Array) -> pa.Array:
-        table, _ = load(model_path)
-        return pa.array([None if r is None else table.decode(r) for r in rows.to_pylist()], type=pa.string())
+        return decode_rows(load(model_path), rows)
 
     return text(ids)
 
@@ -229,7 +414,6 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text") -
     Whole texts are encoded without begin or end ids. Null and empty texts: no ids, decoded ''. Repeated
     rows stay repeated. Columns of docs named ids or decoded are replaced. No shuffle: one pass.
     """
-    text_batches(docs.sparkSession)
     out = without(docs, *({"ids", "decoded"} - {text_col}))
     out = out.withColumn("ids", encode(F.col(text_col), model_path))
     return out.withColumn("decoded", decode(F.col("ids"), model_path))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import text_batches, without
+from cuelake.llm.common import values, without
 
 #: The fit reads at most this many labelled documents, those with the least hash of their id.
 SAMPLE_DOCS = 20_000
@@ -117,7 +117,7 @@ def features(text: Column) -> Column:
 
     @F.arrow_udf("array<double>")
     def stats(texts: pa.Array) -> pa.Array:
-        return pa.array([statistics(t) for t in texts.to_pylist()], type=pa.list_(pa.float64()))
+        return pa.array([statistics(t) for t in values(texts)], type=pa.list_(pa.float64()))
 
     return stats(text)
 
@@ -127,7 +127,6 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Null labels and ids are left out; repeated labels of one id each count.
     """
-    text_batches(docs.sparkSession)
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     told = told.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)  # the bound that allows the broadcast
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(told), "_id")
@@ -141,12 +140,11 @@ def score_documents(docs: DataFrame, forest: Forest, text_col: str = "text", sco
 
     A column of that name is replaced. One pass without a shuffle; an empty table stays empty.
     """
-    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(forest)  # TREES * 2**(DEPTH + 1) numbers
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        x = np.array([statistics(t) for t in texts.to_pylist()], dtype=float).reshape(-1, len(STATS))
+        x = np.array([statistics(t) for t in values(texts)], dtype=float).reshape(-1, len(STATS))
         return pa.array(held.value.score(x), pa.float64())
 
     return without(docs, *({score_col} - {text_col})).withColumn(score_col, score(F.col(text_col)))

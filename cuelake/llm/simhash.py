@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import vptree
-from cuelake.llm.common import connected_components, materialize, text_batches, without
+from cuelake.llm.common import connected_components, materialize, values, without
 
 BANDS = 5
 #: Mean codes in a shard that the depth of the trees aims at, and the deepest tree. The depth bounds the
@@ -58,7 +58,7 @@ def fingerprint(text: Column, words: int) -> Column:
 
     @F.arrow_udf("long")
     def codes(texts: pa.Array) -> pa.Array:
-        return pa.array([fingerprint_bytes((t or "").encode(), words) for t in texts.to_pylist()], type=pa.int64())
+        return pa.array([fingerprint_bytes((t or "").encode(), words) for t in values(texts)], type=pa.int64())
 
     return codes(text)
 
@@ -127,6 +127,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and wordless texts have fingerprint zero and are linked like any other; texts of fewer words than
     a shingle have one shingle. An empty table gives an empty result.
     """
-    text_batches(docs.sparkSession)
     codes = materialize(docs.select(F.col(id_col), fingerprint(F.col(text_col), words).alias("code")), "fingerprints")
     return classes(codes, radius, id_col).withColumn("fingerprint", F.lpad(F.lower(F.hex("code")), 16, "0"))

@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import text_batches
-
 ARCHIVE_BYTES = 1 << 20
+#: Pages that become Python values at once.
+ROWS = 64
 #: Compressed bytes given to the decompressor at once.
 FEED = 1 << 16
 VERSION = b"WARC/1.1"
@@ -114,7 +114,6 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     them if that id is repeated), the others revisit it. Null html is an empty payload. Rows without id
     revisit a row with one; where none has an id, all are responses. An empty table gives no archives.
     """
-    text_batches(pages.sparkSession)
     planned = plan_revisits(pages.select(id_col, url_col, html_col), id_col, html_col, min_bytes)
     planned = planned.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), F.col("_payload").alias("payload"), F.col("_refers").cast("long").alias("refers"), F.spark_partition_id().alias("part"))
 
@@ -122,7 +121,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
         parts, size, number, part = [], 0, 0, 0
         made = lambda: pa.RecordBatch.from_pydict({"name": [f"{part:06d}-{number:06d}.warc.gz"], "content": pa.array([b"".join(parts)], pa.binary())})
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for k in range(0, batch.num_rows, ROWS) for r in batch.slice(k, ROWS).to_pylist()):
                 part = row["part"]
                 parts.append(build_record(row["id"], row["url"], row["payload"], row["refers"], date))
                 size += len(parts[-1])
