@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import values, without
+from cuelake.llm.common import fresh, values, without
 
 #: The fit reads at most this many labelled documents, those with the least hash of their id.
 SAMPLE_DOCS = 20_000
@@ -128,7 +128,8 @@ def identify_documents(docs: DataFrame, model: Model, text_col: str = "text") ->
     """docs with lang_pred, score (0 to 1) and ambiguous added (columns of these names are replaced).
 
     Null texts and texts without a letter are ``und`` with score 0, as is every text if no language was
-    learned. One pass without a shuffle; an empty table stays empty.
+    learned. Of languages whose losses are equal the first in the alphabet is taken, flagged as ambiguous. One pass without a shuffle; an empty table stays empty.
     """
     out = without(docs, *({"lang_pred", "score", "ambiguous"} - {text_col}))
-    return out.withColumn("_lang", identify(F.col(text_col), model, docs.sparkSession)).select(*[f"`{c}`" for c in out.columns], "_lang.*")
+    (told,) = fresh(out, "told")
+    return out.withColumn(told, identify(F.col(text_col), model, docs.sparkSession)).select(*[f"`{c}`" for c in out.columns], f"{told}.*")

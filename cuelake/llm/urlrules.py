@@ -2,8 +2,9 @@
 
 A listed rule names a host and a path. What the listed rules decide labels the URLs they cover; FP-growth
 mines the combinations of URL tokens that go with a label, and the rules that are frequent and sure enough
-judge the URLs that no listed rule covers. Matching goes through an inverted index: each mined rule hangs
-on its rarest token, so only URLs with that token are tested against it.
+judge the URLs that no listed rule covers. Tokens that stand in the very same labelled URLs are one item,
+else k of them would be 2**k equal rules. Matching goes through an inverted index: each mined rule hangs
+on its rarest item, so only URLs with that item are tested against it.
 """
 
 from __future__ import annotations
@@ -12,12 +13,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import materialize, without
+from cuelake.llm.common import fresh, materialize, maybe_broadcast, without
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-SUPPORT, CONFIDENCE, LIFT = 0.005, 0.9, 1.05
+#: A rule must be as sure as CONFIDENCE and take away GAIN of the doubt that the label's share alone leaves.
+SUPPORT, CONFIDENCE, GAIN = 0.005, 0.9, 0.5
 LABEL = "="
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
@@ -55,26 +57,45 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
     return pages.withColumn("tokens", F.coalesce(tokens(F.col(url_col)), F.array().cast("array<string>")))
 
 
-def mine(labelled: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
+def items(labelled: DataFrame, support: float = SUPPORT) -> DataFrame:
+    """(token, item): the tokens in a share ``support`` or more of the URLs, item being the first of those
+    tokens that are in exactly the same URLs. At most (mean tokens a URL) / support rows."""
+    least = F.ceil(F.lit(support) * labelled.count())
+    seen = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("tokens", "listed").cast("decimal(38,0)").alias("mark"))
+    seen = seen.groupBy("token").agg(F.count("*").alias("freq"), F.sum("mark").alias("marks")).where(F.col("freq") >= least)
+    same = seen.groupBy("freq", "marks").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
+    return same.select(F.explode("tokens").alias("token"), "item", "freq")
+
+
+def mine(labelled: DataFrame, known: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, gain: float = GAIN) -> DataFrame:
     """(key, need, verdict, confidence, support) of the mined rules, from columns tokens and listed.
 
-    need holds the tokens of a rule, key is the rarest of them. URLs are mined whole; ``support`` alone bounds
-    the rules. k tokens that come together in that share of the URLs are 2**k frequent combinations.
+    need holds the items of a rule, key is the rarest of them. URLs are mined with all their frequent items
+    (``known``), and ``support`` alone bounds the rules.
     """
-    baskets = labelled.select(F.concat("tokens", F.array(F.concat(F.lit(LABEL), "listed"))).alias("items"))
+    # numbered below the explode, as one select would number the exploded rows
+    rows = labelled.select("listed", "tokens", F.monotonically_increasing_id().alias("row")).select("row", "listed", F.explode_outer("tokens").alias("token"))
+    told = rows.join(maybe_broadcast(known.select("token", "item")), "token", "left").groupBy("row", "listed").agg(F.collect_set("item").alias("items"))
+    baskets = told.select(F.concat("items", F.array(F.concat(F.lit(LABEL), "listed"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
-    one = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    found = model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].startswith(LABEL) & (F.col("lift") >= lift))
+    # the label's share of all is confidence / lift, and a sure rule always gains on it
+    share = F.col("confidence") / F.col("lift")
+    sure = F.col("confidence") >= share + (1 - share) * gain
+    found = model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].startswith(LABEL) & sure)
     found = found.select(F.col("antecedent").alias("need"), F.substring(F.col("consequent")[0], 2, 99).alias("verdict"), "confidence", "support")
-    keyed = found.withColumn("token", F.explode("need")).join(one, "token")
-    return keyed.groupBy("need", "verdict", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("key"))
-
-
-def match(sets: DataFrame, mined: DataFrame) -> DataFrame:
-    """(tokens, verdict): for each distinct token set the surest rule whose tokens it holds (then the one of
-    more support, then of more tokens, then block). Sets that no rule fits are left out."""
-    hit = sets.select("tokens", F.explode("tokens").alias("key")).join(mined, "key")
-    hit = hit.where(F.forall("need", lambda t: F.array_contains("tokens", t)))
+    freq = known.where("token = item").select("item", "freq")
+    keyed = found.withColumn("item", F.explode("need")).join(freq, "item")
+    return keyed.groupBy("need", "verdict", "confidence", "support").agg(F.min_by("item", F.struct("freq", "item")).alias("key"))
+
+
+def match(sets: DataFrame, mined: DataFrame, known: DataFrame) -> DataFrame:
+    """(tokens, verdict): for each distinct token set the surest rule whose items it holds, one token of each
+    being enough (then the rule of more support, then of more items, then block). Sets that no rule fits are
+    left out."""
+    held = sets.select("tokens", F.explode("tokens").alias("token")).join(maybe_broadcast(known.select("token", "item")), "token")
+    held = held.groupBy("tokens").agg(F.collect_set("item").alias("items"))
+    hit = held.select("tokens", "items", F.explode("items").alias("key")).join(mined, "key")
+    hit = hit.where(F.forall("need", lambda t: F.array_contains("items", t)))
     rank = F.struct("confidence", "support", F.size("need").alias("size"), "verdict")
     return hit.groupBy("tokens").agg(F.max(rank)["verdict"].alias("verdict"))
 
@@ -85,12 +106,15 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, default: st
     Null URLs and URLs without ``://`` have an empty host and path. URLs that neither a listed nor a mined
     rule covers get ``default``. Without labelled URLs nothing is mined. Repeated rows stay repeated.
     """
-    judged = judge(without(pages, *({"verdict"} - {url_col})), url_col, rules)
-    mined = materialize(mine(judged.where("listed is not null").select("tokens", "listed")), "url-rules")
-    ruled = judged.where("listed is not null").withColumn("verdict", F.col("listed"))
+    pages = without(pages, *({"host", "path", "rule", "verdict"} - {url_col}))
+    named = dict(zip(fresh(pages, *(f"page{k}" for k in range(len(pages.columns)))), pages.columns))
+    judged = judge(pages.toDF(*named), next(new for new, old in named.items() if old.lower() == url_col.lower()), rules)
+    labelled = judged.where("listed is not null").select("tokens", "listed")
+    known = materialize(items(labelled), "url-items")
+    mined = materialize(mine(labelled, known), "url-rules")
     rest = judged.where("listed is null")
-    verdicts = match(rest.select("tokens").distinct(), mined)
-    rest = rest.join(verdicts, "tokens", "left").withColumn("verdict", F.coalesce("verdict", F.lit(default)))
-    keep = [c for c in judged.columns if c not in ("listed", "tokens")] + ["verdict"]
-    quoted = [f"`{c}`" for c in keep]
-    return ruled.select(*quoted).unionByName(rest.select(*quoted))
+    # stored, so that a token set of very many URLs is no hot key: few sets are broadcast, many are split by Spark
+    verdicts = materialize(match(rest.select("tokens").distinct(), mined, known), "url-verdicts")
+    rest = rest.join(maybe_broadcast(verdicts), "tokens", "left").withColumn("listed", F.coalesce("verdict", F.lit(default)))
+    keep = [F.col(new).alias(old) for new, old in named.items()] + [F.col(c) for c in ("host", "path", "rule")] + [F.col("listed").alias("verdict")]
+    return judged.where("listed is not null").select(*keep).unionByName(rest.select(*keep))

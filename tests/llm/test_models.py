@@ -1,6 +1,9 @@
 """Language ID, quality, URL rules, WARC and the pipeline: accuracy on held-out rows, round trips, edge cases."""
 
 import hashlib
+import itertools
+import math
+import random
 import zlib
 
 import numpy as np
@@ -46,6 +49,70 @@ def test_language_edges(spark):
     assert langid.identify_documents(docs.limit(0), model).count() == 0
 
 
+def plain_language(model, text):
+    """(language, score) by plain loops: n-grams of bytes, weights of each bit, logistic loss of each codeword."""
+    if not text or not any(c.isalpha() for c in text):
+        return "und", 0.0
+    words, word = [], bytearray()
+    for x in text.lower().encode() + b" ":
+        if x >= 0x80 or chr(x).isalpha():
+            word.append(x)
+        elif word:
+            words.append(bytes(word))
+            word = bytearray()
+    raw = b" " + b" ".join(words) + b" "
+    seen = {}
+    for k in range(len(raw)):
+        if k + 1 < len(raw):
+            b = ((raw[k] * 256 + raw[k + 1]) * 2654435761 % 2**32) >> 16
+            seen[b] = seen.get(b, 0) + 1
+        if k + 2 < len(raw):
+            b = (((raw[k] * 256 + raw[k + 1]) * 256 + raw[k + 2]) * 2246822519 + 97) % 2**32 >> 16
+            seen[b] = seen.get(b, 0) + 1
+    total, losses = sum(seen.values()), []
+    margins = [sum(n * float(model.weights[b][j]) for b, n in seen.items()) / total * min(total, 60) for j in range(model.code.shape[1])]
+    for word in model.code.tolist():
+        losses.append(sum(math.log1p(math.exp(-(2 * bit - 1) * m)) for bit, m in zip(word, margins)))
+    best = min(range(len(losses)), key=losses.__getitem__)
+    return model.languages[best], 1 / sum(math.exp(losses[best] - x) for x in losses)
+
+
+def test_language_query_by_plain_loops(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.fit(docs.where("crc32(cast(cast(doc_id as string) as binary)) % 3 <> 1").select("doc_id", "text", "lang"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in queries.op3_langid(spark, sf).collect():
+        language, score = plain_language(model, texts[r.doc_id])
+        assert r.lang_pred == language and r.score == pytest.approx(score, abs=1e-9)
+
+
+def plain_statistics(text):
+    raw = (text or "").encode()
+    n, words = max(1, len(raw)), [w for w in raw.replace(b"\x0b", b" ").replace(b"\x0c", b" ").replace(b"\t", b" ").replace(b"\r", b" ").replace(b"\n", b" ").split(b" ") if w]
+    w = max(1, len(words))
+    letter = lambda x: 65 <= x <= 90 or 97 <= x <= 122
+    share = lambda test: sum(1 for x in raw if test(x)) / n
+    lines = raw.split(b"\n")
+    bare = [x for x in words if not any(letter(c) or c > 127 for c in (x[0], x[-1]))]
+    return [
+        math.log(1 + len(raw)), math.log(1 + len(words)), sum(1 for x in raw if x not in b" \n") / w,
+        share(letter), share(lambda x: x in b"0123456789"), share(lambda x: 65 <= x <= 90), share(lambda x: x in b"!?"), share(lambda x: x == 124),
+        share(lambda x: x in b"#$%&*@<>={}[]\\^~_+/"), share(lambda x: x > 127), share(lambda x: x == 10),
+        len(set(words)) / w, max((words.count(x) for x in set(words)), default=0) / w, len(set(lines)) / len(lines), len(bare) / w, math.log(1 + max(map(len, words), default=0)),
+        sum(1 for x in words if 65 <= x[0] <= 90) / w, len({(a, b) for a, b in zip(words, words[1:])}) / w,
+    ]
+
+
+def test_quality_query_by_plain_loops(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    forest = quality.fit(docs.select("doc_id", "text"), labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    short = [r for r in queries.op9_quality(spark, sf).collect() if len(texts[r.doc_id] or "") < 20_000]
+    assert len(short) > 150
+    for r in short:
+        assert r.score == pytest.approx(walk(forest, plain_statistics(texts[r.doc_id])), abs=1e-9)
+
+
 def test_quality_query(spark):
     rows = {r.doc_id: r for r in queries.op9_quality(spark, BIG).collect()}
     labels = spark.read.parquet(f"{BIG}/labels.parquet").where("quality is not null").collect()
@@ -104,9 +171,10 @@ URLS = [None, "", "nothing", "http://", "HTTP://A.Example.NET/en/1", "http://exa
 
 
 def test_url_rules(spark, sf):
-    pages = spark.createDataFrame([(k if k else None, u, "v") for k, u in enumerate(URLS)], "page_id long, url string, verdict string")
+    clash = ["listed", "tokens", "items", "token", "key", "page0", "Page1"]
+    pages = spark.createDataFrame([(k if k else None, u, "v", *clash) for k, u in enumerate(URLS)], f"page_id long, url string, verdict string, {', '.join(c + ' string' for c in clash)}")
     got = urlrules.filter_urls(pages).collect()
-    assert len(got) == len(URLS)
+    assert len(got) == len(URLS) and {tuple(r[c] for c in clash) for r in got} == {tuple(clash)}
     for r in got:
         host, path, best = brute_rule(r.url)
         assert (r.host, r.path, r.rule) == (host, path, best and best[1])
@@ -114,28 +182,67 @@ def test_url_rules(spark, sf):
     assert urlrules.filter_urls(pages.limit(0)).count() == 0
     rows = {r.page_id: r for r in queries.op4_urlrules(spark, BIG).collect()}
     judged = urlrules.judge(spark.read.parquet(f"{BIG}/pages.parquet"))
-    mined = urlrules.mine(judged.where("listed is not null").select("tokens", "listed")).collect()
+    labelled = judged.where("listed is not null").select("tokens", "listed")
+    known = urlrules.items(labelled)
+    mined, item = urlrules.mine(labelled, known).collect(), {r.token: r.item for r in known.collect()}
     assert mined
     for r in judged.collect():
-        fits = [m for m in mined if set(m.need) <= set(r.tokens)]
-        best = max(fits, key=lambda m: (m.confidence, m.support, len(m.need), m.verdict), default=None)
+        held = {item.get(t) for t in r.tokens}
+        best = max((m for m in mined if set(m.need) <= held), key=lambda m: (m.confidence, m.support, len(m.need), m.verdict), default=None)
         assert rows[r.page_id].verdict == (r.listed or (best.verdict if best else "allow"))
 
 
+def mined_rules(spark, rows, support=0.05):
+    labelled = spark.createDataFrame(rows, "tokens array<string>, listed string")
+    known = urlrules.items(labelled, support)
+    return urlrules.mine(labelled, known, support=support, confidence=0.9).collect(), {r.token: r.item for r in known.collect()}
+
+
 def test_mined_rules_hold_their_bounds(spark):
     rows = [(["h:spam", f"p:{k % 7}"], "block") for k in range(40)] + [(["h:good", f"p:{k % 7}"], "allow") for k in range(40)] + [(["h:both"], "allow" if k % 2 else "block") for k in range(20)]
-    mined = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, listed string"), support=0.05, confidence=0.9).collect()
+    mined, _ = mined_rules(spark, rows)
     need = {tuple(sorted(m.need)): m.verdict for m in mined}
     assert need[("h:spam",)] == "block" and need[("h:good",)] == "allow" and ("h:both",) not in need
     assert all(m.confidence >= 0.9 and m.support >= 0.05 and m.key in m.need for m in mined)
 
 
+def test_mined_rules_where_one_label_is_nearly_all(spark):
+    """A sure rule counts whatever the share of its label; one that tells no more than the share does not."""
+    rows = [(["s:http", "h:ad"], "block")] * 97 + [(["s:http", "h:fine"], "allow")] * 3
+    mined, _ = mined_rules(spark, rows, 0.01)
+    assert {tuple(sorted(m.need)) for m in mined if m.verdict == "block"} == {("h:ad",), ("h:ad", "s:http")}
+    assert {tuple(sorted(m.need)) for m in mined if m.verdict == "allow"} == {("h:fine",), ("h:fine", "s:http")}
+
+
 def test_urls_are_mined_whole(spark):
-    part = lambda k: [f"p:{k}-{j:02}" for j in range(20)]
-    rows = [(["h:a", *part(k), "q:track" if k % 2 else "q:page", "s:http"], "block" if k % 2 else "allow") for k in range(40)]
-    mined = urlrules.mine(spark.createDataFrame(rows, "tokens array<string>, listed string"), support=0.05, confidence=0.9).collect()
-    found = {tuple(m.need): (m.verdict, m.confidence, m.support) for m in mined}
-    assert found[("q:track",)] == ("block", 1.0, 0.5) and found[("q:page",)] == ("allow", 1.0, 0.5)
+    """URLs of over 40 tokens: the telling tokens stand last, and tokens that always come together are one item."""
+    rng = random.Random(4)
+    rows = []
+    for k in range(80):
+        bad = k % 2
+        paths = [f"p:{'ad' if bad else 'ok'}-{j:02}" for j in range(38)] if k < 60 else [f"p:{k}-{j:02}" for j in range(38)]
+        rows.append((sorted([*paths, "q:track" if bad else "q:page", "s:http", rng.choice(["h:a", "h:b"])]), "block" if bad else "allow"))
+    mined, item = mined_rules(spark, rows)
+    assert item["p:ad-00"] == item["p:ad-37"] == "p:ad-00"
+    frequent = sorted({i for i in item.values()})
+    held = [({item[t] for t in tokens if t in item}, listed) for tokens, listed in rows]
+    want = {}
+    for size in range(1, len(frequent) + 1):
+        for need in itertools.combinations(frequent, size):
+            labels = [listed for h, listed in held if set(need) <= h]
+            for verdict in ("block", "allow"):
+                n = labels.count(verdict)
+                if n >= 0.05 * len(rows) and n / len(labels) >= 0.9:
+                    want[need, verdict] = (n / len(labels), n / len(rows))
+    got = {(tuple(sorted(m.need)), m.verdict): (m.confidence, m.support) for m in mined}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert (("q:track",), "block") in got
+    # each token of an item stands for it, and tokens of two labels let the rule of more support decide
+    sets = spark.createDataFrame([(["p:ad-37"],), (["p:ok-11", "p:x"],), (["p:x"],), (["q:page", "p:ad-01"],)], "tokens array<string>")
+    labelled = spark.createDataFrame(rows, "tokens array<string>, listed string")
+    known = urlrules.items(labelled, 0.05)
+    verdicts = {tuple(r.tokens): r.verdict for r in urlrules.match(sets, urlrules.mine(labelled, known, support=0.05), known).collect()}
+    assert verdicts == {("p:ad-37",): "block", ("p:ok-11", "p:x"): "allow", ("q:page", "p:ad-01"): "allow"}
 
 
 def test_warc(spark, sf):
@@ -201,6 +308,18 @@ def test_pipeline(spark, tmp_path):
     assert kept.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
 
 
+def test_pipeline_stages_keep_columns_of_any_name(spark, tmp_path):
+    clash = ["score", "_score", "told", "lang_pred", "_lang", "ambiguous", "kept_text", "n_lines", "n_dropped", "rest", "flags", "k1", "nth", "row"]
+    docs = spark.read.parquet(f"{BIG}/documents.parquet").limit(300).select("*", *[F.lit(f"own {c}").alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs.write.parquet(str(tmp_path / name))
+        out = stage(spark, spark.read.parquet(str(tmp_path / name)), BIG)
+        assert out.dtypes == docs.dtypes, name
+        assert {tuple(r) for r in out.select(*clash).distinct().collect()} == {tuple(f"own {c}" for c in clash)}
+        docs = out
+    assert docs.where("n_chars <> char_length(text)").count() == 0
+
+
 def shingles(text):
     words = (text or "").encode().lower().split()
     return {hashlib.md5(b" ".join(words[k : k + 5])).digest() for k in range(max(1, len(words) - 4))} if words else set()
