@@ -86,6 +86,68 @@ def test_media_column(spark):
     assert media.media_column(documents(spark, [])).count() == 0
 
 
+def plain_clips(payload):
+    """Frames of each clip by plain loops: histogram jumps against the mean and deviation of the 24 before."""
+    frames = [payload[k : k + 576] for k in range(0, len(payload), 576)]
+    histograms = [[sum(1 for x in f if x >> 4 == b) for b in range(16)] for f in frames]
+    jumps = [sum(abs(x - y) for x, y in zip(a, b)) / 1152 for a, b in zip(histograms, histograms[1:])]
+    cuts = []
+    for k, jump in enumerate(jumps):
+        last = jumps[max(0, k - 24) : k] or [0.0]
+        mean = sum(last) / len(last)
+        spread = max(0.0, sum(x * x for x in last) / len(last) - mean * mean) ** 0.5
+        if jump > max(0.35, mean + 3 * spread):
+            cuts.append(k + 1)
+    return [b - a for a, b in zip([0, *cuts], [*cuts, len(frames)])]
+
+
+def plain_avi(stored):
+    """The payload of an AVI of lossless JPEG frames, read bit by bit from the chunks that the index names."""
+    at = stored.index(b"idx1")
+    size = struct.unpack_from("<I", stored, at + 4)[0]
+    movi = stored.index(b"movi")
+    out = bytearray()
+    for k in range(at + 8, at + 8 + size, 16):
+        _, _, where, length = struct.unpack_from("<4sIII", stored, k)
+        jpeg = stored[movi + where + 8 : movi + where + 8 + length]
+        scan = jpeg.index(b"\xff\xda")
+        body = jpeg[scan + 2 + struct.unpack_from(">H", jpeg, scan + 2)[0] : -2].replace(b"\xff\0", b"\xff")
+        bits, place, rows = "".join(f"{x:08b}" for x in body), 0, []
+        for y in range(24):
+            row = []
+            for x in range(24):
+                ones = 0
+                while ones < 8 and bits[place + ones] == "1":
+                    ones += 1
+                place += ones + 1 if ones < 9 else ones
+                category = 8 - ones
+                value = int(bits[place : place + category] or "0", 2)
+                place += category
+                diff = value if not category or value >> (category - 1) else value - (1 << category) + 1
+                guess = row[-1] if row else rows[-1][0] if rows else 128
+                row.append((guess + diff) % 256)
+            rows.append(row)
+        out += bytes(v for row in rows for v in row)
+    return bytes(out)
+
+
+def test_media_query(spark, sf):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = queries.op6_media(spark, sf).collect()
+    assert {r.doc_id for r in got} == set(texts) and len(got) == len(texts)
+    for r in got:
+        payload = texts[r.doc_id] + b"\xff" * (-len(texts[r.doc_id]) % 576 if texts[r.doc_id] else 576)
+        stored = media.write_avi(payload)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (len(texts[r.doc_id]), len(payload), hashlib.sha256(payload).hexdigest())
+        assert r.tail_crc32 == zlib.crc32(payload[-32:])
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        if len(payload) < 6000:
+            assert plain_avi(stored) == payload
+            clips = plain_clips(payload)
+            ends = ",".join(str(sum(clips[: k + 1])) for k in range(len(clips)))
+            assert r.feature == f"{len(clips)}:{hashlib.sha1(ends.encode()).hexdigest()}"
+
+
 def test_word_ids_equal_the_library():
     tokenizer = Tokenizer.from_file(WORDS)
     texts = [t or "" for t in ODD] + ["á ̈x İ Σας <|endoftext|> x\x1cy \x85 \xa0 l'été it's 'S", "日本 語 1234 ½"]
@@ -151,7 +213,10 @@ def brute_lines(rows, least):
 
 def test_lines(spark, sf):
     rows = [(k, f"Foo É \nown {k}\n\n\tfoo É") for k in range(5)] + [(5, None), (6, ""), (7, "\n"), (8, "foo é"), (None, "foo É\nx"), (None, "x"), (0, "Foo É \nown 0\n\n\tfoo É"), (9, "x\nx"), (10, "X")]
-    frame = spark.createDataFrame([(i, t, "kept", 3) for i, t in rows], "doc_id long, text string, kept_text string, extra int")
+    clash = ["kept_text", "lost", "Row", "_row", "_kept", "flags", "mark", "pos", "again"]
+    frame = spark.createDataFrame([(i, t, *clash) for i, t in rows], f"doc_id long, text string, {', '.join(c + ' string' for c in clash)}")
+    kept = lines.drop_shared_lines(frame, min_docs=3)
+    assert set(frame.columns) < set(kept.columns) and {tuple(r) for r in kept.select(*clash[1:]).collect()} == {tuple(clash[1:])}
     for least in (2, 3, 5, 6):
         got = lines.drop_shared_lines(frame, min_docs=least).select("doc_id", "n_lines", "kept_text").collect()
         assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, brute_lines(rows, least)))
