@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.llm import langid, lines, neardup, packing, quality
-from cuelake.llm.common import materialize
+from cuelake.llm.common import drop_path, fresh, write_shared
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,25 +19,29 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
     forest = quality.fit(docs, labels.where(fold != 0))
-    return quality.score_documents(docs, forest, score_col="_score").where(F.col("_score") >= 0.3).drop("_score")
+    (score,) = fresh(docs, "score")
+    return quality.score_documents(docs, forest, score_col=score).where(F.col(score) >= 0.3).drop(score)
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and documents whose language is ambiguous."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     model = langid.fit(docs.where(fold != 1))
-    told = docs.withColumn("_lang", langid.identify(F.col("text"), model, spark))
-    sure = (F.col("_lang.lang_pred") != "und") & ~F.col("_lang.ambiguous")
-    return told.where(sure).drop("_lang")
+    (told,) = fresh(docs, "told")
+    sure = (F.col(told)["lang_pred"] != "und") & ~F.col(told)["ambiguous"]
+    return docs.withColumn(told, langid.identify(F.col("text"), model, spark)).where(sure).drop(told)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop lines that ten documents or more share; n_chars follows the text."""
-    kept = lines.drop_shared_lines(docs)
-    text = F.when(F.col("n_dropped") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    kept = kept.withColumn("text", text)
-    n_chars = F.when(F.col("n_dropped") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumn("n_chars", n_chars).select(*docs.columns)
+    other = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.struct(*[F.col(f"`{c}`") for c in other]) if other else F.lit(None)
+    kept = lines.drop_shared_lines(docs.select("doc_id", "text", rest.alias("rest")))
+    changed = F.col("n_dropped") > 0
+    new = {c: F.col("rest")[c] for c in other} | {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}
+    if "n_chars" in other:
+        new["n_chars"] = F.when(changed, F.char_length("kept_text").cast("long")).otherwise(F.col("rest")["n_chars"])
+    return kept.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +69,10 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        path = write_shared(stage(spark, docs, sf_dir), name)
+        if before:
+            drop_path(spark, before)
+        before, docs = path, spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
