@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -13,6 +15,8 @@ from cuelake.functions import text as X
 
 BATCH, CONTEXT = 5, 30
 ATTEMPTS, SINGLE_ATTEMPTS, PAUSE = 3, 10, 2.0
+#: Prompts that one call of the model takes at most.
+PROMPTS = 64
 
 
 def assign(cues: DataFrame, size: int = BATCH) -> DataFrame:
@@ -67,31 +71,84 @@ def requests(batches: DataFrame, task: str = "translate", language: str = "") ->
     return batches.withColumn("prompt", F.concat_ws("\n\n", *parts))
 
 
-def run_model(rows: DataFrame, model: Callable[[list[str]], list[str]], attempts: int = ATTEMPTS, pause: float = PAUSE) -> DataFrame:
+def parse_reply(raw: str | None) -> object:
+    """The JSON of one reply, without model noise and what stands around the outermost brackets; ValueError if none."""
+    bare = re.sub(r"(?is)<think>.*?</think>", "", raw or "").strip()
+    bare = bare.removeprefix("```json").removeprefix("```").strip().removesuffix("```").strip()
+    try:
+        return json.loads(bare)
+    except ValueError:
+        found = re.search(r"(?s)[\[{].*[\]}]", bare)
+        if not found:
+            raise
+        return json.loads(found[0])
+
+
+def run_model(rows: DataFrame, model: Callable[[list[str]], list[str]], attempts: int = ATTEMPTS, pause: float = PAUSE, abort: bool = True) -> DataFrame:
     """rows (title_id, batch_id, prompt) to (title_id, batch_id, attempt, raw, error).
 
-    ``model`` maps prompts to replies. A call that fails is tried again; after the last try the error is
-    raised, the task fails, and batches stored before stay. Store the result before using it twice, as
-    every action calls the model anew.
+    ``model`` maps prompts to replies and gets up to PROMPTS at once. A prompt fails if the call raises or
+    its reply is no JSON; failed prompts alone are sent again, each in a call of its own. After the last
+    try the task fails with that error (batches stored before stay), or, without ``abort``, raw is null.
+    attempt counts the tries of a prompt and error tells the last failure. Store the result before using
+    it twice, as every action calls the model anew.
     """
 
+    def ask(prompts: list[str]) -> list[tuple[str | None, Exception | None]]:
+        try:
+            raw = model(prompts)
+            if len(raw) != len(prompts):
+                raise ValueError("the model gave another number of replies")
+        except Exception as error:
+            return [(None, error)] * len(prompts)
+        out = []
+        for reply in raw:
+            try:
+                parse_reply(reply)
+                out.append((reply, None))
+            except ValueError as error:
+                out.append((None, error))
+        return out
+
     def call(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for attempt in range(1, attempts + 1):
-                try:
-                    raw = model(frame["prompt"].tolist())
-                    if len(raw) != len(frame):
-                        raise ValueError("the model gave another number of replies")
-                    break
-                except Exception:
-                    if attempt == attempts:
-                        raise
-                    time.sleep(pause)
-            yield pd.DataFrame({"title_id": frame["title_id"], "batch_id": frame["batch_id"], "attempt": attempt, "raw": raw, "error": None})
+        for whole in frames:
+            for lo in range(0, len(whole), PROMPTS):
+                frame = whole.iloc[lo : lo + PROMPTS]
+                prompts = frame["prompt"].tolist()
+                raw, error, tries = [None] * len(prompts), [None] * len(prompts), [0] * len(prompts)
+                left = list(range(len(prompts)))
+                for attempt in range(1, attempts + 1):
+                    calls = [left] if attempt == 1 else [[k] for k in left]
+                    got = [x for some in calls for x in zip(some, ask([prompts[k] for k in some]))]
+                    last = None
+                    for k, (reply, failure) in got:
+                        raw[k], tries[k], last = reply, attempt, failure or last
+                        error[k] = f"{type(failure).__name__}: {failure}" if failure else error[k]
+                    left = [k for k, (_, failure) in got if failure]
+                    if not left:
+                        break
+                    if attempt == attempts and abort:
+                        raise last
+                    if attempt < attempts:
+                        time.sleep(pause)
+                yield pd.DataFrame({"title_id": frame["title_id"], "batch_id": frame["batch_id"], "attempt": tries, "raw": raw, "error": error})
 
     return rows.select("title_id", "batch_id", "prompt").mapInPandas(call, "title_id string, batch_id long, attempt int, raw string, error string")
 
 
+def _parsed(replies: DataFrame) -> DataFrame:
+    """replies with the variant ``v``: their JSON, null if there is none."""
+    clean = X.strip_model_noise("raw")
+    outer = F.regexp_extract(clean, r"(?s)([\[{].*[\]}])", 1)
+    return replies.withColumn("_clean", clean).withColumn("_outer", outer).withColumn("v", F.expr("coalesce(try_parse_json(_clean), try_parse_json(_outer))"))
+
+
+def first_item(replies: DataFrame) -> DataFrame:
+    """(title_id, batch_id, item variant): the first element of replies that are lists, if it is an object."""
+    rows = _parsed(replies).where(F.expr("schema_of_variant(v) like 'ARRAY%'")).withColumn("item", F.expr("try_variant_get(v, '$[0]', 'variant')"))
+    return rows.where(F.expr("schema_of_variant(item) like 'OBJECT%'")).select("title_id", "batch_id", "item")
+
+
 def reply_items(replies: DataFrame) -> DataFrame:
     """(title_id, batch_id, index, item variant): the objects of the replies that are JSON lists.
 
@@ -99,10 +156,7 @@ def reply_items(replies: DataFrame) -> DataFrame:
     objects whose index is a whole number or reads as one; of equal indexes the last stays. Replies that
     are no list give no rows, so their cues fall back to their originals.
     """
-    clean = X.strip_model_noise("raw")
-    outer = F.regexp_extract(clean, r"(?s)([\[{].*[\]}])", 1)
-    rows = replies.withColumn("_clean", clean).withColumn("_outer", outer)
-    rows = rows.withColumn("v", F.expr("coalesce(try_parse_json(_clean), try_parse_json(_outer))")).where(F.expr("schema_of_variant(v) like 'ARRAY%'"))
+    rows = _parsed(replies).where(F.expr("schema_of_variant(v) like 'ARRAY%'"))
     rows = rows.select("title_id", "batch_id", F.posexplode(F.expr("try_variant_get(v, '$', 'array<variant>')")).alias("ord", "item"))
     rows = rows.where(F.expr("schema_of_variant(item) like 'OBJECT%'"))
     number = F.expr("cast(try_variant_get(item, '$.index', 'double') as int)")
@@ -123,9 +177,7 @@ def field(*keys: str):
 
 def parse_names(replies: DataFrame) -> DataFrame:
     """replies (path, raw) with series_name, movie_name and name_source: cleaned, a movie's series is the movie, else by the file name."""
-    item = F.expr("coalesce(try_parse_json(_clean), try_parse_json(_outer))")
-    clean = X.strip_model_noise("raw")
-    rows = replies.withColumn("_clean", clean).withColumn("_outer", F.regexp_extract(clean, r"(?s)([\[{].*[\]}])", 1)).withColumn("item", item)
+    rows = _parsed(replies).withColumnRenamed("v", "item")
     fallback = X.clean_name(F.col("path"))
     rows = rows.withColumn("movie_name", X.clean_output_name(field("movie_name"), fallback))
     series = X.clean_output_name(field("series_name"), fallback)

@@ -81,16 +81,19 @@ def apply_replies(cues: DataFrame, replies: DataFrame, batches: DataFrame, proof
     """Processed cues: reply items by (title, batch, index), checked, applied, with display times.
 
     A missing item leaves the cue as it is. ``retry`` gets the cues whose reply was of the wrong language
-    (title_id, batch_id, index, pos, start, end, text ...) and gives their new items (title_id, pos, item).
+    (title_id, batch_id, index, pos, start, end, text ..., before, after and the context's bounds) and gives
+    their new items (title_id, pos, item), whose fields go over those of the first.
     """
     mapping, cues = mapping or {}, batch.assign(cues)
     items = batch.reply_items(replies)
-    bounds = batches.select("title_id", "batch_id", "context_start", "context_end")
-    rows = cues.join(items, ["title_id", "batch_id", "index"], "left").join(bounds, ["title_id", "batch_id"])
+    around = batches.select("title_id", "batch_id", "context_start", "context_end", "before", "after")
+    rows = cues.join(items, ["title_id", "batch_id", "index"], "left").join(around, ["title_id", "batch_id"])
     rows = _texts(rows, proofread, mapping)
     if retry is not None:
         again = retry(rows.where(~F.col("valid")).drop("item", "new_en", "new_zh", "valid")).select("title_id", "pos", F.col("item").alias("_again"))
-        rows = rows.join(again, ["title_id", "pos"], "left").withColumn("item", F.coalesce("_again", "item")).drop("_again", "new_en", "new_zh", "valid")
+        fields = "map_filter(cast(item as map<string, variant>), (k, v) -> not map_contains_key(cast(_again as map<string, variant>), k))"
+        merged = F.expr(f"to_variant_object(map_concat({fields}, cast(_again as map<string, variant>)))")
+        rows = rows.join(again, ["title_id", "pos"], "left").withColumn("item", F.coalesce(merged, "_again", "item")).drop("_again", "new_en", "new_zh", "valid")
         rows = _texts(rows, proofread, mapping)
     rows = _fallback(rows, proofread, mapping)
     rows = rows.select("*", *display.directive("item")).withColumn("flag", F.coalesce("flag", F.lit(True)))
@@ -101,14 +104,29 @@ def apply_replies(cues: DataFrame, replies: DataFrame, batches: DataFrame, proof
     return display.extend_over_hidden(rows)
 
 
-def single_retry(model: Model, attempts: int = batch.SINGLE_ATTEMPTS, pause: float = 0.0, task: str = "translate") -> Callable[[DataFrame], DataFrame]:
-    """A retry for ``apply_replies``: one request a cue, up to ``attempts`` times until the reply parses."""
+def single_retry(model: Model, store: Callable[[DataFrame, str], DataFrame], attempts: int = batch.SINGLE_ATTEMPTS, proofread: bool = False, language: str = "", mapping: dict[str, str] | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A retry for ``apply_replies``: a request for each cue alone, with the context of its batch, in rounds.
+
+    A round asks once for every cue that has no reply of the right language yet and stores the answers;
+    after ``attempts`` rounds, or when none is left, the good items are returned. Calls that fail and
+    replies that are no list count as a try.
+    """
 
     def retry(rows: DataFrame) -> DataFrame:
-        line = X.prompt_line(F.lit(0).cast("long"), F.col("start"), F.col("end"), F.col("text"))
-        asked = rows.select("title_id", F.col("pos").alias("batch_id"), F.lit(1).alias("n"), line.alias("target"), F.lit("").alias("before"), F.lit("").alias("after"), "context_start", "context_end")
-        replies = batch.run_model(batch.requests(asked, task), model, attempts, pause)
-        return batch.reply_items(replies).where("index = 0").select("title_id", F.col("batch_id").alias("pos"), "item")
+        left, good = store(rows, "retry-cues"), None
+        for turn in range(attempts):
+            if left.isEmpty():
+                break
+            zero = F.lit(0).cast("long")
+            line = X.bilingual_prompt_line(zero, F.col("start"), F.col("end"), F.col("text"), F.col("en"), F.col("zh")) if proofread else X.prompt_line(zero, F.col("start"), F.col("end"), F.col("text"))
+            asked = left.select("title_id", F.col("pos").alias("batch_id"), F.lit(1).alias("n"), line.alias("target"), "before", "after", "context_start", "context_end")
+            asked = batch.requests(asked, "proofread" if proofread else "translate", language)
+            replies = store(batch.run_model(asked, model, 1, 0.0, abort=False), f"retry-{turn}")
+            items = batch.first_item(replies).withColumnRenamed("batch_id", "pos")
+            told = _texts(left.join(items, ["title_id", "pos"]), proofread, mapping or {}).where("valid").select("title_id", "pos", "item")
+            left = store(left.join(told, ["title_id", "pos"], "left_anti"), f"retry-left-{turn}")
+            good = told if good is None else good.unionByName(told)
+        return rows.select("title_id", "pos", F.lit(None).cast("variant").alias("item")).limit(0) if good is None else good
 
     return retry
 
@@ -130,7 +148,7 @@ def process(cues: DataFrame, model: Model, store: Callable[[DataFrame, str], Dat
     left = batch.assign(todo).select("title_id", "batch_id").distinct()
     asked = batch.requests(batches.join(left, ["title_id", "batch_id"], "left_semi"), task, source_language)
     replies = store(batch.run_model(asked, model, attempts, pause), "replies")
-    done = apply_replies(todo, replies, batches, proofread, mapping, lambda rows: store(single_retry(model, pause=0.0, task=task)(rows), "retries"))
+    done = apply_replies(todo, replies, batches, proofread, mapping, single_retry(model, store, proofread=proofread, language=source_language, mapping=mapping))
     resume.assert_timing_kept(todo, done)
     if kept is None:
         return done

@@ -80,12 +80,32 @@ def render_vtt(cues: DataFrame) -> DataFrame:
 
 
 def write_files(rendered: DataFrame, folder: str) -> None:
-    """One folder a title, its content as one text file; written at once by Spark's commit."""
+    """One folder a title, its content as one text file; replaces those titles, other titles' files stay."""
     body = F.regexp_replace("content", "\\n\\z", "")  # the text writer ends each row with a newline
-    rendered.select("title_id", body.alias("content")).write.mode("overwrite").partitionBy("title_id").text(folder)
+    _replace(rendered.select("title_id", body.alias("content"))).text(folder)
 
 
-def write_titles(rows: DataFrame, path: str, restart: bool = False) -> None:
-    """Replace the stored partitions of the titles in ``rows``, leaving other titles; restart drops all."""
-    writer = rows.write.mode("overwrite").partitionBy("title_id")
-    (writer if restart else writer.option("partitionOverwriteMode", "dynamic")).parquet(path)
+def _replace(rows: DataFrame):
+    """A writer that replaces the partitions of the titles in ``rows`` and leaves the others."""
+    return rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("title_id")
+
+
+def write_titles(rows: DataFrame, path: str) -> None:
+    """Replace the stored partitions of the titles in ``rows``; other titles stay."""
+    _replace(rows).parquet(path)
+
+
+def restart_titles(spark: SparkSession, titles: list[str], paths: list[str]) -> int:
+    """Drop what the stores under ``paths`` hold of the named titles, so that they start anew.
+
+    Every other title stays as it is: only the partition folders of the named ones are deleted. Returns
+    how many there were.
+    """
+    hadoop, conf, gone = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration(), 0
+    for path in paths:
+        for title in titles:
+            # the folder name as the Parquet and text writers of partitioned tables escape it
+            name = "".join(f"%{ord(c):02X}" if c in '"#%\'*/:=?\\{[]^' or ord(c) < 32 or ord(c) == 127 else c for c in title)
+            where = hadoop.Path(hadoop.Path(path), f"title_id={name}")
+            gone += bool(where.getFileSystem(conf).delete(where, True))
+    return gone

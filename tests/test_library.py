@@ -1,5 +1,7 @@
 """The library's operators on small fixtures, against plain loops and known outcomes."""
 
+import collections
+import hashlib
 import json
 import math
 import random
@@ -299,6 +301,18 @@ def store(df, name):
     return df.checkpoint()
 
 
+def stub_model(prompts):
+    """Numbers its corrections, hides lines that repeat the one before."""
+    out = []
+    for prompt in prompts:
+        lines, before, items = re.findall(r"^\[(\d+)\] \S+ ?(.*)$", prompt.split("TARGET\n", 1)[1].split("\n\nAFTER\n", 1)[0], re.M), None, []
+        for index, text in lines:
+            items.append({"index": int(index), "corrected_text": text, "chinese_translation": f"译{len(text)}", "corrected_chinese": f"译{len(text)}", "display": text != before})
+            before = text
+        out.append(json.dumps(items, ensure_ascii=False))
+    return out
+
+
 def fixed(reply):
     return lambda prompts: [reply] * len(prompts)
 
@@ -311,6 +325,66 @@ def test_translate_hides_duplicates(spark):
     assert jobs.process(cues, fixed("{}"), store, pause=0.0).where("display and en = text and zh = text").count() == 3
 
 
+def counted(path, replies):
+    """A model that notes its prompts in a file; replies(prompt, number of times it was asked before)."""
+
+    def model(prompts):
+        out = []
+        for prompt in prompts:
+            key = hashlib.md5(prompt.encode()).hexdigest()
+            with open(path, "a+") as notes:
+                notes.seek(0)
+                before = notes.read().count(key)
+                notes.write(key + "\n")
+            out.append(replies(prompt, before))
+        return out
+
+    return model
+
+
+def test_model_is_asked_three_times_then_the_run_ends(spark, tmp_path):
+    rows = spark.createDataFrame([("t", k, f"prompt {k}") for k in range(5)], "title_id string, batch_id long, prompt string").coalesce(1)
+    model = counted(tmp_path / "a", lambda p, before: "no json" if p.endswith("3") and before < 2 else "[]")
+    got = {r.batch_id: (r.attempt, r.raw, r.error is not None) for r in batch.run_model(rows, model, pause=0.0).collect()}
+    assert got == {k: (3, "[]", True) if k == 3 else (1, "[]", False) for k in range(5)}
+    assert len((tmp_path / "a").read_text().split()) == 7  # only the failed prompt goes again
+    with pytest.raises(Exception, match="JSONDecodeError"):
+        batch.run_model(rows, counted(tmp_path / "b", lambda p, before: "no json" if p.endswith("3") else "[]"), pause=0.0).collect()
+    assert len((tmp_path / "b").read_text().split()) == 7
+    one = batch.run_model(rows, lambda ps: ["x"] * len(ps), 1, 0.0, abort=False).first()
+    assert one.raw is None and one.error.startswith("JSONDecodeError")
+    for raw, want in (("<think>[1]</think> ```json\n[2]\n```", [2]), ("so: {\"a\": 1} done", {"a": 1}), ("[]", [])):
+        assert batch.parse_reply(raw) == want
+
+
+def test_single_cues_are_asked_until_valid(spark, tmp_path):
+    cues = spark.createDataFrame([("t", k, float(k), k + 1.0, f"line {'abcdefg'[k]}") for k in range(7)], CUE)
+
+    def reply(prompt, before):
+        if "exactly 1 " not in prompt:
+            n = int(re.search(r"exactly (\d+) ", prompt)[1])
+            return json.dumps([{"index": k, "corrected_text": "wrong", "chinese_translation": "wrong", "display": False} for k in range(n)])
+        assert "BEFORE\n[0]" in prompt or "AFTER\n[5]" in prompt  # the context of the batch
+        if "line b" in prompt.split("TARGET\n")[1].split("AFTER\n")[0]:
+            return json.dumps([{"corrected_text": "Line b", "chinese_translation": "乙"}]) if before >= 4 else "broken" if before == 2 else "[]"
+        return json.dumps([{"corrected_text": "still wrong", "chinese_translation": "wrong"}])
+
+    done = jobs.process(cues, counted(tmp_path / "a", reply), store, pause=0.0).orderBy("pos").collect()
+    assert [(r.en, r.zh, r.display) for r in done] == [("Line b", "乙", False) if k == 1 else (f"line {'abcdefg'[k]}",) * 2 + (False,) for k in range(7)]
+    asked = collections.Counter((tmp_path / "a").read_text().split())
+    assert sorted(asked.values()) == [1, 1, 5, 10, 10, 10, 10, 10, 10]
+
+
+def test_restart_leaves_other_titles(spark, tmp_path):
+    path = str(tmp_path / "store")
+    cues = spark.createDataFrame([(t, 0, 0.0, 1.0, "x") for t in ("a", "b", "c: d/e?", "é 100%")], CUE)
+    sinks.write_titles(cues, path)
+    sinks.write_titles(cues.where("title_id = 'a'").withColumn("text", F.lit("y")), path)
+    assert sorted(r.text for r in spark.read.parquet(path).collect()) == ["x", "x", "x", "y"]
+    assert sinks.restart_titles(spark, ["a", "c: d/e?", "é 100%", "none"], [path, str(tmp_path / "not there")]) == 3
+    assert [r.title_id for r in spark.read.parquet(path).collect()] == ["b"]
+
+
 def test_language_check_retries_then_falls_back(spark, tmp_path):
     cues = spark.createDataFrame([("t", 0, 0.0, 1.0, "hello"), ("t", 1, 1.0, 2.0, "world")], CUE)
     bad = json.dumps([{"index": 0, "corrected_text": "你好", "chinese_translation": "你好"}, {"index": 1, "corrected_text": "world", "chinese_translation": "not translated"}])
@@ -337,16 +411,16 @@ def test_proofread(spark):
 
 def test_resume_sends_only_what_is_left(spark):
     cues = spark.createDataFrame([("t", k, float(k), k + 1.0, f"c{k}") for k in range(12)], CUE)
-    full = jobs.process(cues, catalog.stub_model, store, pause=0.0)
+    full = jobs.process(cues, stub_model, store, pause=0.0)
     cached = full.where("pos < 7").withColumn("zh", F.lit("旧"))
-    rows = jobs.process(cues, catalog.stub_model, store, pause=0.0, cached=cached).orderBy("pos").collect()
+    rows = jobs.process(cues, stub_model, store, pause=0.0, cached=cached).orderBy("pos").collect()
     assert [r.zh == "旧" for r in rows] == [True] * 5 + [False] * 7
 
 
 def test_subtitle_job(spark):
     plain = spark.createDataFrame([("a", 0, 0.0, 1.0, "hello there"), ("b", 0, 0.0, 1.0, "good day")], CUE)
     cached = spark.createDataFrame([("b", 0, 0.0, 1.0, "existing", "existing", "已有中文")], CUE + ", en string, zh string")
-    out = jobs.subtitle_job({"cache": cached, "audio": plain}, catalog.stub_model, store)
+    out = jobs.subtitle_job({"cache": cached, "audio": plain}, stub_model, store)
     modes = {r.title_id: r.processing_mode for r in out["processed"].collect()}
     assert modes == {"a": "translate", "b": "proofread_existing_chinese"}
     text = {r.title_id: r.content for r in out["ass_bilingual"].collect()}
@@ -366,8 +440,6 @@ def test_layers(spark, tmp_path):
     sinks.write_titles(cues, str(tmp_path / "store"))
     sinks.write_titles(cues.withColumn("title_id", F.lit("u")), str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store")).count() == 6
-    sinks.write_titles(cues, str(tmp_path / "store"), restart=True)
-    assert spark.read.parquet(str(tmp_path / "store")).count() == 3
 
 
 def test_languages(spark):
