@@ -301,16 +301,20 @@ def store(df, name):
     return df.checkpoint()
 
 
-def stub_model(prompts):
-    """Numbers its corrections, hides lines that repeat the one before."""
-    out = []
-    for prompt in prompts:
-        lines, before, items = re.findall(r"^\[(\d+)\] \S+ ?(.*)$", prompt.split("TARGET\n", 1)[1].split("\n\nAFTER\n", 1)[0], re.M), None, []
-        for index, text in lines:
-            items.append({"index": int(index), "corrected_text": text, "chinese_translation": f"译{len(text)}", "corrected_chinese": f"译{len(text)}", "display": text != before})
-            before = text
-        out.append(json.dumps(items, ensure_ascii=False))
-    return out
+def stub_model():
+    """A model that keeps the text, tells its length, and hides lines that repeat the one before."""
+
+    def model(prompts):
+        out = []
+        for prompt in prompts:
+            lines, before, items = re.findall(r"^\[(\d+)\] \S+ ?(.*)$", prompt.split("TARGET\n", 1)[1].split("\n\nAFTER\n", 1)[0], re.M), None, []
+            for index, text in lines:
+                items.append({"index": int(index), "corrected_text": text, "chinese_translation": f"译{len(text)}", "corrected_chinese": f"译{len(text)}", "display": text != before})
+                before = text
+            out.append(json.dumps(items, ensure_ascii=False))
+        return out
+
+    return model
 
 
 def fixed(reply):
@@ -411,16 +415,16 @@ def test_proofread(spark):
 
 def test_resume_sends_only_what_is_left(spark):
     cues = spark.createDataFrame([("t", k, float(k), k + 1.0, f"c{k}") for k in range(12)], CUE)
-    full = jobs.process(cues, stub_model, store, pause=0.0)
+    full = jobs.process(cues, stub_model(), store, pause=0.0)
     cached = full.where("pos < 7").withColumn("zh", F.lit("旧"))
-    rows = jobs.process(cues, stub_model, store, pause=0.0, cached=cached).orderBy("pos").collect()
+    rows = jobs.process(cues, stub_model(), store, pause=0.0, cached=cached).orderBy("pos").collect()
     assert [r.zh == "旧" for r in rows] == [True] * 5 + [False] * 7
 
 
 def test_subtitle_job(spark):
     plain = spark.createDataFrame([("a", 0, 0.0, 1.0, "hello there"), ("b", 0, 0.0, 1.0, "good day")], CUE)
     cached = spark.createDataFrame([("b", 0, 0.0, 1.0, "existing", "existing", "已有中文")], CUE + ", en string, zh string")
-    out = jobs.subtitle_job({"cache": cached, "audio": plain}, stub_model, store)
+    out = jobs.subtitle_job({"cache": cached, "audio": plain}, stub_model(), store)
     modes = {r.title_id: r.processing_mode for r in out["processed"].collect()}
     assert modes == {"a": "translate", "b": "proofread_existing_chinese"}
     text = {r.title_id: r.content for r in out["ass_bilingual"].collect()}
