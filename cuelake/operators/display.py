@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,17 +50,31 @@ def apply_timing(cues: DataFrame) -> DataFrame:
     return out.drop("flag", "asked_start", "asked_end", "context_start", "context_end")
 
 
-def _extend_in_order(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("pos", kind="stable").reset_index(drop=True)
-    out, last = group["display_end"].astype(float).tolist(), None
-    for k, (shown, start, end) in enumerate(zip(group["display"], group["start"], group["end"])):
-        if shown is None or pd.isna(shown) or shown:
-            last = k
-        elif last is not None:
-            reach = group["end"][last] if pd.isna(out[last]) else out[last]
-            if start - reach <= MAX_GAP:
-                out[last] = max(reach, end)
-    return group.assign(display_end=out)
+def _extend_in_order(max_gap: float, columns: list[str], back: int):
+    """A fold over rows sorted by title, island and position; of an island only its visible cue is held."""
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        island, held = None, None
+        for frame in frames:
+            out = []
+            for row in frame.itertuples(index=False, name=None):
+                title, number, shown, start, end, display_end = row[-6:]
+                if (title, number) != island:
+                    if held:
+                        out.append(tuple(held))
+                    island, held = (title, number), None
+                if shown and number > 0:
+                    held = list(row[:-6])
+                    reach = end if pd.isna(display_end) else display_end
+                    continue
+                if held and start - reach <= max_gap:
+                    reach = held[back] = max(reach, end)
+                out.append(row[:-6])
+            yield pd.DataFrame(out, columns=columns).astype(dict(zip(columns, frame.dtypes)))
+        if held:
+            yield pd.DataFrame([tuple(held)], columns=columns).astype(dict(zip(columns, frame.dtypes)))
+
+    return fold
 
 
 def extend_over_hidden(cues: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
@@ -66,7 +82,8 @@ def extend_over_hidden(cues: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
     seconds of what is covered so far.
 
     In titles sorted by start a gap that fails once fails for good, so running maxima over the cues behind
-    each visible one are exact; they need one sort. Titles that are not sorted are folded one by one.
+    each visible one are exact; they need one sort. Titles that are not sorted are folded in order, each
+    visible cue with the hidden ones behind it on its own.
     """
     order = Window.partitionBy("title_id").orderBy("pos")
     rows = cues.withColumn("_late", F.coalesce(F.lag("start").over(order) > F.col("start"), F.lit(False)))
@@ -83,5 +100,6 @@ def extend_over_hidden(cues: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
     last = F.max(joined).over(whole)
     fixed = F.when(shown & (F.col("_island") > 0) & last.isNotNull(), F.greatest(last, own)).otherwise(F.col("display_end"))
     done = rows.where(~F.col("_unsorted")).withColumn("display_end", fixed).select(*cues.columns)
-    odd = rows.where("_unsorted").select(*cues.columns).groupBy("title_id").applyInPandas(_extend_in_order, cues.schema)
-    return done.unionByName(odd)
+    odd = rows.where("_unsorted").select(*cues.columns, *[c.alias(f"_{k}") for k, c in enumerate((F.col("title_id"), F.col("_island"), shown, F.col("start"), F.col("end"), F.col("display_end")))])
+    odd = odd.repartition("_0", "_1").sortWithinPartitions("_0", "_1", "pos")
+    return done.unionByName(odd.mapInPandas(_extend_in_order(max_gap, cues.columns, cues.columns.index("display_end")), cues.schema))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,41 +39,40 @@ def best_match(en: DataFrame, zh: DataFrame) -> DataFrame:
     return candidates(en, zh).groupBy("title_id", "en_pos").agg(best.alias("b")).select("title_id", "en_pos", "b.zh_pos", "b.score")
 
 
-def _greedy(en: pd.DataFrame, zh: pd.DataFrame) -> pd.DataFrame:
-    columns = ["title_id", "pos", "start", "end", "sound"]  # a side without rows comes without columns
-    en, zh = en.reindex(columns=columns).sort_values("pos", kind="stable"), zh.reindex(columns=columns).sort_values("pos", kind="stable")
-    zs, ze = zh["start"].to_numpy(), zh["end"].to_numpy()
-    used, first, rows = set(), 0, []
-    for title, pos, s, e, sound in zip(en["title_id"], en["pos"], en["start"], en["end"], en["sound"]):
-        while first < len(zs) and ze[first] < s - LAG:
-            first += 1
-        best, found = LEAST_SCORE, None
-        for k in range(first, min(len(zs), first + WINDOW)) if not sound else ():
-            if k not in used:
-                score = max(0.0, min(e, ze[k]) - max(s, zs[k])) * 10 - abs((s + e) / 2 - (zs[k] + ze[k]) / 2)
-                if score > best or (found is None and score >= LEAST_SCORE):
-                    best, found = score, k
-        if found is not None:
-            used.add(found)
-        rows.append((title, pos, None if found is None else zh["pos"].iloc[found]))
-    rows += [(zh["title_id"].iloc[k], None, zh["pos"].iloc[k]) for k in range(len(zs)) if k not in used]
-    return pd.DataFrame(rows, columns=["title_id", "en_pos", "zh_pos"]).astype({"en_pos": "Int64", "zh_pos": "Int64"})
+def _choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """En cues choose in order among candidates sorted best first; what is taken is held for one run only."""
+    run, cue, used = None, None, set()
+    for frame in frames:
+        rows = []
+        for title, number, en_pos, zh_pos in zip(frame["title_id"], frame["run"], frame["en_pos"], frame["zh_pos"]):
+            if (title, number) != run:
+                run, cue, used = (title, number), None, set()
+            if en_pos != cue and zh_pos not in used:
+                cue = en_pos  # has chosen
+                used.add(zh_pos)
+                rows.append((title, en_pos, zh_pos))
+        yield pd.DataFrame(rows, columns=["title_id", "en_pos", "zh_pos"])
 
 
 def greedy_pairs(en: DataFrame, zh: DataFrame) -> DataFrame:
     """(title_id, pair_no, en, zh): one-to-one pairs in the order of their earliest start, unmatched cues of
     either side on their own.
 
-    En cues choose in order; a zh cue that is taken still fills its place in the window. The choice depends
-    on all earlier ones, so each title is one task; titles are some thousand cues and spread over tasks.
+    En cues choose in order; a zh cue that is taken still fills its place in the window. A choice depends on
+    earlier ones only as far as their candidates reach, so titles are cut into runs whose candidates do not
+    overlap. Runs spread over tasks, which hold no more than the cues taken in one run.
     """
-    left = en.select("title_id", "pos", "start", "end", X.is_sound_cue("text").alias("sound"))
-    # both tracks may come from one table: fresh columns keep their sides apart
-    right = zh.select("title_id", "pos", "start", "end").toDF("title_id", "pos", "start", "end")
-    left = left.toDF("title_id", "pos", "start", "end", "sound")
-    pairs = left.groupBy("title_id").cogroup(right.groupBy("title_id")).applyInPandas(_greedy, "title_id string, en_pos long, zh_pos long")
+    met = candidates(en, zh)
+    reach = met.groupBy("title_id", "en_pos").agg(F.min("zh_pos").alias("lo"), F.max("zh_pos").alias("hi"))
+    order = Window.partitionBy("title_id").orderBy("en_pos")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("lo").over(order.rowsBetween(0, Window.unboundedFollowing))
+    reach = reach.withColumn("cut", F.when(before.isNull() | (after > before), 1).otherwise(0))
+    reach = reach.select("title_id", "en_pos", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    dealt = met.join(reach, ["title_id", "en_pos"]).repartition("title_id", "run").sortWithinPartitions("title_id", "run", "en_pos", F.desc("score"), "zh_pos")
+    chosen = dealt.select("title_id", "run", "en_pos", "zh_pos").mapInPandas(_choose, "title_id string, en_pos long, zh_pos long")
     side = lambda cues, name: cues.select("title_id", F.col("pos").alias(f"{name}_pos"), F.struct("pos", "start", "end", "text").alias(name))
-    whole = pairs.join(side(en, "en"), ["title_id", "en_pos"], "left").join(side(zh, "zh"), ["title_id", "zh_pos"], "left")
+    whole = side(en, "en").join(chosen, ["title_id", "en_pos"], "left").join(side(zh, "zh"), ["title_id", "zh_pos"], "full")
     order = Window.partitionBy("title_id").orderBy(F.least("en.start", "zh.start"), F.col("en_pos").isNull(), "en_pos", "zh_pos")
     return whole.withColumn("pair_no", (F.row_number().over(order) - 1).cast("long")).select("title_id", "pair_no", "en", "zh")
 

@@ -81,3 +81,13 @@ def log_tail(log: DataFrame, lines: int = 200) -> DataFrame:
     """The last lines of each run."""
     last = F.max("line_no").over(Window.partitionBy("run_id"))
     return log.withColumn("_last", last).where(F.col("line_no") > F.col("_last") - lines).drop("_last")
+
+
+def log_text(log: DataFrame, chars: int = 8000) -> DataFrame:
+    """(run_id, tail): the last ``chars`` characters of each run's log. Lines that begin farther from the end
+    leave before they are joined, so a long log costs a running sum."""
+    behind = Window.partitionBy("run_id").orderBy(F.desc("line_no"), F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    line = F.coalesce("line", F.lit(""))
+    rows = log.withColumn("_behind", F.coalesce(F.sum(F.char_length(line) + 1).over(behind), F.lit(0))).where(F.col("_behind") <= chars)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("line")))), lambda r: r["line"]), "\n")
+    return rows.groupBy("run_id").agg(F.right(joined, F.lit(chars)).alias("tail"))

@@ -1,15 +1,14 @@
 """Registered queries over the driver's tables, with the SQL that each must equal.
 
-Queries without SQL are greedy, folded or call a model; tests hold them against plain loops.
+Greedy choices, folds over words and model replies are recursive in the SQL.
 """
 
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as X
@@ -63,7 +62,40 @@ def batch_context(spark, sf_dir):
     return rows.select("title_id", "batch_id", "n", *[F.md5(c).alias(c) for c in ("target", "before", "after")], r3("context_start").alias("context_start"), r3("context_end").alias("context_end"))
 
 
-@query()
+_PROMPT = """Proofread the English and Chinese of the TARGET lines; translate only where the Chinese is empty. Lines before and after are context only.
+
+BEFORE
+<before>
+
+TARGET
+<target>
+
+AFTER
+<after>
+
+Answer with a JSON list of exactly <n> objects, one for each line, by local index: [{"index": 0, "corrected_english": "...", "corrected_chinese": "...", "display": true, "display_start": 0.0, "display_end": 0.0}]
+
+Set "display" to false on lines that only repeat another line, and stretch the times of the line that stays.
+
+Times are seconds from <from> to <to>."""
+
+
+def _filled(template: str, **values: str) -> str:
+    out = "'" + template.replace("'", "''") + "'"
+    for name, value in values.items():
+        out = out.replace(f"<{name}>", f"' || {value} || '")
+    return out
+
+
+@query(f"""WITH {TALK}, l AS (SELECT *, pos // 5 AS batch_id, printf('%.2f', s) || '->' || printf('%.2f', e) || ' EN: ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' | ZH: -' AS body FROM talk),
+    w AS (SELECT *, coalesce(list('[' || pos || '] ' || body) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), []) AS b,
+                 coalesce(list('[' || pos || '] ' || body) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 30 FOLLOWING), []) AS a,
+                 first(s) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN 30 PRECEDING AND CURRENT ROW) AS f,
+                 last(e) OVER (PARTITION BY title_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 30 FOLLOWING) AS t FROM l),
+    g AS (SELECT title_id, batch_id, count(*) AS n, string_agg('[' || (pos % 5) || '] ' || body, chr(10) ORDER BY pos) AS target, coalesce(array_to_string(arg_min(b, pos), chr(10)), '') AS before,
+                 coalesce(array_to_string(arg_max(a, pos), chr(10)), '') AS after, arg_min(f, pos) AS f, arg_max(t, pos) AS t FROM w GROUP BY title_id, batch_id),
+    p AS (SELECT title_id, batch_id, {_filled(_PROMPT, before="before", target="target", after="after", n="n", to="printf('%.2f', t)", **{"from": "printf('%.2f', f)"})} AS prompt FROM g)
+    SELECT title_id, batch_id, length(prompt) AS n_chars, md5(prompt) AS prompt_md5 FROM p""")
 def model_requests(spark, sf_dir):
     rows = batch.requests(batch.context(views.talk_cues(spark, sf_dir).withColumn("en", F.lit(None).cast("string")).withColumn("zh", F.lit("")), bilingual=True), "proofread")
     return rows.select("title_id", "batch_id", F.char_length("prompt").alias("n_chars"), F.md5("prompt").alias("prompt_md5"))
@@ -87,17 +119,18 @@ def preview(spark, sf_dir):
 
 
 def _stored(cues: DataFrame) -> DataFrame:
-    """Some of the cues as an earlier run left them: every third title with another text, others shifted."""
+    """The cues as an earlier run left them: all but the last few of each title, every eighth title whole;
+    every third title with another text, others shifted."""
     number = F.col("title_id").cast("long")
     shift = F.when(number % 3 == 1, 0.01).when(number % 7 == 5, 0.5).otherwise(0.0)
     text = F.when((number % 3 == 2) & (F.col("pos") == 1), "other").otherwise(F.concat(F.lit(" <i>"), "text", F.lit("</i>")))
-    rows = cues.where(F.col("pos") < number % 50 + 2)
+    rows = cues.withColumn("_n", F.count("*").over(Window.partitionBy("title_id"))).where(F.col("pos") < F.col("_n") - number % 8).drop("_n")
     return rows.withColumn("end", F.col("end") + shift).withColumn("text", text).withColumn("processing_mode", F.lit("translate"))
 
 
 _STORED = f"""{EVENTS}, st AS (SELECT title_id, pos, CAST(title_id AS BIGINT) AS number, display,
         CASE WHEN number % 3 = 1 THEN 0.01 WHEN number % 7 = 5 THEN 0.5 ELSE 0 END AS shift,
-        (number % 3 = 2 AND pos = 1) AS other FROM ev WHERE pos < number % 50 + 2),
+        (number % 3 = 2 AND pos = 1) AS other FROM (SELECT *, count(*) OVER (PARTITION BY title_id) AS n FROM ev) WHERE pos < n - CAST(title_id AS BIGINT) % 8),
     fit AS (SELECT title_id, count(*) AS cached_rows, bool_and(shift <= 0.02 AND NOT other) AS fits FROM st GROUP BY title_id)"""
 
 
@@ -141,24 +174,72 @@ def best_match(spark, sf_dir):
     return pair.best_match(*views.event_tracks(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
-@query()
+def _pair_sql(tracks_sql: str) -> str:
+    """CTEs pairs (title_id, en_pos, zh_pos, a, b, pair_no) from tracks en and zh (title_id, pos, s, e): English
+    cues choose in order, step by step."""
+    return f"""{tracks_sql},
+    en1 AS (SELECT *, max(s) OVER (PARTITION BY title_id ORDER BY pos) - 5 AS at FROM en),
+    ptr AS (SELECT en1.title_id, en1.pos, en1.s, en1.e, min(zh.pos) AS ptr FROM en1 JOIN zh ON en1.title_id = zh.title_id AND zh.e >= en1.at GROUP BY ALL),
+    scored_pairs AS (SELECT p.title_id, p.pos AS en_pos, zh.pos AS zh_pos,
+                 greatest(0, least(p.e, zh.e) - greatest(p.s, zh.s)) * 10 - abs((p.s + p.e) / 2 - (zh.s + zh.e) / 2) AS score
+          FROM ptr p JOIN zh ON p.title_id = zh.title_id AND zh.pos >= p.ptr AND zh.pos < p.ptr + 12),
+    choice AS (SELECT title_id, en_pos, list(zh_pos ORDER BY score DESC, zh_pos) AS zs FROM scored_pairs WHERE score >= -2.5 GROUP BY ALL),
+    size AS (SELECT title_id, count(*) AS n FROM en GROUP BY title_id),
+    walk AS (SELECT title_id, n, CAST(-1 AS BIGINT) AS en_pos, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS zh_pos FROM size
+        UNION ALL
+        SELECT title_id, n, en_pos, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END, pick FROM (
+            SELECT w.title_id, w.n, w.en_pos + 1 AS en_pos, w.used, list_filter(c.zs, lambda x: NOT list_contains(w.used, x))[1] AS pick
+            FROM walk w LEFT JOIN choice c ON c.title_id = w.title_id AND c.en_pos = w.en_pos + 1 WHERE w.en_pos + 1 < w.n)),
+    sides AS (SELECT w.title_id, w.en_pos, w.zh_pos, en.s AS es, en.e AS ee, en.text AS et, zh.s AS zs, zh.e AS ze, zh.text AS zt
+             FROM walk w JOIN en ON en.title_id = w.title_id AND en.pos = w.en_pos LEFT JOIN zh ON zh.title_id = w.title_id AND zh.pos = w.zh_pos
+        UNION ALL
+        SELECT zh.title_id, NULL, zh.pos, NULL, NULL, NULL, zh.s, zh.e, zh.text FROM zh WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.title_id = zh.title_id AND w.zh_pos = zh.pos)),
+    pairs AS (SELECT *, row_number() OVER (PARTITION BY title_id ORDER BY least(es, zs), en_pos IS NULL, en_pos, zh_pos NULLS FIRST) - 1 AS pair_no FROM sides)"""
+
+
+_EVENT_PAIRS = "WITH RECURSIVE " + _pair_sql(f"""{EVENTS}, t AS (SELECT *, text IN ('purchase', 'signup') AS z FROM ev),
+    numbered AS (SELECT title_id, z, s, e, text, row_number() OVER (PARTITION BY title_id, z ORDER BY pos) - 1 AS pos FROM t),
+    en AS (SELECT * FROM numbered WHERE NOT z), zh AS (SELECT * FROM numbered WHERE z)""")
+
+
+@query(f"{_EVENT_PAIRS} SELECT title_id, pair_no, en_pos, zh_pos FROM pairs")
 def greedy_pairs(spark, sf_dir):
     rows = pair.greedy_pairs(*views.event_tracks(spark, sf_dir))
     return rows.select("title_id", "pair_no", F.col("en.pos").alias("en_pos"), F.col("zh.pos").alias("zh_pos"))
 
 
-@query()
+@query(f"{_EVENT_PAIRS} SELECT title_id, count(*) FILTER (en_pos IS NOT NULL AND zh_pos IS NOT NULL) AS matched, count(zh_pos) AS zh_total FROM pairs GROUP BY title_id")
 def pair_statistics(spark, sf_dir):
     return pair.pair_statistics(pair.greedy_pairs(*views.event_tracks(spark, sf_dir)))
 
 
-@query()
+@query(f"""{_EVENT_PAIRS} SELECT title_id, pair_no AS pos, least(es, zs) AS start, greatest(ee, ze) AS "end", coalesce(et, '文' || zt) AS text, coalesce(et, '') AS en,
+    coalesce('文' || zt, '') AS zh, 'existing Chinese sidecar subtitle' AS source_language, true AS display FROM pairs WHERE title_id IN (SELECT title_id FROM zh)""")
 def merged_tracks(spark, sf_dir):
     en, zh = views.event_tracks(spark, sf_dir)
     return pair.merge_tracks(en, zh.withColumn("text", F.concat(F.lit("字"), "text")), "existing Chinese sidecar subtitle", {"字": "文"})
 
 
-@query()
+#: Words of each cue are dealt one a step into chunks: (title_id, pos, chunks).
+_CHUNKS = f"""{TALK}, told AS (SELECT title_id, pos, s, e, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM talk),
+    sized AS (SELECT *, list_filter(string_split(t, ' '), lambda w: w <> '') AS words, greatest(1, CAST(ceil((e - s) / 6.0) AS INT), CAST(ceil(length(t) / 82.0) AS INT)) AS least_chunks FROM told WHERE t <> ''),
+    capped AS (SELECT *, greatest(3, least(14, CAST(ceil(len(words) / CAST(least_chunks AS DOUBLE)) AS INT))) AS cap, e - s > 6.0 OR length(t) > 82 OR len(words) > 14 AS over FROM sized),
+    deal AS (SELECT title_id, pos, words, cap, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS done, '' AS now, 0 AS n FROM capped
+        UNION ALL
+        SELECT title_id, pos, words, cap, k, CASE WHEN shut THEN list_append(done, more) ELSE done END, CASE WHEN shut THEN '' ELSE more END, CASE WHEN shut THEN 0 ELSE n + 1 END FROM (
+            SELECT *, right(word, 1) IN ('.', '!', '?') OR n + 1 >= cap OR length(more) >= 82 AS shut FROM (
+                SELECT title_id, pos, words, cap, k + 1 AS k, done, n, words[k + 1] AS word, CASE WHEN n = 0 THEN words[k + 1] ELSE now || ' ' || words[k + 1] END AS more FROM deal WHERE k < len(words)))),
+    chunked AS (SELECT title_id, pos, CASE WHEN now = '' THEN done ELSE list_append(done, now) END AS chunks FROM deal WHERE k = len(words))"""
+
+
+@query(f"""WITH RECURSIVE {_CHUNKS},
+    weighed AS (SELECT c.*, d.s, d.e, d.t, d.over, list_sum(list_transform(chunks, lambda x: greatest(1, length(x)))) AS total FROM chunked c JOIN capped d USING (title_id, pos)),
+    cut AS (SELECT title_id, pos, chunks, e - s AS long, total, e, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS a, s AS b FROM weighed WHERE over AND len(chunks) > 1
+        UNION ALL
+        SELECT title_id, pos, chunks, long, total, e, k + 1, b, CASE WHEN k + 1 = len(chunks) THEN e ELSE b + long * greatest(1, length(chunks[k + 1])) / total END FROM cut WHERE k < len(chunks)),
+    piece AS (SELECT title_id, pos, k, a, b, chunks[k] AS text FROM cut WHERE k > 0 UNION ALL SELECT title_id, pos, 1, s, e, t FROM weighed WHERE NOT (over AND len(chunks) > 1)),
+    kept AS (SELECT title_id, row_number() OVER (PARTITION BY title_id ORDER BY pos, k) - 1 AS pos, a, b, text FROM piece WHERE b > a)
+    SELECT title_id, pos, round(a, 3) AS start, round(CASE WHEN len(string_split(text, ' ')) <= 4 AND b - a > 6 THEN a + 6 ELSE b END, 3) AS "end", text FROM kept""")
 def split_cues(spark, sf_dir):
     return split.sane_timing(split.split_cues(views.talk_cues(spark, sf_dir))).select("title_id", "pos", r3("start").alias("start"), r3("end").alias("end"), "text")
 
@@ -169,7 +250,17 @@ def _timed_words(cues: DataFrame) -> DataFrame:
     return cues.withColumn("words", F.transform(words, word))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TALK}, told AS (SELECT title_id, row_number() OVER (PARTITION BY title_id ORDER BY pos) - 1 AS pos, s, e, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM talk WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''),
+    sized AS (SELECT *, string_split(t, ' ') AS words, e - s > 6.0 OR length(t) > 82 OR len(string_split(t, ' ')) > 14 AS over FROM told),
+    deal AS (SELECT title_id, pos, s, words, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(f BIGINT, l BIGINT, x VARCHAR)[]) AS done, CAST(0 AS BIGINT) AS f, '' AS now FROM sized WHERE over
+        UNION ALL
+        SELECT title_id, pos, s, words, k, CASE WHEN shut THEN list_append(done, {{'f': f, 'l': k, 'x': more}}) ELSE done END, CASE WHEN shut THEN 0 ELSE f END, CASE WHEN shut THEN '' ELSE more END FROM (
+            SELECT *, right(words[k], 1) IN ('.', '!', '?') OR k - f + 1 >= 14 OR length(more) >= 82 OR (s + (k - 1) * 0.4::DOUBLE + 0.3::DOUBLE) - (s + (f - 1) * 0.4::DOUBLE) >= 6.0 AS shut FROM (
+                SELECT title_id, pos, s, words, done, k + 1 AS k, CASE WHEN f = 0 THEN k + 1 ELSE f END AS f,
+                       regexp_replace(CASE WHEN f = 0 THEN words[k + 1] ELSE now || ' ' || words[k + 1] END, '\\s+([,.;:!?])', '\\1', 'g') AS more FROM deal WHERE k < len(words)))),
+    ended AS (SELECT title_id, pos, s, unnest(CASE WHEN now = '' THEN done ELSE list_append(done, {{'f': f, 'l': k, 'x': now}}) END) AS p FROM deal WHERE k = len(words)),
+    piece AS (SELECT title_id, pos, p.f AS k, s + (p.f - 1) * 0.4::DOUBLE AS a, s + (p.l - 1) * 0.4::DOUBLE + 0.3::DOUBLE AS b, p.x AS text FROM ended UNION ALL SELECT title_id, pos, 1, s, e, t FROM sized WHERE NOT over)
+    SELECT title_id, row_number() OVER (PARTITION BY title_id ORDER BY pos, k) - 1 AS pos, round(a, 3) AS start, round(b, 3) AS "end", text FROM piece WHERE b > a""")
 def split_timed_words(spark, sf_dir):
     rows = subtitles.parse_transcripts(_timed_words(views.talk_cues(spark, sf_dir)).withColumn("language", F.lit("en")))
     return split.split_cues(rows.drop("role")).select("title_id", "pos", r3("start").alias("start"), r3("end").alias("end"), "text")
@@ -341,7 +432,9 @@ def ass_bilingual(spark, sf_dir):
     return sinks.render_ass(_layers(spark, sf_dir), "bilingual").select("title_id", F.md5("content").alias("content_md5"))
 
 
-@query()
+@query(f"""{_EVENT_PAIRS}, l AS (SELECT title_id, pair_no, 'Dialogue: 0,' || {_clock_sql("coalesce(es, zs)")} || ',' || {_clock_sql("coalesce(ee, ze)")} || ',Bilingual,,0,0,0,,' ||
+        CASE WHEN zt IS NULL THEN '{{\\fs38}}' || et WHEN et IS NULL THEN zt ELSE zt || '\\N{{\\fs34}}' || et END || chr(10) AS line FROM pairs)
+    SELECT title_id, md5(chr(65279) || '{sinks.PAIR_HEAD.replace("'", "''")}' || string_agg(line, '' ORDER BY pair_no)) AS content_md5 FROM l GROUP BY title_id""")
 def ass_pairs(spark, sf_dir):
     return sinks.render_pairs(pair.greedy_pairs(*views.event_tracks(spark, sf_dir))).select("title_id", F.md5("content").alias("content_md5"))
 
@@ -367,14 +460,32 @@ def _times(cues: DataFrame) -> DataFrame:
 _ALL = f"""WITH {EVENTS} SELECT title_id, pos, round(s, 3) AS start, round(e, 3) AS "end", text FROM ev"""
 
 
-@query(_ALL)
+def _rough_srt(spark, sf_dir) -> DataFrame:
+    """Rendered files with what players write besides: a byte-order mark, CRLF or CR, blocks without a number,
+    short fields, ends before starts, empty bodies, two-line bodies, blocks without a time."""
+    cues, number = views.events_cues(spark, sf_dir), F.col("title_id").cast("int")
+    short = number % 5 == 3
+    clock = lambda x: F.when(short, F.regexp_replace(times.srt_time(x), "^0", "")).otherwise(times.srt_time(x))
+    end = F.when(F.col("pos") % 7 == 3, F.col("start")).otherwise(F.col("end"))
+    body = F.when(F.col("pos") % 11 == 5, "-").when(F.col("pos") % 4 == 1, F.concat("text", F.lit("\n"), "text")).otherwise(F.col("text"))
+    head = F.when(F.col("pos") % 3 == 0, "").otherwise(F.concat((F.col("pos") + 1).cast("string"), F.lit("\n")))
+    note = F.when(F.col("pos") % 6 == 2, "7\nno time here\n\n").otherwise("")
+    block = F.concat(note, head, clock(F.col("start")), F.lit(" --> "), clock(end), F.lit("\n"), body, F.lit("\n\n"))
+    files = cues.groupBy("title_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda r: r["b"]), "").alias("content"))
+    content = F.when(number % 3 == 1, F.replace(F.col("content"), F.lit("\n"), F.lit("\r\n"))).when(number % 3 == 2, F.replace(F.col("content"), F.lit("\n"), F.lit("\r"))).otherwise(F.col("content"))
+    return files.select("title_id", F.when(number % 2 == 0, F.concat(F.lit("\ufeff"), content)).otherwise(content).alias("content"))
+
+
+@query(f"""WITH {EVENTS} SELECT title_id, row_number() OVER (PARTITION BY title_id ORDER BY pos) - 1 AS pos, round(s, 3) AS start, round(e, 3) AS "end", CASE WHEN pos % 4 = 1 THEN text || ' ' || text ELSE text END AS text
+    FROM ev WHERE CAST(title_id AS INT) % 5 <> 3 AND pos % 7 <> 3 AND pos % 11 <> 5""")
 def parsed_srt(spark, sf_dir):
-    return _times(subtitles.parse_srt(_as_files(sinks.render_srt(views.events_cues(spark, sf_dir)))))
+    return _times(subtitles.parse_srt(_as_files(_rough_srt(spark, sf_dir))))
 
 
-@query(_ALL)
+@query(f"""WITH {EVENTS} SELECT title_id, row_number() OVER (PARTITION BY title_id ORDER BY pos) - 1 AS pos, round(s, 3) AS start, round(CASE WHEN pos % 7 = 3 THEN s ELSE e END, 3) AS "end",
+    CASE WHEN pos % 11 = 5 THEN '-' WHEN pos % 4 = 1 THEN text || chr(10) || text ELSE text END AS text FROM ev""")
 def parsed_srt_lenient(spark, sf_dir):
-    return _times(subtitles.parse_srt(_as_files(sinks.render_srt(views.events_cues(spark, sf_dir))), lenient=True))
+    return _times(subtitles.parse_srt(_as_files(_rough_srt(spark, sf_dir)), lenient=True))
 
 
 @query(_ALL)
@@ -512,31 +623,38 @@ def title_names(spark, sf_dir):
     return batch.parse_names(rows.withColumn("raw", raw)).select("p_partkey", "movie_name", "series_name", "name_source")
 
 
-def stub_model(prompts: list[str]) -> list[str]:
-    """A model for tests and queries: numbers its corrections, hides lines that repeat the one before."""
-    out = []
-    for prompt in prompts:
-        target = prompt.split("TARGET\n", 1)[1].split("\n\nAFTER\n", 1)[0]
-        lines, before = re.findall(r"^\[(\d+)\] \S+ ?(.*)$", target, re.M), None
-        items = []
-        for index, text in lines:
-            items.append({"index": int(index), "corrected_text": text, "chinese_translation": f"译{len(text)}", "corrected_chinese": f"译{len(text)}", "display": text != before})
-            before = text
-        out.append(json.dumps(items, ensure_ascii=False))
-    return out
-
-
 def _store(df: DataFrame, name: str) -> DataFrame:
     return df.checkpoint()
 
 
-@query()
+@query(f"""WITH {EVENTS}, size AS (SELECT title_id, max(pos) AS top FROM ev GROUP BY title_id),
+    c AS (SELECT ev.*, f.s AS from_s, t.e AS to_e FROM ev JOIN size USING (title_id) JOIN ev f ON f.title_id = ev.title_id AND f.pos = greatest(0, ev.pos // 5 * 5 - 30)
+        JOIN ev t ON t.title_id = ev.title_id AND t.pos = least(top, ev.pos // 5 * 5 + 34)),
+    k AS (SELECT *, greatest(from_s, least(to_e, s)) AS a, greatest(from_s, least(to_e, e)) AS b, text IS DISTINCT FROM CASE WHEN pos % 5 > 0 THEN lag(text) OVER (PARTITION BY title_id ORDER BY pos) END AS shown FROM c),
+    d AS (SELECT *, CASE WHEN shown AND b > a AND abs(b - e) > 0.02 THEN b END AS told FROM k),
+    i AS (SELECT *, coalesce(told, e) AS own, sum(CASE WHEN shown THEN 1 ELSE 0 END) OVER (PARTITION BY title_id ORDER BY pos) AS island FROM d),
+    m AS (SELECT *, max(own) OVER (PARTITION BY title_id, island ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+    f AS (SELECT *, sum(CASE WHEN NOT shown AND s - reach > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY title_id, island ORDER BY pos) AS failed FROM m),
+    x AS (SELECT *, max(CASE WHEN NOT shown AND failed = 0 THEN e END) OVER (PARTITION BY title_id, island) AS far FROM f)
+    SELECT title_id, pos, text AS en, '译' || length(text) AS zh, shown AS display, round(CASE WHEN shown AND far IS NOT NULL THEN greatest(far, own) ELSE told END, 3) AS display_end FROM x""")
 def translated_titles(spark, sf_dir):
-    """The model pass over the events' titles with a stub model."""
+    """The passes around a model over the events' titles: requests, replies, checks, times. The reply to a
+    prompt is made from the prompt itself: each line numbered, lines that repeat the one before hidden."""
+
+    def reply(prompts: list[str]) -> list[str]:
+        out = []
+        for prompt in prompts:
+            target, before, items = prompt.split("TARGET\n", 1)[1].split("\n\nAFTER\n", 1)[0], None, []
+            for line in target.split("\n"):
+                mark, _, text = line.split(" ", 2)
+                items.append({"index": mark.strip("[]"), "corrected_text": text, "chinese_translation": f"译{len(text)}", "display": text != before})
+                before = text
+            out.append(json.dumps(items, ensure_ascii=False))
+        return out
+
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         _local_checkpoints(spark)
-    cues = views.events_cues(spark, sf_dir).drop("event_id", "display")
-    done = jobs.process(cues, stub_model, _store, pause=0.0)
+    done = jobs.process(views.events_cues(spark, sf_dir).drop("event_id", "display"), reply, _store, pause=0.0)
     return done.select("title_id", "pos", "en", "zh", "display", r3("display_end").alias("display_end"))
 
 
@@ -551,12 +669,15 @@ def _local_checkpoints(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-cuelake-"))
 
 
-@query(f"WITH {TALK} SELECT title_id, count(*) AS n FROM talk GROUP BY title_id")
+@query(f"""WITH {TALK} SELECT title_id, CASE WHEN CAST(title_id AS INT) % 3 = 0 THEN 'cache' WHEN CAST(title_id AS INT) % 2 = 0 THEN 'sidecar' ELSE 'audio' END AS source, count(*) AS n,
+    md5(string_agg(CASE WHEN CAST(title_id AS INT) % 3 = 0 THEN 'stored ' WHEN CAST(title_id AS INT) % 2 = 0 THEN 'beside ' ELSE '' END || text, '|' ORDER BY pos)) AS texts FROM talk GROUP BY title_id""")
 def resolved_source(spark, sf_dir):
     cues = views.talk_cues(spark, sf_dir)
     number = F.col("title_id").cast("int")
-    rows = jobs.resolve_cues({"cache": cues.where(number % 3 == 0), "sidecar": cues.where(number % 2 == 0), "audio": cues})
-    return rows.groupBy("title_id").agg(F.count("*").alias("n"))
+    named = lambda rows, word: rows.withColumn("text", F.concat(F.lit(word), "text"))
+    rows = jobs.resolve_cues({"audio": cues, "sidecar": named(cues.where(number % 2 == 0), "beside "), "cache": named(cues.where(number % 3 == 0), "stored ")})
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda r: r["text"]), "|")
+    return rows.groupBy("title_id", "source").agg(F.count("*").alias("n"), F.md5(texts).alias("texts"))
 
 
 @query(f"""WITH {_SIDE}, v2 AS (SELECT title_id FROM files WHERE ext IN ('mkv', 'mp4') GROUP BY title_id), n AS (SELECT title_id, count(*) AS sidecars FROM side GROUP BY title_id),
@@ -569,18 +690,69 @@ def corpus_analysis(spark, sf_dir):
     return rows.select("title_id", "sidecars", "subtitle_tracks", "audio_tracks", "source")
 
 
-@query()
+_STATUS = f"""{_STORED}, l AS (SELECT title_id AS run_id, CAST(title_id AS INT) AS number, pos, text,
+        CASE text WHEN 'view' THEN 'Processing segments 1 to 5 of 9...' WHEN 'click' THEN 'note' WHEN 'error' THEN 'Transcribing audio' WHEN 'purchase' THEN 'Using sidecar SRT timing' ELSE '- Success! Subtitles saved' END AS line
+        FROM ev WHERE NOT (CAST(title_id AS INT) % 3 = 0 AND text = 'signup')),
+    tails AS (SELECT run_id, right(string_agg(line, chr(10) ORDER BY pos), 300) AS tail FROM l GROUP BY run_id),
+    g AS (SELECT run_id, number, bool_or(text = 'signup') AS done, arg_max(text, pos) FILTER (text IN ('view', 'error', 'purchase')) AS last FROM l GROUP BY ALL),
+    st2 AS (SELECT run_id, CASE WHEN number % 2 = 0 THEN coalesce(CASE last WHEN 'view' THEN 'model' WHEN 'error' THEN 'speech' WHEN 'purchase' THEN 'reading' END, 'starting') WHEN done THEN 'done' ELSE 'idle' END AS label,
+           CASE WHEN number % 2 = 0 THEN coalesce(CASE last WHEN 'view' THEN 2 WHEN 'error' THEN 1 WHEN 'purchase' THEN 0 END, 0) WHEN done THEN 3 ELSE -1 END AS stage FROM g)"""
+
+
+@query(f"""WITH {_STATUS} SELECT t.title_id, t.total, coalesce(c.completed, 0) AS completed, coalesce(c.visible, 0) AS visible, c.last_visible, label, stage, tail
+    FROM (SELECT title_id, count(*) AS total FROM ev GROUP BY title_id) t LEFT JOIN
+         (SELECT title_id, count(*) AS completed, count(*) FILTER (display) AS visible, max(pos) FILTER (display) AS last_visible FROM st GROUP BY title_id) c USING (title_id)
+         LEFT JOIN st2 ON st2.run_id = t.title_id LEFT JOIN tails ON tails.run_id = t.title_id""")
 def title_status(spark, sf_dir):
     cues = views.events_cues(spark, sf_dir)
-    return jobs.status(cues, _stored(cues), *_log(spark, sf_dir))
+    return jobs.status(cues, _stored(cues), *_log(spark, sf_dir), chars=300)
+
+
+@query(f"WITH {_STATUS} SELECT run_id, tail FROM tails")
+def log_text(spark, sf_dir):
+    return report.log_text(_log(spark, sf_dir)[0], 300)
+
+
+@query(f"WITH {TRACKS} SELECT title_id, idx AS index, codec, 'unsupported codec ' || codec AS reason FROM tracks WHERE kind = 'Subtitle' AND codec = 'eia_608'".replace("FROM tracks", "FROM (SELECT * REPLACE (CASE WHEN idx % 3 = 0 THEN 'eia_608' ELSE codec END AS codec) FROM tracks)"))
+def rejected_tracks(spark, sf_dir):
+    rows = views.part_tracks(spark, sf_dir)
+    return tracks.rejected(rows.withColumn("codec", F.when(F.col("index") % 3 == 0, "eia_608").otherwise(F.col("codec"))))
+
+
+def _part_cues(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """(tracks, cues): eight parts as the tracks of a title, each part's order lines as the cues of its track."""
+    title = F.concat(F.lit("p"), F.floor(F.col("index") / 8).cast("string"))
+    probed = views.part_tracks(spark, sf_dir).withColumn("title_id", title)
+    start = (F.col("l_orderkey") % 500).cast("double") * 2 + F.col("l_linenumber").cast("double") / 8
+    rows = views.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("int").alias("index"), start.alias("start"), (start + 1 + F.col("l_quantity") / 8).alias("end"), F.col("l_returnflag").alias("text"))
+    order = Window.partitionBy("index").orderBy("start", "end", "text")
+    return probed, rows.select(title.alias("title_id"), "index", (F.row_number().over(order) - 1).cast("long").alias("pos"), "start", "end", "text")
+
+
+_PART_CUES = TRACKS.replace("'t' || ((p_partkey // 8) % 20)", "'p' || (p_partkey // 8)") + """,
+    lines AS (SELECT 'p' || (l_partkey // 8) AS title_id, CAST(l_partkey AS INT) AS idx, CAST(l_orderkey % 500 AS DOUBLE) * 2 + CAST(l_linenumber AS DOUBLE) / 8 AS s, l_quantity, l_returnflag AS text FROM lineitem),
+    cues AS (SELECT title_id, idx, s, s + 1 + l_quantity / 8 AS e, text, row_number() OVER (PARTITION BY idx ORDER BY s, s + 1 + l_quantity / 8, text) - 1 AS pos FROM lines),
+    zh_track AS (SELECT title_id, idx, zh_kind FROM scored WHERE zh_kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY CASE zh_kind WHEN 'zh-Hans' THEN 40 WHEN 'zh-Hant' THEN 30 WHEN 'zh' THEN 20 ELSE 10 END DESC, score DESC, idx) = 1)"""
 
 
-@query()
+@query("WITH RECURSIVE " + _pair_sql(f"""{_PART_CUES},
+    en_track AS (SELECT title_id, idx FROM scored WHERE lang = 'eng' OR contains(title, 'english') QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY score DESC, idx) = 1),
+    en AS (SELECT cues.* FROM cues JOIN en_track USING (title_id, idx) WHERE title_id IN (SELECT title_id FROM zh_track)),
+    zh AS (SELECT cues.* FROM cues JOIN zh_track USING (title_id, idx) WHERE title_id IN (SELECT title_id FROM en_track))""")
+    + " SELECT title_id, count(*) FILTER (en_pos IS NOT NULL AND zh_pos IS NOT NULL) AS matched, count(zh_pos) AS zh_total FROM pairs GROUP BY title_id")
 def track_pairs(spark, sf_dir):
-    probed = views.part_tracks(spark, sf_dir)
-    cues = views.talk_cues(spark, sf_dir).select((F.col("title_id").cast("int") % 20).alias("t"), (F.col("pos") + F.col("title_id").cast("int") * 8).alias("pos"), "start", "end", "text")
-    own = probed.select("title_id", "index").join(cues.withColumn("title_id", F.concat(F.lit("t"), "t")).drop("t"), "title_id")
-    return jobs.track_pair_job(probed, own)["statistics"]
+    return jobs.track_pair_job(*_part_cues(spark, sf_dir))["statistics"]
+
+
+@query("WITH RECURSIVE " + _pair_sql(f"""{_PART_CUES},
+    en_track AS (SELECT title_id, idx FROM scored WHERE lang = 'eng' OR contains(title, 'english') QUALIFY row_number() OVER (PARTITION BY title_id ORDER BY score DESC, idx) = 1),
+    chosen AS (SELECT z.title_id, z.idx AS zh, CASE WHEN e.idx <> z.idx THEN e.idx END AS en FROM zh_track z LEFT JOIN en_track e USING (title_id)),
+    readable AS (SELECT idx FROM tracks WHERE contains(codec, 'pgs') OR codec IN ('subrip', 'ass', 'dvb_teletext')),
+    zh AS (SELECT cues.* FROM cues JOIN chosen ON chosen.title_id = cues.title_id AND chosen.zh = cues.idx WHERE idx IN (SELECT idx FROM readable)),
+    en AS (SELECT cues.* FROM cues JOIN chosen ON chosen.title_id = cues.title_id AND chosen.en = cues.idx WHERE idx IN (SELECT idx FROM readable) AND cues.title_id IN (SELECT title_id FROM zh))""")
+    + """ SELECT title_id, pair_no AS pos, least(es, zs) AS start, greatest(ee, ze) AS "end", coalesce(et, zt) AS text, coalesce(et, '') AS en, coalesce(zt, '') AS zh FROM pairs""")
+def existing_pairs(spark, sf_dir):
+    return jobs.existing_pair_job(*_part_cues(spark, sf_dir)).select("title_id", "pos", "start", "end", "text", "en", "zh")
 
 
 @query(f"WITH {EVENTS} SELECT title_id, pos, {_clock_sql('s')} AS ass, {_ms('s')} AS srt, round(s, 3) AS again FROM ev")

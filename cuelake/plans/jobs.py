@@ -173,35 +173,108 @@ def subtitle_job(sources: dict[str, DataFrame], model: Model, store: Callable[[D
     return {"source": source, "processed": done, "report_source": report.timing(source), "report_done": report.timing(done), **files}
 
 
-def track_pair_job(probed: DataFrame, cues: DataFrame, mapping: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def track_pair_job(probed: DataFrame, cues: DataFrame, mapping: dict[str, str] | None = None, translate: Callable[[DataFrame], DataFrame] | None = None) -> dict[str, DataFrame]:
     """Best English and Chinese track of each title, their cues (title_id, index, pos, ...) paired.
 
-    Only Traditional and Cantonese tracks are simplified. Titles need an English track; those without a
-    Chinese one have none to pair and are given under ``untranslated``.
+    cues may come from text tracks and, by ``picture_cues``, from picture tracks alike. Only Traditional and
+    Cantonese tracks are simplified. Titles need an English track. ``translate`` (cues to cues with zh, as a
+    model pass gives) makes the Chinese side of titles that have no Chinese track, cue by cue; without it
+    they are given under ``untranslated`` alone.
     """
     en_track = tracks.best_english(probed, in_label=False).select("title_id", "index")
     zh_track = tracks.best_chinese(probed).select("title_id", "index", "zh_kind").join(en_track.select("title_id"), "title_id", "left_semi")
     en, zh = cues.join(en_track, ["title_id", "index"]).drop("index"), cues.join(zh_track, ["title_id", "index"]).drop("index")
     plain = F.col("zh_kind").isin("zh-Hant", "zh-yue")
     zh = zh.withColumn("text", F.when(plain, X.simplify("text", mapping or {})).otherwise(F.col("text"))).drop("zh_kind")
-    paired_en = en.join(zh_track.select("title_id"), "title_id", "left_semi")
-    pairs = pair.greedy_pairs(paired_en, zh)
     rest = en.join(zh_track.select("title_id"), "title_id", "left_anti")
+    paired = en.join(zh_track.select("title_id"), "title_id", "left_semi")
+    if translate is not None:
+        columns = ["title_id", "pos", "start", "end", "text"]
+        made = translate(rest).select("title_id", "pos", "start", "end", F.col("zh").alias("text"))
+        paired, zh = paired.select(*columns).unionByName(rest.select(*columns)), zh.select(*columns).unionByName(made)
+    pairs = pair.greedy_pairs(paired, zh)
     return {"pairs": pairs, "statistics": pair.pair_statistics(pairs), "ass": sinks.render_pairs(pairs), "srt_en": sinks.render_srt(en), "untranslated": rest}
 
 
+def _readable(cues: DataFrame, track: DataFrame, *more: str) -> DataFrame:
+    """Cues of the chosen tracks that a reader takes, without blank ones, numbered anew."""
+    rows = cues.join(track.where(tracks.codec_class().isNotNull()).select("title_id", "index", *more), ["title_id", "index"])
+    rows = rows.where(X.strip(F.coalesce("text", F.lit(""))) != "")
+    order = Window.partitionBy("title_id").orderBy("pos")
+    return rows.withColumn("pos", (F.row_number().over(order) - 1).cast("long")).drop("index")
+
+
 def embedded_job(probed: DataFrame, cues: DataFrame, language_tag: str, overrides: DataFrame | None = None) -> DataFrame:
     """Cues of each title's preferred readable track; blank texts go, and titles left with none give none."""
-    track = tracks.preferred(probed, language_tag, overrides).where(tracks.codec_class().isNotNull()).select("title_id", "index", F.col("lang").alias("_lang"))
-    rows = cues.join(track, ["title_id", "index"]).where(X.strip(F.coalesce("text", F.lit(""))) != "")
+    rows = _readable(cues, tracks.preferred(probed, language_tag, overrides).withColumn("_lang", F.col("lang")), "_lang")
     tag = F.coalesce(X.falsy(F.col("_lang")), F.lit(language_tag))
-    order = Window.partitionBy("title_id").orderBy("pos")
-    return rows.select("title_id", (F.row_number().over(order) - 1).cast("long").alias("pos"), "start", "end", "text", tag.alias("source_language"))
+    return rows.select("title_id", "pos", "start", "end", "text", tag.alias("source_language"))
+
+
+def existing_pair_tracks(probed: DataFrame, overrides: DataFrame | None = None, ocr_language: str = "auto") -> DataFrame:
+    """(title_id, zh_index, zh_kind, en_index, ocr_language): the tracks of titles that hold Chinese already.
+
+    The best Chinese and the best English track, each replaced by the title's override (title_id,
+    track_index, zh_index, en_index; any may be null). zh_index and en_index count if there is such a
+    subtitle track, whatever its label (an unlabelled Chinese one is zh). track_index takes the Chinese
+    place if it is a Chinese track, else the English one if it is English; a title whose track_index names
+    no subtitle track has no row, nor has one without Chinese. The English track is null if it is the
+    Chinese one. The language of picture tracks follows the kind of Chinese unless it is given.
+    """
+    rows = probed.where(tracks.is_subtitle()).withColumn("kind_of", tracks.chinese_kind()).withColumn("english", tracks.is_english(True))
+    one = F.struct("index", F.coalesce("kind_of", F.lit("zh")).alias("kind"), "kind_of", "english")
+    zh = tracks.best_chinese(probed).select("title_id", F.col("index").alias("zh0"), F.col("zh_kind").alias("kind0"))
+    en = tracks.best_english(probed).select("title_id", F.col("index").alias("en0"))
+    best = rows.select("title_id").distinct().join(zh, "title_id", "left").join(en, "title_id", "left")
+    if overrides is None:
+        overrides = best.select("title_id", *[F.lit(None).cast("int").alias(c) for c in ("track_index", "zh_index", "en_index")]).limit(0)
+    named = best.join(overrides.select("title_id", *[F.col(c).alias(f"_{c}") for c in ("track_index", "zh_index", "en_index")]), "title_id", "left")
+    for c in ("track_index", "zh_index", "en_index"):
+        named = named.join(rows.select("title_id", F.col("index").alias(f"_{c}"), one.alias(c)), ["title_id", f"_{c}"], "left")
+    named = named.where(F.col("_track_index").isNull() | F.col("track_index").isNotNull())
+    zh_index, kind = F.coalesce("zh_index.index", "zh0"), F.coalesce(F.when(F.col("zh_index").isNotNull(), F.col("zh_index.kind")), F.col("kind0"))
+    en_index = F.coalesce("en_index.index", "en0")
+    chinese = F.col("track_index.kind_of").isNotNull()
+    zh_index, kind = F.when(chinese, F.col("track_index.index")).otherwise(zh_index), F.when(chinese, F.col("track_index.kind_of")).otherwise(kind)
+    en_index = F.when(~chinese & F.coalesce("track_index.english", F.lit(False)), F.col("track_index.index")).otherwise(en_index)
+    out = named.select("title_id", zh_index.alias("zh_index"), kind.alias("zh_kind"), en_index.alias("en_index")).where("zh_index is not null")
+    out = out.withColumn("en_index", F.when(F.col("en_index") != F.col("zh_index"), F.col("en_index")))
+    own = F.when(F.col("zh_kind").isin("zh-Hant", "zh-yue"), "chinese_cht").otherwise("ch")
+    return out.withColumn("ocr_language", F.lit(ocr_language) if ocr_language not in ("", "auto") else own)
+
+
+def existing_pair_job(probed: DataFrame, cues: DataFrame, mapping: dict[str, str] | None = None, overrides: DataFrame | None = None, ocr_language: str = "auto") -> DataFrame:
+    """Cues of titles that hold an embedded Chinese track, merged with their English one if there is any.
+
+    cues (title_id, index, pos, start, end, text) are those of all tracks. Blank cues go; a title whose
+    Chinese track is left with none gives none and falls to its next source.
+    """
+    chosen = existing_pair_tracks(probed, overrides, ocr_language)
+    of = lambda c: probed.join(chosen.select("title_id", F.col(c).alias("index")), ["title_id", "index"], "left_semi")
+    zh, en = (_readable(cues, of(c)).select("title_id", "pos", "start", "end", "text") for c in ("zh_index", "en_index"))
+    return pair.merge_tracks(en, zh, "existing Chinese embedded subtitle", mapping)
+
+
+def picture_job(pictures: DataFrame, texts: DataFrame, language_tag: str = "en", limit: int = 0, cached: DataFrame | None = None) -> DataFrame:
+    """Cues of picture tracks: frames merged, detections read in order.
+
+    ``cached`` holds what an earlier run gave. Tracks with as many cues there as they have merged frames keep
+    them and are not read again.
+    """
+    merged = frames.merge_frames(pictures, limit)
+    if cached is None:
+        return frames.ocr_cues(merged, frames.reading_order(texts, language_tag))
+    count = lambda rows, name: rows.groupBy("track_id").agg(F.count("*").alias(name))
+    cached = cached.withColumnRenamed("title_id", "track_id")
+    same = count(merged, "n").join(count(cached, "m"), "track_id").where("n = m").select("track_id")
+    fresh = frames.ocr_cues(merged.join(same, "track_id", "left_anti"), frames.reading_order(texts, language_tag))
+    return fresh.unionByName(cached.join(same, "track_id", "left_semi").withColumnRenamed("track_id", "title_id").select(*fresh.columns))
 
 
-def picture_job(pictures: DataFrame, texts: DataFrame, language_tag: str = "en", limit: int = 0) -> DataFrame:
-    """Cues of picture tracks: frames merged, detections read in order."""
-    return frames.ocr_cues(frames.merge_frames(pictures, limit), frames.reading_order(texts, language_tag))
+def picture_cues(cues: DataFrame, owners: DataFrame) -> DataFrame:
+    """Cues of ``picture_job``, whose title_id names their track, as cues of tracks: owners (track_id, title_id,
+    index) say whose they are."""
+    return cues.withColumnRenamed("title_id", "track_id").join(owners, "track_id").drop("track_id")
 
 
 def analysis(listing: DataFrame, probed: DataFrame, cues: DataFrame, cached: DataFrame) -> DataFrame:
@@ -220,6 +293,7 @@ def analysis(listing: DataFrame, probed: DataFrame, cues: DataFrame, cached: Dat
     return rows.withColumn("source", guess)
 
 
-def status(cues: DataFrame, cached: DataFrame, log: DataFrame, running: DataFrame) -> DataFrame:
-    """Progress of each title beside the stage of the run of that name."""
-    return report.progress(cues, cached).join(report.stages(log, running).withColumnRenamed("run_id", "title_id"), "title_id", "left")
+def status(cues: DataFrame, cached: DataFrame, log: DataFrame, running: DataFrame, chars: int = 8000) -> DataFrame:
+    """Progress of each title beside the stage of the run of that name and the tail of its log."""
+    runs = report.stages(log, running).join(report.log_text(log, chars), "run_id", "left").withColumnRenamed("run_id", "title_id")
+    return report.progress(cues, cached).join(runs, "title_id", "left")

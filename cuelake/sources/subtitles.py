@@ -125,8 +125,7 @@ def parse_segments(files: DataFrame, mapping: dict[str, str] | None = None) -> D
     of text, en, zh, with end after start, and some text is left; else all its rows are dropped."""
     value = files.select(*KEY, F.expr("try_parse_json(content)").alias("v"))
     value = value.where(F.expr("schema_of_variant(v) like 'ARRAY%'"))
-    value.createOrReplaceTempView("_cuelake_segments")
-    rows = value.sparkSession.sql("select title_id, path, pos, value v from _cuelake_segments, lateral variant_explode_outer(v)")
+    rows = value.lateralJoin(value.sparkSession.tvf.variant_explode_outer(F.col("v").outer()).select("pos", F.col("value").alias("item"))).select(*KEY, "pos", F.col("item").alias("v"))
     get = lambda k, t: F.expr(f"try_variant_get(v, '$.{k}', '{t}')")
     has = lambda k: F.expr(f"variant_get(v, '$.{k}', 'variant') is not null")
     start, end = get("start", "double"), get("end", "double")
