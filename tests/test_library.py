@@ -1,12 +1,15 @@
 """The library's operators on small fixtures, against plain loops and known outcomes."""
 
 import collections
+import glob
 import hashlib
 import json
 import math
+import os
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -492,9 +495,107 @@ def test_frames_and_reports(spark):
     assert {r.run_id: r.stage for r in report.stages(log, running).collect()} == {"r": 0, "s": 0, "q": -1}
 
 
+@pytest.fixture(scope="session")
+def duck(sf):
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    for path in glob.glob(f"{sf}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
+    return con
+
+
+def test_every_query_has_sql():
+    assert catalog.QUERIES.keys() == catalog.ORACLE_SQL.keys()
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
-def test_queries_run(spark, sf, name):
-    assert catalog.QUERIES[name](spark, sf).limit(5).collect()
+def test_query_equals_its_sql(spark, sf, duck, name):
+    told = duck.execute(catalog.ORACLE_SQL[name])
+    columns = [c[0] for c in told.description]
+    want = sorted(repr(sorted(zip(columns, r))) for r in told.fetchall())
+    assert want and sorted(repr(sorted(r.asDict().items())) for r in catalog.QUERIES[name](spark, sf).collect()) == want
+
+
+def plain_extension(rows, gap=2.0):
+    """display_end of rows (pos, start, end, display, display_end) by one loop."""
+    out, last = [r[4] for r in rows], None
+    for k, (_, start, end, shown, _) in enumerate(rows):
+        if shown is None or shown:
+            last = k
+        elif last is not None:
+            reach = rows[last][2] if out[last] is None else out[last]
+            if start - reach <= gap:
+                out[last] = max(reach, end)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_extension_of_unsorted_titles(spark, seed):
+    rng = random.Random(seed)
+    titles = {}
+    for t in "abcdef":
+        rows, at = [], 0.0
+        for k in range(40):
+            at += rng.uniform(-3, 4) if t < "d" else rng.uniform(0, 4)
+            rows.append((k, round(at, 3), round(at + rng.uniform(0.2, 3), 3), rng.choice([True, False, False, None]), rng.choice([None, None, round(at + 5, 3)])))
+        titles[t] = rows
+    cues = spark.createDataFrame([(t, *r, f"{t}{r[0]}") for t, rows in titles.items() for r in rows], "title_id string, pos long, start double, end double, display boolean, display_end double, text string")
+    got = {(r.title_id, r.pos): (r.display_end, r.text) for r in display.extend_over_hidden(cues).collect()}
+    assert got == {(t, k): (x, f"{t}{k}") for t, rows in titles.items() for k, x in enumerate(plain_extension(rows))}
+
+
+def test_existing_pair_tracks(spark):
+    track = "title_id string, index int, kind string, codec string, lang string, title string, metadata map<string,string>"
+    rows = []
+    for t in ("plain", "pick", "wrong", "english", "chinese", "odd", "same"):
+        rows += [(t, 1, "Subtitle", "subrip", "eng", "", {}), (t, 2, "Subtitle", "hdmv_pgs_subtitle", "chi", "Traditional", {}), (t, 3, "Subtitle", "ass", "chi", "Cantonese", {}), (t, 4, "Subtitle", "ass", "eng", "Full", {}), (t, 5, "Subtitle", "ass", "fre", "", {}), (t, 6, "Audio", "aac", "eng", "", {})]
+    rows += [("none", 1, "Subtitle", "ass", "eng", "", {})]
+    probed = spark.createDataFrame(rows, track)
+    asked = [("pick", None, 3, 1), ("wrong", 6, None, None), ("english", 1, None, None), ("chinese", 3, 2, None), ("odd", None, 5, 99), ("same", None, 4, None)]
+    overrides = spark.createDataFrame(asked, "title_id string, track_index int, zh_index int, en_index int")
+    got = {r.title_id: tuple(r)[1:] for r in jobs.existing_pair_tracks(probed, overrides).collect()}
+    assert got == {
+        "plain": (2, "zh-Hant", 4, "chinese_cht"),
+        "pick": (3, "zh-yue", 1, "chinese_cht"),
+        "english": (2, "zh-Hant", 1, "chinese_cht"),
+        "chinese": (3, "zh-yue", 4, "chinese_cht"),
+        "odd": (5, "zh", 4, "ch"),
+        "same": (4, "zh", None, "ch"),
+    }
+    assert {r.ocr_language for r in jobs.existing_pair_tracks(probed, ocr_language="ch").collect()} == {"ch"}
+    cues = spark.createDataFrame([("plain", 2, 0, 0.0, 1.0, "繁"), ("plain", 2, 1, 1.0, 2.0, " "), ("plain", 4, 0, 0.0, 1.5, "yes"), ("plain", 4, 1, 9.0, 9.5, "no"), ("pick", 2, 0, 0.0, 1.0, " ")], "title_id string, index int, pos long, start double, end double, text string")
+    out = [(r.title_id, r.pos, r.start, r.end, r.en, r.zh) for r in jobs.existing_pair_job(probed, cues, {"繁": "简"}).orderBy("pos").collect()]
+    assert out == [("plain", 0, 0.0, 1.5, "yes", "简"), ("plain", 1, 9.0, 9.5, "no", "")]
+
+
+def test_track_pairs_translate_titles_without_chinese(spark):
+    track = "title_id string, index int, kind string, codec string, lang string, title string, metadata map<string,string>"
+    probed = spark.createDataFrame([("a", 1, "Subtitle", "ass", "eng", "", {}), ("b", 1, "Subtitle", "ass", "eng", "", {}), ("b", 2, "Subtitle", "pgs", "chi", "", {})], track)
+    pictures = spark.createDataFrame([("b", 0, 0.0, 1.0, "好")], "title_id string, pos long, start double, end double, text string")
+    owners = spark.createDataFrame([("b", "b", 2)], "track_id string, title_id string, index int")
+    text = spark.createDataFrame([("a", 1, 0, 0.0, 1.0, "hi"), ("b", 1, 0, 0.0, 1.0, "well")], "title_id string, index int, pos long, start double, end double, text string")
+    cues = text.unionByName(jobs.picture_cues(pictures, owners))
+    out = jobs.track_pair_job(probed, cues, translate=lambda rows: rows.withColumn("zh", F.concat(F.lit("译"), "text")))
+    assert {(r.title_id, r.en.text, r.zh.text) for r in out["pairs"].collect()} == {("a", "hi", "译hi"), ("b", "well", "好")}
+    assert [r.title_id for r in out["untranslated"].collect()] == ["a"]
+    assert {(r.title_id, r.en.text) for r in jobs.track_pair_job(probed, cues)["pairs"].collect()} == {("b", "well")}
+
+
+def test_picture_cues_are_kept_if_as_many(spark):
+    frames_ = [(t, k, float(k), False, f"h{k}") for t in "xy" for k in range(3)]
+    pictures = spark.createDataFrame(frames_, "track_id string, seq long, pts double, is_empty boolean, image_hash string")
+    lines = spark.createDataFrame([(f"{t}/{k}", 0, 0.0, 0.0, f"{t}{k}") for t in "xy" for k in range(3)], "frame_id string, seq long, x double, y double, text string")
+    full = jobs.picture_job(pictures, lines)
+    cached = full.withColumn("text", F.concat(F.lit("old "), "text")).where("title_id = 'x' or pos < 2")
+    assert {(r.title_id, r.pos): r.text for r in jobs.picture_job(pictures, lines, cached=cached).collect()} == {**{("x", k): f"old x{k}" for k in range(3)}, **{("y", k): f"y{k}" for k in range(3)}}
+
+
+def test_embedded_job_drops_blank_cues_and_unreadable_tracks(spark):
+    track = "title_id string, index int, kind string, codec string, lang string, title string, metadata map<string,string>"
+    probed = spark.createDataFrame([("a", 1, "Subtitle", "ass", "fre", "", {}), ("b", 1, "Subtitle", "eia_608", "fre", "", {}), ("c", 1, "Subtitle", "ass", "", "", {})], track)
+    cues = spark.createDataFrame([("a", 1, 0, 0.0, 1.0, " "), ("a", 1, 1, 1.0, 2.0, "oui"), ("b", 1, 0, 0.0, 1.0, "non"), ("c", 1, 0, 0.0, 1.0, "\u3000")], "title_id string, index int, pos long, start double, end double, text string")
+    assert [tuple(r) for r in jobs.embedded_job(probed, cues, "fre").select("title_id", "pos", "text", "source_language").collect()] == [("a", 0, "oui", "fre")]
+    assert [(r.title_id, r.reason) for r in tracks.rejected(probed).collect()] == [("b", "unsupported codec eia_608")]
 
 
 def test_every_order_is_parsed(spark, sf):
