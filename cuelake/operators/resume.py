@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as X
@@ -22,6 +22,15 @@ def compatible(cached: DataFrame, cues: DataFrame, mode: str | None = None) -> D
     return rows.groupBy("title_id").agg(F.count("*").alias("cached_rows"), F.bool_and(F.coalesce(same, F.lit(False))).alias("fits"))
 
 
+def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows stored under ``path``, as far as they can be read: no rows if nothing is there, files that are
+    broken or hold other types are left out, columns that a file lacks are null."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+
+
 def remaining(cues: DataFrame, cached: DataFrame, size: int, mode: str | None = None) -> DataFrame:
     """Cues from the first batch that is not wholly stored; titles whose store does not fit start anew."""
     done = compatible(cached, cues, mode).where("fits").select("title_id", (F.col("cached_rows") - F.col("cached_rows") % size).alias("_cut"))

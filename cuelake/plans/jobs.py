@@ -277,6 +277,24 @@ def picture_cues(cues: DataFrame, owners: DataFrame) -> DataFrame:
     return cues.withColumnRenamed("title_id", "track_id").join(owners, "track_id").drop("track_id")
 
 
+def name_titles(listing: DataFrame, model: Model, store: Callable[[DataFrame, str], DataFrame], tag: str, cached: DataFrame | None = None, attempts: int = batch.ATTEMPTS, pause: float = batch.PAUSE) -> DataFrame:
+    """(path, modificationTime, model, movie_name, series_name, name_source) of the files in ``listing``.
+
+    The model named ``tag`` is asked for each file that ``cached``, an earlier result, does not hold under
+    the same path, time and model. A file whose replies never parse is named by its file name.
+    """
+    key = ["path", "modificationTime", "model"]
+    files = listing.select("path", "modificationTime", F.lit(tag).alias("model")).distinct()
+    left = files if cached is None else files.join(cached.select(*key), key, "left_anti")
+    keys = '{"series_name": "...", "movie_name": "...", "kind": "movie or series"}'
+    prompt = F.concat(F.lit("Name the film or the series and its episode that this file holds, without release tags; keep episode marks.\n\n"), X.file_name(F.col("path")), F.lit(f"\n\nAnswer with one JSON object {keys} and nothing else."))
+    asked = left.select(F.col("path").alias("title_id"), F.lit(0).cast("long").alias("batch_id"), prompt.alias("prompt"))
+    replies = store(batch.run_model(asked, model, attempts, pause, abort=False), "names").select(F.col("title_id").alias("path"), "raw")
+    named = batch.parse_names(left.join(replies, "path")).select(*key, "movie_name", "series_name", "name_source")
+    kept = None if cached is None else files.join(cached.select(*named.columns), key)
+    return named if kept is None else named.unionByName(kept.select(*named.columns))
+
+
 def analysis(listing: DataFrame, probed: DataFrame, cues: DataFrame, cached: DataFrame) -> DataFrame:
     """One row a title: main video, number of sidecars and the best, tracks, progress, guessed source.
 

@@ -495,6 +495,32 @@ def test_frames_and_reports(spark):
     assert {r.run_id: r.stage for r in report.stages(log, running).collect()} == {"r": 0, "s": 0, "q": -1}
 
 
+def test_names_are_asked_once_a_path_time_and_model(spark, tmp_path):
+    listing = spark.createDataFrame([("/l/A.Film.1080p.mkv", 1), ("/l/show.s01.mkv", 2), ("/l/odd.file.mkv", 3)], "path string, modificationTime long").withColumn("modificationTime", F.timestamp_seconds("modificationTime"))
+
+    def reply(prompt, before):
+        return "no" if "odd" in prompt else json.dumps({"series_name": "S", "movie_name": "A Film" if "Film" in prompt else "Pilot", "kind": "movie" if "Film" in prompt else "series"})
+
+    first = jobs.name_titles(listing, counted(tmp_path / "a", reply), store, "m", pause=0.0).cache()
+    want = {"/l/A.Film.1080p.mkv": ("A Film", "A Film", "model"), "/l/show.s01.mkv": ("Pilot", "S", "model"), "/l/odd.file.mkv": ("odd file", "odd file", "heuristic")}
+    assert {r.path: (r.movie_name, r.series_name, r.name_source) for r in first.collect()} == want
+    assert len((tmp_path / "a").read_text().split()) == 5
+    later = listing.withColumn("modificationTime", F.when(F.col("path").contains("show"), F.timestamp_seconds(F.lit(9))).otherwise(F.col("modificationTime")))
+    again = jobs.name_titles(later, counted(tmp_path / "b", reply), store, "m", cached=first, pause=0.0)
+    assert {r.path: (r.movie_name, r.series_name, r.name_source) for r in again.collect()} == want
+    assert len((tmp_path / "b").read_text().split()) == 1
+    jobs.name_titles(later, counted(tmp_path / "c", reply), store, "other", cached=first, pause=0.0).collect()
+    assert len((tmp_path / "c").read_text().split()) == 5
+
+
+def test_stored_state_that_cannot_be_read_is_left_out(spark, tmp_path):
+    schema = "title_id string, pos long, text string"
+    assert resume.read_stored(spark, str(tmp_path / "none"), schema).count() == 0
+    spark.createDataFrame([("t", 0, "x")], schema).coalesce(1).write.parquet(str(tmp_path / "s"))
+    (tmp_path / "s" / "part-broken.parquet").write_bytes(b"PAR1 no table")
+    assert [tuple(r) for r in resume.read_stored(spark, str(tmp_path / "s"), schema + ", more int").collect()] == [("t", 0, "x", None)]
+
+
 @pytest.fixture(scope="session")
 def duck(sf):
     con = duckdb.connect()
