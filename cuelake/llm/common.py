@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,17 +62,59 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def write_shared(df: DataFrame, name: str) -> str:
+#: Rows of an Arrow batch while a table is stored: texts of kilobytes then take megabytes in a worker.
+STORED_BATCH = 1000
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = STORED_BATCH) -> Iterator[None]:
+    """Arrow batches of at most ``rows`` rows for the actions inside; the session's own setting comes back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    if 0 < int(own) <= rows:
+        yield
+        return
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
+_scratch: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside are deleted at the end, but for those that are stored to be kept."""
+    paths: list[str] = []
+    token = _scratch.set(paths)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        for path in paths:
+            drop_path(spark, path)
+
+
+def write_shared(df: DataFrame, name: str, keep: bool = False) -> str:
     """Write ``df`` as Parquet into the shared folder and return the new path."""
     path = f"{shared_dir(df.sparkSession)}/cuelake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    paths = _scratch.get()
+    if paths is not None and not keep:
+        paths.append(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: a table in the shared folder, read back. Lost executors do not lose it."""
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Cut the lineage: a table in the shared folder, read back. Lost executors do not lose it.
+
+    Inside ``scratch`` it is deleted at its end, unless ``keep`` says that a lazy result still reads it.
+    """
     schema = df.schema
-    return df.sparkSession.read.schema(schema).parquet(write_shared(df, name))
+    return df.sparkSession.read.schema(schema).parquet(write_shared(df, name, keep))
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

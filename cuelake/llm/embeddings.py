@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import connected_components, materialize, without
+from cuelake.llm.common import connected_components, materialize, scratch, without
 from cuelake.llm.vptree import Union
 
 TABLES = 4
@@ -61,18 +61,20 @@ def _matrix(vectors) -> np.ndarray:
     return np.array([np.asarray(v, dtype=np.float64) for v in vectors])
 
 
-def _dealt(classes: DataFrame, hashes: int) -> DataFrame:
-    @F.arrow_udf("array<struct<t:int,code:long>>")
+def _probed(classes: DataFrame, hashes: int) -> DataFrame:
+    """classes with ``codes``: for each table the buckets of the vector."""
+
+    @F.arrow_udf("array<array<long>>")
     def probes(vectors: pa.Array) -> pa.Array:
         rows = vectors.to_pylist()
         out: list = [None] * len(rows)
         for width in {len(r) for r in rows}:
             at = [k for k, r in enumerate(rows) if len(r) == width]
             for k, codes in zip(at, buckets(_matrix([rows[k] for k in at]), hashes)):
-                out[k] = [{"t": t, "code": int(c)} for t, row in enumerate(codes) for c in row]
-        return pa.array(out, type=pa.list_(pa.struct([("t", pa.int32()), ("code", pa.int64())])))
+                out[k] = list(codes)
+        return pa.array(out, type=pa.list_(pa.list_(pa.int64())))
 
-    return classes.select("cid", "label", "dim", F.inline(probes(F.col("vec"))))
+    return classes.withColumn("codes", probes(F.col("vec")))
 
 
 def _compare(left: pd.DataFrame, right: pd.DataFrame | None, t: int, code: int, cosine: float, codes: dict, union: Union, links: np.ndarray) -> None:
@@ -100,7 +102,7 @@ def _compare(left: pd.DataFrame, right: pd.DataFrame | None, t: int, code: int,
         np.add.at(links, j, weight[i])
 
 
-def _linker(cosine: float, hashes: int):
+def _linker(cosine: float):
     def link(rows: pd.DataFrame) -> pd.DataFrame:
         first = rows.drop_duplicates("cid")
         cid = first["cid"].to_numpy()
@@ -113,7 +115,7 @@ def _linker(cosine: float, hashes: int):
             spot = pd.Series(np.arange(len(mine)), index=mine["cid"])
             place = np.full(len(cid), -1)
             place[part.drop_duplicates("cid")["at"]] = spot.loc[part.drop_duplicates("cid")["cid"]]
-            codes = {"x": x, "norm": norm, "unit": x / norm[:, None], "n": mine["n"].to_numpy(), "probed": buckets(x, hashes)}
+            codes = {"x": x, "norm": norm, "unit": x / norm[:, None], "n": mine["n"].to_numpy(), "probed": np.array([list(c) for c in mine["codes"]])}
             own_union, own_links = Union(len(mine)), np.zeros(len(mine), dtype=np.int64)
             part = part.assign(at=place[part["at"].to_numpy()])
             bucket_key = ["label", "t", "code", "lo", "hi"]
@@ -150,11 +152,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     reachable, itself included; kept marks the row of that id (all its rows if the id is repeated). Rows
     with a null id link but name no component. An empty table gives no rows.
     """
+    with scratch(vectors.sparkSession):
+        told = materialize(_classes(vectors, cosine, id_col, vector_col, label_col), "told", keep=True)
+    rows = without(vectors, "n_links", "component_id", "kept").withColumn("label", F.col(label_col)).withColumn("vec", F.col(vector_col))
+    found = rows.join(told.withColumn("told", F.lit(True)), ["label", "vec"], "left")
+    component = F.when(F.col("told"), F.col("component_id")).otherwise(F.col(id_col))
+    found = found.select(F.col(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return found.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+
+
+def _classes(vectors: DataFrame, cosine: float, id_col: str, vector_col: str, label_col: str) -> DataFrame:
+    """(label, vec, n_links, component_id) of the distinct comparable vectors."""
     classes = _labelled_classes(vectors, id_col, vector_col, label_col)
     most = classes.groupBy("label", "dim").count().agg(F.max("count"), F.min("dim")).first()
     # one hash more than names as many buckets as vectors: unrelated vectors then rarely meet, at any size
     hashes = 1 + max(1, math.ceil(math.log(max(2, most[0] or 0)) / math.log(2 * max(2, most[1] or 2))))
-    dealt = materialize(_dealt(classes, hashes), "probes")
+    probed = materialize(_probed(classes, hashes), "probes")
+    dealt = probed.select("cid", "label", "dim", F.posexplode("codes").alias("t", "row")).select("cid", "label", "dim", "t", F.explode("row").alias("code"))
     bucket = ["label", "dim", "t", "code"]
     sizes = dealt.groupBy(*bucket).agg(F.count("*").alias("size")).where("size > 1")
     met = dealt.join(sizes, bucket).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -163,15 +177,10 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, id_col: str = "vec
     met = materialize(met, "met")
     tasks = max(1, math.ceil(met.count() / TASK_ROWS))
     met = met.withColumn("task", F.pmod(F.xxhash64(*bucket, "lo", "hi"), F.lit(tasks)))
-    pairs = met.join(classes.select("cid", "vec", "n"), "cid").groupBy("task").applyInPandas(_linker(cosine, hashes), "u long, v long, links long")
+    pairs = met.join(probed.select("cid", "vec", "n", "codes"), "cid").groupBy("task").applyInPandas(_linker(cosine), "u long, v long, links long")
     pairs = materialize(pairs, "links")
     member = connected_components(pairs.select("u", "v")).withColumnRenamed("node", "cid")
     counted = pairs.groupBy(F.col("u").alias("cid")).agg(F.sum("links").alias("links"))
     classes = classes.join(counted, "cid", "left").join(member, "cid", "left").withColumn("root", F.coalesce("root", F.col("cid")))
     named = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    told = classes.join(named, "root").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
-    rows = without(vectors, "n_links", "component_id", "kept").withColumn("label", F.col(label_col)).withColumn("vec", F.col(vector_col))
-    found = rows.join(told.withColumn("told", F.lit(True)), ["label", "vec"], "left")
-    component = F.when(F.col("told"), F.col("component_id")).otherwise(F.col(id_col))
-    found = found.select(F.col(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return found.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
+    return classes.join(named, "root").select("label", "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import materialize, without
+from cuelake.llm.common import fresh, materialize, maybe_broadcast, scratch, without
 
 BLANK = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -31,24 +31,34 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     also in rows without id. Null or empty texts are one empty line. Other lines keep their order. Columns
     of docs named like the added ones are replaced; an empty table stays empty.
 
-    The lines leave their documents only as 16-byte marks. Counting combines before each shuffle, a mark
-    that very many documents hold is spread by (mark, id) first, and texts move once at most: to meet the
-    marks that they lose. Copies of a row share one key, and meeting another row's marks is harmless, so
-    the 64-bit row key needs no check for collisions.
+    The lines leave their documents only as 16-byte marks with their positions. Counting combines before each
+    shuffle, a mark that very many documents hold is spread by (mark, id) first, and texts move once at most:
+    to meet the flags of the positions that they lose, one byte a line. Copies of a row share one key and so
+    their flags.
     """
     docs = without(docs, *({"kept_text", "n_lines", "n_dropped"} - {text_col, id_col}))
-    row = F.xxhash64(F.col(id_col), F.col(text_col))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.explode(F.split(text, "\n", -1)).alias("line"))
+    row, again, flags = fresh(docs, "row", "again", "flags")
+    # 128 bits, so that no two different rows share flags
+    keys = [F.xxhash64(F.col(id_col), F.lit(0), F.col(text_col)), F.xxhash64(F.col(text_col), F.lit(1), F.col(id_col))]
+    split = F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1)
+    with scratch(docs.sparkSession):
+        lost = materialize(_lost(docs, keys, split, id_col, min_docs, min_chars).toDF(row, again, flags), "lost-lines", keep=True)
+    whole = docs.withColumns({row: keys[0], again: keys[1]}).join(lost, [row, again], "left")
+    stays = F.filter(split, lambda _, i: F.substring(F.col(flags), i + 1, F.lit(1)) != F.lit(b"1"))
+    kept = F.when(F.col(flags).isNull(), F.col(text_col)).otherwise(F.array_join(stays, "\n"))
+    n_dropped = F.coalesce(F.octet_length(F.replace(F.col(flags).cast("string"), F.lit("0"))), F.lit(0)).cast("long")
+    whole = whole.withColumns({"n_lines": F.size(split).cast("long"), "n_dropped": n_dropped, "kept_text": F.coalesce(kept, F.lit(""))})
+    return whole.drop(row, again, flags)
+
+
+def _lost(docs: DataFrame, keys: list[Column], split: Column, id_col: str, min_docs: int, min_chars: int) -> DataFrame:
+    """(row, again, flags) of the rows that lose lines: a zero for each line that stays up to the last lost
+    one, a one for each lost."""
+    lines = docs.select(F.col(id_col).alias("id"), keys[0].alias("row"), keys[1].alias("again"), F.posexplode(split).alias("pos", "line"))
     bare = F.char_length(F.btrim("line", F.lit(BLANK)))
-    marks = materialize(lines.where(bare >= min_chars).select("id", "row", _mark(F.col("line")).alias("mark")), "line-marks")
+    marks = materialize(lines.where(bare >= min_chars).select("id", "row", "again", "pos", _mark(F.col("line")).alias("mark")), "line-marks")
     shared = marks.groupBy("mark", "id").agg(F.lit(1).alias("one")).groupBy("mark").agg(F.count("id").alias("n_docs"))
     shared = materialize(shared.where(F.col("n_docs") >= min_docs).select("mark"), "shared-lines")
-    lost = marks.join(shared, "mark", "left_semi").groupBy("row").agg(F.collect_set("mark").alias("lost"))
-    whole = docs.withColumn("_row", row).join(lost.withColumnRenamed("row", "_row"), "_row", "left").drop("_row")
-    split = F.split(text, "\n", -1)
-    stays = F.filter(split, lambda x: (F.char_length(F.btrim(x, F.lit(BLANK))) < min_chars) | ~F.array_contains(F.col("lost"), _mark(x)))
-    kept = F.when(F.col("lost").isNull(), split).otherwise(stays)
-    whole = whole.withColumn("_kept", kept).withColumn("n_lines", F.size(split).cast("long"))
-    whole = whole.withColumn("n_dropped", F.col("n_lines") - F.size("_kept")).withColumn("kept_text", F.array_join("_kept", "\n"))
-    return whole.drop("_kept", "lost")
+    lost = marks.join(maybe_broadcast(shared), "mark", "left_semi").groupBy("row", "again").agg(F.array_sort(F.collect_set("pos")).alias("lost"))
+    run = F.transform("lost", lambda p, i: F.concat(F.repeat(F.lit("0"), p - F.when(i > 0, F.col("lost")[i - 1]).otherwise(-1) - 1), F.lit("1")))
+    return lost.select("row", "again", F.array_join(run, "").cast("binary").alias("flags"))

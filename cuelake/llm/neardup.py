@@ -1,11 +1,12 @@
 """Near-duplicate documents by SimHash, verified: groups of a given Jaccard similarity of word shingles.
 
 A single 64-bit fingerprint at 4 bits finds copies that are all but equal. For a similarity of 0.8 this
-module takes a sketch of four 64-bit SimHashes and deals it out with the vantage-point trees of every
-band (six to a word): two texts of similarity 0.8 share a shard with a probability of 0.994, closer ones
-more surely. Shards give candidate clusters, and inside each cluster the shingle sets decide exactly.
-Pairs that never share a shard are found exactly by prefixes: sets of similarity s share one of their first
-n - ceil(s n) + 1 shingles under any one order, here those last that a sample of the texts holds most often.
+module takes a sketch of two 64-bit SimHashes and deals it out with vantage-point trees over bands of its
+bits, as wide as the number of texts asks for. Shards give candidate clusters, and inside each cluster the
+shingle sets decide. That finds most links and gathers the copies of a text; links that share no shard are
+found exactly by prefixes: under any one order of all shingles, two sets of similarity s share one of their
+first n - ceil(s n) + 1 shingles. The order is by the number of texts with shingles of the same hash cell,
+counted over all texts, so that passages which many texts share come last.
 """
 
 from __future__ import annotations
@@ -16,38 +17,57 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cuelake.llm import vptree
-from cuelake.llm.common import connected_components, materialize, values
-
-SKETCH_WORDS, BANDS, SHARD_CODES, MAX_DEPTH = 4, 6, 256, 12
-#: Bits of 256 in which the sketches of a candidate pair may differ: similarity 0.8 gives 39 +- 6, unrelated texts 128 +- 8.
-SKETCH_RADIUS = 64
-#: Sketches of a shard, and documents of a cluster, that one block holds; larger ones go block against block.
-SKETCH_BLOCK, DOC_BLOCK, SUB_BLOCK, COLUMNS = 8192, 2048, 256, 1 << 14
-#: Keys that are broadcast at most (16 bytes each); more are joined by a shuffle.
-BROADCAST_KEYS = 1_000_000
-#: Texts sampled for shingles that many texts hold, texts that must hold one, and shingles kept. They only set the order.
-SAMPLE_TEXTS, COMMON_TEXTS, COMMON_SHINGLES = 4000, 8, 50_000
+from cuelake.llm.common import connected_components, fresh, materialize, maybe_broadcast, scratch, values
+
+SKETCH_WORDS, SHARD_TEXTS = 2, 256
+#: Bits of 128 in which the sketches of a candidate pair may differ: similarity 0.8 gives 20 +- 4, unrelated texts 64 +- 6.
+SKETCH_RADIUS = 32
+#: Texts of a shard and of a cluster that are compared with each other at once. Larger ones are cut into blocks;
+#: LEADERS texts of it join every block, and links that this leaves out are the prefixes' to find.
+SHARD_BLOCK, DOC_BLOCK, LEADERS, SUB_BLOCK, COLUMNS = 4096, 512, 16, 256, 1 << 14
+#: Cells of the table of shingle counts: 4 MB a task, whatever the input.
+CELLS = 1 << 20
+#: Words whose hashes a worker remembers.
+MEMO_WORDS = 1 << 17
 SLACK = 1e-6
 _SUMS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)
+_MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_STEP, _END = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xBF58476D1CE4E5B9)
+
+
+class _Words(dict):
+    """Signed 64-bit hash of each word, remembered."""
+
+    def __missing__(self, word: bytes) -> int:
+        code = xxhash.xxh64_intdigest(word, 42)
+        code -= (code >> 63) << 64
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        self[word] = code
+        return code
+
+
+_WORDS = _Words()
 
 
 def shingles(raw: bytes, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words make one shingle, none make none."""
-    parts = raw.lower().split()
+    parts = raw.lower().split()  # bytes: A-Z only, and the ASCII white space only
     if not parts:
         return np.empty(0, dtype=np.uint64)
-    text, n = b" ".join(parts), len(parts)
-    if n <= words:
-        return np.array([xxhash.xxh64_intdigest(text, 42)], dtype=np.uint64)
-    size = np.fromiter(map(len, parts), dtype=np.int64, count=n) + 1
-    end = np.cumsum(size) - 1
-    start, digest = end - size + 1, xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(text[a:b], 42) for a, b in zip(start[: n - words + 1].tolist(), end[words - 1 :].tolist())], dtype=np.uint64))
+    each = np.fromiter(map(_WORDS.__getitem__, parts), dtype=np.int64, count=len(parts)).view(np.uint64)
+    width = min(words, len(parts))
+    runs = len(parts) - width + 1
+    code = np.full(runs, width, dtype=np.uint64)
+    for k in range(width):
+        code = (code ^ each[k : k + runs]) * _STEP
+        code ^= code >> np.uint64(32)
+    code *= _END
+    return np.unique(code ^ (code >> np.uint64(29)))
 
 
 def sketch(codes: np.ndarray) -> bytes:
@@ -60,7 +80,7 @@ def sketch(codes: np.ndarray) -> bytes:
         part, wide = codes[lo : lo + (1 << 14)], []
         for k in range(SKETCH_WORDS):
             x = (part ^ (part >> np.uint64(33))) * np.uint64(_MIX[k])
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(29))) * _END
             wide.append(x ^ (x >> np.uint64(32)))
         cells = np.stack(wide, axis=1).astype("<u8").view(np.uint8).reshape(len(part), -1) + place
         ones += np.bincount(cells.ravel(), minlength=len(ones))
@@ -68,52 +88,107 @@ def sketch(codes: np.ndarray) -> bytes:
     return np.packbits(set_bits, axis=1, bitorder="little").tobytes()
 
 
+def prefix(codes: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarray:
+    """The first shingles of a set by (count of its cell, code): one of them is in every similar set."""
+    if not len(codes):
+        return codes
+    n = len(codes) - math.ceil(similarity * len(codes) - SLACK) + 1
+    seen = counts[codes >> np.uint64(65 - len(counts).bit_length())]
+    if n >= len(codes):
+        return codes
+    # codes are sorted, so that a stable order settles equal counts
+    near = np.partition(seen, n - 1)[n - 1]
+    at = np.flatnonzero(seen <= near)
+    return codes[at[np.argsort(seen[at], kind="stable")[:n]]]
+
+
+def _summed(tables: DataFrame) -> DataFrame:
+    """One row a partition: the sum of its tables, which stream through."""
+
+    def add(batches):
+        total = np.zeros(CELLS, dtype=np.uint32)
+        for batch in batches:
+            for table in batch.column(0):
+                # counts beyond 32 bits stay at the top: they only set the order
+                more = np.frombuffer(table.as_buffer(), dtype=np.uint32)
+                total = np.where(total > ~more, np.uint32(0xFFFFFFFF), total + more)
+        yield pa.RecordBatch.from_pydict({"table": pa.array([total.tobytes()], pa.binary())})
+
+    return tables.mapInArrow(add, "table binary")
+
+
+def shingle_counts(docs: DataFrame, words: int, text_col: str = "text") -> np.ndarray:
+    """Texts with shingles of each of CELLS hash cells, over all rows; a table of fixed size."""
+    shift = np.uint64(65 - CELLS.bit_length())
+
+    def count(batches):
+        total, cells, size = np.zeros(CELLS, dtype=np.uint32), [], 0
+        for batch in batches:
+            for text in values(batch.column(0)):
+                cells.append((shingles((text or "").encode(), words) >> shift).astype(np.int64))
+                size += len(cells[-1])
+                if size > CELLS:
+                    total += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
+                    cells, size = [], 0
+        if cells:
+            total += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
+        yield pa.RecordBatch.from_pydict({"table": pa.array([total.tobytes()], pa.binary())})
+
+    tables = docs.select(F.col(text_col)).mapInArrow(count, "table binary")
+    tables = materialize(tables, "counts")
+    some = math.ceil(math.sqrt(max(1, tables.count())))  # two levels of sums, each of as many tables
+    rows = _summed(_summed(tables.repartition(some)).coalesce(1)).collect()  # one row of 4 CELLS bytes
+    return np.frombuffer(rows[0][0], dtype=np.uint32) if rows else np.zeros(CELLS, dtype=np.uint32)
+
+
 def _words(raw) -> np.ndarray:
     return np.frombuffer(b"".join(raw), dtype="<u8").reshape(-1, SKETCH_WORDS)
 
 
+def _in_blocks(rows: DataFrame, group: str, key: str, size: int) -> DataFrame:
+    """rows with the column block: groups of over ``size`` rows are cut into blocks by ``key``, and the LEADERS
+    rows with the least hash of their key are in every block of their group."""
+    large = materialize(rows.groupBy(group).count().where(F.col("count") > size).select(group, F.ceil(F.col("count") / size).cast("int").alias("blocks")), "large")
+    cut = rows.join(maybe_broadcast(large), group, "left")
+    own = cut.withColumn("block", F.coalesce(F.pmod(F.xxhash64(F.lit(1), key), F.col("blocks")), F.lit(0)).cast("int"))
+    first = F.row_number().over(Window.partitionBy(group).orderBy(F.xxhash64(key), key))
+    leaders = cut.where("blocks is not null").withColumn("nth", first).where(F.col("nth") <= LEADERS).drop("nth")
+    leaders = leaders.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    leaders = leaders.where(F.col("block") != F.pmod(F.xxhash64(F.lit(1), key), F.col("blocks")))
+    return own.unionByName(leaders).drop("blocks")
+
+
 def candidate_clusters(texts: DataFrame) -> DataFrame:
     """(node, root): clusters of the rows (rid, sketch) that shards find within SKETCH_RADIUS bits."""
-    total = texts.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total) / SHARD_CODES))))
-    trees = [(w, vptree.BandTree(mask, depth, 101 + 8 * w + k)) for w in range(SKETCH_WORDS) for k, mask in enumerate(vptree.bands(BANDS))]
+    depth = vptree.tree_depth(texts.count(), SHARD_TEXTS)
+    masks = vptree.bands(max(2, min(6, 64 // max(1, depth))))
+    trees = [(w, vptree.BandTree(mask, depth, 101 + 8 * w + k)) for w in range(SKETCH_WORDS) for k, mask in enumerate(masks)]
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("array<long>")
     def shards(rows: pa.Array) -> pa.Array:
         codes = _words(rows.to_pylist())
-        leaves = np.empty((len(codes), len(trees)), dtype=np.int32)
+        leaves = np.empty((len(codes), len(trees)), dtype=np.int64)
         for k, (w, tree) in enumerate(trees):
             row, leaf = tree.visit(codes[:, w], 0)
             leaves[row, k] = leaf + (k << depth)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(codes) + 1, dtype=np.int32) * len(trees)), pa.array(leaves.ravel()))
 
-    dealt = texts.select("rid", "sketch", F.explode(shards(F.col("sketch"))).alias("shard"))
-    # at most 24 * 2**MAX_DEPTH rows whatever the input, hence the broadcast
-    large = texts.select(F.explode(shards(F.col("sketch"))).alias("shard")).groupBy("shard").count().where(F.col("count") > SKETCH_BLOCK)
-    dealt = dealt.join(F.broadcast(large.select("shard", F.ceil(F.col("count") / SKETCH_BLOCK).cast("int").alias("blocks"))), "shard", "left")
+    dealt = materialize(texts.select("rid", "sketch", F.explode(shards(F.col("sketch"))).alias("shard")), "dealt")
 
     def links(rows: pd.DataFrame) -> pd.DataFrame:
         rid, codes = rows["rid"].to_numpy(), _words(rows["sketch"])
         union, n = vptree.Union(len(rid)), len(rid)
         step = max(1, vptree.CHUNK // max(1, n))
         for lo in range(0, n, step):
-            # half the words leave few pairs to compare in full
-            half = sum(np.bitwise_count(codes[lo : lo + step, w][:, None] ^ codes[None, lo:, w]).astype(np.uint8) for w in (0, 1))
-            i, j = np.nonzero(half <= SKETCH_RADIUS)
+            # the first word leaves few pairs to compare in full
+            i, j = np.nonzero(np.bitwise_count(codes[lo : lo + step, 0][:, None] ^ codes[None, lo:, 0]) <= SKETCH_RADIUS * 3 // 4)
             i, j = i[i < j] + lo, j[i < j] + lo
             far = np.bitwise_count(codes[i] ^ codes[j]).sum(axis=1)
             union.add(i[far <= SKETCH_RADIUS], j[far <= SKETCH_RADIUS])
         moved = np.flatnonzero(union.root != np.arange(n))
         return pd.DataFrame({"u": rid[moved], "v": rid[union.root[moved]]})
 
-    return connected_components(_in_blocks(dealt, "rid").groupBy("shard", "lo", "hi").applyInPandas(links, "u long, v long"))
-
-
-def _in_blocks(rows: DataFrame, key: str) -> DataFrame:
-    """rows with lo and hi added, once for each pair of blocks that the row's own block takes part in."""
-    rows = rows.withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")).drop("blocks", "own", "other")
+    return connected_components(_in_blocks(dealt, "shard", "rid", SHARD_BLOCK).groupBy("shard", "block").applyInPandas(links, "u long, v long"))
 
 
 def similar_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -149,58 +224,36 @@ def similar_forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
                 y[their_row[inside], at[inside] - lo] = 1
                 both += x @ y.T
             either = size[a : a + na][:, None] + size[b : b + nb][None, :] - both
-            i, j = np.nonzero((both >= similarity * either - 1e-6) & (either > 0))
+            i, j = np.nonzero((both >= similarity * either - SLACK) & (either > 0))
             union.add(i + a, j + b)
         place[columns] = -1
     return union.root
 
 
-def _maybe_broadcast(keys: DataFrame) -> DataFrame:
-    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
-
-
-def prefix(codes: np.ndarray, similarity: float, common: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """The first shingles of a set by (times seen in the sample, code): one of them is in every similar set."""
-    if not len(codes):
-        return codes
-    n = len(codes) - math.ceil(similarity * len(codes) - SLACK) + 1
-    if not len(common):
-        return codes[:n]
-    at = np.minimum(np.searchsorted(common, codes), len(common) - 1)
-    return codes[np.argsort(np.where(common[at] == codes, seen[at], 0), kind="stable")[:n]]
-
-
-def common_shingles(docs: DataFrame, words: int, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that COMMON_TEXTS or more of the sampled distinct texts hold, and how many do."""
-
-    @F.arrow_udf("array<long>")
-    def codes(texts: pa.Array) -> pa.Array:
-        return pa.array([shingles((t or "").encode(), words).view(np.int64) for t in values(texts)], pa.list_(pa.int64()))
-
-    text = F.col(text_col)
-    part = docs.select(text.alias("text")).where(F.pmod(F.xxhash64(text), F.lit(max(1, docs.count() // SAMPLE_TEXTS))) == 0).distinct()
-    counts = part.select(F.explode(codes("text")).alias("code")).groupBy("code").count().where(F.col("count") >= COMMON_TEXTS)
-    top = counts.orderBy(F.desc("count"), "code").limit(COMMON_SHINGLES).collect()
-    code, seen = np.array([r[0] for r in top], dtype=np.int64).view(np.uint64), np.array([r[1] for r in top], dtype=np.int64)
-    order = np.argsort(code)
-    return code[order], seen[order]
-
-
 def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b, a_group, b_group): all pairs of the rows (rid, group, size, prefix) in different groups that
-    can be similar. Of one prefix all shingles are known to be in the other set or not, that which ends
-    first; so a pair must share as many as one of the two prefixes asks for."""
+    can be similar.
+
+    Of one prefix all shingles are known to be in the other set or not, that which ends first; so a pair
+    must share as many as one of the two prefixes asks for. Of the rows with a key those of its largest
+    group are never paired among themselves, so a group of very many copies costs only what others share with it.
+    """
     keys = texts.select("rid", "group", "size", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    live = materialize(keys.join(_maybe_broadcast(materialize(shared, "shared-keys")), "key"), "keys")
-    a, b = (live.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "group", "size")]) for side in "ab")
+    live = materialize(keys.join(maybe_broadcast(materialize(shared, "shared-keys")), "key"), "keys")
+    most = live.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("largest"))
+    live = materialize(live.join(most, "key").withColumn("inner", F.col("group") == F.col("largest")).drop("largest"), "live-keys")
+    a, b = (live.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "group", "size", "inner")]) for side in "ab")
     least = lambda n: F.ceil(n * similarity - SLACK)
-    fits = (F.col("a_size") >= least(F.col("b_size"))) & (F.col("b_size") >= least(F.col("a_size")))
-    met = a.join(b, (a["key"] == b["key"]) & (F.col("a_rid") < F.col("b_rid")) & (F.col("a_group") != F.col("b_group")) & fits)
-    pairs = met.groupBy("a_rid", "b_rid", "a_group", "b_group", "a_size", "b_size").agg(F.count("*").alias("both"))
-    need = F.ceil(((F.col("a_size") + F.col("b_size")) * similarity - SLACK) / (1 + similarity))
-    asked = need - F.greatest(least(F.col("a_size")), least(F.col("b_size"))) + 1
-    return pairs.where(F.col("both") >= asked).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"), "a_group", "b_group")
+    fits = (F.col("a_size") >= least(F.col("b_size"))) & (F.col("b_size") >= least(F.col("a_size"))) & (F.col("a_group") != F.col("b_group"))
+    b = b.where("not b_inner")
+    met = a.where("a_inner").join(b, "key").where(fits).unionByName(a.where("not a_inner").join(b, "key").where((F.col("a_rid") < F.col("b_rid")) & fits))
+    low, high = F.col("a_rid") < F.col("b_rid"), lambda x: F.struct(F.col(f"{x}_rid").alias("rid"), F.col(f"{x}_group").alias("group"), F.col(f"{x}_size").alias("size"))
+    met = met.select(F.when(low, high("a")).otherwise(high("b")).alias("a"), F.when(low, high("b")).otherwise(high("a")).alias("b"))
+    pairs = met.groupBy(F.col("a.rid").alias("a_rid"), F.col("b.rid").alias("b_rid")).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.count("*").alias("both"))
+    need = F.ceil(((F.col("a.size") + F.col("b.size")) * similarity - SLACK) / (1 + similarity))
+    asked = need - F.greatest(least(F.col("a.size")), least(F.col("b.size"))) + 1
+    return pairs.where(F.col("both") >= asked).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"), F.col("a.group").alias("a_group"), F.col("b.group").alias("b_group"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,13 +262,19 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
     Two texts are linked if the sets of their word shingles (A-Z lower-cased, ASCII white space between
     words) have Jaccard similarity ``similarity`` or more; a group is what links connect. Null and wordless
     texts are copies of each other. Rows without id stay only if no row of their group has one; of repeated
-    rows one stays. All columns are kept; an empty table stays empty. docs should be a stored table, as it
-    is read several times.
+    rows one stays. All columns are kept, whatever their names; an empty table stays empty. docs should be
+    a stored table, as it is read several times.
     """
-    text = F.col(text_col)
-    keyed = docs.withColumn("_k1", F.xxhash64(F.col(id_col), text)).withColumn("_k2", F.hash(text, F.col(id_col)))
+    with scratch(docs.sparkSession):
+        key, gone, again = _decide(docs, words, similarity, id_col, text_col)
+    return _select(docs, key, gone, again)
+
 
-    common, seen = common_shingles(docs, words, text_col)
+def _decide(docs: DataFrame, words: int, similarity: float, id_col: str, text_col: str) -> tuple[list[Column], DataFrame, DataFrame]:
+    """(key, gone, again): the key of each row, the stored keys of rows to drop and of repeated rows."""
+    docs_key = [F.xxhash64(F.col(id_col), F.col(text_col)), F.hash(F.col(text_col), F.col(id_col))]
+    keyed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), docs_key[0].alias("k1"), docs_key[1].alias("k2"))
+    counts = docs.sparkSession.sparkContext.broadcast(shingle_counts(docs, words, text_col))  # 4 CELLS bytes
 
     @F.arrow_udf("struct<copy:binary,sketch:binary,size:int,prefix:array<long>>")
     def marks(texts: pa.Array) -> pa.Array:
@@ -226,25 +285,32 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
             copies.append(xxhash.xxh3_128_digest(b" ".join(raw.lower().split())))
             sketches.append(sketch(codes))
             sizes.append(len(codes))
-            firsts.append(prefix(codes, similarity, common, seen).view(np.int64))
-        arrays = [pa.array(copies, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))]
-        return pa.StructArray.from_arrays(arrays, names=["copy", "sketch", "size", "prefix"])
+            firsts.append(prefix(codes, similarity, counts.value).view(np.int64))
+        ends = np.zeros(len(firsts) + 1, dtype=np.int32)
+        np.cumsum([len(x) for x in firsts], out=ends[1:])
+        flat = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts) if firsts else np.empty(0, dtype=np.int64)))
+        return pa.StructArray.from_arrays([pa.array(copies, pa.binary()), pa.array(sketches, pa.binary()), pa.array(sizes, pa.int32()), flat], names=["copy", "sketch", "size", "prefix"])
 
     @F.arrow_udf("binary")
     def sets(texts: pa.Array) -> pa.Array:
         return pa.array([shingles((t or "").encode(), words).tobytes() for t in values(texts)], pa.binary())
 
-    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), "_k1", "_k2")
-    rows = materialize(keyed.select(order.alias("who"), marks(text).alias("m")).select("who", "m.*"), "marks")
+    def sets_of(rows: DataFrame) -> DataFrame:
+        """rows (k1, k2, ...) with the shingle set of their text; repeated rows of docs come repeatedly."""
+        found = keyed.select("k1", "k2", "text").join(maybe_broadcast(rows), ["k1", "k2"])
+        return found.select(*[c for c in rows.columns if c not in ("k1", "k2")], sets(F.col("text")).alias("set"))
+
+    def components(edges: DataFrame, name: str, *columns: str) -> DataFrame:
+        return materialize(connected_components(edges).select(F.col("node").alias(columns[0]), F.col("root").alias(columns[1])), name)
+
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "k1", "k2")
+    rows = materialize(keyed.select(order.alias("who"), marks(F.col("text")).alias("m")).select("who", "m.*"), "marks")
     texts = rows.groupBy("copy").agg(F.min("who").alias("who"), *[F.first(c).alias(c) for c in ("sketch", "size", "prefix")])
     texts = materialize(texts.withColumn("rid", F.monotonically_increasing_id()), "texts")
-    cluster = candidate_clusters(texts.select("rid", "sketch"))
-    cluster = materialize(cluster.select(F.col("node").alias("rid"), "root"), "clusters")
-    sizes = cluster.groupBy("root").count().where(F.col("count") > DOC_BLOCK).select("root", F.ceil(F.col("count") / DOC_BLOCK).cast("int").alias("blocks"))
-    member = materialize(cluster.join(sizes, "root", "left").join(texts.select("rid", "who._k1", "who._k2"), "rid"), "members")
-    # a repeated row comes twice here; verify() takes each text once
-    found = keyed.select("_k1", "_k2", text.alias("_text")).join(_maybe_broadcast(member), ["_k1", "_k2"])
-    found = found.select("rid", "root", "blocks", sets(F.col("_text")).alias("set"))
+    place = texts.select("rid", "who.k1", "who.k2")
+
+    cluster = materialize(candidate_clusters(texts.select("rid", "sketch")).select(F.col("node").alias("rid"), "root"), "clusters")
+    member = materialize(_in_blocks(cluster, "root", "rid", DOC_BLOCK).join(place, "rid"), "members")
 
     def verify(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("rid")
@@ -253,34 +319,38 @@ def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.
         moved = np.flatnonzero(root != np.arange(len(rid)))
         return pd.DataFrame({"u": rid[moved], "v": rid[root[moved]]})
 
-    links = _in_blocks(found, "rid").groupBy("root", "lo", "hi").applyInPandas(verify, "u long, v long")
-    group = materialize(connected_components(links).select(F.col("node").alias("rid"), F.col("root").alias("group")), "groups")
-    texts = texts.join(_maybe_broadcast(group), "rid", "left").withColumn("group", F.coalesce("group", F.col("rid")))
+    group = components(sets_of(member).groupBy("root", "block").applyInPandas(verify, "u long, v long"), "groups", "rid", "group")
+    texts = materialize(texts.join(maybe_broadcast(group), "rid", "left").select("rid", "who", "size", "prefix", F.coalesce("group", "rid").alias("group")), "grouped")
+
     pairs = materialize(prefix_pairs(texts, similarity), "pairs")
-    asked = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(texts.select("rid", "who._k1", "who._k2"), "rid")
-    asked = keyed.select("_k1", "_k2", text.alias("_text")).join(_maybe_broadcast(materialize(asked, "asked")), ["_k1", "_k2"])
-    asked = materialize(asked.dropDuplicates(["rid"]).select("rid", sets(F.col("_text")).alias("set")), "sets")
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(place, "rid"), "asked")
+    asked = materialize(sets_of(asked).dropDuplicates(["rid"]), "sets")
 
     @F.arrow_udf("boolean")
     def similar(left: pa.Array, right: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(left.to_pylist(), right.to_pylist()):
-            x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+        for x, y in zip(left, right):
+            x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
             both = len(np.intersect1d(x, y, assume_unique=True))
             out.append(both >= similarity * (len(x) + len(y) - both) - SLACK)
         return pa.array(out, pa.bool_())
 
     pairs = pairs.join(asked.toDF("a", "a_set"), "a").join(asked.toDF("b", "b_set"), "b").where(similar("a_set", "b_set"))
-    more = connected_components(pairs.select(F.col("a_group").alias("u"), F.col("b_group").alias("v")))
-    more = materialize(more.select(F.col("node").alias("group"), "root"), "more-groups")
-    texts = texts.join(_maybe_broadcast(more), "group", "left").withColumn("group", F.coalesce("root", "group"))
-    best = texts.groupBy("group").agg(F.min("who").alias("who")).select("who._k1", "who._k2")
-    key = ["_k1", "_k2"]
-    every = rows.select("who._k1", "who._k2").groupBy(*key).agg(F.count("*").alias("n"))
-    gone = materialize(every.join(best, key, "left_anti").select(*key), "gone")
-    again = materialize(every.where("n > 1").select(*key), "repeated")
-    kept = keyed.join(_maybe_broadcast(gone), key, "left_anti")
-    once = kept.join(_maybe_broadcast(again), key, "left_anti")
-    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
-    more = kept.join(_maybe_broadcast(again), key, "left_semi").withColumn("_nth", first).where("_nth = 1").drop("_nth")
-    return once.unionByName(more).drop(*key)
+    more = components(pairs.select(F.col("a_group").alias("u"), F.col("b_group").alias("v")), "more-groups", "group", "root")
+    texts = texts.select("rid", "who", "group", "size").join(maybe_broadcast(more), "group", "left").withColumn("group", F.coalesce("root", "group"))
+    best = texts.groupBy("group").agg(F.min("who").alias("who")).select("who.k1", "who.k2")
+    every = rows.select("who.k1", "who.k2").groupBy("k1", "k2").agg(F.count("*").alias("n"))
+    gone = materialize(every.join(best, ["k1", "k2"], "left_anti").select("k1", "k2"), "gone", keep=True)
+    again = materialize(every.where("n > 1").select("k1", "k2"), "repeated", keep=True)
+    return docs_key, gone, again
+
+
+def _select(docs: DataFrame, key: list[Column], gone: DataFrame, again: DataFrame) -> DataFrame:
+    """docs less the rows whose key is in gone, one row of each key in again."""
+    k1, k2, nth = fresh(docs, "k1", "k2", "nth")
+    named = lambda keys: maybe_broadcast(keys.toDF(k1, k2))
+    kept = docs.withColumns({k1: key[0], k2: key[1]}).join(named(gone), [k1, k2], "left_anti")
+    once = kept.join(named(again), [k1, k2], "left_anti")
+    first = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(1)))
+    more = kept.join(named(again), [k1, k2], "left_semi").withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
+    return once.unionByName(more).select(*[f"`{c}`" for c in docs.columns])

@@ -2,15 +2,14 @@
 
 The fingerprints are dealt out to shards by vantage-point trees. Under the plain 64-bit distance a tree
 would put most points on both sides of every boundary (random codes lie 32 +- 4 from any vantage point),
-so each tree measures the distance over one band of the bits: of ``BANDS`` bands, one holds at most
-radius // BANDS of the differing bits, and the tree of that band brings the two codes together. Inside a
-shard a second vantage-point tree over all 64 bits finds the links.
+so each tree measures the distance over some of the bits, and the trees' bits are chosen so that one of
+them sees no difference within any linked pair and brings its two codes into one shard. How many bits a
+tree sees, how deep it is and how many trees there are follow from the number of codes, so that shards stay
+of one size. Inside a shard a second vantage-point tree over all 64 bits finds the links.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -19,13 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cuelake.llm import vptree
-from cuelake.llm.common import connected_components, materialize, values, without
+from cuelake.llm.common import connected_components, materialize, maybe_broadcast, scratch, values, without
 
-BANDS = 5
-#: Mean codes in a shard that the depth of the trees aims at, and the deepest tree. The depth bounds the
-#: table of shard sizes: BANDS * 2**MAX_DEPTH rows.
+#: Codes in a shard that the depth of the trees aims at.
 SHARD_CODES = 256
-MAX_DEPTH = 12
 #: A shard of more codes is split into blocks, and each pair of blocks is a task of its own.
 BLOCK = 16_384
 #: Shingles whose bits are counted at once.
@@ -63,38 +59,27 @@ def fingerprint(text: Column, words: int) -> Column:
     return codes(text)
 
 
-def _shards(depth: int, radius: int):
-    trees = [vptree.BandTree(mask, depth, 17 + k) for k, mask in enumerate(vptree.bands(BANDS))]
-
-    @F.arrow_udf("array<int>")
-    def shards(codes: pa.Array) -> pa.Array:
-        values = np.asarray(codes.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
-        rows, shard = [], []
-        for k, tree in enumerate(trees):
-            row, leaf = tree.visit(values, radius // BANDS)
-            rows.append(row)
-            shard.append(leaf + (k << depth))
-        row, shard = np.concatenate(rows), np.concatenate(shard)
-        order = np.argsort(row, kind="stable")
-        ends = np.zeros(len(values) + 1, dtype=np.int32)
-        np.cumsum(np.bincount(row, minlength=len(values)), out=ends[1:])
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(shard[order].astype(np.int32)))
-
-    return shards
-
-
 def code_links(codes: DataFrame, radius: int) -> DataFrame:
     """(u, v): links that join all distinct codes (column code, long) within ``radius`` bits.
 
     Every link of the full graph is implied: classes linked by these rows are the classes of the graph.
     Each task of a shard returns at most one row a code, never all pairs of a dense class.
     """
-    total = codes.count()
-    depth = min(MAX_DEPTH, max(0, math.ceil(math.log2(max(1, total) / SHARD_CODES))))
-    dealt = codes.select("code", F.explode(_shards(depth, radius)(F.col("code"))).alias("shard"))
-    # at most BANDS * 2**depth rows whatever the input, hence the broadcast
-    large = dealt.groupBy("shard").count().where(F.col("count") > BLOCK).select("shard", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    dealt = dealt.join(F.broadcast(large), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    depth = vptree.tree_depth(codes.count(), SHARD_CODES)
+    trees = [vptree.BandTree(mask, depth, 17 + k) for k, mask in enumerate(vptree.clean_masks(radius, depth))]
+
+    @F.arrow_udf("array<long>")
+    def shards(rows: pa.Array) -> pa.Array:
+        values = np.asarray(rows.to_numpy(zero_copy_only=False), dtype=np.int64).view(np.uint64)
+        leaves = np.empty((len(values), len(trees)), dtype=np.int64)
+        for k, tree in enumerate(trees):
+            row, leaf = tree.visit(values, 0)
+            leaves[row, k] = leaf + (k << depth)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(trees)), pa.array(leaves.ravel()))
+
+    dealt = codes.select("code", F.explode(shards(F.col("code"))).alias("shard"))
+    large = materialize(dealt.groupBy("shard").count().where(F.col("count") > BLOCK).select("shard", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-shards")
+    dealt = dealt.join(maybe_broadcast(large), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("code", "shard", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
@@ -112,13 +97,20 @@ def classes(codes: DataFrame, radius: int, id_col: str = "doc_id") -> DataFrame:
     name no class; a class of such rows only has a null component_id. Repeated rows stay repeated.
     """
     codes = without(codes, "component_id")
+    with scratch(codes.sparkSession):
+        # stored, so that Spark sees its size and may split the rows of a code that very many texts share
+        named = materialize(_named(codes, radius, id_col), "named", keep=True)
+    return codes.join(named, "code")
+
+
+def _named(codes: DataFrame, radius: int, id_col: str) -> DataFrame:
+    """(code, component_id) of the distinct codes."""
     distinct = materialize(codes.groupBy("code").agg(F.min(id_col).alias("low")), "codes")
     member = materialize(connected_components(code_links(distinct.select("code"), radius)), "classes")
     low = distinct.join(member.withColumnRenamed("node", "code"), "code").groupBy("root").agg(F.min("low").alias("class_low"))
     named = member.join(low, "root").select(F.col("node").alias("code"), "class_low", F.lit(True).alias("linked"))
-    named = distinct.join(named, "code", "left").select("code", F.when(F.col("linked"), F.col("class_low")).otherwise(F.col("low")).alias("component_id"))
-    # stored, so that Spark sees its size and may split the rows of a code that very many texts share
-    return codes.join(materialize(named, "named"), "code")
+    component = F.when(F.col("linked"), F.col("class_low")).otherwise(F.col("low"))
+    return distinct.join(named, "code", "left").select("code", component.alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, radius: int = 4) -> DataFrame:

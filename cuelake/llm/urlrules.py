@@ -13,7 +13,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import fresh, materialize, maybe_broadcast, without
+from cuelake.llm.common import fresh, materialize, maybe_broadcast, scratch, without
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: (verdict, host, path)
@@ -110,11 +110,12 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, default: st
     named = dict(zip(fresh(pages, *(f"page{k}" for k in range(len(pages.columns)))), pages.columns))
     judged = judge(pages.toDF(*named), next(new for new, old in named.items() if old.lower() == url_col.lower()), rules)
     labelled = judged.where("listed is not null").select("tokens", "listed")
-    known = materialize(items(labelled), "url-items")
-    mined = materialize(mine(labelled, known), "url-rules")
     rest = judged.where("listed is null")
-    # stored, so that a token set of very many URLs is no hot key: few sets are broadcast, many are split by Spark
-    verdicts = materialize(match(rest.select("tokens").distinct(), mined, known), "url-verdicts")
+    with scratch(pages.sparkSession):
+        known = materialize(items(labelled), "url-items")
+        mined = materialize(mine(labelled, known), "url-rules")
+        # stored, so that a token set of very many URLs is no hot key: few sets are broadcast, many are split by Spark
+        verdicts = materialize(match(rest.select("tokens").distinct(), mined, known), "url-verdicts", keep=True)
     rest = rest.join(maybe_broadcast(verdicts), "tokens", "left").withColumn("listed", F.coalesce("verdict", F.lit(default)))
     keep = [F.col(new).alias(old) for new, old in named.items()] + [F.col(c) for c in ("host", "path", "rule")] + [F.col("listed").alias("verdict")]
     return judged.where("listed is not null").select(*keep).unionByName(rest.select(*keep))

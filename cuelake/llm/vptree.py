@@ -7,6 +7,8 @@ point at distance d from the vantage can only be within r of points at distances
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,17 +25,37 @@ def bands(n_bands: int, bits: int = 64) -> list[np.uint64]:
     return [np.uint64(sum(1 << b for b in range(lo, hi))) for lo, hi in zip(edges, edges[1:])]
 
 
+def clean_masks(radius: int, width: int) -> list[np.uint64]:
+    """Masks of ``width`` bits or more (at most 32), one of which is clear of any ``radius`` differing bits.
+
+    Of radius + c bands at least c are untouched, so the unions of every c of them will do; c is the least
+    that gives the width.
+    """
+    c = 1
+    while 64 * c // (radius + c) < min(width, 32):
+        c += 1
+    parts = bands(radius + c)
+    return [np.bitwise_or.reduce(np.array(some, dtype=np.uint64)) for some in itertools.combinations(parts, c)]
+
+
+def _points(node: np.ndarray, seed: int) -> np.ndarray:
+    """A pseudo-random 64-bit point for each node number."""
+    x = (node.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed * 0xD1342543DE82EF95 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class BandTree:
     """A complete tree of ``depth`` levels over the bits in ``mask``.
 
-    Codes are majorities of hash bits, so any point serves as a vantage point: they come from a seeded
-    generator and the tree needs no pass over the data. mu is the median distance of two random points.
+    Codes are majorities of hash bits, so any point serves as a vantage point: each node's is computed
+    from its number, and the tree needs neither a pass over the data nor memory. mu is the median distance
+    of two random points.
     """
 
     def __init__(self, mask: np.uint64, depth: int, seed: int):
-        rng = np.random.default_rng(seed)
-        self.mask, self.depth = mask, depth
-        self.vantage = rng.integers(0, 1 << 63, size=(1 << depth) - 1, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size=(1 << depth) - 1, dtype=np.uint64)
+        self.mask, self.depth, self.seed = mask, depth, seed
         self.mu = (int(mask).bit_count() - 1) // 2
 
     def visit(self, codes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -43,12 +65,17 @@ class BandTree:
         """
         rows, node = np.arange(len(codes)), np.zeros(len(codes), dtype=np.int64)
         for _ in range(self.depth):
-            far = np.bitwise_count((codes[rows] ^ self.vantage[node]) & self.mask).astype(np.int64)
+            far = np.bitwise_count((codes[rows] ^ _points(node, self.seed)) & self.mask).astype(np.int64)
             inner, outer = far - radius <= self.mu, far + radius > self.mu
             rows, node = np.concatenate([rows[inner], rows[outer]]), np.concatenate([2 * node[inner] + 1, 2 * node[outer] + 2])
         return rows, node - ((1 << self.depth) - 1)
 
 
+def tree_depth(total: int, shard: int) -> int:
+    """Levels at which ``total`` codes make shards of ``shard`` codes, and a fifth more, as levels split unevenly."""
+    return math.ceil(1.2 * max(0.0, math.log2(max(1, total) / shard)))
+
+
 class Union:
     """Union-find over 0..n-1, merged by arrays of pairs; ``root`` is always fully compressed."""
 

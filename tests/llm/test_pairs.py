@@ -1,5 +1,6 @@
 """SimHash, near duplicates and embeddings against brute force over all pairs."""
 
+import math
 import random
 
 import numpy as np
@@ -103,6 +104,35 @@ def test_tree_visits_every_leaf_within_the_radius():
         assert all(home[k] in reach[k] for k in home)
 
 
+@pytest.mark.parametrize("radius", [1, 4])
+def test_one_mask_is_clear_of_any_difference(radius):
+    rng = np.random.default_rng(8)
+    for width in (5, 14, 20, 26, 32, 40):
+        masks = vptree.clean_masks(radius, width)
+        assert min(int(m).bit_count() for m in masks) >= min(width, 32) - 1
+        for _ in range(300):
+            apart = sum(1 << int(k) for k in rng.choice(64, size=radius, replace=False))
+            assert any(int(m) & apart == 0 for m in masks)
+
+
+def test_shards_stay_of_one_size():
+    """Codes that share a shard with a code, as the number of codes grows."""
+    rng = np.random.default_rng(6)
+    for n in (5_000, 50_000, 500_000):
+        codes = rng.integers(0, 1 << 63, size=n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, size=n, dtype=np.uint64)
+        depth = vptree.tree_depth(n, 256)
+        for mask in vptree.clean_masks(4, depth)[:3]:
+            _, leaf = vptree.BandTree(mask, depth, 17).visit(codes, 0)
+            assert (np.bincount(leaf).astype(float) ** 2).sum() / n < 1000
+    for n in (10**8, 10**9, 10**10):  # by the chance that two codes share a leaf, over their distance on the mask
+        depth = vptree.tree_depth(n, 256)
+        width = int(vptree.clean_masks(4, depth)[0]).bit_count()
+        points = rng.integers(0, 1 << width, size=20_000, dtype=np.uint64)
+        inner = lambda x: np.bitwise_count(points ^ np.uint64(x)) <= (width - 1) // 2
+        mates = sum(math.comb(width, t) / 2**width * (inner(0) == inner((1 << t) - 1)).mean() ** depth for t in range(width + 1))
+        assert n * mates < 2000
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(1, 60)] + [(100, 200), (200, 100), (7, 7), (None, 3), (300, -5)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -133,14 +163,15 @@ def near_texts(n, seed):
 
 
 def test_near_duplicates(spark, monkeypatch, tmp_path):
-    for name, size in (("SHARD_CODES", 16), ("SKETCH_BLOCK", 64), ("DOC_BLOCK", 50), ("SUB_BLOCK", 16), ("COLUMNS", 100)):
+    for name, size in (("SHARD_TEXTS", 16), ("SHARD_BLOCK", 40), ("DOC_BLOCK", 30), ("LEADERS", 2), ("SUB_BLOCK", 16), ("COLUMNS", 100)):
         monkeypatch.setattr(neardup, name, size)
     texts = [*near_texts(240, 1), None, "", "one two", "One  two", "one two three"]
     rows = [(k + 1, t) for k, t in enumerate(texts)] + [(None, texts[0]), (None, "quite alone here"), (1, texts[0])]
-    spark.createDataFrame([(i, t, "c", 2) for i, t in rows], "doc_id long, text string, rid string, _extra int").write.parquet(str(tmp_path / "d"))
+    clash = "rid string, k1 int, K2 int, nth string, _k1 int, `a.b` int"
+    spark.createDataFrame([(i, t, "c", 2, 3, "n", 5, 6) for i, t in rows], f"doc_id long, text string, {clash}").write.parquet(str(tmp_path / "d"))
     docs = spark.read.parquet(str(tmp_path / "d"))
     kept = neardup.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {tuple(r)[2:] for r in kept.collect()} == {("c", 2, 3, "n", 5, 6)}
     root = jaccard_groups([t for _, t in rows], 5, 0.8)
     want = {}
     for k, (i, _) in enumerate(rows):
@@ -201,7 +232,7 @@ def test_embeddings_query(spark, sf):
 
 
 def test_near_duplicates_that_no_shard_brings_together(spark, monkeypatch, tmp_path):
-    """Exact without the trees, with and without common shingles put last."""
+    """Exact without the trees, whatever the order of the shingles."""
     monkeypatch.setattr(neardup, "candidate_clusters", lambda texts: texts.sparkSession.createDataFrame([], "node long, root long"))
     rng = random.Random(5)
     short = [" ".join(rng.choices("abc", k=rng.randint(5, 12))) for _ in range(150)]
@@ -210,7 +241,7 @@ def test_near_duplicates_that_no_shard_brings_together(spark, monkeypatch, tmp_p
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
     root = jaccard_groups(texts, 5, 0.8)
     want = sorted({r: k for k, r in reversed(list(enumerate(root)))}.values())
-    for least in (8, 10**9):
-        monkeypatch.setattr(neardup, "COMMON_TEXTS", least)
+    for cells in (1 << 20, 16, 2):
+        monkeypatch.setattr(neardup, "CELLS", cells)
         kept = neardup.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d")))
         assert sorted(r.doc_id for r in kept.collect()) == want
