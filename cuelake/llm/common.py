@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that a task looks at once. Spark bounds an Arrow batch by 64 MB (and goes over it by one row at
 #: most), whatever the rows' sizes; what Python makes of a batch is made slice by slice.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def text_slices(texts: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
@@ -34,6 +34,7 @@ def values(texts: pa.Array) -> Iterator:
     """The Python values of a string or binary array, made slice by slice."""
     for part in text_slices(texts):
         yield from part.to_pylist()
+    pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -12,6 +12,7 @@ counted over all texts, so that passages which many texts share come last.
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,7 @@ SKETCH_RADIUS = 32
 #: Texts of a shard and of a cluster that are compared with each other at once. Larger ones are cut into blocks;
 #: LEADERS texts of it join every block, and links that this leaves out are the prefixes' to find.
 SHARD_BLOCK, DOC_BLOCK, LEADERS, SUB_BLOCK, COLUMNS = 4096, 512, 16, 256, 1 << 14
-#: Cells of the table of shingle counts: 4 MB a task, whatever the input.
+#: Cells of the table of shingle counts: 4 MB in a task, compressed to be summed, whatever the input.
 CELLS = 1 << 20
 #: Words whose hashes a worker remembers.
 MEMO_WORDS = 1 << 17
@@ -102,6 +103,16 @@ def prefix(codes: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarr
     return codes[at[np.argsort(seen[at], kind="stable")[:n]]]
 
 
+def _packed(table: np.ndarray) -> bytes:
+    """A table of counts in the fewest bytes a cell, compressed."""
+    kind = next(k for k in ("u1", "<u2", "<u4") if table.max(initial=0) <= np.iinfo(k).max)
+    return np.dtype(kind).itemsize.to_bytes() + zlib.compress(table.astype(kind).tobytes(), 1)
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw[1:]), dtype=f"<u{raw[0]}").astype(np.uint32)
+
+
 def _summed(tables: DataFrame) -> DataFrame:
     """One row a partition: the sum of its tables, which stream through."""
 
@@ -110,9 +121,9 @@ def _summed(tables: DataFrame) -> DataFrame:
         for batch in batches:
             for table in batch.column(0):
                 # counts beyond 32 bits stay at the top: they only set the order
-                more = np.frombuffer(table.as_buffer(), dtype=np.uint32)
+                more = _unpacked(table.as_buffer().to_pybytes())
                 total = np.where(total > ~more, np.uint32(0xFFFFFFFF), total + more)
-        yield pa.RecordBatch.from_pydict({"table": pa.array([total.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"table": pa.array([_packed(total)], pa.binary())})
 
     return tables.mapInArrow(add, "table binary")
 
@@ -132,13 +143,12 @@ def shingle_counts(docs: DataFrame, words: int, text_col: str = "text") -> np.nd
                     cells, size = [], 0
         if cells:
             total += np.bincount(np.concatenate(cells), minlength=CELLS).astype(np.uint32)
-        yield pa.RecordBatch.from_pydict({"table": pa.array([total.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_pydict({"table": pa.array([_packed(total)], pa.binary())})
 
-    tables = docs.select(F.col(text_col)).mapInArrow(count, "table binary")
-    tables = materialize(tables, "counts")
+    tables = materialize(docs.select(F.col(text_col)).mapInArrow(count, "table binary"), "counts")
     some = math.ceil(math.sqrt(max(1, tables.count())))  # two levels of sums, each of as many tables
-    rows = _summed(_summed(tables.repartition(some)).coalesce(1)).collect()  # one row of 4 CELLS bytes
-    return np.frombuffer(rows[0][0], dtype=np.uint32) if rows else np.zeros(CELLS, dtype=np.uint32)
+    rows = _summed(_summed(tables.repartition(some)).repartition(1)).collect()  # one row of 4 CELLS bytes at most
+    return _unpacked(rows[0][0]) if rows else np.zeros(CELLS, dtype=np.uint32)
 
 
 def _words(raw) -> np.ndarray:
@@ -240,7 +250,7 @@ def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     """
     keys = texts.select("rid", "group", "size", F.explode("prefix").alias("key"))
     shared = keys.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
-    live = materialize(keys.join(maybe_broadcast(materialize(shared, "shared-keys")), "key"), "keys")
+    live = materialize(keys.join(materialize(shared, "shared-keys"), "key"), "keys")
     most = live.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("largest"))
     live = materialize(live.join(most, "key").withColumn("inner", F.col("group") == F.col("largest")).drop("largest"), "live-keys")
     a, b = (live.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "group", "size", "inner")]) for side in "ab")
@@ -350,6 +360,8 @@ def _select(docs: DataFrame, key: list[Column], gone: DataFrame, again: DataFram
     k1, k2, nth = fresh(docs, "k1", "k2", "nth")
     named = lambda keys: maybe_broadcast(keys.toDF(k1, k2))
     kept = docs.withColumns({k1: key[0], k2: key[1]}).join(named(gone), [k1, k2], "left_anti")
+    if again.isEmpty():
+        return kept.select(*[f"`{c}`" for c in docs.columns])
     once = kept.join(named(again), [k1, k2], "left_anti")
     first = F.row_number().over(Window.partitionBy(k1, k2).orderBy(F.lit(1)))
     more = kept.join(named(again), [k1, k2], "left_semi").withColumn(nth, first).where(F.col(nth) == 1).drop(nth)
