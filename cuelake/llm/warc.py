@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cuelake.llm.common import materialize, maybe_broadcast
+
 ARCHIVE_BYTES = 1 << 20
 #: Pages that become Python values at once.
 ROWS = 64
@@ -101,9 +103,9 @@ def plan_revisits(pages: DataFrame, id_col: str, html_col: str, min_bytes: int)
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     pages = pages.withColumn("_payload", payload).withColumn("_sha", F.unhex(F.sha1("_payload")))
     groups = pages.where(F.octet_length("_payload") >= min_bytes).groupBy("_sha").agg(F.count("*").alias("n"), F.max(id_col).alias("_last"))
-    # payloads that stand alone need no answer; the rest is small unless copies abound, and then Spark splits the join
-    groups = groups.where("n > 1").select("_sha", "_last")
-    pages = pages.join(groups, "_sha", "left")
+    # payloads that stand alone need no answer: only digests move to find the others, and few of those are broadcast
+    groups = materialize(groups.where("n > 1").select("_sha", "_last"), "repeated-payloads", keep=True)
+    pages = pages.join(maybe_broadcast(groups), "_sha", "left")
     return pages.withColumn("_refers", F.when(F.col(id_col).eqNullSafe(F.col("_last")), F.lit(None)).otherwise(F.col("_last")))
 
 
