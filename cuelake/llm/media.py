@@ -24,6 +24,8 @@ PAD = b"\xff"
 #: Bytes of a frame's code before stuffing: nine bits a sample.
 CODED = FRAME * 9 // 8
 BINS = 16
+#: Frames whose histograms are taken at once.
+HISTOGRAMS = 1024
 WINDOW = 24
 SENSITIVITY = 3.0
 LEAST_JUMP = 0.35
@@ -156,7 +158,11 @@ def shots(payload: bytes, fps: float) -> list[dict]:
     by SENSITIVITY deviations, and LEAST_JUMP at least. Clips cover all frames in order."""
     frames = np.frombuffer(payload, dtype=np.uint8).reshape(-1, FRAME)
     n = len(frames)
-    hist = np.bincount((np.arange(n)[:, None] * BINS + (frames >> 4)).ravel(), minlength=n * BINS).reshape(n, BINS)
+    hist = np.empty((n, BINS), dtype=np.int64)
+    for lo in range(0, n, HISTOGRAMS):
+        part = frames[lo : lo + HISTOGRAMS]
+        m = len(part)
+        hist[lo : lo + m] = np.bincount((np.arange(m)[:, None] * BINS + (part >> 4)).ravel(), minlength=m * BINS).reshape(m, BINS)
     jump = np.abs(np.diff(hist, axis=0)).sum(axis=1) / (2 * FRAME)
     ones = np.concatenate([[0.0], np.cumsum(jump)])
     squares = np.concatenate([[0.0], np.cumsum(jump * jump)])

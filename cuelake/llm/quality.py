@@ -125,11 +125,13 @@ def features(text: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS) -> Forest:
     """Learn from up to ``sample`` labelled documents; only their statistics reach the driver.
 
-    Null labels and ids are left out; repeated labels of one id each count.
+    Null labels and ids are left out; repeated labels of one id each count. Of repeated rows of one id the
+    last text in order counts, so that no more rows than labels reach the driver.
     """
     told = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y"))
     told = told.orderBy(F.xxhash64("_id"), "_id", "_y").limit(sample)  # the bound that allows the broadcast
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(told), "_id")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).join(F.broadcast(told.select("_id").distinct()), "_id", "left_semi")
+    rows = rows.groupBy("_id").agg(F.max("_text").alias("_text")).join(F.broadcast(told), "_id")
     got = rows.select("_id", "_y", features(F.col("_text")).alias("x")).toPandas().sort_values(["_id", "_y"], kind="stable")
     x = np.array(got["x"].tolist(), dtype=float).reshape(-1, len(STATS))
     return fit_forest(x, (got["_y"].to_numpy(dtype=int) > 0).astype(float))
