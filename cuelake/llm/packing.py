@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import materialize, text_slices
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 150_000
 #: Items of one length that one window task numbers.
 NUMBERED = 10_000
 
