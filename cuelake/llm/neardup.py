@@ -244,26 +244,26 @@ def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
     """(a, b, a_group, b_group): all pairs of the rows (rid, group, size, prefix) in different groups that
     can be similar.
 
-    Of one prefix all shingles are known to be in the other set or not, that which ends first; so a pair
-    must share as many as one of the two prefixes asks for. Of the rows with a key those of its largest
+    Shingles stand in one order in all sets. So what two sets share begins with their first common shingle,
+    and no more can follow than either set has left behind it; a similar pair has one that leaves enough.
+    Of the rows with a key those of its largest
     group are never paired among themselves, so a group of very many copies costs only what others share with it.
     """
-    keys = texts.select("rid", "group", "size", F.explode("prefix").alias("key"))
+    keys = texts.select("rid", "group", "size", F.posexplode("prefix").alias("pos", "key"))
     shared = keys.groupBy("key").agg(F.min("group").alias("lo"), F.max("group").alias("hi")).where("lo < hi").select("key")
     live = materialize(keys.join(materialize(shared, "shared-keys"), "key"), "keys")
     most = live.groupBy("key", "group").count().groupBy("key").agg(F.max_by("group", F.struct("count", "group")).alias("largest"))
     live = materialize(live.join(most, "key").withColumn("inner", F.col("group") == F.col("largest")).drop("largest"), "live-keys")
-    a, b = (live.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "group", "size", "inner")]) for side in "ab")
+    a, b = (live.select("key", *[F.col(c).alias(f"{side}_{c}") for c in ("rid", "group", "size", "pos", "inner")]) for side in "ab")
     least = lambda n: F.ceil(n * similarity - SLACK)
+    need = F.ceil(((F.col("a_size") + F.col("b_size")) * similarity - SLACK) / (1 + similarity))
     fits = (F.col("a_size") >= least(F.col("b_size"))) & (F.col("b_size") >= least(F.col("a_size"))) & (F.col("a_group") != F.col("b_group"))
+    fits = fits & (F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) >= need)
     b = b.where("not b_inner")
     met = a.where("a_inner").join(b, "key").where(fits).unionByName(a.where("not a_inner").join(b, "key").where((F.col("a_rid") < F.col("b_rid")) & fits))
-    low, high = F.col("a_rid") < F.col("b_rid"), lambda x: F.struct(F.col(f"{x}_rid").alias("rid"), F.col(f"{x}_group").alias("group"), F.col(f"{x}_size").alias("size"))
+    low, high = F.col("a_rid") < F.col("b_rid"), lambda x: F.struct(F.col(f"{x}_rid").alias("rid"), F.col(f"{x}_group").alias("group"))
     met = met.select(F.when(low, high("a")).otherwise(high("b")).alias("a"), F.when(low, high("b")).otherwise(high("a")).alias("b"))
-    pairs = met.groupBy(F.col("a.rid").alias("a_rid"), F.col("b.rid").alias("b_rid")).agg(F.first("a").alias("a"), F.first("b").alias("b"), F.count("*").alias("both"))
-    need = F.ceil(((F.col("a.size") + F.col("b.size")) * similarity - SLACK) / (1 + similarity))
-    asked = need - F.greatest(least(F.col("a.size")), least(F.col("b.size"))) + 1
-    return pairs.where(F.col("both") >= asked).select(F.col("a_rid").alias("a"), F.col("b_rid").alias("b"), F.col("a.group").alias("a_group"), F.col("b.group").alias("b_group"))
+    return met.select(F.col("a.rid").alias("a"), F.col("b.rid").alias("b"), F.col("a.group").alias("a_group"), F.col("b.group").alias("b_group")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
