@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from cuelake.llm.common import materialize, text_slices
 
-MEMO_WORDS = 150_000
+#: Words whose ids a worker remembers, some 400 bytes each; a smaller memo learns words anew.
+MEMO_WORDS = 1_000_000
 #: Items of one length that one window task numbers.
 NUMBERED = 10_000
 
@@ -84,7 +85,7 @@ def _learn(path: str, words: set[bytes], whole: bool) -> None:
         memo[w] = memo[head] + memo[tail]
 
 
-def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
+def encode_texts(path: str, texts: list[str | None], remembered: int = MEMO_WORDS) -> list[bytes]:
     """Ids (little-endian unsigned 32-bit) of whole texts.
 
     Tokens never reach over ASCII white space, so words are encoded once and remembered. The tokenizer
@@ -96,7 +97,7 @@ def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
         raw = (text or "").encode()
         whole = b"<|" in raw or not raw.isascii() and bool(COMBINING.search(text))
         words = raw.split() if whole else raw.lower().split()
-        if len(memo) > MEMO_WORDS:
+        if len(memo) > remembered:
             memo.clear()
         got = list(map(memo.get, words))
         if None in got:
@@ -106,14 +107,14 @@ def encode_texts(path: str, texts: list[str | None]) -> list[bytes]:
     return out
 
 
-def cut(text: Column, path: str, max_tokens: int, end_id: int) -> Column:
+def cut(text: Column, path: str, max_tokens: int, end_id: int, remembered: int = MEMO_WORDS) -> Column:
     """array<struct(piece, start, length, ids)>: the text's ids and end_id, cut at every max_tokens."""
     kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())]))
 
     @F.arrow_udf("array<struct<piece:int,start:long,length:long,ids:binary>>")
     def pieces(texts: pa.Array) -> pa.Array:
         rows, step = [], 4 * max_tokens
-        for ids in (x for part in text_slices(texts) for x in encode_texts(path, part.to_pylist())):
+        for ids in (x for part in text_slices(texts) for x in encode_texts(path, part.to_pylist(), remembered)):
             ids += struct.pack("<I", end_id)
             rows.append([{"piece": k // step, "start": k // 4, "length": len(ids[k : k + step]) // 4, "ids": ids[k : k + step]} for k in range(0, len(ids), step)])
         return pa.array(rows, type=kind)
@@ -211,12 +212,13 @@ def pack(items: DataFrame, order: list[str], max_tokens: int, max_docs: int | No
     return placed.select(*items.columns, "_at.sequence_id", "_at.offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, end_id: int = 1, max_docs: int | None = None, max_cost: int | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, end_id: int = 1, max_docs: int | None = None, max_cost: int | None = None, remembered: int = MEMO_WORDS) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32, sequence_id, offset), a row for each piece.
 
     A document is its ids and end_id; only longer ones are cut at max_tokens. Null and empty texts are
     end_id alone. Repeated rows are packed as often as they stand. An empty table gives no rows.
+    ``remembered`` bounds the words that a worker keeps; it changes memory and time, never the result.
     """
-    cuts = docs.select(F.col(id_col), F.inline(cut(F.col(text_col), tokenizer_path, max_tokens, end_id)))
+    cuts = docs.select(F.col(id_col), F.inline(cut(F.col(text_col), tokenizer_path, max_tokens, end_id, remembered)))
     items = materialize(cuts.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32")), "pieces")
     return pack(items, [id_col, "piece", "ids_crc32"], max_tokens, max_docs, max_cost)
