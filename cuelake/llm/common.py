@@ -37,6 +37,17 @@ def values(texts: pa.Array) -> Iterator:
     pa.default_memory_pool().release_unused()
 
 
+def word_slices(raw: bytes, size: int = 4 * SLICE_BYTES) -> Iterator[list[bytes]]:
+    """The words of raw between ASCII white space, in lists of about ``size`` bytes: a very long text makes no
+    list of all its words."""
+    at = 0
+    while at < len(raw):
+        to = raw.find(b" ", at + size)
+        to = len(raw) if to < 0 else to
+        yield raw[at:to].split()
+        at = to
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import embeddings, langid, lines, media, packing, pieces, quality, simhash, urlrules, warc
+from cuelake.llm import embeddings, langid, lexical, lines, media, packing, pieces, quality, simhash, urlrules, warc
 from cuelake.llm.common import write_shared
 
 
@@ -93,6 +93,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), max_tokens=4096, end_id=1)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical.rank_documents(docs, items, top=10)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
@@ -104,6 +109,7 @@ QUERIES = {
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
+    "op11_lexical": op11_lexical,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,6 +124,23 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT lost), '')) AS kept_sha256
         FROM told GROUP BY r, doc_id
     """,
+    "op11_lexical": r"""
+        WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents WHERE text IS NOT NULL),
+        sized AS (SELECT r, doc_id, terms, len(terms) AS n FROM doc WHERE len(terms) > 0),
+        total AS (SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS words FROM sized),
+        flat AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+        asked AS (SELECT item_id, term, count(*) AS times FROM flat GROUP BY item_id, term),
+        held AS (SELECT r, unnest(terms) AS term FROM sized),
+        counted AS (SELECT r, term, count(*) AS tf FROM held WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+        weight AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(texts) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, total GROUP BY term),
+        scored AS (SELECT item_id, r, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * texts) // words)))) AS BIGINT) AS score
+                   FROM asked JOIN counted USING (term) JOIN weight USING (term) JOIN sized USING (r), total GROUP BY item_id, r),
+        ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank, doc_id, score
+                   FROM scored JOIN sized USING (r) WHERE score > 0)
+        SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+    """,
     "op5_embeddings": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         sound AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
