@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import embeddings, langid, lexical, lines, media, packing, pieces, quality, simhash, urlrules, warc
+from cuelake.llm import embeddings, langid, lexical, lines, media, packing, phrases, pieces, quality, simhash, urlrules, warc
 from cuelake.llm.common import write_shared
 
 
@@ -98,6 +98,11 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.rank_documents(docs, items, top=10)
 
 
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("text", "lang")
+    return phrases.collocations(docs, max_words=3, least=10, share=50, top=2000)
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
@@ -110,6 +115,7 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_packing": op10_packing,
     "op11_lexical": op11_lexical,
+    "op12_phrases": op12_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -141,6 +147,32 @@ ORACLE_SQL: dict[str, str] = {
                    FROM scored JOIN sized USING (r) WHERE score > 0)
         SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
     """,
+    "op12_phrases": r"""
+        WITH cut AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                            'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        piece AS (SELECT row_number() OVER () AS p, lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM cut),
+        word AS (SELECT lang, p, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM piece),
+        gram AS (SELECT lang, w AS w1, lead(w) OVER x AS w2, lead(w, 2) OVER x AS w3 FROM word WINDOW x AS (PARTITION BY p ORDER BY i)),
+        f1 AS (SELECT lang, w1, count(*) AS f FROM gram GROUP BY ALL),
+        f2 AS (SELECT lang, w1, w2, count(*) AS f FROM gram WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        f3 AS (SELECT lang, w1, w2, w3, count(*) AS f FROM gram WHERE w3 IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+        total AS (SELECT lang, count(*) AS n FROM gram GROUP BY lang),
+        scored AS (
+            SELECT lang, w1, w2, NULL AS w3, f2.f AS a, x.f AS l, y.f AS r, 1 AS k, w1 || ' ' || w2 AS phrase
+            FROM f2 JOIN f1 x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, f FROM f1) y USING (lang, w2)
+            UNION ALL SELECT lang, w1, w2, w3, f3.f, x.f, y.f, 1, w1 || ' ' || w2 || ' ' || w3
+            FROM f3 JOIN f1 x USING (lang, w1) JOIN (SELECT lang, w1 AS w2, w2 AS w3, f FROM f2) y USING (lang, w2, w3)
+            UNION ALL SELECT lang, w1, w2, w3, f3.f, x.f, y.f, 2, w1 || ' ' || w2 || ' ' || w3
+            FROM f3 JOIN f2 x USING (lang, w1, w2) JOIN (SELECT lang, w1 AS w3, f FROM f1) y USING (lang, w3)),
+        told AS (SELECT *, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS BIGINT) AS score FROM scored),
+        best AS (SELECT * FROM told QUALIFY row_number() OVER (PARTITION BY lang, w1, w2, w3 ORDER BY score, k) = 1),
+        longer AS (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3),
+        most AS (SELECT lang, w1, w2, max(f) AS f FROM longer GROUP BY ALL),
+        kept AS (SELECT best.* FROM best LEFT JOIN most ON best.w3 IS NULL AND best.lang = most.lang AND best.w1 = most.w1 AND best.w2 = most.w2
+                 WHERE most.f IS NULL OR 100 * most.f < 50 * best.a),
+        ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score FROM kept)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+    """,
     "op5_embeddings": """
         WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
         sound AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0

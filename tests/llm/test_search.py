@@ -6,9 +6,10 @@ import re
 from collections import Counter
 
 import duckdb
+import numpy as np
 import pytest
 
-from cuelake.llm import lexical, queries
+from cuelake.llm import lexical, phrases, queries
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -83,3 +84,74 @@ def test_lexical_slices(monkeypatch):
     text = "Ab c" * 3000
     monkeypatch.setattr(lexical, "word_slices", lambda raw: __import__("cuelake.llm.common").llm.common.word_slices(raw, 100))
     assert [w for part in lexical.term_slices(text) for w in part] == text.lower().encode().split()
+
+
+def grams(seq, depth):
+    runs = "".join(chr(x) if x else "\0" for x in seq).split("\0")
+    return Counter(r[i : i + depth] for r in runs for i in range(len(r) - depth + 1))
+
+
+@pytest.mark.parametrize("alphabet", [1, 2, 5, 40])
+def test_phrase_index_equals_counting(alphabet):
+    rng = np.random.default_rng(alphabet)
+    for _ in range(60):
+        seq = rng.integers(0, alphabet + 1, rng.integers(0, 120))
+        index = phrases.PhraseIndex(seq, 4)
+        symbol, at = index.words()
+        told = [[chr(s)] for s in symbol]
+        told = ["".join(t) for t in told]
+        for depth, left in ((2, True), (3, False), (4, bool(rng.integers(2)))):
+            parent, symbol, at = index.extend(at, left)
+            told = [chr(s) + told[p] if left else told[p] + chr(s) for p, s in zip(parent, symbol)]
+            assert dict(zip(told, at.size.tolist())) == grams(seq, depth) and len(set(told)) == len(told)
+
+
+def collocated(rows, max_words, least, share, top):
+    """rows of (text, lang): the contract's words, in plain loops."""
+    f, n, out = {}, Counter(), []
+    for text, lang in rows:
+        lang = "und" if lang is None else lang
+        for piece in re.split(r"[.,;:!?\x0a-\x0d]", (text or "").translate(LOW)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            n[lang] += len(words)
+            for d in range(1, max_words + 1):
+                for i in range(len(words) - d + 1):
+                    key = lang, tuple(words[i : i + d])
+                    f[key] = f.get(key, 0) + 1
+    kept = {k for k, a in f.items() if len(k[1]) > 1 and a >= least}
+    for lang in n:
+        rows = []
+        for g, p in kept:
+            if g != lang:
+                continue
+            a = f[g, p]
+            if any(len(q) > len(p) and any(q[i : i + len(p)] == p for i in range(len(q))) and 100 * f[h, q] >= share * a for h, q in kept if h == lang):
+                continue
+            score, _, left, right = min((10**6 * a * a // (f[g, p[:k]] * f[g, p[k:]]), k, f[g, p[:k]], f[g, p[k:]]) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), left, right))
+        out += [(lang, i + 1, p.decode(), -a, left, right, n[lang], -s) for i, (s, a, p, left, right) in enumerate(sorted(rows)[:top])]
+    return sorted(out)
+
+
+def test_phrases_equal_sql(spark, sf):
+    same_as_sql(spark, "/root/testdata/sf0.01", "op12_phrases", ["documents"])
+
+
+@pytest.mark.parametrize("max_words, shard, bits", [(3, 1 << 20, 1 << 27), (4, 40, 1 << 10), (2, 40, 1 << 27)])
+def test_phrases_plain_loop(spark, monkeypatch, max_words, shard, bits):
+    monkeypatch.setattr(phrases, "SHARD_WORDS", shard)
+    monkeypatch.setattr(phrases, "MOST_BITS", bits)
+    rng = random.Random(max_words)
+    words = ["a", "B", "é", "ab", "\xa0", "\x00", "\x1c", "日本", "c" * 300]
+    texts = [None, "", " .;\n", "a b\tc " * 400, "one. two, three", "\x0b\x0c"] + ["".join(rng.choice(words) + rng.choice([" ", " ", " ", "  ", "\t", ". ", "\r\n", ","]) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    rows = [(t, rng.choice(["x", "y", None, ""]), 1) for t in texts] + [("a é B", "x", 1)] * 20
+    docs = spark.createDataFrame(rows, "text string, lang string, rank int").repartition(5)
+    got = phrases.collocations(docs, max_words=max_words, least=4, share=60, top=40)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    want = collocated([r[:2] for r in rows], max_words, 4, 60, 40)
+    assert sorted(tuple(r) for r in got.collect()) == want and len(want) > 60
+
+
+def test_phrases_empty(spark):
+    docs = spark.createDataFrame([(None, None), ("", "x")], "text string, lang string")
+    assert phrases.collocations(docs).count() == 0 and phrases.collocations(docs.limit(0)).count() == 0
