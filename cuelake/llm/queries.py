@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cuelake.llm import embeddings, langid, lexical, lines, media, packing, phrases, pieces, quality, simhash, urlrules, warc
+from cuelake.llm import disclosure, embeddings, langid, lexical, lines, media, packing, phrases, pieces, quality, simhash, urlrules, warc
 from cuelake.llm.common import write_shared
 
 
@@ -103,6 +103,15 @@ def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(docs, max_words=3, least=10, share=50, top=2000)
 
 
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = disclosure.personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in disclosure.KINDS[:-1]]
+    base = F.filter("spans", lambda s: s["kind"] != "term")
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_simhash": op2_simhash,
@@ -116,6 +125,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op11_lexical": op11_lexical,
     "op12_phrases": op12_phrases,
+    "op13_disclosure": op13_disclosure,
 }
 
 ORACLE_SQL: dict[str, str] = {

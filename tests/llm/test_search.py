@@ -1,5 +1,6 @@
 """Ranked lexical search, phrases and disclosing terms: against plain loops over all rows."""
 
+import hashlib
 import math
 import random
 import re
@@ -9,7 +10,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from cuelake.llm import lexical, phrases, queries
+from cuelake.llm import disclosure, lexical, phrases, queries
 
 TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -155,3 +156,114 @@ def test_phrases_plain_loop(spark, monkeypatch, max_words, shard, bits):
 def test_phrases_empty(spark):
     docs = spark.createDataFrame([(None, None), ("", "x")], "text string, lang string")
     assert phrases.collocations(docs).count() == 0 and phrases.collocations(docs.limit(0)).count() == 0
+
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def passes(kind, found):
+    digits = re.sub("[^0-9]", "", found)
+    if kind == "ip":
+        return all(int(p) <= 255 for p in found.split("."))
+    if kind == "card":
+        twice = [int(d) * (1 + k % 2) for k, d in enumerate(reversed(digits))]
+        return 16 <= len(digits) <= 19 and sum(d - 9 if d > 9 else d for d in twice) % 10 == 0
+    return kind == "email" or 8 <= len(digits) <= 15
+
+
+def by_patterns(text):
+    return [(k, *m.span()) for k, p in PATTERNS.items() for m in re.finditer(p, text or "") if passes(k, m[0])]
+
+
+HARD = [None, "", "@", "a@b", "a@b.c", "a@b.c.", "a@@b.c", "x@y.z@w.v", "a@b..c@d.e", "é.a%+@b-.c-d é", "1.2.3.4.5.6.7.8.9", "1.2.3 1.2.3.256 001.02.3.0004",
+        "255.0.255.1.", "4111 1111 1111 1111", "4111-1111-1111-1111-0", "4111  1111", "+1 (555) 123-4567)", "+1234567", "+12345678", "++49 30 123456", "+1...", "+1 2+3 45678901",
+        "4041894974608795 +1 (366) 555-9807 bosbt.42@mail8.example.com 42.144.35.254", "日本a@b.cé +4930123456日", "0000000000000000"]
+
+
+def test_base_spans_equal_the_patterns():
+    rng = random.Random(11)
+    parts = ["a", "é", "@", ".", "b.c", "1", "23", "255", "256", " ", "-", "+", "(", ")", "+1", "4111", "0000", "%", "日", "\n"]
+    for text in HARD + ["".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(20_000)]:
+        assert disclosure.base_spans(text) == by_patterns(text), text
+
+
+def test_base_spans_of_very_long_texts():
+    for part in ("a", "1", "1.", "@", "+1 ", "a@", "1 ", "+", "a.b@c.", "(1"):
+        text = part * 200_000
+        disclosure.base_spans(text)
+    assert len(disclosure.base_spans("a@b.c " * 50_000)) == 50_000
+
+
+def told(rows, near, contexts, share):
+    """(words that give an entity away, and whether their class may stand), in plain loops over all texts."""
+    held, classes, seen, wide = Counter(), Counter(), {}, {}
+    for text in rows:
+        text = text or ""
+        base = by_patterns(text)
+        words = [(m.start(), m.end(), m[0].translate(LOW)) for m in TERM.finditer(text)]
+        held.update({w for _, _, w in words})
+        classes.update({w.encode()[:4] for _, _, w in words})
+        free = [x for x in words if not any(a < x[1] and x[0] < b for _, a, b in base)]
+        found = {}
+        for kind, a, b in base:
+            entity = kind, text[a:b].lower() if kind in ("email", "ip") else re.sub("[^0-9]", "", text[a:b])
+            around = [w for s, _, w in free if s < a][-near:] + [w for s, _, w in free if s >= a][:near]
+            for w in around:
+                found.setdefault((entity, w), tuple(around))
+                found.setdefault((entity, w.encode()[:4]), tuple(around))
+        for key, context in found.items():
+            (seen if isinstance(key[1], str) else wide).setdefault(key, []).append(context)
+    sure = lambda got, df: len(set(got)) >= contexts and len(got) >= share * df
+    tells = [(e, w) for (e, w), got in seen.items() if sure(got, held[w])]
+    loose = {(e, c) for (e, c), got in wide.items() if sure(got, classes[c])}
+    return {w: all((e, w.encode()[:4]) not in loose for e, v in tells if v == w) for _, w in tells}
+
+
+@pytest.mark.parametrize("keys", [250_000, 0])
+def test_disclosing_terms_plain_loop(spark, monkeypatch, keys):
+    monkeypatch.setattr(disclosure, "BROADCAST_KEYS", keys)
+    monkeypatch.setattr(disclosure, "HELD_TERMS", 50)
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(40)] + ["été", "The"]
+    some = lambda n: " ".join(rng.choices(words, k=n))
+    texts = HARD + [some(12) for _ in range(60)]
+    texts += [f"{some(3)} Harbour master {some(2)} Ann@Sea.org {some(6)}" for _ in range(9)] + [f"{some(9)} harbour {some(3)}"]
+    texts += [f"{some(2)} captain call +1 (555) 010-2030 now {some(4)}" for _ in range(8)] + ["captains and captaincies"] * 5
+    texts += ["copy tells nothing x@y.zz alone"] * 30
+    docs = spark.createDataFrame([(i, t, "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, spans string, t1 int").repartition(6)
+    got = {r.doc_id: r for r in disclosure.sanitise(docs).collect()}
+    terms = told(texts, disclosure.NEAR, disclosure.CONTEXTS, disclosure.SHARE)
+    assert {"harbour", "master", "captain"} <= set(terms) and "nothing" not in terms and not terms["master"] and terms["captain"]
+    for k, text in enumerate(texts):
+        base = by_patterns(text)
+        more = [("term", *m.span()) for m in TERM.finditer(text or "") if m[0].translate(LOW) in terms and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        assert [(s.kind, s.start, s.end) for s in got[k].spans] == base + more, text
+        assert got[k].t1 == 1 and (text is None) == (got[k].sanitised is None)
+    assert "@" not in got[len(texts) - 1].sanitised.replace("@@", "")
+    sample = next(r for r in got.values() if "Harbour master" in (r.text or ""))
+    assert "Harbour" not in sample.sanitised and "[EMAIL]" in sample.sanitised and "Sea" not in sample.sanitised
+
+
+def test_disclosure_query(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    terms = told(texts.values(), disclosure.NEAR, disclosure.CONTEXTS, disclosure.SHARE)
+    rows = queries.op13_disclosure(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        text = texts[r.doc_id] or ""
+        base = by_patterns(text)
+        more = [("term", *m.span()) for m in TERM.finditer(text) if m[0].translate(LOW) in terms and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        joined = lambda spans: ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
+        assert r.spans == joined(base + more) and r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(s[0] == k for s in base) for k in ("email", "ip", "card", "phone")]
+
+
+def test_disclosure_empty(spark):
+    docs = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert [r.spans for r in disclosure.personal_data(docs).collect()] == [[], []]
+    assert disclosure.sanitise(docs.limit(0)).count() == 0 and disclosure.disclosing_terms(docs).count() == 0
