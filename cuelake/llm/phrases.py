@@ -11,6 +11,7 @@ reason, which costs a row, and never no).
 
 from __future__ import annotations
 
+import functools
 import math
 import uuid
 from typing import NamedTuple
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import materialize, maybe_broadcast, scratch, values, word_slices
+from cuelake.llm.common import drop_path, materialize, maybe_broadcast, scratch, small_batches, values, word_slices, write_shared
 
 #: Words of a shard (it ends with the text that reaches them), and words of all open shards of a task.
 SHARD_WORDS, OPEN_WORDS = 1 << 20, 3 << 20
+#: Shards (of some megabytes) that a task takes from Spark at once.
+SHARDS_AT_ONCE = 2
 #: Bits of the table of frequent phrases for each of them, and its bits at most (16 MB).
 BITS_EACH, MOST_BITS = 16, 1 << 27
 #: A-Z are lower-cased, tabs are spaces, and the marks that end a piece become a byte that UTF-8 never holds.
@@ -121,10 +124,17 @@ class PhraseIndex:
 
     def __init__(self, seq: np.ndarray, depth: int):
         seq = np.concatenate([[0], np.asarray(seq, dtype=np.int64)])
-        self.base = int(seq.max()) + 1
-        self.orders = {True: _Order(seq, self.base, depth), False: _Order(seq[::-1], self.base, depth)}
+        self.seq, self.depth, self.base = seq, depth, int(seq.max()) + 1
         self.counts = np.bincount(seq, minlength=self.base)
 
+    @functools.cached_property
+    def forward(self) -> _Order:
+        return _Order(self.seq, self.base, self.depth)
+
+    @functools.cached_property
+    def backward(self) -> _Order:
+        return _Order(self.seq[::-1], self.base, self.depth)
+
     def words(self) -> tuple[np.ndarray, Intervals]:
         """(symbols from 1, their intervals)."""
         first = np.cumsum(self.counts) - self.counts
@@ -136,7 +146,7 @@ class PhraseIndex:
         In the order that reads away from that side the new first row is the last-to-first image of the first
         row with the symbol; in the other order the phrases of one parent stand side by side by symbol.
         """
-        order, own, other = (self.orders[left], *((at.forward, at.backward) if left else (at.backward, at.forward)))
+        order, own, other = (self.forward, at.forward, at.backward) if left else (self.backward, at.backward, at.forward)
         start = np.cumsum(at.size) - at.size
         parent = np.repeat(np.arange(len(own)), at.size)
         row = np.arange(len(parent)) + np.repeat(own - start, at.size)
@@ -242,16 +252,19 @@ def count_phrases(docs: DataFrame, text_col: str, group_col: str, max_words: int
     """((grp, n), tables), all stored: the words of each group, and for d = 1 .. max_words the phrases of d words
     with at least ``least`` occurrences as (w1, ..., wd, a); the first table has grp and word too."""
     spark = docs.sparkSession
-    shards = materialize(cut_shards(docs, text_col, group_col), "shards")
+    path = write_shared(cut_shards(docs, text_col, group_col), "shards")
+    shards = spark.read.schema("grp string, shard long, n long, ids binary, words array<string>, counts array<long>").parquet(path)
     total = materialize(shards.groupBy("grp").agg(F.sum("n").alias("n")), "group-words")
     words, places = frequent_words(shards, least)
     tables = [words.withColumnRenamed("f", "a")]
     indexed = materialize(shards.select("shard", "ids").join(places, "shard").select("ids", "places"), "shard-words")
+    drop_path(spark, path)  # the words are in the other tables by now
     seen: list[np.ndarray] = []
     for depth in range(2, max_words + 1):
         names = _names(depth)
         grown = _shard_phrases(indexed, depth, spark.sparkContext.broadcast(list(seen)))  # tables of MOST_BITS at most
-        found = materialize(grown.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least), f"phrases-{depth}")
+        with small_batches(spark, SHARDS_AT_ONCE):
+            found = materialize(grown.groupBy(*names).agg(F.sum("a").alias("a")).where(F.col("a") >= least), f"phrases-{depth}")
         tables.append(found)
         if depth < max_words:
             seen.append(bit_table(found, names))
