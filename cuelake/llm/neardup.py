@@ -95,9 +95,9 @@ def prefix(codes: np.ndarray, similarity: float, counts: np.ndarray) -> np.ndarr
         return codes
     n = len(codes) - math.ceil(similarity * len(codes) - SLACK) + 1
     seen = counts[codes >> np.uint64(65 - len(counts).bit_length())]
-    if n >= len(codes):
-        return codes
     # codes are sorted, so that a stable order settles equal counts
+    if n >= len(codes):
+        return codes[np.argsort(seen, kind="stable")]
     near = np.partition(seen, n - 1)[n - 1]
     at = np.flatnonzero(seen <= near)
     return codes[at[np.argsort(seen[at], kind="stable")[:n]]]

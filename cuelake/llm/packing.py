@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cuelake.llm.common import materialize, text_slices
+from cuelake.llm.common import fresh, materialize, text_slices, without
 
 #: Words whose ids a worker remembers, some 400 bytes each; a smaller memo learns words anew.
 MEMO_WORDS = 1_000_000
@@ -184,8 +184,8 @@ def _place(length: Column, number: Column, places: np.ndarray, spark) -> Column:
         table = held.value
         size, rank = np.asarray(lengths), np.asarray(numbers)
         begin, end = np.searchsorted(table[:, 0], size, "left"), np.searchsorted(table[:, 0], size, "right")
-        key = table[:, 0].astype(float) * 2.0**40  # ranks of one length stay below 2**40
-        row = np.searchsorted(key + table[:, 1], size * 2.0**40 + rank, "right") - 1
+        # whole numbers, exact for ranks of one length below 2**40 and lengths below 2**23
+        row = np.searchsorted(table[:, 0] << 40 | table[:, 1], size << 40 | rank, "right") - 1
         assert len(size) == 0 or ((row >= begin) & (row < end)).all()
         t, r = table[row], rank - table[row][:, 1]
         return pa.StructArray.from_arrays([pa.array(t[:, 4] + r // t[:, 2]), pa.array(t[:, 5] + r % t[:, 2] * size)], names=["sequence_id", "offset"])
@@ -197,19 +197,21 @@ def pack(items: DataFrame, order: list[str], max_tokens: int, max_docs: int | No
     """items (long column length, 1 to max_tokens) with sequence_id and offset added, gapless from 0.
 
     items should be a stored table, as it is read twice; rows equal in all ``order`` columns are
-    interchangeable. Lengths that very many items share are numbered in several tasks.
+    interchangeable. Lengths that very many items share are numbered in several tasks. Columns named like the
+    added ones are replaced, all others stay whatever their names.
     """
-    spark = items.sparkSession
-    counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # max_tokens rows at most
+    spark, items = items.sparkSession, without(items, "sequence_id", "offset")
+    salt, salts, own, ahead, number, at, n = fresh(items, "salt", "salts", "own", "ahead", "number", "at", "n")
+    counts = {r["length"]: r[n] for r in items.groupBy("length").agg(F.count("*").alias(n)).collect()}  # max_tokens rows at most
     places = plan(counts, (max_tokens, max_docs or max_tokens, max_cost or max_tokens**2))
-    salts = spark.createDataFrame([(k, math.ceil(n / NUMBERED)) for k, n in counts.items()], "length long, salts int")
-    dealt = items.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64(*order), F.col("salts")).cast("int")).drop("salts")
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = dealt.groupBy("length", "salt").agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order))
-    ranked = dealt.withColumn("own", own).join(ahead, ["length", "salt"]).withColumn("number", F.col("own") - 1 + F.col("ahead"))
-    placed = ranked.withColumn("_at", _place(F.col("length"), F.col("number").cast("long"), places, spark))
-    return placed.select(*items.columns, "_at.sequence_id", "_at.offset")
+    parts = spark.createDataFrame([(k, math.ceil(c / NUMBERED)) for k, c in counts.items()], f"length long, `{salts}` int")
+    dealt = items.join(F.broadcast(parts), "length").withColumn(salt, F.pmod(F.xxhash64(*[f"`{c}`" for c in order]), F.col(salts)).cast("int")).drop(salts)
+    before = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy("length", salt).agg(F.count("*").alias(n)).withColumn(ahead, F.coalesce(F.sum(n).over(before), F.lit(0))).drop(n)
+    nth = F.row_number().over(Window.partitionBy("length", salt).orderBy(*[f"`{c}`" for c in order]))
+    ranked = dealt.withColumn(own, nth).join(starts, ["length", salt]).withColumn(number, F.col(own) - 1 + F.col(ahead))
+    placed = ranked.withColumn(at, _place(F.col("length"), F.col(number).cast("long"), places, spark))
+    return placed.select(*[f"`{c}`" for c in items.columns], F.col(at)["sequence_id"].alias("sequence_id"), F.col(at)["offset"].alias("offset"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", max_tokens: int = 4096, end_id: int = 1, max_docs: int | None = None, max_cost: int | None = None, remembered: int = MEMO_WORDS) -> DataFrame:

@@ -77,7 +77,8 @@ def code_links(codes: DataFrame, radius: int) -> DataFrame:
             leaves[row, k] = leaf + (k << depth)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1, dtype=np.int32) * len(trees)), pa.array(leaves.ravel()))
 
-    dealt = codes.select("code", F.explode(shards(F.col("code"))).alias("shard"))
+    # stored, as it is read for the sizes of its shards and again to be dealt out
+    dealt = materialize(codes.select("code", F.explode(shards(F.col("code"))).alias("shard")), "dealt")
     large = materialize(dealt.groupBy("shard").count().where(F.col("count") > BLOCK).select("shard", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks")), "large-shards")
     dealt = dealt.join(maybe_broadcast(large), "shard", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))

@@ -245,3 +245,16 @@ def test_near_duplicates_that_no_shard_brings_together(spark, monkeypatch, tmp_p
         monkeypatch.setattr(neardup, "CELLS", cells)
         kept = neardup.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d")))
         assert sorted(r.doc_id for r in kept.collect()) == want
+
+
+@pytest.mark.parametrize("similarity", [0.3, 0.5, 0.8])
+def test_near_duplicates_at_any_similarity(spark, monkeypatch, tmp_path, similarity):
+    """Sets of a few shingles, whose prefix is the whole set, found by prefixes alone."""
+    monkeypatch.setattr(neardup, "candidate_clusters", lambda texts: texts.sparkSession.createDataFrame([], "node long, root long"))
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{k}" for k in range(150)], k=rng.randint(1, 5))) for _ in range(400)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "d"))
+    root = jaccard_groups(texts, 1, similarity)
+    want = sorted({r: k for k, r in reversed(list(enumerate(root)))}.values())
+    kept = neardup.drop_near_duplicates(spark.read.parquet(str(tmp_path / "d")), words=1, similarity=similarity)
+    assert sorted(r.doc_id for r in kept.collect()) == want

@@ -224,3 +224,16 @@ def test_lines(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     want = sorted((i, n, hashlib.sha256(t.encode()).hexdigest()) for i, n, t in brute_lines(docs, 10))
     assert sorted((r.doc_id, r.n_lines, r.kept_sha256) for r in queries.op8_lines(spark, sf).collect()) == want
+
+
+@pytest.mark.parametrize("max_tokens", [4096, 32_768, 131_072])
+def test_places_are_gapless_at_long_sequences(spark, max_tokens):
+    rng = np.random.default_rng(max_tokens)
+    lengths = np.concatenate([rng.integers(1, 400, 20_000), rng.integers(1, max_tokens + 1, 3_000), [max_tokens] * 20])
+    rows = spark.createDataFrame([(int(n), i, "mine", 7, 1.5) for i, n in enumerate(lengths)], "length long, id long, salt string, own int, `a.at` double")
+    got = packing.pack(rows.repartition(5), ["id"], max_tokens).toPandas()
+    assert list(got.columns) == ["length", "id", "salt", "own", "a.at", "sequence_id", "offset"]
+    assert len(got) == len(lengths) and set(got["salt"]) == {"mine"} and set(got["own"]) == {7} and sorted(got["length"]) == sorted(lengths)
+    got = got.sort_values(["sequence_id", "offset"])
+    for _, one in got.groupby("sequence_id"):
+        assert one["offset"].tolist() == [0, *np.cumsum(one["length"])[:-1]] and one["length"].sum() <= max_tokens
