@@ -24,14 +24,15 @@ def assign(cues: DataFrame, size: int = BATCH) -> DataFrame:
     return cues.withColumn("batch_id", F.floor(F.col("pos") / size).cast("long")).withColumn("index", (F.col("pos") % size).cast("int"))
 
 
-def context(cues: DataFrame, size: int = BATCH, lines: int = CONTEXT, bilingual: bool = False) -> DataFrame:
+def context(cues: DataFrame, size: int = BATCH, lines: int = CONTEXT, bilingual: bool = False, timed: bool = True) -> DataFrame:
     """One row a batch: (title_id, batch_id, n, target, before, after, context_start, context_end).
 
     before and after hold up to ``lines`` prompt lines ahead of the first and behind the last cue of the
     batch; the bounds are the start of the first and the end of the last line of the whole context.
+    Without ``timed`` lines hold the number and the text alone.
     """
     rows = assign(cues, size)
-    line = (lambda i: X.bilingual_prompt_line(i, F.col("start"), F.col("end"), F.col("text"), F.col("en"), F.col("zh"))) if bilingual else (lambda i: X.prompt_line(i, F.col("start"), F.col("end"), F.col("text")))
+    line = (lambda i: F.format_string("[%d] %s", i, F.col("text"))) if not timed else (lambda i: X.bilingual_prompt_line(i, F.col("start"), F.col("end"), F.col("text"), F.col("en"), F.col("zh"))) if bilingual else (lambda i: X.prompt_line(i, F.col("start"), F.col("end"), F.col("text")))
     rows = rows.withColumn("_line", line(F.col("pos"))).withColumn("_own", line(F.col("index").cast("long")))
     order = Window.partitionBy("title_id").orderBy("pos")
     ahead, behind = order.rowsBetween(-lines, -1), order.rowsBetween(1, lines)
@@ -48,8 +49,10 @@ def context(cues: DataFrame, size: int = BATCH, lines: int = CONTEXT, bilingual:
     )
 
 
-def requests(batches: DataFrame, task: str = "translate", language: str = "") -> DataFrame:
-    """batches with ``prompt``: what to do, the context, the target lines and the shape of the answer."""
+def requests(batches: DataFrame, task: str = "translate", language: str = "", timed: bool = True) -> DataFrame:
+    """batches with ``prompt``: what to do, the context, the target lines and the shape of the answer.
+
+    Without ``timed`` the answer holds texts alone, and the prompt says nothing of times or hidden lines."""
     label = "the source language" if language in ("", "auto") else language
     if task == "translate":
         head = f"Correct the TARGET lines, keeping them in {label}, and translate them into Simplified Chinese."
@@ -57,7 +60,7 @@ def requests(batches: DataFrame, task: str = "translate", language: str = "") ->
     else:
         head = "Proofread the English and Chinese of the TARGET lines; translate only where the Chinese is empty."
         keys = '"corrected_english": "...", "corrected_chinese": "..."'
-    shape = f'[{{"index": 0, {keys}, "display": true, "display_start": 0.0, "display_end": 0.0}}]'
+    shape = f'[{{"index": 0, {keys}' + (', "display": true, "display_start": 0.0, "display_end": 0.0}]' if timed else "}]")
     bounds = F.format_string("Times are seconds from %.2f to %.2f.", "context_start", "context_end")
     parts = [
         F.lit(head + " Lines before and after are context only."),
@@ -65,9 +68,11 @@ def requests(batches: DataFrame, task: str = "translate", language: str = "") ->
         F.concat(F.lit("TARGET\n"), F.col("target")),
         F.concat(F.lit("AFTER\n"), F.col("after")),
         F.format_string("Answer with a JSON list of exactly %d objects, one for each line, by local index: " + shape.replace("%", "%%"), "n"),
-        F.lit('Set "display" to false on lines that only repeat another line, and stretch the times of the line that stays.'),
-        bounds,
     ]
+    if timed:
+        parts += [F.lit('Set "display" to false on lines that only repeat another line, and stretch the times of the line that stays.'), bounds]
+    else:
+        parts += [F.lit("Lines have no times, and none are asked for: one object for each line, none merged or split.")]
     return batches.withColumn("prompt", F.concat_ws("\n\n", *parts))
 
 
@@ -89,7 +94,8 @@ def run_model(rows: DataFrame, model: Callable[[list[str]], list[str]], attempts
 
     ``model`` maps prompts to replies and gets up to PROMPTS at once. A prompt fails if the call raises or
     its reply is no JSON; failed prompts alone are sent again, each in a call of its own. After the last
-    try the task fails with that error (batches stored before stay), or, without ``abort``, raw is null.
+    try the task fails with that error, or, without ``abort``, raw is null (``streaming.replies`` stores the
+    answers batch by batch that way).
     attempt counts the tries of a prompt and error tells the last failure. Store the result before using
     it twice, as every action calls the model anew.
     """

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,36 +39,112 @@ def _number(at: str, size: int):
 
 
 def compositions(rows: DataFrame) -> DataFrame:
-    """(path, seq, pts, width, height, palette_id, objects) of the composition packets (kind 0x16)."""
-    some = rows.where((F.col("kind") == 0x16) & (F.length("payload") >= 11))
-    some = some.withColumn("n", _number("11", 1)).withColumn("k", F.expr("sequence(0, cast(n as int) - 1)"))
-    some = some.withColumn("k", F.when(F.col("n") > 0, F.col("k")).otherwise(F.array().cast("array<int>")))
-    part = lambda k, at, size: F.conv(F.hex(F.substring(F.col("payload"), F.lit(12) + k * 8 + at, F.lit(size))), 16, 10).cast("long")
-    one = lambda k: F.struct(part(k, 0, 2).alias("object_id"), part(k, 4, 2).alias("x"), part(k, 6, 2).alias("y"))
-    return some.select("path", "seq", "pts", _number("1", 2).alias("width"), _number("3", 2).alias("height"), _number("10", 1).alias("palette_id"), F.transform("k", one).alias("objects"))
+    """(path, seq, pts, width, height, palette_id, objects) of the composition packets (kind 0x16).
+
+    Entries stand one after another, eight bytes each and eight more if bit 0x40 of their flag says that they
+    are cropped; a payload that ends early ends the list. Packets of under 11 bytes have no row.
+    """
+    some = rows.where((F.col("kind") == 0x16) & (F.length("payload") >= 11)).withColumn("n", _number("11", 1).cast("int"))
+    part = lambda at, size: F.conv(F.hex(F.substring(F.col("payload"), at, F.lit(size))), 16, 10).cast("long")
+    none = F.array().cast("array<struct<object_id:bigint,x:bigint,y:bigint>>")
+
+    def entry(state, _):
+        at = state["at"]
+        one = F.struct(part(at, 2).alias("object_id"), part(at + 4, 2).alias("x"), part(at + 6, 2).alias("y"))
+        cropped = (part(at + 3, 1).bitwiseAND(0x40) != 0) & (at + 15 <= F.length("payload"))
+        more = F.struct((at + F.when(cropped, 16).otherwise(8)).alias("at"), F.concat(state["objects"], F.array(one)).alias("objects"))
+        return F.when(at + 7 <= F.length("payload"), more).otherwise(state)
+
+    steps = F.when(F.col("n") > 0, F.sequence(F.lit(1), F.col("n"))).otherwise(F.array().cast("array<int>"))
+    objects = F.aggregate(steps, F.struct(F.lit(12).alias("at"), none.alias("objects")), entry, lambda s: s["objects"])
+    return some.select("path", "seq", "pts", _number("1", 2).alias("width"), _number("3", 2).alias("height"), _number("10", 1).alias("palette_id"), objects.alias("objects"))
+
+
+def palettes(rows: DataFrame) -> DataFrame:
+    """(path, seq, palette_id, entries) of the palette packets (kind 0x14) that hold any entry: a map from the
+    entry's number to (y, cr, cb, alpha); a repeated number keeps its last entry."""
+    some = rows.where((F.col("kind") == 0x14) & (F.length("payload") >= 7))
+    part = lambda k, at: F.conv(F.hex(F.substring(F.col("payload"), F.lit(3) + k * 5 + at, F.lit(1))), 16, 10).cast("int")
+    steps = F.sequence(F.lit(0), F.floor((F.length("payload") - 2) / 5).cast("int") - 1)
+    last = F.filter(steps, lambda k: ~F.exists(steps, lambda later: (later > k) & (part(later, 0) == part(k, 0))))
+    one = lambda k: F.struct(part(k, 0).alias("key"), F.struct(*[part(k, i + 1).alias(n) for i, n in enumerate(("y", "cr", "cb", "alpha"))]).alias("value"))
+    return some.select("path", "seq", _number("1", 1).alias("palette_id"), F.map_from_entries(F.transform(last, one)).alias("entries"))
 
 
 def object_parts(rows: DataFrame) -> DataFrame:
-    """(path, object_id, version, seq, data): objects (kind 0x15) put together from their fragments.
+    """(path, object_id, version, seq, width, height, data): objects (kind 0x15) put together from their fragments.
 
-    A first fragment has bit 0x80 of its flag set and a seven-byte head of length and size; those up to
-    the next first fragment of the same object continue it.
+    A fragment whose flag has bit 0x80 begins (object, version) anew with a head of length and size; others
+    continue their version, or if it is not open the open version of that object that was opened last. Bit 0x40
+    completes an object; seq is that of the fragment that does. What is never completed is no object. The
+    fragments of one object id in one file are folded in order, the files and ids in parallel.
+    """
+    parts = rows.where((F.col("kind") == 0x15) & (F.length("payload") >= 4)).select("path", "seq", _number("1", 2).alias("object_id"), "payload")
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        pending: dict[int, tuple[int, int, list[bytes]]] = {}
+        out = []
+        for path, seq, number, payload in frame.sort_values("seq").itertuples(index=False):
+            version, flag = payload[2], payload[3]
+            if flag & 0x80:
+                if len(payload) < 11:
+                    continue
+                # a version that is open stays in its place, as in any ordered table
+                pending[version] = (int.from_bytes(payload[7:9], "big"), int.from_bytes(payload[9:11], "big"), [payload[11:]])
+            elif version in pending:
+                pending[version][2].append(payload[4:])
+            elif pending:
+                version = next(reversed(pending))
+                pending[version][2].append(payload[4:])
+            else:
+                continue
+            if flag & 0x40:
+                width, height, data = pending.pop(version)
+                out.append((path, number, version, seq, width, height, b"".join(data)))
+        return pd.DataFrame(out, columns=["path", "object_id", "version", "seq", "width", "height", "data"])
+
+    return parts.groupBy("path", "object_id").applyInPandas(fold, "path string, object_id long, version int, seq long, width int, height int, data binary")
+
+
+def _as_of(asked: DataFrame, known: DataFrame, key: list[str], value: str) -> DataFrame:
+    """asked (key, seq, ...) with ``value`` of the last row of known (key, seq, value) that stands before it."""
+    both = asked.withColumn(value, F.lit(None).cast(known.schema[value].dataType)).unionByName(known.select(*key, "seq", value).withColumn("_known", F.lit(True)), allowMissingColumns=True)
+    order = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return both.withColumn(value, F.last(value, ignorenulls=True).over(order)).where("_known is null").drop("_known")
+
+
+def display_sets(rows: DataFrame) -> DataFrame:
+    """(path, seq, pts, width, height, palette_seq, objects) of packets: what each END (kind 0x80) shows.
+
+    The composition is the last one since the END before (an END without one has no row; a composition too short
+    to read is none); its palette is the last with its number, else the last of any number; each of its objects
+    is the last complete one of its number, in order. palette_seq and an object's seq are null if there is none
+    yet, so that (path, seq) joins ``palettes`` and ``object_parts``. pts is the composition's.
     """
-    parts = rows.where((F.col("kind") == 0x15) & (F.length("payload") >= 4)).select("path", "seq", _number("1", 2).alias("object_id"), _number("3", 1).alias("version"), _number("4", 1).alias("flag"), "payload")
-    first = F.expr("flag >= 128").cast("int")
-    key = ["path", "object_id", "version"]
-    order = Window.partitionBy(*key).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    parts = parts.withColumn("_run", F.sum(first).over(order)).where("_run > 0")
-    parts = parts.withColumn("data", F.expr("substring(payload, case when flag >= 128 then 12 else 5 end, length(payload))"))
-    runs = F.array_sort(F.collect_list(F.struct("seq", F.hex("data").alias("data"))))
-    return parts.groupBy(*key, "_run").agg(F.min("seq").alias("seq"), F.unhex(F.array_join(F.transform(runs, lambda r: r["data"]), "")).alias("data")).drop("_run")
+    ends = rows.where(F.col("kind") == 0x80).select("path", "seq")
+    told = compositions(rows).select("path", "seq", F.struct(F.col("seq").alias("comp_seq"), "pts", "width", "height", "palette_id", "objects").alias("comp"))
+    short = rows.where((F.col("kind") == 0x16) & (F.length("payload") < 11)).select("path", "seq", F.lit(None).cast(told.schema["comp"].dataType).alias("comp"))
+    marks = told.unionByName(short).withColumn("ended", F.lit(False)).unionByName(ends.withColumn("ended", F.lit(True)), allowMissingColumns=True)
+    # what the packet before an END of these kinds says stands: an END behind an END has nothing to show
+    order = Window.partitionBy("path").orderBy("seq")
+    sets = marks.withColumn("comp", F.lag("comp").over(order)).where("ended and comp is not null").select("path", "seq", "comp.*")
+    colours = palettes(rows).select("path", "seq", "palette_id", F.col("seq").alias("palette_seq"))
+    sets = _as_of(sets, colours, ["path", "palette_id"], "palette_seq")
+    sets = _as_of(sets, colours.withColumnRenamed("palette_seq", "any_seq"), ["path"], "any_seq").withColumn("palette_seq", F.coalesce("palette_seq", "any_seq")).drop("any_seq")
+    shown = sets.select("path", "seq", F.posexplode("objects").alias("nth", "o")).select("path", "seq", "nth", "o.object_id", "o.x", "o.y")
+    shown = _as_of(shown, object_parts(rows).select("path", "object_id", "seq", F.col("seq").alias("object_seq")), ["path", "object_id"], "object_seq")
+    held = shown.groupBy("path", "seq").agg(F.array_sort(F.collect_list(F.struct("nth", "object_id", "x", "y", "object_seq"))).alias("o"))
+    held = held.select("path", "seq", F.transform("o", lambda o: F.struct(o["object_id"].alias("object_id"), o["x"].alias("x"), o["y"].alias("y"), o["object_seq"].alias("seq"))).alias("objects"))
+    none = F.array().cast(held.schema["objects"].dataType)
+    return sets.drop("objects").join(held, ["path", "seq"], "left").select("path", "seq", "pts", "width", "height", "palette_seq", F.coalesce("objects", none).alias("objects"))
 
 
 def merge_frames(frames: DataFrame, limit: int = 0) -> DataFrame:
     """(track_id, event_no, start, end, image_hash) from frames (track_id, seq, pts, is_empty, image_hash).
 
     Equal pictures in a row are one event, which the next picture or an empty frame ends; the last lasts
-    LAST_SECONDS. Events without length are dropped. ``limit`` keeps a track's first events (0: all).
+    LAST_SECONDS. Events without length are dropped. ``limit`` (0: none) stops a track when that many events
+    have begun: the one that stops it is its last, and so lasts LAST_SECONDS.
     """
     order = Window.partitionBy("track_id").orderBy("seq")
     shown = F.when(~F.col("is_empty"), F.col("image_hash"))
@@ -75,9 +152,12 @@ def merge_frames(frames: DataFrame, limit: int = 0) -> DataFrame:
     fresh = F.row_number().over(order) == 1
     rows = rows.withColumn("_new", fresh | ~F.col("image_hash").eqNullSafe(F.lag("image_hash").over(order)))
     runs = rows.where("_new").withColumn("end", F.lead("pts").over(order)).where("image_hash is not null")
-    runs = runs.withColumn("end", F.coalesce("end", F.col("pts") + LAST_SECONDS)).where("end > pts")
+    last = F.col("end").isNull()
+    if limit:
+        runs = runs.withColumn("_begun", F.row_number().over(order)).where(F.col("_begun") <= limit)
+        last = last | (F.col("_begun") == limit)
+    runs = runs.withColumn("end", F.when(last, F.col("pts") + LAST_SECONDS).otherwise(F.col("end"))).where("end > pts")
     runs = runs.withColumn("event_no", (F.row_number().over(order) - 1).cast("long"))
-    runs = runs.where(F.col("event_no") < limit) if limit else runs
     return runs.select("track_id", "event_no", F.col("pts").alias("start"), "end", "image_hash")
 
 

@@ -22,13 +22,14 @@ def compatible(cached: DataFrame, cues: DataFrame, mode: str | None = None) -> D
     return rows.groupBy("title_id").agg(F.count("*").alias("cached_rows"), F.bool_and(F.coalesce(same, F.lit(False))).alias("fits"))
 
 
-def read_stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_stored(spark: SparkSession, path: str, schema: str, nested: bool = False) -> DataFrame:
     """The rows stored under ``path``, as far as they can be read: no rows if nothing is there, files that are
-    broken or hold other types are left out, columns that a file lacks are null."""
+    broken or hold other types are left out, columns that a file lacks are null. ``nested``: in folders below
+    it, whatever their names."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(path)
+    return spark.read.schema(schema).option("ignoreCorruptFiles", "true").option("recursiveFileLookup", str(nested).lower()).parquet(path)
 
 
 def remaining(cues: DataFrame, cached: DataFrame, size: int, mode: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ Greedy choices, folds over words and model replies are recursive in the SQL.
 
 from __future__ import annotations
 
-import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -511,15 +511,29 @@ def parsed_segments(spark, sf_dir):
     return rows.select("title_id", "pos", r3("start").alias("start"), r3("end").alias("end"), "text", "source_language")
 
 
+def _frames(spark, sf_dir) -> DataFrame:
+    cues = views.events_cues(spark, sf_dir)
+    return cues.select(F.col("title_id").alias("track_id"), F.col("pos").alias("seq"), (F.col("event_id").cast("double") / 10).alias("pts"), (F.col("text") == "signup").alias("is_empty"), F.col("text").alias("image_hash"))
+
+
 @query("""WITH f AS (SELECT CAST(user_id AS VARCHAR) AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CAST(event_id AS DOUBLE) / 10 AS pts,
         CASE WHEN event_type <> 'signup' THEN event_type END AS h FROM events),
     c AS (SELECT *, h IS DISTINCT FROM lag(h) OVER (PARTITION BY track_id ORDER BY seq) OR seq = 1 AS fresh FROM f),
     r AS (SELECT *, coalesce(lead(pts) OVER (PARTITION BY track_id ORDER BY seq), pts + 3) AS stop FROM c WHERE fresh)
     SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS event_no, round(pts, 3) AS start, round(stop, 3) AS "end", h AS image_hash FROM r WHERE h IS NOT NULL AND stop > pts""")
 def merged_frames(spark, sf_dir):
-    cues = views.events_cues(spark, sf_dir)
-    rows = cues.select(F.col("title_id").alias("track_id"), F.col("pos").alias("seq"), (F.col("event_id").cast("double") / 10).alias("pts"), (F.col("text") == "signup").alias("is_empty"), F.col("text").alias("image_hash"))
-    return frames.merge_frames(rows).withColumn("start", r3("start")).withColumn("end", r3("end"))
+    return frames.merge_frames(_frames(spark, sf_dir)).withColumn("start", r3("start")).withColumn("end", r3("end"))
+
+
+@query("""WITH f AS (SELECT CAST(user_id AS VARCHAR) AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CAST(event_id AS DOUBLE) / 10 AS pts,
+        CASE WHEN event_type <> 'signup' THEN event_type END AS h FROM events),
+    c AS (SELECT *, h IS DISTINCT FROM lag(h) OVER (PARTITION BY track_id ORDER BY seq) OR seq = 1 AS fresh FROM f),
+    r AS (SELECT *, lead(pts) OVER (PARTITION BY track_id ORDER BY seq) AS next FROM c WHERE fresh),
+    b AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY seq) AS begun FROM r WHERE h IS NOT NULL),
+    e AS (SELECT *, CASE WHEN begun = 4 OR next IS NULL THEN pts + 3 ELSE next END AS stop FROM b WHERE begun <= 4)
+    SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY seq) - 1 AS event_no, round(pts, 3) AS start, round(stop, 3) AS "end", h AS image_hash FROM e WHERE stop > pts""")
+def limited_frames(spark, sf_dir):
+    return frames.merge_frames(_frames(spark, sf_dir), 4).withColumn("start", r3("start")).withColumn("end", r3("end"))
 
 
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, string_agg(l_returnflag || l_linenumber, ' ' ORDER BY round_even(l_extendedprice % 200 / 12, 0), l_quantity, l_linenumber, l_returnflag || l_linenumber) AS text FROM lineitem GROUP BY l_orderkey""")
@@ -529,13 +543,6 @@ def reading_order(spark, sf_dir):
     return frames.reading_order(rows.select(F.col("l_orderkey").cast("string").alias("frame_id"), F.col("l_linenumber").cast("long").alias("seq"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") % 200).alias("y"), text.alias("text")))
 
 
-@query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, l_linenumber - 1 AS seq, round(l_quantity, 3) AS x, round(l_extendedprice, 3) AS y, l_returnflag AS text FROM
-    (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS n FROM lineitem) QUALIFY n = l_linenumber AND bool_and(n = l_linenumber) OVER (PARTITION BY l_orderkey)""")
-def parsed_detections(spark, sf_dir):
-    """Only the orders that its SQL asks for, those with line numbers 1..n; ``order_detections`` takes all."""
-    return _detections(_order_boxes(spark, sf_dir).where("top = n and n = all"))
-
-
 @query("""SELECT CAST(l_orderkey AS VARCHAR) AS frame_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_returnflag, l_quantity, l_extendedprice) - 1 AS seq,
     round(l_quantity, 3) AS x, round(l_extendedprice, 3) AS y, l_returnflag AS text FROM lineitem""")
 def order_detections(spark, sf_dir):
@@ -546,7 +553,7 @@ def _order_boxes(spark, sf_dir) -> DataFrame:
     """Each order's lines as boxes b, in the order of their number, then of the other fields."""
     rows = views.table(spark, sf_dir, "lineitem")
     item = F.struct("l_linenumber", "l_returnflag", F.array(F.array("l_quantity", "l_extendedprice"), F.array(F.col("l_quantity") + 5, F.col("l_extendedprice") + 5)).alias("box"))
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("b"), F.max("l_linenumber").alias("top"), F.count_distinct("l_linenumber").alias("n"), F.count("*").alias("all"))
+    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(item)).alias("b"))
 
 
 def _detections(boxes: DataFrame) -> DataFrame:
@@ -623,10 +630,6 @@ def title_names(spark, sf_dir):
     return batch.parse_names(rows.withColumn("raw", raw)).select("p_partkey", "movie_name", "series_name", "name_source")
 
 
-def _store(df: DataFrame, name: str) -> DataFrame:
-    return df.checkpoint()
-
-
 @query(f"""WITH {EVENTS}, size AS (SELECT title_id, max(pos) AS top FROM ev GROUP BY title_id),
     c AS (SELECT ev.*, f.s AS from_s, t.e AS to_e FROM ev JOIN size USING (title_id) JOIN ev f ON f.title_id = ev.title_id AND f.pos = greatest(0, ev.pos // 5 * 5 - 30)
         JOIN ev t ON t.title_id = ev.title_id AND t.pos = least(top, ev.pos // 5 * 5 + 34)),
@@ -638,35 +641,69 @@ def _store(df: DataFrame, name: str) -> DataFrame:
     x AS (SELECT *, max(CASE WHEN NOT shown AND failed = 0 THEN e END) OVER (PARTITION BY title_id, island) AS far FROM f)
     SELECT title_id, pos, text AS en, '译' || length(text) AS zh, shown AS display, round(CASE WHEN shown AND far IS NOT NULL THEN greatest(far, own) ELSE told END, 3) AS display_end FROM x""")
 def translated_titles(spark, sf_dir):
-    """The passes around a model over the events' titles: requests, replies, checks, times. The reply to a
-    prompt is made from the prompt itself: each line numbered, lines that repeat the one before hidden."""
-
-    def reply(prompts: list[str]) -> list[str]:
-        out = []
-        for prompt in prompts:
-            target, before, items = prompt.split("TARGET\n", 1)[1].split("\n\nAFTER\n", 1)[0], None, []
-            for line in target.split("\n"):
-                mark, _, text = line.split(" ", 2)
-                items.append({"index": mark.strip("[]"), "corrected_text": text, "chinese_translation": f"译{len(text)}", "display": text != before})
-                before = text
-            out.append(json.dumps(items, ensure_ascii=False))
-        return out
-
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        _local_checkpoints(spark)
-    done = jobs.process(views.events_cues(spark, sf_dir).drop("event_id", "display"), reply, _store, pause=0.0)
+    """Replies laid out beside the requests of the events' titles, checked and applied with their times: every
+    line numbered, lines that repeat the one before in their batch hidden."""
+    none = F.lit(None).cast("string")
+    cues = views.events_cues(spark, sf_dir).drop("event_id", "display").withColumns({"en": none, "zh": none, "source_language": none})
+    before = F.lag("text").over(Window.partitionBy("title_id", "batch_id").orderBy("index"))
+    rows = batch.assign(cues).withColumn("before", before)
+    item = F.struct("index", F.col("text").alias("corrected_text"), F.concat(F.lit("译"), F.char_length("text")).alias("chinese_translation"), (~F.col("text").eqNullSafe(F.col("before"))).alias("display"))
+    replies = rows.groupBy("title_id", "batch_id").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("raw"))
+    done = jobs.apply_replies(cues, replies, batch.context(cues))
     return done.select("title_id", "pos", "en", "zh", "display", r3("display_end").alias("display_end"))
 
 
-def _local_checkpoints(spark: SparkSession) -> None:
-    """A folder for a plain local session; on a cluster spark.checkpoint.dir must name a shared one."""
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder that executors share: spark.checkpoint.dir; a plain local session may get one of its own."""
     import tempfile
 
     folder = spark.conf.get("spark.checkpoint.dir", None)
     master = spark.sparkContext.master
     if folder is None and (not master.startswith("local") or master.startswith("local-cluster")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-cuelake-"))
+    return f"{folder or tempfile.mkdtemp(prefix='spark-cuelake-')}/cuelake"
+
+
+def _log_files(spark, sf_dir) -> str:
+    """The run logs of the events as text files, a folder a run."""
+    path = f"{_shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    rows = _log(spark, sf_dir)[0].repartition("run_id").sortWithinPartitions("run_id", "line_no")
+    rows.select("run_id", "line").write.partitionBy("run_id").text(path)
+    return path
+
+
+def _of_runs(lines: DataFrame) -> DataFrame:
+    return lines.select(F.regexp_extract("path", "run_id=([^/]+)/", 1).alias("run_id"), "line_no", "line")
+
+
+_LOG_LINES = f"""{EVENTS}, l AS (SELECT title_id AS run_id, row_number() OVER (PARTITION BY title_id ORDER BY pos) - 1 AS line_no,
+        CASE text WHEN 'view' THEN 'Processing segments 1 to 5 of 9...' WHEN 'click' THEN 'note' WHEN 'error' THEN 'Transcribing audio' WHEN 'purchase' THEN 'Using sidecar SRT timing' ELSE '- Success! Subtitles saved' END AS line
+        FROM ev WHERE NOT (CAST(title_id AS INT) % 3 = 0 AND text = 'signup'))"""
+
+
+@query(f"WITH {_LOG_LINES} SELECT run_id, line_no, line FROM l")
+def log_file_lines(spark, sf_dir):
+    return _of_runs(files.lines(spark, _log_files(spark, sf_dir)))
+
+
+@query(f"WITH {_LOG_LINES} SELECT run_id, right(string_agg(line, chr(10) ORDER BY line_no), 500) AS tail FROM l GROUP BY run_id")
+def log_file_tails(spark, sf_dir):
+    return report.log_text(_of_runs(files.last_lines(spark, _log_files(spark, sf_dir), 500)), 500)
+
+
+_PIECES = ("乾", "坤", "乾坤", "頭", "髮", "頭髮", "發", "開", "車", "開車", "國", "a", "")
+_PHRASES = {"乾坤": "乾坤", "頭髮": "头发", "開車": "开车", "乾": "干", "頭": "头", "髮": "髮", "發": "发", "開": "开", "車": "车", "國": "国家"}
+
+
+@query(f"""WITH p AS (SELECT p_partkey, {list(_PIECES)} AS x, p_partkey AS k FROM part),
+    t AS (SELECT p_partkey, x[k % 13 + 1] || x[k // 13 % 13 + 1] || x[k // 169 % 13 + 1] || x[k * 7 % 13 + 1] || x[k * 5 // 13 % 13 + 1] AS t FROM p),
+    held AS (SELECT p_partkey, replace(replace(replace(t, '乾坤', chr(57344)), '頭髮', chr(57345)), '開車', chr(57346)) AS t FROM t)
+    SELECT p_partkey, replace(replace(replace(replace(translate(t, '乾頭發開車', '干头发开车'), '國', '国家'), chr(57344), '乾坤'), chr(57345), '头发'), chr(57346), '开车') AS text FROM held""")
+def mapped_phrases(spark, sf_dir):
+    k, x = F.col("p_partkey"), F.array(*map(F.lit, _PIECES))
+    at = lambda n: F.get(x, (n % 13).cast("int"))
+    text = F.concat(at(k), at(F.floor(k / 13)), at(F.floor(k / 169)), at(k * 7), at(F.floor(k * 5 / 13)))
+    return views.table(spark, sf_dir, "part").select("p_partkey", X.simplify(text, _PHRASES).alias("text"))
 
 
 @query(f"""WITH {TALK} SELECT title_id, CASE WHEN CAST(title_id AS INT) % 3 = 0 THEN 'cache' WHEN CAST(title_id AS INT) % 2 = 0 THEN 'sidecar' ELSE 'audio' END AS source, count(*) AS n,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cuelake.functions import text as X
 from cuelake.operators import batch, display, frames, language, pair, report, resume, split, tracks
 from cuelake.sources import files as listings
 from cuelake.sources import sinks
+from cuelake.streaming import replies as replies_of
 
 # Sources of a title's cues, best first.
 SOURCES = ("cache", "existing_sidecar", "existing_embedded", "sidecar", "embedded", "audio")
@@ -27,18 +28,45 @@ def choose_source(available: DataFrame, mode: str = "auto") -> DataFrame:
     return rows.groupBy("title_id").agg(F.min_by("source", rank).alias("source"))
 
 
-def resolve_cues(sources: dict[str, DataFrame], mode: str = "auto") -> DataFrame:
-    """Cues of each title from its best source that has any. sources: name to cues of equal columns."""
-    flags = [cues.select("title_id", F.lit(name).alias("source")).distinct() for name, cues in sources.items()]
-    chosen = flags[0]
-    for more in flags[1:]:
-        chosen = chosen.unionByName(more)
-    chosen = choose_source(chosen, mode)
-    out = None
-    for name, cues in sources.items():
-        rows = cues.join(chosen.where(F.col("source") == name).select("title_id"), "title_id", "left_semi").withColumn("source", F.lit(name))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    return out
+#: Cues of a source, or a function from the titles that better sources have (title_id) to the cues of others.
+Source = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def resolve_cues(sources: dict[str, Source], mode: str = "auto", store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """Cues of each title from its best source that has any. sources: name to cues of equal columns.
+
+    Sources are read one after another, best first, and each only for the titles that no better one has: the
+    titles found are taken out by an anti-join below whatever a source computes row by row, and a source that
+    is a function gets them to leave their files out before any is read. With ``store`` each source's cues are
+    written once and what follows looks at what is stored; without it Spark may read a source again.
+    """
+    found, taken = None, None
+    for name in sorted((n for n in sources if n in SOURCES and mode in ("auto", n)), key=SOURCES.index):
+        source, rows = sources[name], None
+        if callable(source):
+            rows = source(_no_titles() if taken is None else taken)
+        else:
+            rows = source
+        rows = rows if taken is None else rows.join(taken, "title_id", "left_anti")
+        rows = rows.withColumn("source", F.lit(name))
+        rows = rows if store is None else store(rows, f"cues-{name}")
+        mine = rows.select("title_id").distinct()
+        taken = mine if taken is None else taken.unionByName(mine)
+        taken = taken if store is None else store(taken, f"titles-{name}")
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    if found is None:
+        raise ValueError(f"no source for mode {mode}")
+    return found
+
+
+def _no_titles() -> DataFrame:
+    return SparkSession.active().createDataFrame([], "title_id string")
+
+
+def sidecar_source(files: DataFrame, read: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """A source over a listing (title_id, path): ``read`` gets the files of the titles that are left, as
+    (title_id, path), and gives their cues."""
+    return lambda taken: read(files.join(taken, "title_id", "left_anti"))
 
 
 def _complete(cues: DataFrame) -> DataFrame:
@@ -131,12 +159,14 @@ def single_retry(model: Model, store: Callable[[DataFrame, str], DataFrame], att
     return retry
 
 
-def process(cues: DataFrame, model: Model, store: Callable[[DataFrame, str], DataFrame], proofread: bool = False, source_language: str = "auto", mapping: dict[str, str] | None = None, attempts: int = batch.ATTEMPTS, pause: float = batch.PAUSE, cached: DataFrame | None = None) -> DataFrame:
+def process(cues: DataFrame, model: Model, store: Callable[[DataFrame, str], DataFrame], proofread: bool = False, source_language: str = "auto", mapping: dict[str, str] | None = None, attempts: int = batch.ATTEMPTS, pause: float = batch.PAUSE, cached: DataFrame | None = None, replies_at: str | None = None) -> DataFrame:
     """The model pass over cues: requests, replies, checks, retries, display times.
 
     ``store(df, name)`` writes a table and reads it back; replies go through it, so that no action calls
     the model twice. ``cached`` holds cues of an earlier run: titles where they fit go on behind the last
-    whole batch, and only requests of batches that are left are sent.
+    whole batch, and only requests of batches that are left are sent. With ``replies_at``, a folder, replies
+    are stored there batch by batch as they come: if the model fails, what it has answered stays, a rerun asks
+    for the rest only, and ``processed_so_far`` gives the cues that are done.
     """
     task, mode = ("proofread", "proofread_existing_chinese") if proofread else ("translate", "translate")
     cues = _complete(cues)
@@ -147,7 +177,7 @@ def process(cues: DataFrame, model: Model, store: Callable[[DataFrame, str], Dat
         kept = cached.join(resume.compatible(cached, cues, mode).where("fits").select("title_id"), "title_id", "left_semi").join(todo.select("title_id", "pos"), ["title_id", "pos"], "left_anti")
     left = batch.assign(todo).select("title_id", "batch_id").distinct()
     asked = batch.requests(batches.join(left, ["title_id", "batch_id"], "left_semi"), task, source_language)
-    replies = store(batch.run_model(asked, model, attempts, pause), "replies")
+    replies = replies_of.ask(asked, model, replies_at, attempts, pause) if replies_at else store(batch.run_model(asked, model, attempts, pause), "replies")
     done = apply_replies(todo, replies, batches, proofread, mapping, single_retry(model, store, proofread=proofread, language=source_language, mapping=mapping))
     resume.assert_timing_kept(todo, done)
     if kept is None:
@@ -155,6 +185,36 @@ def process(cues: DataFrame, model: Model, store: Callable[[DataFrame, str], Dat
     return display.extend_over_hidden(done.unionByName(kept.select(*done.columns)))
 
 
+def processed_so_far(cues: DataFrame, replies_at: str, proofread: bool = False, source_language: str = "auto", mapping: dict[str, str] | None = None) -> DataFrame:
+    """The processed cues of each title up to its first batch without a stored reply under ``replies_at``: what
+    an earlier, unfinished ``process`` has to show, in the form that it takes as ``cached``."""
+    cues = _complete(cues)
+    batches = batch.context(cues, bilingual=proofread)
+    asked = batch.requests(batches, "proofread" if proofread else "translate", source_language)
+    asked = asked.select("title_id", "batch_id", F.md5("prompt").alias("asked"))
+    replies = replies_of.stored(cues.sparkSession, replies_at)
+    told = asked.join(replies, replies_of.KEY, "left")
+    until = told.groupBy("title_id").agg(F.min(F.when(F.col("raw").isNull(), F.col("batch_id"))).alias("until"))
+    done = batch.assign(cues).join(until, "title_id").where(F.col("until").isNull() | (F.col("batch_id") < F.col("until"))).drop("until", "batch_id", "index")
+    return apply_replies(done, told.where("raw is not null"), batches, proofread, mapping)
+
+
+def translate_texts(cues: DataFrame, model: Model, replies_at: str, source_language: str = "auto", attempts: int = batch.ATTEMPTS, pause: float = batch.PAUSE) -> DataFrame:
+    """(title_id, pos, start, end, text, en, zh): cues corrected and translated by prompts without times.
+
+    The variant for tracks that have their timing settled: replies hold ``corrected_english`` and
+    ``chinese_translation`` only, a missing item or field leaves the text, a missing translation is the
+    correction, and no cue is hidden or moved. Replies are stored batch by batch under ``replies_at``.
+    """
+    batches = batch.context(cues, timed=False)
+    replies = replies_of.ask(batch.requests(batches, "translate", source_language, timed=False), model, replies_at, attempts, pause)
+    rows = batch.assign(cues).join(batch.reply_items(replies), ["title_id", "batch_id", "index"], "left")
+    en = X.clean_subtitle_text(F.coalesce(batch.field("corrected_english", "corrected_text"), F.col("text")))
+    rows = rows.withColumn("en", en)
+    rows = rows.withColumn("zh", X.clean_subtitle_text(F.coalesce(batch.field("chinese_translation"), F.col("en"))))
+    return rows.select("title_id", "pos", "start", "end", "text", "en", "zh")
+
+
 def route(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cues to translate, cues whose Chinese is to be proofread) by title."""
     flags = language.chinese_presence(cues)
@@ -162,9 +222,9 @@ def route(cues: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pick(False), pick(True)
 
 
-def subtitle_job(sources: dict[str, DataFrame], model: Model, store: Callable[[DataFrame, str], DataFrame], mode: str = "auto", mapping: dict[str, str] | None = None) -> dict[str, DataFrame]:
+def subtitle_job(sources: dict[str, Source], model: Model, store: Callable[[DataFrame, str], DataFrame], mode: str = "auto", mapping: dict[str, str] | None = None) -> dict[str, DataFrame]:
     """Cues from the best source, prepared, stored, sent through the model, rendered, with both reports."""
-    cues = resolve_cues(sources, mode)
+    cues = resolve_cues(sources, mode, store)
     source = store(prepare(_complete(cues)), "source")
     fresh, existing = route(source)
     done = process(fresh, model, store, mapping=mapping).unionByName(process(existing, model, store, proofread=True, mapping=mapping))
