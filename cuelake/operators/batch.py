@@ -29,23 +29,29 @@ def context(cues: DataFrame, size: int = BATCH, lines: int = CONTEXT, bilingual:
 
     before and after hold up to ``lines`` prompt lines ahead of the first and behind the last cue of the
     batch; the bounds are the start of the first and the end of the last line of the whole context.
-    Without ``timed`` lines hold the number and the text alone.
+    Without ``timed`` lines hold the number and the text alone. pos counts a title's cues without gaps, so the
+    lines are those of the batches beside it: each cue's line is made and moved once, and a batch looks at
+    ``lines`` / ``size`` others on either side, whatever the title's length.
     """
     rows = assign(cues, size)
     line = (lambda i: F.format_string("[%d] %s", i, F.col("text"))) if not timed else (lambda i: X.bilingual_prompt_line(i, F.col("start"), F.col("end"), F.col("text"), F.col("en"), F.col("zh"))) if bilingual else (lambda i: X.prompt_line(i, F.col("start"), F.col("end"), F.col("text")))
-    rows = rows.withColumn("_line", line(F.col("pos"))).withColumn("_own", line(F.col("index").cast("long")))
-    order = Window.partitionBy("title_id").orderBy("pos")
-    ahead, behind = order.rowsBetween(-lines, -1), order.rowsBetween(1, lines)
-    rows = rows.withColumn("_before", F.array_join(F.collect_list("_line").over(ahead), "\n")).withColumn("_after", F.array_join(F.collect_list("_line").over(behind), "\n"))
-    rows = rows.withColumn("_from", F.first("start").over(order.rowsBetween(-lines, 0))).withColumn("_to", F.last("end").over(order.rowsBetween(0, lines)))
-    own = F.array_sort(F.collect_list(F.struct("index", "_own")))
-    return rows.groupBy("title_id", "batch_id").agg(
-        F.count("*").alias("n"),
-        F.array_join(F.transform(own, lambda r: r["_own"]), "\n").alias("target"),
-        F.min_by("_before", "pos").alias("before"),
-        F.max_by("_after", "pos").alias("after"),
-        F.min_by("_from", "pos").alias("context_start"),
-        F.max_by("_to", "pos").alias("context_end"),
+    one = F.struct("pos", "start", "end", line(F.col("pos")).alias("line"), line(F.col("index").cast("long")).alias("own"))
+    whole = rows.groupBy("title_id", "batch_id").agg(F.array_sort(F.collect_list(one)).alias("lines"))
+    order, reach = Window.partitionBy("title_id").orderBy("batch_id"), -(-lines // size)
+    beside = lambda lo, hi: F.flatten(F.collect_list("lines").over(order.rowsBetween(lo, hi))) if lines else F.slice("lines", 1, 0)
+    whole = whole.withColumn("ahead", beside(-reach, -1)).withColumn("behind", beside(1, reach))
+    ahead, behind = F.slice("ahead", F.greatest(F.size("ahead") - lines + 1, F.lit(1)), max(1, lines)), F.slice("behind", 1, lines)
+    texts = lambda of, name: F.array_join(F.transform(of, lambda r: r[name]), "\n")
+    first, last = F.coalesce(F.get(ahead, F.lit(0)), F.get("lines", F.lit(0))), F.coalesce(F.get(behind, F.size(behind) - 1), F.get("lines", F.size("lines") - 1))
+    return whole.select(
+        "title_id",
+        "batch_id",
+        F.size("lines").cast("long").alias("n"),
+        texts(F.col("lines"), "own").alias("target"),
+        texts(ahead, "line").alias("before"),
+        texts(behind, "line").alias("after"),
+        first["start"].alias("context_start"),
+        last["end"].alias("context_end"),
     )
 
 
