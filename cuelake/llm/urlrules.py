@@ -3,8 +3,10 @@
 A listed rule names a host and a path. What the listed rules decide labels the URLs they cover; FP-growth
 mines the combinations of URL tokens that go with a label, and the rules that are frequent and sure enough
 judge the URLs that no listed rule covers. Tokens that stand in the very same labelled URLs are one item,
-else k of them would be 2**k equal rules. Matching goes through an inverted index: each mined rule hangs
-on its rarest item, so only URLs with that item are tested against it.
+else k of them would be 2**k equal rules. An item that never stands beside another label is a rule of its
+own and is not mined further: any larger set with it has the same label, no more confidence and no more
+support. So k tokens of one site, in whatever combinations, are k rules and not 2**k. Matching goes through an
+inverted index: each mined rule hangs on its rarest item, so only URLs with that item are tested against it.
 """
 
 from __future__ import annotations
@@ -58,13 +60,27 @@ def judge(pages: DataFrame, url_col: str = "url", rules=RULES) -> DataFrame:
 
 
 def items(labelled: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """(token, item): the tokens in a share ``support`` or more of the URLs, item being the first of those
-    tokens that are in exactly the same URLs. At most (mean tokens a URL) / support rows."""
+    """(token, item, freq, only): the tokens in a share ``support`` or more of the URLs, item being the first of
+    those tokens that are in exactly the same URLs, only their label if they have but one, else null. At most
+    (mean tokens a URL) / support rows."""
     least = F.ceil(F.lit(support) * labelled.count())
-    seen = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("tokens", "listed").cast("decimal(38,0)").alias("mark"))
-    seen = seen.groupBy("token").agg(F.count("*").alias("freq"), F.sum("mark").alias("marks")).where(F.col("freq") >= least)
-    same = seen.groupBy("freq", "marks").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"))
-    return same.select(F.explode("tokens").alias("token"), "item", "freq")
+    seen = labelled.select(F.explode("tokens").alias("token"), F.xxhash64("tokens", "listed").cast("decimal(38,0)").alias("mark"), "listed")
+    only = F.when(F.min("listed") == F.max("listed"), F.min("listed")).alias("only")
+    seen = seen.groupBy("token").agg(F.count("*").alias("freq"), F.sum("mark").alias("marks"), only).where(F.col("freq") >= least)
+    same = seen.groupBy("freq", "marks").agg(F.min("token").alias("item"), F.collect_list("token").alias("tokens"), F.min("only").alias("only"))
+    return same.select(F.explode("tokens").alias("token"), "item", "freq", "only")
+
+
+def telling(labelled: DataFrame, known: DataFrame, **bounds) -> DataFrame:
+    """The rules of ``mine`` that can be a set's best: items of one label alone, and what is mined of the others.
+
+    A rule that holds an item of one label is sure, as that item is; wherever it fits the item does too, with the
+    same verdict and no less support. So what ``match`` says is the same with and without such rules.
+    """
+    total = labelled.count()
+    alone = known.where("token = item and only is not null")
+    alone = alone.select(F.array("item").alias("need"), F.col("only").alias("verdict"), F.lit(1.0).alias("confidence"), (F.col("freq") / F.lit(total)).alias("support"), F.col("item").alias("key"))
+    return alone.unionByName(mine(labelled, known.where("only is null"), **bounds))
 
 
 def mine(labelled: DataFrame, known: DataFrame, support: float = SUPPORT, confidence: float = CONFIDENCE, gain: float = GAIN) -> DataFrame:
@@ -90,13 +106,12 @@ def mine(labelled: DataFrame, known: DataFrame, support: float = SUPPORT, confid
 
 def match(sets: DataFrame, mined: DataFrame, known: DataFrame) -> DataFrame:
     """(tokens, verdict): for each distinct token set the surest rule whose items it holds, one token of each
-    being enough (then the rule of more support, then of more items, then block). Sets that no rule fits are
-    left out."""
+    being enough (then the rule of more support, then block). Sets that no rule fits are left out."""
     held = sets.select("tokens", F.explode("tokens").alias("token")).join(maybe_broadcast(known.select("token", "item")), "token")
     held = held.groupBy("tokens").agg(F.collect_set("item").alias("items"))
     hit = held.select("tokens", "items", F.explode("items").alias("key")).join(mined, "key")
     hit = hit.where(F.forall("need", lambda t: F.array_contains("items", t)))
-    rank = F.struct("confidence", "support", F.size("need").alias("size"), "verdict")
+    rank = F.struct("confidence", "support", "verdict")
     return hit.groupBy("tokens").agg(F.max(rank)["verdict"].alias("verdict"))
 
 
@@ -113,7 +128,7 @@ def filter_urls(pages: DataFrame, url_col: str = "url", rules=RULES, default: st
     rest = judged.where("listed is null")
     with scratch(pages.sparkSession):
         known = materialize(items(labelled), "url-items")
-        mined = materialize(mine(labelled, known), "url-rules")
+        mined = materialize(telling(labelled, known), "url-rules")
         # stored, so that a token set of very many URLs is no hot key: few sets are broadcast, many are split by Spark
         verdicts = materialize(match(rest.select("tokens").distinct(), mined, known), "url-verdicts", keep=True)
     rest = rest.join(maybe_broadcast(verdicts), "tokens", "left").withColumn("listed", F.coalesce("verdict", F.lit(default)))

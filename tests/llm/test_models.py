@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -245,6 +246,40 @@ def test_urls_are_mined_whole(spark):
     assert verdicts == {("p:ad-37",): "block", ("p:ok-11", "p:x"): "allow", ("q:page", "p:ad-01"): "allow"}
 
 
+def test_many_tokens_of_one_site(spark):
+    """40 tokens that nearly always come together would be 2**40 sets; they are 40 rules."""
+    rng = random.Random(7)
+    names = [f"q:{j:02}" for j in range(40)]
+    site = [(sorted([*(t for t in names if rng.random() < 0.97), "h:long", "s:http"]), "block") for _ in range(300)]
+    rest = [(sorted({"s:http", rng.choice(["h:a", "h:b"]), rng.choice(["p:x", "p:y"])}), "allow" if rng.random() < 0.7 else "block") for _ in range(200)]
+    labelled = spark.createDataFrame(site + rest, "tokens array<string>, listed string")
+    known = urlrules.items(labelled, 0.02)
+    began = time.time()
+    rules = urlrules.telling(labelled, known, support=0.02).collect()
+    assert time.time() - began < 60
+    assert {r.need[0] for r in rules if r.confidence == 1.0} >= {*names, "h:long"} and len(rules) < 60
+
+
+def test_rules_left_out_never_win(spark):
+    """Verdicts by all mined rules and by the telling ones are the same, on tables of one-label and mixed tokens."""
+    for seed in range(3):
+        rng = random.Random(seed)
+        rows = []
+        for _ in range(150):
+            bad = rng.random() < 0.5
+            tokens = {t for t, p in (("a", 0.5), ("b", 0.3), ("c", 0.9 if bad else 0.05), ("d", 0.02 if bad else 0.8)) if rng.random() < p}
+            tokens |= {t for t in ("e", "f", "g") if bad and rng.random() < 0.4} | {t for t in ("h", "i") if not bad and rng.random() < 0.4}
+            rows.append((sorted(tokens), "block" if bad else "allow"))
+        labelled = spark.createDataFrame(rows, "tokens array<string>, listed string")
+        known = urlrules.items(labelled, 0.04)
+        assert known.where("only is null").count() and known.where("only is not null").count()
+        sets = spark.createDataFrame([(list(c),) for n in range(10) for c in itertools.combinations("abcdefghi", n)], "tokens array<string>")
+        every, few = urlrules.mine(labelled, known, support=0.04), urlrules.telling(labelled, known, support=0.04)
+        assert few.count() < every.count()
+        told = [{tuple(r.tokens): r.verdict for r in urlrules.match(sets, rules, known).collect()} for rules in (every, few)]
+        assert told[0] == told[1] and len(set(told[0].values())) == 2
+
+
 def test_warc(spark, sf):
     big = "x" * 3_000_000
     rows = [(1, "http://a/ b\r\n", "same"), (2, None, "same"), (5, "u", None), (4, "u", ""), (7, "é", big), (None, "n", "same"), (None, "n", "only"), (9, "d", "dup"), (9, "d", "dup"), (3, "c", "HTTP/1.1\r\n\r\nWARC/1.1\r\n\r\n")]
