@@ -16,7 +16,7 @@ from cuelake.functions import times
 from cuelake.operators import batch, display, frames, language, pair, report, resume, split, tracks
 from cuelake.plans import jobs, views
 from cuelake.plans.views import DOCUMENTS, EVENTS, FILES, TALK, TRACKS
-from cuelake.sources import files, sinks, subtitles
+from cuelake.sources import files, sinks, snapshots, subtitles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -691,6 +691,22 @@ def log_file_tails(spark, sf_dir):
     return report.log_text(_of_runs(files.last_lines(spark, _log_files(spark, sf_dir), 500)), 500)
 
 
+@query(f"""WITH {EVENTS}, c AS (SELECT title_id, pos, CASE WHEN CAST(title_id AS INT) % 3 = 0 THEN upper(text) ELSE text END AS text
+        FROM ev WHERE CAST(title_id AS INT) % 7 <> 0 AND (CAST(title_id AS INT) % 3 <> 0 OR pos % 2 = 0))
+    SELECT title_id, pos, text, count(*) OVER (PARTITION BY title_id) AS cues FROM c""")
+def stored_titles(spark, sf_dir):
+    """The events' titles stored with their sizes; every third is then replaced by its even cues and every
+    seventh starts anew. Both tables are read at one snapshot."""
+    path = f"{_shared_folder(spark)}/titles-{uuid.uuid4().hex}"
+    number = F.col("title_id").cast("int")
+    cues = views.events_cues(spark, sf_dir).select("title_id", "pos", "text")
+    for rows in (cues, cues.where((number % 3 == 0) & (F.col("pos") % 2 == 0)).withColumn("text", F.upper("text"))):
+        snapshots.replace(spark, path, {"cues": rows, "sizes": rows.groupBy("title_id").agg(F.count("*").alias("cues"))})
+    at = snapshots.restart(spark, path, cues.where(number % 7 == 0).select("title_id"))
+    sizes = snapshots.read(spark, path, "sizes", "title_id string, cues long", at)
+    return snapshots.read(spark, path, "cues", "title_id string, pos long, text string", at).join(sizes, "title_id")
+
+
 _PIECES = ("乾", "坤", "乾坤", "頭", "髮", "頭髮", "發", "開", "車", "開車", "國", "a", "")
 _PHRASES = {"乾坤": "乾坤", "頭髮": "头发", "開車": "开车", "乾": "干", "頭": "头", "髮": "髮", "發": "发", "開": "开", "車": "车", "國": "国家"}
 
