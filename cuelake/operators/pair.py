@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,6 +13,8 @@ from cuelake.functions import text as X
 from cuelake.functions import times
 
 WINDOW, LAG, LEAST_SCORE = 12, 5.0, -2.5
+#: En cues that one task takes in a row where runs are cut into blocks.
+BLOCK = 20_000
 
 
 def candidates(en: DataFrame, zh: DataFrame) -> DataFrame:
@@ -40,37 +43,79 @@ def best_match(en: DataFrame, zh: DataFrame) -> DataFrame:
 
 
 def _choose(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """En cues choose in order among candidates sorted best first; what is taken is held for one run only."""
+    """En cues choose in order among candidates sorted best first; what is taken is held for one run only. Rows
+    of en_pos -1, which stand first, name zh cues that are taken before the run begins."""
     run, cue, used = None, None, set()
     for frame in frames:
         rows = []
         for title, number, en_pos, zh_pos in zip(frame["title_id"], frame["run"], frame["en_pos"], frame["zh_pos"]):
             if (title, number) != run:
                 run, cue, used = (title, number), None, set()
-            if en_pos != cue and zh_pos not in used:
+            if en_pos == -1:
+                used.add(zh_pos)
+            elif en_pos != cue and zh_pos not in used:
                 cue = en_pos  # has chosen
                 used.add(zh_pos)
-                rows.append((title, en_pos, zh_pos))
-        yield pd.DataFrame(rows, columns=["title_id", "en_pos", "zh_pos"])
+                rows.append((title, number, en_pos, zh_pos))
+        yield pd.DataFrame(rows, columns=["title_id", "run", "en_pos", "zh_pos"])
+
+
+def _chosen(dealt: DataFrame) -> DataFrame:
+    """(title_id, run, en_pos, zh_pos) of the choices in candidates (title_id, run, en_pos, zh_pos, score)."""
+    rows = dealt.repartition("title_id", "run").sortWithinPartitions("title_id", "run", "en_pos", F.desc("score"), "zh_pos")
+    return rows.select("title_id", "run", "en_pos", "zh_pos").mapInPandas(_choose, "title_id string, run long, en_pos long, zh_pos long")
+
+
+def _in_runs(met: DataFrame) -> DataFrame:
+    """Choices by runs whose candidates do not overlap."""
+    reach = met.groupBy("title_id", "en_pos").agg(F.min("zh_pos").alias("lo"), F.max("zh_pos").alias("hi"))
+    order = Window.partitionBy("title_id").orderBy("en_pos")
+    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.min("lo").over(order.rowsBetween(0, Window.unboundedFollowing))
+    reach = reach.withColumn("cut", F.when(before.isNull() | (after > before), 1).otherwise(0))
+    reach = reach.select("title_id", "en_pos", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
+    return _chosen(met.join(reach, ["title_id", "en_pos"]))
+
 
+def _in_blocks(met: DataFrame, store: Callable[[DataFrame, str], DataFrame], block: int) -> DataFrame:
+    """Choices by blocks of ``block`` en cues, repeated until each block has seen what earlier ones took.
 
-def greedy_pairs(en: DataFrame, zh: DataFrame) -> DataFrame:
+    All blocks choose at once; then those choose again that hold a candidate which an earlier block took, or
+    no longer takes. Candidates start no earlier from one en cue to the next, so an earlier block can have
+    taken only the first WINDOW positions from a block's lowest. After k rounds the first k blocks of a title
+    are settled, and a block seldom hands a change on to its end, so few rounds are needed.
+    """
+    edges = store(met.withColumn("run", F.floor(F.col("en_pos") / block)), "pair-candidates")
+    lowest = edges.groupBy("title_id", "run").agg(F.min("zh_pos").alias("lo"))
+    reach = store(lowest.select("title_id", "run", F.explode(F.sequence("lo", F.col("lo") + WINDOW - 1)).alias("zh_pos")), "pair-reach")
+    chosen, held = store(_chosen(edges), "pair-chosen-0"), None
+    for number in itertools.count(1):
+        taken = reach.join(chosen.select("title_id", "zh_pos", F.col("run").alias("by")), ["title_id", "zh_pos"]).where("by < run")
+        now = store(taken.groupBy("title_id", "run").agg(F.array_sort(F.collect_set("zh_pos")).alias("now")), f"pair-held-{number}")
+        both = now.withColumn("held", F.lit(None).cast("array<long>")) if held is None else now.join(held.withColumnRenamed("now", "held"), ["title_id", "run"], "full")
+        changed = store(both.where(~F.col("now").eqNullSafe(F.col("held"))).select("title_id", "run", "now"), f"pair-changed-{number}")
+        if changed.isEmpty():
+            return chosen
+        first = changed.select("title_id", "run", F.explode("now").alias("zh_pos")).withColumn("en_pos", F.lit(-1).cast("long"))
+        again = edges.join(changed.select("title_id", "run"), ["title_id", "run"], "left_semi").unionByName(first, allowMissingColumns=True)
+        kept = chosen.join(changed.select("title_id", "run"), ["title_id", "run"], "left_anti")
+        chosen, held = store(kept.unionByName(_chosen(again)), f"pair-chosen-{number}"), now
+
+
+def greedy_pairs(en: DataFrame, zh: DataFrame, store: Callable[[DataFrame, str], DataFrame] | None = None, block: int = BLOCK) -> DataFrame:
     """(title_id, pair_no, en, zh): one-to-one pairs in the order of their earliest start, unmatched cues of
     either side on their own.
 
     En cues choose in order; a zh cue that is taken still fills its place in the window. A choice depends on
     earlier ones only as far as their candidates reach, so titles are cut into runs whose candidates do not
     overlap. Runs spread over tasks, which hold no more than the cues taken in one run.
+
+    A run that overlaps throughout is one task. With ``store`` (which writes rows under a name and gives them
+    back) titles are cut into blocks of ``block`` en cues wherever they are, and blocks choose in rounds until
+    nothing changes; the pairs are the same.
     """
     met = candidates(en, zh)
-    reach = met.groupBy("title_id", "en_pos").agg(F.min("zh_pos").alias("lo"), F.max("zh_pos").alias("hi"))
-    order = Window.partitionBy("title_id").orderBy("en_pos")
-    before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("lo").over(order.rowsBetween(0, Window.unboundedFollowing))
-    reach = reach.withColumn("cut", F.when(before.isNull() | (after > before), 1).otherwise(0))
-    reach = reach.select("title_id", "en_pos", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
-    dealt = met.join(reach, ["title_id", "en_pos"]).repartition("title_id", "run").sortWithinPartitions("title_id", "run", "en_pos", F.desc("score"), "zh_pos")
-    chosen = dealt.select("title_id", "run", "en_pos", "zh_pos").mapInPandas(_choose, "title_id string, en_pos long, zh_pos long")
+    chosen = (_in_runs(met) if store is None else _in_blocks(met, store, block)).drop("run")
     side = lambda cues, name: cues.select("title_id", F.col("pos").alias(f"{name}_pos"), F.struct("pos", "start", "end", "text").alias(name))
     whole = side(en, "en").join(chosen, ["title_id", "en_pos"], "left").join(side(zh, "zh"), ["title_id", "zh_pos"], "full")
     order = Window.partitionBy("title_id").orderBy(F.least("en.start", "zh.start"), F.col("en_pos").isNull(), "en_pos", "zh_pos")

@@ -241,6 +241,32 @@ def test_pairs(spark):
     assert {(t, e) for t, p in got.items() for e, z in p if e is not None and z is not None} <= single
 
 
+def test_pairs_in_blocks(spark, tmp_path):
+    """Titles whose cues overlap throughout, in blocks much shorter than they are, and one title of one cue."""
+    rng, rounds = random.Random(9), []
+
+    def keep(df, name):
+        rounds.append(name)
+        df.write.parquet(f"{tmp_path}/{len(rounds)}")
+        return spark.read.parquet(f"{tmp_path}/{len(rounds)}")
+
+    def track(n, step):
+        return sorted((round(a, 2), round(a + rng.uniform(0.5, 6), 2), rng.choice(["hello", "music", "word"])) for a in (rng.uniform(0, n * step) for _ in range(n)))
+
+    tracks = {"dense": (track(150, 0.7), track(120, 0.9)), "many en": (track(120, 0.05), track(20, 0.3)), "many zh": (track(20, 2.0), track(200, 0.2)), "one": ([(0.0, 1.0, "x")], [(0.5, 1.5, "y")]), "alone": ([(0.0, 1.0, "x")], [])}
+    en, zh = (spark.createDataFrame([(t, k, *x) for t, sides in tracks.items() for k, x in enumerate(sides[n])], CUE) for n in (0, 1))
+    for block in (1, 7, 1000):
+        before = len(rounds)
+        got = {}
+        for r in pair.greedy_pairs(en, zh, keep, block).orderBy("title_id", "pair_no").collect():
+            got.setdefault(r.title_id, []).append((r.en and r.en.pos, r.zh and r.zh.pos))
+        assert got == {t: loop_pairs(*sides) for t, sides in tracks.items()}
+        if block == 1000:
+            assert rounds[before:] == ["pair-candidates", "pair-reach", "pair-chosen-0", "pair-held-1", "pair-changed-1"]
+        elif block == 7:
+            assert "pair-chosen-1" in rounds[before:]
+
+
 def test_merge(spark):
     en = spark.createDataFrame([("a", 0, 1.0, 2.0, "Hi"), ("b", 0, 1.0, 2.0, "Alone")], CUE)
     zh = spark.createDataFrame([("a", 0, 1.1, 2.2, "國"), ("a", 1, 9.0, 9.5, "<i></i>")], CUE)
