@@ -71,7 +71,8 @@ def _in_runs(met: DataFrame) -> DataFrame:
     reach = met.groupBy("title_id", "en_pos").agg(F.min("zh_pos").alias("lo"), F.max("zh_pos").alias("hi"))
     order = Window.partitionBy("title_id").orderBy("en_pos")
     before = F.max("hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.min("lo").over(order.rowsBetween(0, Window.unboundedFollowing))
+    # from the end, as Spark goes through all that follows anew for each row of the other direction
+    after = F.min("lo").over(Window.partitionBy("title_id").orderBy(F.desc("en_pos")).rowsBetween(Window.unboundedPreceding, 0))
     reach = reach.withColumn("cut", F.when(before.isNull() | (after > before), 1).otherwise(0))
     reach = reach.select("title_id", "en_pos", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("run"))
     return _chosen(met.join(reach, ["title_id", "en_pos"]))
