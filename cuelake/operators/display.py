@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.operators import scan
+
 TOLERANCE, MAX_GAP = 0.02, 2.0
 # Texts that mean "do not show".
 HIDING = ("false", "0", "no", "hidden", "hide", "omit", "skip")
@@ -77,14 +79,46 @@ def _extend_in_order(max_gap: float, columns: list[str], back: int):
     return fold
 
 
-def extend_over_hidden(cues: DataFrame, max_gap: float = MAX_GAP) -> DataFrame:
+def _extend_in_blocks(cues: DataFrame, max_gap: float, store: Callable[[DataFrame, str], DataFrame], block: int) -> DataFrame:
+    """Islands, each a visible cue and the hidden ones behind it, come from a scan of each title; how far an
+    island reaches where its first gap fails, from a scan of the island and one row of totals an island."""
+    shown, island = F.coalesce("display", F.lit(True)), ["title_id", "_island"]
+    one = F.when(shown, 1).otherwise(0).cast("long")
+    told = scan.before(store(cues, "cues"), ["title_id"], "pos", {"_seen": ("sum", one), "_from": ("last", F.col("start"))}, block)
+    told = told.withColumn("_island", F.coalesce("_seen", F.lit(0)) + one).withColumn("_late", F.coalesce(F.col("_from") > F.col("start"), F.lit(False)) & ~shown)
+    rows = store(told.drop("_seen", "_from"), "islands")
+    hidden = F.when(~shown, F.col("end"))
+    own = F.when(shown, F.coalesce("display_end", "end")).otherwise(F.col("end"))
+    inside = scan.before(rows.where("_island > 0"), island, "pos", {"_reach": ("max", own), "_joined": ("max", hidden)}, block)
+    failed = F.when(~shown & (F.col("start") - F.col("_reach") > max_gap), F.col("pos"))
+    ends = inside.groupBy(*island).agg(
+        F.min_by(F.struct("_reach", "_joined"), failed).alias("stop"), F.struct(F.max(own).alias("_reach"), F.max(hidden).alias("_joined")).alias("all"), F.bool_or("_late").alias("odd")
+    )
+    ends = store(ends.select(*island, F.coalesce("stop", "all").alias("upto"), "odd"), "island-ends")
+    even = ends.where("not odd and upto._joined is not null").select(*island, F.col("upto._reach").alias("_far"))
+    # starts that fall inside an island: its rows are folded in order
+    names = [*island, "pos", "display_end", "_shown"]
+    odd = rows.join(ends.where("odd").select(*island), island, "left_semi").withColumn("_shown", shown)
+    odd = odd.select(*names, *[c.alias(f"_{k}") for k, c in enumerate((F.col("title_id"), F.col("_island"), F.col("_shown"), F.col("start"), F.col("end"), F.col("display_end")))])
+    folded = odd.repartition("_0", "_1").sortWithinPartitions("_0", "_1", "pos").mapInPandas(_extend_in_order(max_gap, names, 3), odd.select(*names).schema)
+    far = even.unionByName(folded.where("_shown and display_end is not null").select(*island, F.col("display_end").alias("_far")))
+    seen = rows.where(shown).join(far, island, "left").withColumn("display_end", F.coalesce("_far", "display_end"))
+    return rows.where(~shown).select(*cues.columns).unionByName(seen.select(*cues.columns))
+
+
+def extend_over_hidden(cues: DataFrame, max_gap: float = MAX_GAP, store: Callable[[DataFrame, str], DataFrame] | None = None, block: int = scan.BLOCK) -> DataFrame:
     """A visible cue's display_end reaches over the hidden cues behind it that start within ``max_gap``
     seconds of what is covered so far.
 
     In titles sorted by start a gap that fails once fails for good, so running maxima over the cues behind
     each visible one are exact; they need one sort. Titles that are not sorted are folded in order, each
     visible cue with the hidden ones behind it on its own.
+
+    With ``store`` (which writes rows under a name and gives them back) long titles, and long stretches of
+    hidden cues, are cut into blocks of ``block`` positions; title_id must then not be null.
     """
+    if store is not None:
+        return _extend_in_blocks(cues, max_gap, store, block)
     order = Window.partitionBy("title_id").orderBy("pos")
     rows = cues.withColumn("_late", F.coalesce(F.lag("start").over(order) > F.col("start"), F.lit(False)))
     rows = rows.withColumn("_unsorted", F.max("_late").over(Window.partitionBy("title_id"))).drop("_late")

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.operators import scan
+
 ROW_HEIGHT, LAST_SECONDS = 12, 3.0
 
 
@@ -139,16 +141,32 @@ def display_sets(rows: DataFrame) -> DataFrame:
     return sets.drop("objects").join(held, ["path", "seq"], "left").select("path", "seq", "pts", "width", "height", "palette_seq", F.coalesce("objects", none).alias("objects"))
 
 
-def merge_frames(frames: DataFrame, limit: int = 0) -> DataFrame:
+def _merge_in_blocks(rows: DataFrame, limit: int, store: Callable[[DataFrame, str], DataFrame], block: int) -> DataFrame:
+    """The events of frames (track_id, seq, pts, image_hash), each step by blocks of ``block`` frames."""
+    key, rows = ["track_id"], store(rows, "frames")
+    told = scan.before(rows, key, "seq", {"_hash": ("last", F.col("image_hash")), "_some": ("max", F.lit(1))}, block)
+    runs = store(told.where(F.col("_some").isNull() | ~F.col("image_hash").eqNullSafe(F.col("_hash"))).drop("_hash", "_some"), "frame-runs")
+    runs = scan.before(runs, key, "seq", {"end": ("last", F.col("pts"))}, block, backwards=True).where("image_hash is not null")
+    if limit:
+        runs = scan.number(store(runs, "frame-events"), key, "seq", block).where(F.col("number") < limit)
+        runs = runs.withColumn("end", F.when(F.col("number") < limit - 1, F.col("end"))).drop("number")
+    runs = runs.withColumn("end", F.coalesce("end", F.col("pts") + LAST_SECONDS)).where("end > pts")
+    return scan.number(store(runs, "frame-ends"), key, "seq", block).select("track_id", F.col("number").alias("event_no"), F.col("pts").alias("start"), "end", "image_hash")
+
+
+def merge_frames(frames: DataFrame, limit: int = 0, store: Callable[[DataFrame, str], DataFrame] | None = None, block: int = scan.BLOCK) -> DataFrame:
     """(track_id, event_no, start, end, image_hash) from frames (track_id, seq, pts, is_empty, image_hash).
 
     Equal pictures in a row are one event, which the next picture or an empty frame ends; the last lasts
     LAST_SECONDS. Events without length are dropped. ``limit`` (0: none) stops a track when that many events
-    have begun: the one that stops it is its last, and so lasts LAST_SECONDS.
+    have begun: the one that stops it is its last, and so lasts LAST_SECONDS. With ``store`` (which writes rows
+    under a name and gives them back) long tracks are cut into blocks of ``block`` frames.
     """
     order = Window.partitionBy("track_id").orderBy("seq")
     shown = F.when(~F.col("is_empty"), F.col("image_hash"))
     rows = frames.select("track_id", "seq", "pts", shown.alias("image_hash"))
+    if store is not None:
+        return _merge_in_blocks(rows, limit, store, block)
     fresh = F.row_number().over(order) == 1
     rows = rows.withColumn("_new", fresh | ~F.col("image_hash").eqNullSafe(F.lag("image_hash").over(order)))
     runs = rows.where("_new").withColumn("end", F.lead("pts").over(order)).where("image_hash is not null")

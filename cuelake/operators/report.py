@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from cuelake.operators import scan
+
 # Phrases of a run log and the stage (0 extract, 1 recognise, 2 translate) they stand for.
 STAGES = (
     ("Generating bilingual subtitles", "merging", 2),
@@ -27,8 +29,13 @@ STAGES = (
 DONE = "Success! Subtitles saved"
 
 
-def gaps(cues: DataFrame) -> DataFrame:
-    """cues with ``gap``: seconds since the cue before ended, null for a title's first; it may be negative."""
+def gaps(cues: DataFrame, block: int = 0) -> DataFrame:
+    """cues with ``gap``: seconds since the cue before ended, null for a title's first; it may be negative.
+
+    With ``block`` long titles are cut into blocks of so many positions; cues are then read twice."""
+    if block:
+        rows = scan.before(cues, ["title_id"], "pos", {"_before": ("last", F.col("end"))}, block)
+        return rows.withColumn("gap", F.col("start") - F.col("_before")).drop("_before")
     before = F.lag("end").over(Window.partitionBy("title_id").orderBy("pos"))
     return cues.withColumn("gap", F.col("start") - before)
 

@@ -664,6 +664,51 @@ def _shared_folder(spark: SparkSession) -> str:
     return f"{folder or tempfile.mkdtemp(prefix='spark-cuelake-')}/cuelake"
 
 
+def _keeper(spark: SparkSession):
+    """Writes rows under a name in the shared folder and reads them back."""
+    path = f"{_shared_folder(spark)}/steps-{uuid.uuid4().hex}"
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+    return keep
+
+
+#: Positions in a block of the long-title queries: the events are one title of some hundred blocks.
+_SMALL_BLOCK = 256
+
+
+@query(f"WITH {views.ONE_TITLE} SELECT title_id, pos, round(s - lag(e) OVER (PARTITION BY title_id ORDER BY pos), 3) AS gap FROM one")
+def long_title_gaps(spark, sf_dir):
+    rows = report.gaps(views.one_title(spark, sf_dir), _SMALL_BLOCK)
+    return rows.select("title_id", "pos", r3("gap").alias("gap"))
+
+
+@query("""WITH f AS (SELECT event_id AS seq, CAST(event_id AS DOUBLE) / 2 AS pts, CASE WHEN event_type <> 'signup' THEN event_type END AS h FROM events),
+    c AS (SELECT *, h IS DISTINCT FROM lag(h) OVER (ORDER BY seq) OR seq = 0 AS fresh FROM f),
+    r AS (SELECT *, coalesce(lead(pts) OVER (ORDER BY seq), pts + 3) AS stop FROM c WHERE fresh)
+    SELECT 'all' AS track_id, row_number() OVER (ORDER BY seq) - 1 AS event_no, round(pts, 3) AS start, round(stop, 3) AS "end", h AS image_hash FROM r WHERE h IS NOT NULL AND stop > pts""")
+def long_track_frames(spark, sf_dir):
+    cues = views.one_title(spark, sf_dir)
+    rows = cues.select(F.col("title_id").alias("track_id"), F.col("pos").alias("seq"), (F.col("pos").cast("double") / 2).alias("pts"), F.col("display").alias("is_empty"), F.col("text").alias("image_hash"))
+    merged = frames.merge_frames(rows, store=_keeper(spark), block=_SMALL_BLOCK)
+    return merged.withColumn("start", r3("start")).withColumn("end", r3("end"))
+
+
+@query(f"""WITH RECURSIVE {views.ONE_TITLE}, i AS (SELECT *, sum(CASE WHEN display THEN 1 ELSE 0 END) OVER (ORDER BY pos) AS island FROM one),
+    n AS (SELECT *, row_number() OVER (PARTITION BY island ORDER BY pos) AS k FROM i WHERE island > 0),
+    w AS (SELECT island, k, e AS reach FROM n WHERE k = 1
+          UNION ALL SELECT n.island, n.k, CASE WHEN n.s - w.reach <= 2 THEN greatest(w.reach, n.e) ELSE w.reach END FROM w JOIN n ON n.island = w.island AND n.k = w.k + 1),
+    x AS (SELECT island, max(reach) AS far FROM w GROUP BY island),
+    j AS (SELECT w.island, bool_or(n.s - p.reach <= 2) AS some FROM w JOIN n ON n.island = w.island AND n.k = w.k JOIN w p ON p.island = w.island AND p.k = w.k - 1 GROUP BY w.island)
+    SELECT i.title_id, i.pos, i.display, round(CASE WHEN i.display AND j.some THEN x.far END, 3) AS display_end FROM i LEFT JOIN x ON x.island = i.island LEFT JOIN j ON j.island = i.island""")
+def long_title_extension(spark, sf_dir):
+    cues = views.one_title(spark, sf_dir).withColumn("display_end", F.lit(None).cast("double"))
+    done = display.extend_over_hidden(cues, store=_keeper(spark), block=_SMALL_BLOCK)
+    return done.select("title_id", "pos", "display", r3("display_end").alias("display_end"))
+
+
 def _log_files(spark, sf_dir) -> str:
     """The run logs of the events as text files, a folder a run."""
     path = f"{_shared_folder(spark)}/logs-{uuid.uuid4().hex}"

@@ -40,6 +40,20 @@ def event_tracks(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return pick(~zh), pick(zh)
 
 
+def one_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All events as one title, a cue each half a second; signups show, every 97th cue begins 20 seconds early."""
+    pos = F.col("event_id")
+    start = pos.cast("double") / 2 - F.when(pos % 97 == 96, 20).otherwise(0)
+    end = start + F.floor(F.col("value")).cast("double") / 8 + 0.5
+    return table(spark, sf_dir, "events").select(F.lit("all").alias("title_id"), pos.alias("pos"), start.alias("start"), end.alias("end"), F.col("event_type").alias("text"), (F.col("event_type") == "signup").alias("display"))
+
+
+ONE_TITLE = """
+    one0 AS (SELECT event_id AS pos, CAST(event_id AS DOUBLE) / 2 - CASE WHEN event_id % 97 = 96 THEN 20 ELSE 0 END AS s, value, event_type FROM events),
+    one AS (SELECT 'all' AS title_id, pos, s, s + CAST(floor(value) AS DOUBLE) / 8 + 0.5 AS e, event_type AS text, event_type = 'signup' AS display FROM one0)
+"""
+
+
 def talk_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A conversation as one title: a cue a turn, 30 seconds apart, as long as its text."""
     rows = table(spark, sf_dir, "conversations")
