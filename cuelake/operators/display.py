@@ -56,22 +56,22 @@ def _extend_in_order(max_gap: float, columns: list[str], back: int):
     """A fold over rows sorted by title, island and position; of an island only its visible cue is held."""
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        island, held = None, None
+        held = None
         for frame in frames:
             out = []
             for row in frame.itertuples(index=False, name=None):
-                title, number, shown, start, end, display_end = row[-6:]
-                if (title, number) != island:
+                _, number, shown, start, end, display_end, place = row[-7:]
+                if place == 1:
                     if held:
                         out.append(tuple(held))
-                    island, held = (title, number), None
+                    held = None
                 if shown and number > 0:
-                    held = list(row[:-6])
+                    held = list(row[:-7])
                     reach = end if pd.isna(display_end) else display_end
                     continue
                 if held and start - reach <= max_gap:
                     reach = held[back] = max(reach, end)
-                out.append(row[:-6])
+                out.append(row[:-7])
             yield pd.DataFrame(out, columns=columns).astype(dict(zip(columns, frame.dtypes)))
         if held:
             yield pd.DataFrame([tuple(held)], columns=columns).astype(dict(zip(columns, frame.dtypes)))
@@ -79,6 +79,19 @@ def _extend_in_order(max_gap: float, columns: list[str], back: int):
     return fold
 
 
+def _in_order(rows: DataFrame, max_gap: float, columns: list[str]) -> DataFrame:
+    """``columns`` of rows (_shown, _island as well), each island folded in order by one task.
+
+    Spark drops a repartition by columns that its input is dealt by already, and may then turn the join below into a
+    broadcast that reads by files; islands would come in parts. A window is never given parts of a group, so the
+    place in the island, which the fold starts from, comes from one, and the fold reads its order.
+    """
+    values = (F.col("title_id"), F.col("_island"), F.col("_shown"), F.col("start"), F.col("end"), F.col("display_end"))
+    dealt = rows.select(*columns, *[c.alias(f"_{k}") for k, c in enumerate(values)]).repartition("_0", "_1")
+    placed = dealt.withColumn("_6", F.row_number().over(Window.partitionBy("_0", "_1").orderBy("pos")))
+    return placed.mapInPandas(_extend_in_order(max_gap, columns, columns.index("display_end")), rows.select(*columns).schema)
+
+
 def _extend_in_blocks(cues: DataFrame, max_gap: float, store: Callable[[DataFrame, str], DataFrame], block: int) -> DataFrame:
     """Islands, each a visible cue and the hidden ones behind it, come from a scan of each title; how far an
     island reaches where its first gap fails, from a scan of the island and one row of totals an island."""
@@ -97,10 +110,8 @@ def _extend_in_blocks(cues: DataFrame, max_gap: float, store: Callable[[DataFram
     ends = store(ends.select(*island, F.coalesce("stop", "all").alias("upto"), "odd"), "island-ends")
     even = ends.where("not odd and upto._joined is not null").select(*island, F.col("upto._reach").alias("_far"))
     # starts that fall inside an island: its rows are folded in order
-    names = [*island, "pos", "display_end", "_shown"]
     odd = rows.join(ends.where("odd").select(*island), island, "left_semi").withColumn("_shown", shown)
-    odd = odd.select(*names, *[c.alias(f"_{k}") for k, c in enumerate((F.col("title_id"), F.col("_island"), F.col("_shown"), F.col("start"), F.col("end"), F.col("display_end")))])
-    folded = odd.repartition("_0", "_1").sortWithinPartitions("_0", "_1", "pos").mapInPandas(_extend_in_order(max_gap, names, 3), odd.select(*names).schema)
+    folded = _in_order(odd, max_gap, [*island, "pos", "display_end", "_shown"])
     far = even.unionByName(folded.where("_shown and display_end is not null").select(*island, F.col("display_end").alias("_far")))
     seen = rows.where(shown).join(far, island, "left").withColumn("display_end", F.coalesce("_far", "display_end"))
     return rows.where(~shown).select(*cues.columns).unionByName(seen.select(*cues.columns))
@@ -134,6 +145,5 @@ def extend_over_hidden(cues: DataFrame, max_gap: float = MAX_GAP, store: Callabl
     last = F.max(joined).over(whole)
     fixed = F.when(shown & (F.col("_island") > 0) & last.isNotNull(), F.greatest(last, own)).otherwise(F.col("display_end"))
     done = rows.where(~F.col("_unsorted")).withColumn("display_end", fixed).select(*cues.columns)
-    odd = rows.where("_unsorted").select(*cues.columns, *[c.alias(f"_{k}") for k, c in enumerate((F.col("title_id"), F.col("_island"), shown, F.col("start"), F.col("end"), F.col("display_end")))])
-    odd = odd.repartition("_0", "_1").sortWithinPartitions("_0", "_1", "pos")
-    return done.unionByName(odd.mapInPandas(_extend_in_order(max_gap, cues.columns, cues.columns.index("display_end")), cues.schema))
+    odd = rows.where("_unsorted").withColumn("_shown", shown)
+    return done.unionByName(_in_order(odd, max_gap, cues.columns))

@@ -81,5 +81,31 @@ def test_extension_by_blocks(spark, block, ordered):
     assert sorted(got.collect(), key=str) == sorted(display.extend_over_hidden(rows).collect(), key=str)
 
 
+def test_islands_of_several_files_are_folded_whole(spark, tmp_path):
+    """Spark plans the join to the odd islands by a shuffle and then, as they are few, broadcasts them."""
+    data = [("t", p, p / 2 - (20 if p % 97 == 96 else 0), p / 2 + 0.5 + p % 5, p % 7 == 0, None, "") for p in range(1500)]
+    rows = spark.createDataFrame(data, CUE)
+
+    def scattered(df, name):
+        df.repartition(7).write.parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{tmp_path}/{name}")
+
+    limits = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB"}
+    for key, value in limits.items():
+        spark.conf.set(key, value)
+    try:
+        got = sorted((r.pos, r.display_end) for r in display.extend_over_hidden(rows, store=scattered, block=16).collect() if r.display_end)
+    finally:
+        for key in limits:
+            spark.conf.unset(key)
+    want = {}
+    for _, p, start, end, shown, _, _ in data:
+        if shown:
+            at, reach = p, end
+        elif start - reach <= display.MAX_GAP:
+            reach = want[at] = max(reach, end)
+    assert got == sorted(want.items())
+
+
 def test_extension_of_no_cues(spark):
     assert display.extend_over_hidden(spark.createDataFrame([], CUE), store=keep).count() == 0
