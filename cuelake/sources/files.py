@@ -14,39 +14,54 @@ def listing(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", "modificationTime")
 
 
-def lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def lines(spark: SparkSession, paths: str | list[str], logs: tuple[Column, Column] | None = None) -> DataFrame:
     """(path, line_no, line): the lines of text files, numbered from 0 as they stand, however large a file is.
 
     Spark splits files by byte ranges, and a line belongs to the range that it begins in. Lines are numbered
     inside their range first; the ranges' counts, a few rows a file, give where each begins. Lines end at LF,
     CR or both, bytes that are no UTF-8 become U+FFFD, an empty file has no lines.
+
+    ``logs``, two columns of ``line`` (the name of a log and the log's own text), is for files that hold many logs
+    one behind another, as a file each would cost more than its lines: (path, log, line_no, line), numbered in each
+    log of a file. A log whose lines do not stand together is an error.
     """
-    ranges, starts = _ranges(spark, paths)
+    ranges, starts = _ranges(spark, paths, logs)
     return _numbered(ranges, starts)
 
 
-def last_lines(spark: SparkSession, paths: str | list[str], chars: int = 8000) -> DataFrame:
+def last_lines(spark: SparkSession, paths: str | list[str], chars: int = 8000, logs: tuple[Column, Column] | None = None) -> DataFrame:
     """(path, line_no, line) of the byte ranges that hold a file's last ``chars`` characters: those behind which
-    fewer characters stand. Only these ranges' lines leave the scan; ``report.log_text`` cuts the rest."""
-    ranges, starts = _ranges(spark, paths)
-    behind = Window.partitionBy("path").orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
+    fewer characters stand. Only these ranges' lines leave the scan; ``report.log_text`` cuts the rest. With
+    ``logs``, as in ``lines``, the ranges of each log."""
+    ranges, starts = _ranges(spark, paths, logs)
+    behind = Window.partitionBy(*_owner(starts)).orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     near = starts.withColumn("behind", F.coalesce(F.sum("chars").over(behind), F.lit(0))).where(F.col("behind") <= chars)
     return _numbered(ranges, near)
 
 
-def _ranges(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
+def _owner(rows: DataFrame) -> list[str]:
+    return [c for c in ("path", "log") if c in rows.columns]
+
+
+def _ranges(spark: SparkSession, paths: str | list[str], logs: tuple[Column, Column] | None) -> tuple[DataFrame, DataFrame]:
     """((path, block, id, line), (path, block, shift, chars)): lines by the range that they begin in, and what
     leads from an id (rising inside a range) to the number of a line. Both come from the same scan of files."""
     found = spark.read.option("recursiveFileLookup", "true").text(paths)
     found = found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.expr("make_valid_utf8(value)").alias("line"))
     found = found.withColumn("id", F.monotonically_increasing_id())
-    sizes = found.groupBy("path", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.sum(F.char_length("line") + 1).alias("chars"))
-    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return found, sizes.select("path", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"), "chars")
+    if logs is not None:
+        found = found.select("path", logs[0].alias("log"), "block", "id", logs[1].alias("line"))
+    owner = _owner(found)
+    together = F.max("id") - F.min("id") + 1 == F.count("*")
+    first = F.when(together, F.min("id")).otherwise(F.raise_error(F.lit("lines of a log do not stand together")).cast("long"))
+    sizes = found.groupBy(*owner, "block").agg(first.alias("first"), F.count("*").alias("n"), F.sum(F.char_length("line") + 1).alias("chars"))
+    before = Window.partitionBy(*owner).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    return found, sizes.select(*owner, "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"), "chars")
 
 
 def _numbered(ranges: DataFrame, starts: DataFrame) -> DataFrame:
-    return ranges.join(starts, ["path", "block"]).select("path", (F.col("id") + F.col("shift")).alias("line_no"), "line")
+    owner = _owner(ranges)
+    return ranges.join(starts, [*owner, "block"]).select(*owner, (F.col("id") + F.col("shift")).alias("line_no"), "line")
 
 
 def folder_of(path: Column) -> Column:

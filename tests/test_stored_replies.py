@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cuelake.functions import text as X
 from cuelake.operators import batch, frames, report
-from cuelake.plans import jobs
+from cuelake.plans import catalog, jobs
 from cuelake.sources import files
 from cuelake.streaming import replies
 
@@ -234,6 +234,36 @@ def test_lines_of_files(spark, tmp_path, split):
     assert (many < 30) == (split == "64")
 
 
+@pytest.mark.parametrize("split", ["64", "134217728"])
+def test_lines_of_files_that_hold_many_logs(spark, tmp_path, split):
+    rng = random.Random(9)
+    logs = {f"r{k}": [rng.choice(["", "one", "é日\tb", "x" * 90]) for _ in range(rng.choice([1, 3, 60]))] for k in range(20)}
+    for n in range(2):
+        (tmp_path / f"{n}.log").write_text("".join(f"{k}\t{line}\n" for k in sorted(logs)[n::2] for line in logs[k]))
+    (tmp_path / "mixed.txt").write_text("a\tx\nb\ty\na\tz\n")
+    parts = F.substring_index("line", "\t", 1), F.expr("substr(line, instr(line, '\t') + 1)")
+    own = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in own:
+            spark.conf.set(k, split)
+        found = [str(tmp_path / f"{n}.log") for n in range(2)]
+        got = sorted((r.log, r.line_no, r.line) for r in files.lines(spark, found, parts).collect())
+        tails = {r.run_id: r.tail for r in report.log_text(files.last_lines(spark, found, 200, parts).withColumnRenamed("log", "run_id"), 200).collect()}
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+    assert got == sorted((k, n, line) for k, lines in logs.items() for n, line in enumerate(lines))
+    assert tails == {k: "\n".join(lines)[-200:] for k, lines in logs.items()}
+    with pytest.raises(Exception, match="do not stand together"):
+        files.lines(spark, str(tmp_path / "mixed.txt"), parts).collect()
+
+
+def test_files_of_run_logs_do_not_grow_with_the_runs(spark, sf):
+    path = catalog._log_files(spark, sf)
+    runs = catalog._log(spark, sf)[0].select("run_id").distinct().count()
+    assert len(spark.read.option("recursiveFileLookup", "true").text(path).inputFiles()) <= int(spark.conf.get("spark.sql.shuffle.partitions")) < runs
+
+
 def test_mapping_takes_the_longest_match(spark):
     rng = random.Random(3)
     table = {"乾坤": "乾坤", "乾": "干", "開車": "开车", "車": "车", "車站": "车站", "國": "国家", "開": "開乾", "": "never"}
