@@ -303,15 +303,22 @@ def existing_pair_tracks(probed: DataFrame, overrides: DataFrame | None = None,
     return out.withColumn("ocr_language", F.lit(ocr_language) if ocr_language not in ("", "auto") else own)
 
 
-def existing_pair_job(probed: DataFrame, cues: DataFrame, mapping: dict[str, str] | None = None, overrides: DataFrame | None = None, ocr_language: str = "auto") -> DataFrame:
+def existing_pair_job(probed: DataFrame, cues: DataFrame, mapping: dict[str, str] | None = None, overrides: DataFrame | None = None, ocr_language: str = "auto", store: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """Cues of titles that hold an embedded Chinese track, merged with their English one if there is any.
 
     cues (title_id, index, pos, start, end, text) are those of all tracks. Blank cues go; a title whose
-    Chinese track is left with none gives none and falls to its next source.
+    Chinese track is left with none gives none and falls to its next source. With ``store`` all tracks' cues are
+    read once, and pairing looks at those of the chosen tracks; without it Spark may read all of them for each step.
     """
     chosen = existing_pair_tracks(probed, overrides, ocr_language)
+    if store is not None:
+        chosen = store(chosen, "pair-tracks")
+        either = chosen.select("title_id", F.explode(F.array("zh_index", "en_index")).alias("index"))
+        cues = store(cues.join(either, ["title_id", "index"], "left_semi"), "pair-cues")
     of = lambda c: probed.join(chosen.select("title_id", F.col(c).alias("index")), ["title_id", "index"], "left_semi")
     zh, en = (_readable(cues, of(c)).select("title_id", "pos", "start", "end", "text") for c in ("zh_index", "en_index"))
+    if store is not None:
+        zh, en = store(zh, "pair-zh"), store(en, "pair-en")
     return pair.merge_tracks(en, zh, "existing Chinese embedded subtitle", mapping)
 
 
