@@ -55,6 +55,21 @@ def context(cues: DataFrame, size: int = BATCH, lines: int = CONTEXT, bilingual:
     )
 
 
+def bounds(cues: DataFrame, size: int = BATCH, lines: int = CONTEXT) -> DataFrame:
+    """(title_id, batch_id, context_start, context_end) of ``context``, from times alone: replies that are there
+    need the bounds only, and no line is made or moved for them."""
+    one = F.struct("pos", "start", "end")
+    whole = assign(cues, size).groupBy("title_id", "batch_id").agg(F.array_sort(F.collect_list(one)).alias("lines"))
+    whole = whole.select("title_id", "batch_id", F.col("lines.start").alias("starts"), F.col("lines.end").alias("ends"))
+    order, reach = Window.partitionBy("title_id").orderBy("batch_id"), -(-lines // size)
+    beside = lambda c, lo, hi: F.flatten(F.collect_list(c).over(order.rowsBetween(lo, hi))) if lines else F.slice(c, 1, 0)
+    whole = whole.withColumn("ahead", beside("starts", -reach, -1)).withColumn("behind", beside("ends", 1, reach))
+    # the first of the last ``lines`` starts ahead, the last of the first ``lines`` ends behind; if there are none, the batch's own
+    first = F.when(F.size("ahead") > 0, F.get("ahead", F.greatest(F.size("ahead") - lines, F.lit(0)))).otherwise(F.get("starts", F.lit(0)))
+    last = F.when(F.size("behind") > 0, F.get("behind", F.least(F.size("behind"), F.lit(lines)) - 1)).otherwise(F.get("ends", F.size("ends") - 1))
+    return whole.select("title_id", "batch_id", first.alias("context_start"), last.alias("context_end"))
+
+
 def requests(batches: DataFrame, task: str = "translate", language: str = "", timed: bool = True) -> DataFrame:
     """batches with ``prompt``: what to do, the context, the target lines and the shape of the answer.
 

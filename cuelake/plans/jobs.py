@@ -108,13 +108,13 @@ def _fallback(rows: DataFrame, proofread: bool, mapping: dict[str, str]) -> Data
 def apply_replies(cues: DataFrame, replies: DataFrame, batches: DataFrame, proofread: bool = False, mapping: dict[str, str] | None = None, retry: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Processed cues: reply items by (title, batch, index), checked, applied, with display times.
 
-    A missing item leaves the cue as it is. ``retry`` gets the cues whose reply was of the wrong language
+    A missing item leaves the cue as it is. Without ``retry``, ``batch.bounds`` will do for batches. ``retry`` gets the cues whose reply was of the wrong language
     (title_id, batch_id, index, pos, start, end, text ..., before, after and the context's bounds) and gives
     their new items (title_id, pos, item), whose fields go over those of the first.
     """
     mapping, cues = mapping or {}, batch.assign(cues)
     items = batch.reply_items(replies)
-    around = batches.select("title_id", "batch_id", "context_start", "context_end", "before", "after")
+    around = batches.select("title_id", "batch_id", "context_start", "context_end", *(() if retry is None else ("before", "after")))
     rows = cues.join(items, ["title_id", "batch_id", "index"], "left").join(around, ["title_id", "batch_id"])
     rows = _texts(rows, proofread, mapping)
     if retry is not None:
